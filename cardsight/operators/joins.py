@@ -11,8 +11,22 @@ from pyspark.sql import functions as F
 DEFAULT_BOUND_ROWS = 1_000_000
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL matches NULL (a NULL group is still a group).
+    Key columns appear once in the output, as with ``join(on=[...])``."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(renamed[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    out = left.join(renamed, cond, how)
+    if how in ("full", "full_outer", "outer", "right", "right_outer"):
+        out = out.withColumns({k: F.coalesce(left[k], renamed[f"_r_{k}"]) for k in keys})
+    return out.drop(*[f"_r_{k}" for k in keys])
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               bound_rows: int = DEFAULT_BOUND_ROWS) -> DataFrame:
+               bound_rows: int = DEFAULT_BOUND_ROWS, null_safe: bool = False) -> DataFrame:
     """Join ``big`` with a derived ``small`` table.
 
     ``small`` is materialised once (persisted, so the join reuses it) and counted; it is
@@ -22,6 +36,8 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     small = small.persist(StorageLevel.MEMORY_AND_DISK)
     n = small.count()
     side = F.broadcast(small) if n <= bound_rows else small
+    if null_safe:
+        return join_null_safe(big, side, list(on), how)
     return big.join(side, on, how)
 
 
