@@ -1 +1,134 @@
-"""placeholder"""
+"""Queries: feature stages (F5-F11) on the model input of the transaction view."""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.sql import functions as F
+
+from ..operators import features, prepare
+from ..sources.tables import AS_OF, TXN_SQL
+from .q_prepare import prepared_txn
+from .registry import query
+
+CATEGORICAL = ["merchant", "category", "gender", "job"]
+NUMERIC = ["amt", "city_pop", "age", "trans_month", "trans_hour", "trans_day_of_week", "trans_day_of_month",
+           "trans_day_of_year"]
+BOXCOX_ALPHA = 0.5
+
+M = f"""WITH txn AS ({TXN_SQL}),
+m AS (SELECT txn_id, portion, is_fraud, merchant, category, gender, job, amt, city_pop,
+             CAST(trunc(datediff('day', dob, DATE '{AS_OF}') / 365) AS INTEGER) AS age,
+             CAST(month(trans_ts) AS INTEGER) AS trans_month, CAST(hour(trans_ts) AS INTEGER) AS trans_hour,
+             CAST(dayofweek(trans_ts) + 1 AS INTEGER) AS trans_day_of_week,
+             CAST(day(trans_ts) AS INTEGER) AS trans_day_of_month,
+             CAST(dayofyear(trans_ts) AS INTEGER) AS trans_day_of_year FROM txn)"""
+
+
+def model_frame(spark, sf_dir):
+    """Model input: 4 categorical + 8 numeric columns, label, and txn_id / portion kept
+    for joining and splitting (not used as features)."""
+    p = prepared_txn(spark, sf_dir)
+    return p.select("txn_id", "portion", "is_fraud", *CATEGORICAL, *NUMERIC)
+
+
+def _pairs_sql():
+    cols = []
+    names = features.pairwise_names(NUMERIC)
+    import itertools
+    pairs = list(itertools.combinations(NUMERIC, 2))
+    exprs = ([f"CAST({a} AS DOUBLE) * CAST({b} AS DOUBLE)" for a, b in pairs]
+             + [f"CAST({a} AS DOUBLE) + CAST({b} AS DOUBLE)" for a, b in pairs]
+             + [f"CAST({a} AS DOUBLE) - CAST({b} AS DOUBLE)" for a, b in pairs])
+    for e, n in zip(exprs, names):
+        cols.append(f'{e} AS "{n}"')
+    return ", ".join(cols)
+
+
+@query("pairwise", f"{M} SELECT txn_id, {_pairs_sql()} FROM m")
+def q_pairwise(spark, sf_dir):
+    pw = features.PairwiseTransformer(inputCols=NUMERIC)
+    out = pw.transform(model_frame(spark, sf_dir))
+    return out.select("txn_id", *[F.col(f"`{c}`") for c in pw.getOutputCols()])
+
+
+@query("log_features", f"""{M} SELECT txn_id, {', '.join(
+    f'round(CASE WHEN {c} > 0 THEN ln({c}) END, 6) AS ln_{c}' for c in NUMERIC)} FROM m""")
+def q_log_features(spark, sf_dir):
+    lt = features.LogTransformer(inputCols=NUMERIC)
+    out = lt.transform(model_frame(spark, sf_dir))
+    return out.select("txn_id", *[F.round(c, 6).alias(c) for c in lt.getOutputCols()])
+
+
+@query("boxcox", f"""{M} SELECT txn_id,
+  round(CASE WHEN amt > 0 THEN (pow(amt, {BOXCOX_ALPHA}) - 1) / {BOXCOX_ALPHA} END, 6) AS amt_boxcox,
+  round(CASE WHEN amt > 0 THEN ln(amt) END, 6) AS amt_boxcox0,
+  round(CASE WHEN trans_hour > 0 THEN (pow(trans_hour, -1.0) - 1) / -1.0 END, 6) AS hour_boxcox_neg
+FROM m""")
+def q_boxcox(spark, sf_dir):
+    df = model_frame(spark, sf_dir)
+    stages = [features.BoxCoxTransformer(inputCol="amt", outputCol="amt_boxcox", alpha=BOXCOX_ALPHA),
+              features.BoxCoxTransformer(inputCol="amt", outputCol="amt_boxcox0", alpha=0.0),
+              features.BoxCoxTransformer(inputCol="trans_hour", outputCol="hour_boxcox_neg", alpha=-1.0)]
+    out = Pipeline(stages=stages).fit(df).transform(df)
+    return out.select("txn_id", *[F.round(c, 6).alias(c) for c in ("amt_boxcox", "amt_boxcox0", "hour_boxcox_neg")])
+
+
+def _with_logs(spark, sf_dir):
+    lt = features.LogTransformer(inputCols=NUMERIC)
+    return lt.transform(model_frame(spark, sf_dir)), NUMERIC + lt.getOutputCols()
+
+
+@query("invalid_rows", f"""{M}, flags AS (SELECT {', '.join(
+    [f'({c} IS NULL) AS f_{c}' for c in NUMERIC] + [f'({c} IS NULL OR {c} <= 0) AS f_ln_{c}' for c in NUMERIC])} FROM m)
+SELECT "column", CAST(n AS BIGINT) AS n_invalid FROM (
+  {' UNION ALL '.join([f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE f_{c}) AS n FROM flags" for c in NUMERIC]
+                      + [f"SELECT 'ln_{c}', count(*) FILTER (WHERE f_ln_{c}) FROM flags" for c in NUMERIC])}
+  UNION ALL SELECT '__any__', count(*) FILTER (WHERE {' OR '.join([f'f_{c}' for c in NUMERIC] + [f'f_ln_{c}' for c in NUMERIC])}) FROM flags
+  UNION ALL SELECT '__rows__', count(*) FROM flags)""")
+def q_invalid_rows(spark, sf_dir):
+    df, cols = _with_logs(spark, sf_dir)
+    return features.invalid_rows(df, cols)
+
+
+_RANK_SQL = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", value, CAST(row_number() OVER (ORDER BY cnt DESC, value) - 1 AS INTEGER) AS idx FROM
+        (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS cnt FROM m WHERE {c} IS NOT NULL GROUP BY 1)"""
+    for c in CATEGORICAL)
+
+
+def _indexed(spark, sf_dir):
+    df = model_frame(spark, sf_dir)
+    stages = features.feature_stages(CATEGORICAL, NUMERIC)[:2]   # indexer + one-hot
+    return Pipeline(stages=stages).fit(df).transform(df)
+
+
+@query("string_index", f"{M}, ranks AS ({_RANK_SQL}) SELECT \"column\", value, idx AS \"index\" FROM ranks")
+def q_string_index(spark, sf_dir):
+    out = _indexed(spark, sf_dir)
+    items = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"),
+                                         F.col(f"{c}_index").cast("int").alias("index")) for c in CATEGORICAL]))
+    return out.select(items.alias("s")).select("s.*").distinct()
+
+
+@query("one_hot", f"""{M}, ranks AS ({_RANK_SQL}),
+long AS ({' UNION ALL '.join(f"SELECT txn_id, '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM m" for c in CATEGORICAL)})
+SELECT l.txn_id, l."column", r.idx AS slot FROM long l LEFT JOIN ranks r ON l."column" = r."column" AND l.value = r.value""")
+def q_one_hot(spark, sf_dir):
+    out = _indexed(spark, sf_dir)
+    return features.ohe_slots(out, {c: f"{c}_ohe" for c in CATEGORICAL}, "txn_id")
+
+
+@query("assembled", f"""{M}
+SELECT CAST(100 + (SELECT count(DISTINCT merchant) + count(DISTINCT category) + count(DISTINCT gender)
+                          + count(DISTINCT job) FROM m) AS INTEGER) AS width,
+       count(*) AS rows
+FROM m WHERE {' AND '.join(f'{c} > 0' for c in NUMERIC)}""")
+def q_assembled(spark, sf_dir):
+    df = model_frame(spark, sf_dir)
+    model = Pipeline(stages=features.feature_stages(CATEGORICAL, NUMERIC)).fit(df)
+    return features.vector_width(model.transform(df))
+
+
+def split_model_frame(spark, sf_dir):
+    df = model_frame(spark, sf_dir)
+    return prepare.split_portions(df)

@@ -1 +1,98 @@
-"""placeholder"""
+"""Queries: learners, scoring, persistence and tuning.
+
+These have no exact SQL oracle (model fits); the driver records a rows-only check.
+Row counts are deterministic: training uses the hashed sample, folds are hashed.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.sql import functions as F
+
+from ..operators import evaluate, features, models, sampling, tune
+from ..session import scratch_path
+from ..sources.models import load_model, save_model
+from .q_features import CATEGORICAL, NUMERIC, split_model_frame
+from .q_prepare import SAMPLE_FRACTIONS, SAMPLE_SEED
+from .registry import query
+
+# Small learners keep the correctness run short; the tuned settings are in models.TUNED_GBT.
+QUICK_GBT = {"maxIter": 5, "maxDepth": 3}
+LABEL = "is_fraud"
+
+
+def train_test(spark, sf_dir):
+    train, test = split_model_frame(spark, sf_dir)
+    sample = sampling.stratified_sample(train, LABEL, SAMPLE_FRACTIONS, SAMPLE_SEED, key="txn_id")
+    return sample, test
+
+
+def stages(use_pairwise: bool = True):
+    return features.feature_stages(CATEGORICAL, NUMERIC, use_pairwise=use_pairwise)
+
+
+@query("fit_score")
+def q_fit_score(spark, sf_dir):
+    train, test = train_test(spark, sf_dir)
+    model = models.fit_pipeline(train, stages() + [models.gbt(LABEL, **QUICK_GBT)])
+    return models.score(model, test, LABEL, keep=["txn_id"])
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    train, _ = train_test(spark, sf_dir)
+    model = models.fit_pipeline(train, stages() + [models.gbt(LABEL, **QUICK_GBT)])
+    return models.feature_importance(model, train, fold_one_hot=True)
+
+
+@query("model_compare")
+def q_model_compare(spark, sf_dir):
+    train, test = train_test(spark, sf_dir)
+    fitted = models.fit_models(train, stages(), {
+        "GBTClassifier": models.gbt(LABEL, **QUICK_GBT),
+        "RandomForest": models.random_forest(LABEL, numTrees=10, maxDepth=4),
+        "LogisticRegression": models.logistic(LABEL, maxIter=20),
+    })
+    preds = models.score_models(fitted, test, LABEL)
+    report = evaluate.classification_report(preds, LABEL, "prediction", by=["model"])
+    auc = evaluate.roc_auc(preds, LABEL, "p1", by=["model"])
+    hard = evaluate.balanced_accuracy(preds, LABEL, "prediction", by=["model"])
+    long = report.select("model", F.concat_ws(":", F.lit("report"), "row").alias("metric"),
+                         F.col("f1_score").alias("value"))
+    return (long.unionByName(auc.select("model", F.lit("auc").alias("metric"), F.col("auc").alias("value")))
+            .unionByName(hard.select("model", F.lit("balanced_accuracy").alias("metric"),
+                                     F.col("balanced_accuracy").alias("value"))))
+
+
+@query("model_roundtrip")
+def q_model_roundtrip(spark, sf_dir):
+    train, test = train_test(spark, sf_dir)
+    model = models.fit_pipeline(train, stages() + [models.gbt(LABEL, **QUICK_GBT)])
+    path = save_model(model, scratch_path(spark, "pipeline"))
+    loaded = load_model(path)
+    a = models.score(model, test, LABEL, keep=["txn_id"]).select("txn_id", F.col("p1").alias("p_before"))
+    b = models.score(loaded, test, LABEL, keep=["txn_id"]).select("txn_id", F.col("p1").alias("p_after"))
+    j = a.join(b, "txn_id", "full_outer")
+    return j.agg(F.count(F.lit(1)).alias("rows"),
+                 F.count_if(~F.col("p_before").eqNullSafe(F.col("p_after"))).alias("differing"))
+
+
+@query("cv_metrics")
+def q_cv_metrics(spark, sf_dir):
+    train, _ = train_test(spark, sf_dir)
+    pipe = Pipeline(stages=stages() + [models.gbt(LABEL, **QUICK_GBT)])
+    return tune.cross_validate(train, pipe, LABEL, k=3, seed=7)
+
+
+# A small search space with the reference's parameter names.
+SEARCH_RANGES = {"maxDepth": [2, 3], "stepSize": [0.05, 0.1], "subsamplingRate": [0.7, 1.0]}
+
+
+@query("evolve_params")
+def q_evolve_params(spark, sf_dir):
+    train, _ = train_test(spark, sf_dir)
+    pipe = Pipeline(stages=stages(use_pairwise=False) + [models.gbt(LABEL, maxIter=3)])
+    search = tune.EvolutionarySearch(pipe, SEARCH_RANGES, LABEL, metric="f1", population=3, generations=2,
+                                     folds=2, seed=11)
+    search.run(train)
+    return search.trial_log(spark)
