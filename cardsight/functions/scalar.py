@@ -25,7 +25,7 @@ def _c(c) -> Column:
 
 def as_date(c, fmt: str = DATE_FORMAT) -> Column:
     """String -> date with ``fmt`` (malformed -> NULL, even with ANSI on); dates pass through."""
-    return F.try_to_date(_c(c).cast("string"), F.lit(fmt))
+    return F.try_to_date(_c(c).cast("string"), fmt)
 
 
 def parse_timestamp(c, fmt: str = TIMESTAMP_FORMAT) -> Column:
@@ -70,7 +70,8 @@ def haversine_km(lon1, lat1, lon2, lat2, radius: float = EARTH_RADIUS_KM) -> Col
     dlon = lo2 - lo1
     dlat = la2 - la1
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(la1) * F.cos(la2) * F.pow(F.sin(dlon / 2), 2)
-    a = F.least(F.greatest(a, F.lit(0.0)), F.lit(1.0))
+    # Clamp with CASE, not least/greatest: those skip NULLs and would turn NULL into 0.
+    a = F.when(a < 0.0, F.lit(0.0)).when(a > 1.0, F.lit(1.0)).otherwise(a)
     return F.lit(radius) * (F.lit(2.0) * F.atan2(F.sqrt(a), F.sqrt(F.lit(1.0) - a)))
 
 
