@@ -171,13 +171,14 @@ def kde(df: DataFrame, columns: list[str], by: str | None = None, grid_size: int
 
 # ---------------------------------------------------------------- box statistics
 
-def quartiles(long: DataFrame, probs=(0.25, 0.5, 0.75), ranges: int | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles per (column, class) without holding a group's
-    values in one task: distinct values with multiplicities get global ranks through
-    :func:`running_totals`, and each quantile reads the one or two values at rank
-    floor/ceil((n - 1) p)."""
+def _ranked_values(long: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Distinct values per (column, class) with multiplicity ``cnt``, cumulative count
+    ``cnt_cum`` in value order and group size ``cnt_total`` (via :func:`running_totals`)."""
     vc = long.groupBy("column", "class", "x").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = running_totals(vc, "x", ["cnt"], by=["column", "class"], ranges=ranges)
+    return running_totals(vc, "x", ["cnt"], by=GROUP, ranges=ranges)
+
+
+def _quantiles_from_ranked(ranked: DataFrame, probs) -> DataFrame:
     first = F.col("cnt_cum") - F.col("cnt")      # 0-based rank of the first copy
     last = F.col("cnt_cum") - 1
     aggs = []
@@ -193,6 +194,14 @@ def quartiles(long: DataFrame, probs=(0.25, 0.5, 0.75), ranges: int | None = Non
         for i in range(len(probs))])
 
 
+def quartiles(long: DataFrame, probs=(0.25, 0.5, 0.75), ranges: int | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles per (column, class) without holding a group's
+    values in one task: distinct values with multiplicities get global ranks through
+    :func:`running_totals`, and each quantile reads the one or two values at rank
+    floor/ceil((n - 1) p)."""
+    return _quantiles_from_ranked(_ranked_values(long, ranges), probs)
+
+
 def box_stats(df: DataFrame, columns: list[str], by: str | None = None, whisker: float = WHISKER,
               approx: bool = False, accuracy: int = 10000, digits: int = MEASURE_DIGITS) -> DataFrame:
     """Box-plot statistics per (column, class).
@@ -200,37 +209,39 @@ def box_stats(df: DataFrame, columns: list[str], by: str | None = None, whisker:
     Quartiles by linear interpolation (exact by default; ``approx=True`` uses
     ``percentile_approx``). Whiskers reach the most extreme value inside
     [q1 - w*IQR, q3 + w*IQR] (never inside the box); values beyond them are outliers.
+    Two aggregations over the distinct values: quartiles, then - with the fences joined
+    back - whisker ends, extremes and the outlier count together.
     Output: column, class, n, q1, median, q3, iqr, whisker_lo, whisker_hi, n_outliers, min, max.
     """
     long = numeric_long(df, columns, by)
     if approx:
+        values = long.groupBy("column", "class", "x").agg(F.count(F.lit(1)).alias("cnt"))
         q = long.groupBy("column", "class").agg(
             F.count(F.lit(1)).alias("n"),
             F.percentile_approx("x", F.array(F.lit(.25), F.lit(.5), F.lit(.75)), accuracy).alias("q"))
         qs = q.select("column", "class", "n", *[F.col("q")[i].alias(f"q{i}") for i in range(3)])
     else:
-        qs = quartiles(long)
+        values = _ranked_values(long)            # checkpointed: reused by both aggregations
+        qs = _quantiles_from_ranked(values, (0.25, 0.5, 0.75))
     iqr = F.col("q2") - F.col("q0")
     qs = qs.withColumns({"iqr": iqr, "f_lo": F.col("q0") - whisker * iqr, "f_hi": F.col("q2") + whisker * iqr})
-    vc = long.groupBy("column", "class", "x").agg(F.count(F.lit(1)).alias("cnt"))
-    j = join_small(vc, qs.select("column", "class", "f_lo", "f_hi"), GROUP, "inner", null_safe=True)
-    ext = j.groupBy("column", "class").agg(
+    j = join_small(values.select("column", "class", "x", "cnt"), qs, GROUP, "inner", null_safe=True)
+    # A value below the lower whisker is exactly a value below the lower fence (the
+    # whisker is the smallest value at or above the fence, or q1 when none lies in
+    # [fence, q1]); likewise above.
+    res = j.groupBy("column", "class").agg(
+        *[F.first(c).alias(c) for c in ("n", "q0", "q1", "q2", "iqr")],
         F.min(F.when(F.col("x") >= F.col("f_lo"), F.col("x"))).alias("in_lo"),
         F.max(F.when(F.col("x") <= F.col("f_hi"), F.col("x"))).alias("in_hi"),
+        F.sum(F.when((F.col("x") < F.col("f_lo")) | (F.col("x") > F.col("f_hi")), F.col("cnt"))
+              .otherwise(0)).alias("n_outliers"),
         F.min("x").alias("min"), F.max("x").alias("max"))
-    res = join_null_safe(qs, ext, GROUP, "inner")
     wlo = F.least(F.coalesce("in_lo", "q0"), F.col("q0"))
     whi = F.greatest(F.coalesce("in_hi", "q2"), F.col("q2"))
-    res = res.withColumns({"whisker_lo": wlo, "whisker_hi": whi})
-    out_n = join_small(vc, res.select("column", "class", "whisker_lo", "whisker_hi"), GROUP, null_safe=True) \
-        .groupBy("column", "class").agg(F.sum(F.when((F.col("x") < F.col("whisker_lo"))
-                                                     | (F.col("x") > F.col("whisker_hi")), F.col("cnt"))
-                                              .otherwise(0)).alias("n_outliers"))
-    res = join_null_safe(res, out_n, GROUP, "inner")
-    r = lambda c: F.round(F.col(c), digits)
+    r = lambda c: F.round(c if not isinstance(c, str) else F.col(c), digits)
     return res.select("column", "class", F.col("n").cast("bigint").alias("n"),
                       r("q0").alias("q1"), r("q1").alias("median"), r("q2").alias("q3"), r("iqr").alias("iqr"),
-                      r("whisker_lo").alias("whisker_lo"), r("whisker_hi").alias("whisker_hi"),
+                      r(wlo).alias("whisker_lo"), r(whi).alias("whisker_hi"),
                       F.col("n_outliers").cast("bigint").alias("n_outliers"), r("min").alias("min"),
                       r("max").alias("max"))
 

@@ -53,7 +53,7 @@ def running_totals(df: DataFrame, order_col: str, value_cols: list[str], by: lis
         F.sum(f"_tot_{v}").over(whole).alias(f"{v}_total") for v in value_cols])
 
     # One offsets row per (range, group): at most ranges + groups rows.
-    joined = join_small(parted, offsets, [RANGE_ID, *by], bound_rows=n + 100_000)
+    joined = join_small(parted, offsets, [RANGE_ID, *by], bound_rows=n + 100_000, null_safe=True)
     within = (Window.partitionBy(RANGE_ID, *by).orderBy(key)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return joined.select(
