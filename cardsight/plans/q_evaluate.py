@@ -17,7 +17,6 @@ DEFAULT_CUTOFF = 0.5
 TEST_CUTOFF = 0.6
 
 # Second deterministic scorer for multi-model queries: night-time transactions get +0.5.
-_NIGHT = (F.hour("trans_ts") >= 22) | (F.hour("trans_ts") < 4)
 _NIGHT_SQL = "(hour(trans_ts) >= 22 OR hour(trans_ts) < 4)"
 
 
@@ -29,7 +28,8 @@ def scored(spark, sf_dir, cutoff: float = DEFAULT_CUTOFF):
 def two_models(spark, sf_dir):
     """Each transaction scored by two models, stacked in a ``model`` column."""
     txn = load_txn(spark, sf_dir)
-    night = ((F.when(_NIGHT, 500).otherwise(0) + F.floor(F.col("score_milli") / 2)) / F.lit(1000.0))
+    is_night = (F.hour("trans_ts") >= 22) | (F.hour("trans_ts") < 4)
+    night = ((F.when(is_night, 500).otherwise(0) + F.floor(F.col("score_milli") / 2)) / F.lit(1000.0))
     models = F.explode(F.array(
         F.struct(F.lit("amount").alias("model"), F.col("score").alias("s")),
         F.struct(F.lit("night").alias("model"), night.cast("double").alias("s"))))
