@@ -16,6 +16,7 @@ p AS (SELECT *, CAST(trunc(datediff('day', dob, DATE '{AS_OF}') / 365) AS INTEGE
 HIST_COLS = ["amt", "age"]
 HIST_BINS = 10
 KDE_COLS = ["amt", "age"]
+KDE_BINS = 512
 BOX_COLS = ["amt", "age", "city_pop"]
 SCATTER_COLS = ["amt", "age", "trans_hour"]
 SCATTER_BINS = 10
@@ -88,6 +89,33 @@ def q_kde(spark, sf_dir):
     return explore.kde(prepared_txn(spark, sf_dir), KDE_COLS, by="is_fraud")
 
 
+def _kde_binned_sql(cols, by, bins):
+    g = explore.KDE_GRID
+    return f"""{P}, {_long_sql(cols, by)},
+st AS (SELECT "column", class, count(*) AS n, stddev_samp(x) AS sd, min(x) AS mn, max(x) AS mx
+       FROM long GROUP BY ALL HAVING count(*) >= 2 AND stddev_samp(x) > 0),
+st3 AS (SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) * 1.0 AS bw FROM st),
+st4 AS (SELECT *, mn - 3.0 * bw AS g_lo, mx + 3.0 * bw AS g_hi, (mx - mn) / {bins} AS w FROM st3),
+pts AS (SELECT l."column", l.class,
+               s.mn + (least(CAST(floor((l.x - s.mn) / s.w) AS INTEGER), {bins - 1}) + 0.5) * s.w AS x, count(*) AS cnt
+        FROM long l JOIN st4 s ON l."column" = s."column" AND l.class = s.class GROUP BY ALL),
+grid AS (SELECT "column", class, CAST(unnest(range({g})) AS INTEGER) AS j FROM st4),
+terms AS (
+  SELECT s."column", s.class, g.j, s.n, s.bw, s.g_lo, s.g_hi,
+         p.cnt * exp(-0.5 * ((s.g_lo + g.j * ((s.g_hi - s.g_lo) / {g - 1})) - p.x) / s.bw
+                             * (((s.g_lo + g.j * ((s.g_hi - s.g_lo) / {g - 1})) - p.x) / s.bw)) AS t
+  FROM st4 s JOIN grid g ON s."column" = g."column" AND s.class = g.class
+             JOIN pts p ON s."column" = p."column" AND s.class = p.class)
+SELECT "column", class, j AS grid_index, round(g_lo + j * ((g_hi - g_lo) / {g - 1}), 6) AS x,
+       round(sum(t) / (n * bw * sqrt(2 * pi())), 9) AS density
+FROM terms GROUP BY "column", class, j, n, bw, g_lo, g_hi"""
+
+
+@query("kde_binned", _kde_binned_sql(KDE_COLS, "is_fraud", KDE_BINS))
+def q_kde_binned(spark, sf_dir):
+    return explore.kde(prepared_txn(spark, sf_dir), KDE_COLS, by="is_fraud", bins=KDE_BINS)
+
+
 @query("box_stats", f"""{P}, {_long_sql(BOX_COLS, 'is_fraud')},
 q AS (SELECT "column", class, count(*) AS n, quantile_cont(x, 0.25) AS q0, quantile_cont(x, 0.5) AS q1,
              quantile_cont(x, 0.75) AS q2 FROM long GROUP BY ALL),
