@@ -16,8 +16,19 @@ from .ordered import running_totals
 RATIO_DIGITS = 9
 
 
-def _safe_div(num: Column, den: Column, zero_value: float) -> Column:
-    return F.when(den == 0, F.lit(float(zero_value))).otherwise(num.cast("double") / den)
+def _zero(zero_value) -> Column:
+    return zero_value.cast("double") if isinstance(zero_value, Column) else F.lit(float(zero_value))
+
+
+def _safe_div(num: Column, den: Column, zero_value) -> Column:
+    """``num / den``, or ``zero_value`` (a number, or a Column of the group) when den = 0."""
+    return F.when(den == 0, _zero(zero_value)).otherwise(num.cast("double") / den)
+
+
+def zero_division_by_model(names_one: tuple = ("RandomForest",), column: str = "model") -> Column:
+    """Per-model zero-division value for grouped reports: 1 for the listed model names,
+    0 otherwise (the reference's rule for its random-forest report)."""
+    return F.when(F.col(column).isin(*names_one), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
 def confusion(df: DataFrame, label: str, prediction: str, by: list[str] | None = None,
@@ -56,11 +67,12 @@ def per_class(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def classification_report(df: DataFrame, label: str, prediction: str, by: list[str] | None = None,
-                          zero_division: float = 0.0, digits: int = RATIO_DIGITS) -> DataFrame:
+                          zero_division=0.0, digits: int = RATIO_DIGITS) -> DataFrame:
     """Per-class precision / recall / F1 / support, accuracy, macro and weighted means.
 
     Classes are the union of actual and predicted values. A ratio with a zero denominator
-    takes ``zero_division``. F1 = 2 tp / (support + predicted).
+    takes ``zero_division`` (a number, or a Column over the ``by`` columns such as
+    :func:`zero_division_by_model`). F1 = 2 tp / (support + predicted).
     Output rows: ``row`` = class value as text, 'accuracy', 'macro avg', 'weighted avg'.
     """
     by = list(by or [])

@@ -54,7 +54,8 @@ def q_model_compare(spark, sf_dir):
         "LogisticRegression": models.logistic(LABEL, maxIter=20),
     })
     preds = models.score_models(fitted, test, LABEL)
-    report = evaluate.classification_report(preds, LABEL, "prediction", by=["model"])
+    report = evaluate.classification_report(preds, LABEL, "prediction", by=["model"],
+                                            zero_division=evaluate.zero_division_by_model())
     auc = evaluate.roc_auc(preds, LABEL, "p1", by=["model"])
     hard = evaluate.balanced_accuracy(preds, LABEL, "prediction", by=["model"])
     long = report.select("model", F.concat_ws(":", F.lit("report"), "row").alias("metric"),

@@ -117,3 +117,14 @@ def test_empty_input(spark):
     assert len(sweep) == 36 and all(r.tp == 0 and r.fp == 0 and r.weighted_precision == 0.0 for r in sweep)
     auc = evaluate.roc_auc(empty, "y", "s").collect()                # global aggregate: one NULL row
     assert len(auc) == 1 and auc[0].auc is None and auc[0].positives in (None, 0)
+
+
+def test_zero_division_per_model(spark):
+    # class 1 occurs but is never predicted: its precision is 0/0
+    rows = [(m, y, 0.0) for m in ("RandomForest", "GBT") for y in (0, 1)]
+    df = spark.createDataFrame(rows, "model string, y int, p double")
+    out = {(r.model, r.row): r for r in evaluate.classification_report(
+        df, "y", "p", by=["model"], zero_division=evaluate.zero_division_by_model()).collect()}
+    assert out[("RandomForest", "1.0")].precision == 1.0
+    assert out[("GBT", "1.0")].precision == 0.0
+    assert out[("GBT", "1.0")].recall == 0.0 and out[("RandomForest", "1.0")].recall == 0.0
