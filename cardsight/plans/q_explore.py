@@ -37,6 +37,16 @@ def q_crosstab(spark, sf_dir):
     return explore.crosstab(prepared_txn(spark, sf_dir), "category", "gender")
 
 
+GENDERS = ["F", "M"]
+
+
+@query("crosstab_wide", f"""{P}
+SELECT category, {', '.join(f"count(*) FILTER (WHERE gender = '{g}') AS {g}" for g in GENDERS)}
+FROM p GROUP BY category""")
+def q_crosstab_wide(spark, sf_dir):
+    return explore.crosstab_wide(prepared_txn(spark, sf_dir), "category", "gender", GENDERS)
+
+
 @query("crosstab_pairs", f"""{P}
 {' UNION ALL '.join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, CAST({a} AS VARCHAR) AS value_a, CAST({b} AS VARCHAR) AS value_b, count(*) AS count FROM p GROUP BY ALL" for a, b in itertools.combinations(CROSSTAB_COLS, 2))}""")
 def q_crosstab_pairs(spark, sf_dir):
@@ -155,3 +165,15 @@ GROUP BY ALL"""
 @query("scatter_bins", _scatter_sql())
 def q_scatter_bins(spark, sf_dir):
     return explore.scatter_bins(prepared_txn(spark, sf_dir), SCATTER_COLS, by="is_fraud", bins=SCATTER_BINS)
+
+
+@query("histogram_auto")
+def q_histogram_auto(spark, sf_dir):
+    """Bin count per group from the Sturges / Freedman-Diaconis rule (quartiles approximate)."""
+    return explore.histogram(prepared_txn(spark, sf_dir), HIST_COLS, by="is_fraud", bins="auto")
+
+
+@query("box_stats_approx")
+def q_box_stats_approx(spark, sf_dir):
+    """Box statistics from ``percentile_approx`` sketches (bounded memory per group)."""
+    return explore.box_stats(prepared_txn(spark, sf_dir), BOX_COLS, by="is_fraud", approx=True)

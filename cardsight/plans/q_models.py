@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate, features, models, sampling, tune
 from ..session import scratch_path
+from ..sources import files
 from ..sources.models import load_model, save_model
+from ..streaming import scoring
 from .q_features import CATEGORICAL, NUMERIC, split_model_frame
 from .q_prepare import SAMPLE_FRACTIONS, SAMPLE_SEED
 from .registry import query
@@ -97,3 +99,19 @@ def q_evolve_params(spark, sf_dir):
                                      folds=2, seed=11)
     search.run(train)
     return search.trial_log(spark)
+
+
+@query("stream_score")
+def q_stream_score(spark, sf_dir):
+    """The test portion arrives as a file stream and is scored by the fitted pipeline
+    (Structured Streaming, available-now trigger); the sink's files are returned."""
+    train, test = train_test(spark, sf_dir)
+    model = models.fit_pipeline(train, stages() + [models.gbt(LABEL, **QUICK_GBT)])
+    landing = scratch_path(spark, "stream-in")
+    files.write_parquet(test, landing)
+    stream = scoring.read_stream(spark, landing, test.schema, max_files_per_trigger=4)
+    out = scratch_path(spark, "stream-out")
+    q = scoring.write_stream(scoring.score_stream(model, stream, threshold=0.6, keep=["txn_id", LABEL]), out,
+                             available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(out)
