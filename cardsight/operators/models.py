@@ -65,14 +65,45 @@ def score(model: PipelineModel, df: DataFrame, label: str, keep: list[str] | Non
     return out.select(*cols, F.col(label), F.col("prediction"), positive_probability().alias("p1"))
 
 
+def _shared_prefix(models: dict[str, PipelineModel]) -> list | None:
+    """The fitted feature stages, if every pipeline reuses the very same stage objects."""
+    pipes = list(models.values())
+    prefix = pipes[0].stages[:-1]
+    for p in pipes[1:]:
+        if len(p.stages) != len(prefix) + 1 or any(a is not b for a, b in zip(p.stages[:-1], prefix)):
+            return None
+    return prefix
+
+
 def score_models(models: dict[str, PipelineModel], df: DataFrame, label: str,
                  keep: list[str] | None = None) -> DataFrame:
-    """All models' predictions stacked with a ``model`` column, for grouped evaluation."""
-    frames = [score(m, df, label, keep, name) for name, m in models.items()]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    """All models' predictions stacked with a ``model`` column, for grouped evaluation.
+
+    When the pipelines share their fitted feature stages (as :func:`fit_models` builds
+    them), the input is scanned and featurised once and every classifier is applied to
+    the same rows with its own output columns; one ``explode`` then yields the long
+    form. Otherwise each pipeline scores separately and the results are unioned.
+    """
+    keep = keep or []
+    prefix = _shared_prefix(models) if len(models) > 1 else None
+    if prefix is None:
+        frames = [score(m, df, label, keep, name) for name, m in models.items()]
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out
+    out = PipelineModel(stages=list(prefix)).transform(df)
+    cells = []
+    for i, (name, pm) in enumerate(models.items()):
+        clf = pm.stages[-1]
+        clf = clf.copy({clf.predictionCol: f"_pred{i}", clf.probabilityCol: f"_prob{i}",
+                        clf.rawPredictionCol: f"_raw{i}"})
+        out = clf.transform(out)
+        cells.append(F.struct(F.lit(name).alias("model"), F.col(f"_pred{i}").alias("prediction"),
+                              positive_probability(f"_prob{i}").alias("p1")))
+    long = out.select(*[F.col(c) for c in keep], F.col(label), F.explode(F.array(*cells)).alias("_m"))
+    return long.select(*keep, F.col("_m.model").alias("model"), label, F.col("_m.prediction").alias("prediction"),
+                       F.col("_m.p1").alias("p1"))
 
 
 def slot_names(transformed: DataFrame, features: str = FEATURES) -> list[str]:

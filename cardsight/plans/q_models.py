@@ -55,7 +55,8 @@ def q_model_compare(spark, sf_dir):
         "RandomForest": models.random_forest(LABEL, numTrees=10, maxDepth=4),
         "LogisticRegression": models.logistic(LABEL, maxIter=20),
     })
-    preds = models.score_models(fitted, test, LABEL)
+    # narrow (model, label, prediction, p1) rows, read by three evaluations
+    preds = models.score_models(fitted, test, LABEL).persist()
     report = evaluate.classification_report(preds, LABEL, "prediction", by=["model"],
                                             zero_division=evaluate.zero_division_by_model())
     auc = evaluate.roc_auc(preds, LABEL, "p1", by=["model"])

@@ -100,3 +100,19 @@ def test_crosstab_pairs_counts(spark):
     assert sum(r["count"] for r in out) == 9       # 3 pairs x 3 rows
     wide = explore.crosstab_wide(df, "c1", "c2", ["x", "y"]).orderBy("c1").collect()
     assert [(r.c1, r.x, r.y) for r in wide] == [("a", 1, 1), ("b", 1, 0)]
+
+
+def test_score_models_single_pass_equals_separate(spark):
+    from cardsight.operators import models as M
+    import random
+    rng = random.Random(2)
+    rows = [(i, rng.choice("abc"), rng.random() * 10, int(rng.random() < 0.3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, c string, x double, y int")
+    fitted = M.fit_models(df, features.feature_stages(["c"], ["x"]),
+                          {"gbt": M.gbt("y", maxIter=3, maxDepth=2), "lr": M.logistic("y", maxIter=5)})
+    together = M.score_models(fitted, df, "y", keep=["id"])
+    separate = M.score(fitted["gbt"], df, "y", keep=["id"], name="gbt").unionByName(
+        M.score(fitted["lr"], df, "y", keep=["id"], name="lr"))
+    assert sorted(together.collect()) == sorted(separate.collect())
+    plan = together._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") + plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") <= 1
