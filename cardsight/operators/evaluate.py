@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import join_null_safe
 from .ordered import running_totals
 
 RATIO_DIGITS = 9
@@ -48,7 +49,7 @@ def confusion(df: DataFrame, label: str, prediction: str, by: list[str] | None =
     groups = counts.select(*by).distinct() if by else counts.sparkSession.range(1).select()
     grid = (groups.withColumn("actual", F.explode(lits))
             .withColumn("predicted", F.explode(lits)))
-    return (grid.join(counts, [*by, "actual", "predicted"], "left")
+    return (join_null_safe(grid, counts, [*by, "actual", "predicted"], "left")
             .withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("bigint")))
 
 
@@ -59,7 +60,7 @@ def per_class(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.sum("count").alias("support"),
         F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("count")).otherwise(0)).alias("tp"))
     pred = cells.groupBy(*by, F.col("predicted").alias("class")).agg(F.sum("count").alias("n_predicted"))
-    return (actual.join(pred, [*by, "class"], "full_outer")
+    return (join_null_safe(actual, pred, [*by, "class"], "full_outer")
             .select(*by, "class",
                     F.coalesce("tp", F.lit(0)).cast("bigint").alias("tp"),
                     F.coalesce("support", F.lit(0)).cast("bigint").alias("support"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import above
 from .evaluate import RATIO_DIGITS, classification_report
+from .joins import join_null_safe
 
 # The reference sweep, 36 cut-offs 0.1, 0.125, ..., 0.975.
 SWEEP_START = 0.1
@@ -56,7 +57,7 @@ def threshold_sweep(df: DataFrame, label: str, score: str, by: list[str] | None
     # Dense grid of cut-offs per group: i = 0..count-1, as an array exploded per group.
     groups = counts.select(*by).distinct() if by else counts.sparkSession.range(1).select()
     grid = groups.select(*by, F.explode(F.sequence(F.lit(0), F.lit(count))).alias("k"))
-    dense = grid.join(counts, [*by, "k"], "left").fillna(0, ["pos", "neg"])
+    dense = join_null_safe(grid, counts, [*by, "k"], "left").fillna(0, ["pos", "neg"])
     # Predicted positive at t_i: rows with k > i, i.e. suffix sums from k = i + 1.
     suffix = Window.partitionBy(*by).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*by)

@@ -128,3 +128,15 @@ def test_zero_division_per_model(spark):
     assert out[("RandomForest", "1.0")].precision == 1.0
     assert out[("GBT", "1.0")].precision == 0.0
     assert out[("GBT", "1.0")].recall == 0.0 and out[("RandomForest", "1.0")].recall == 0.0
+
+
+def test_null_group_is_kept(spark):
+    df = spark.createDataFrame([(None, 1, 0.9), (None, 0, 0.2), ("a", 1, 0.1)], "g string, y int, s double")
+    df = df.withColumn("p", (F.col("s") > 0.5).cast("double"))
+    rep = evaluate.classification_report(df, "y", "p", by=["g"]).where(F.col("g").isNull()).collect()
+    assert {r.row for r in rep} == {"0.0", "1.0", "accuracy", "macro avg", "weighted avg"}
+    assert [r for r in rep if r.row == "accuracy"][0].f1_score == 1.0
+    sweep = threshold.threshold_sweep(df, "y", "s", by=["g"]).where(F.col("g").isNull()).collect()
+    assert len(sweep) == 36 and max(r.tp for r in sweep) == 1
+    cells = evaluate.confusion(df, "y", "p", by=["g"], classes=[0, 1]).where(F.col("g").isNull()).collect()
+    assert sum(c["count"] for c in cells) == 2
