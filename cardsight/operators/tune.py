@@ -13,6 +13,7 @@ import json
 import math
 import random
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
@@ -26,12 +27,18 @@ from .sampling import assign_folds
 
 
 def cv_predictions(train: DataFrame, pipeline: Pipeline, label: str, k: int = 3, seed: int = 0,
-                   key: str = "txn_id", prediction: str = "prediction") -> DataFrame:
-    """Held-out predictions of k-fold CV: (fold, label, prediction). One fit per fold."""
+                   key: str = "txn_id", prediction: str = "prediction", parallelism: int = 1) -> DataFrame:
+    """Held-out predictions of k-fold CV: (fold, label, prediction). One fit per fold;
+    with ``parallelism`` > 1 the fold fits run as concurrent Spark jobs."""
     folded = assign_folds(train, k, seed, key, column="_fold").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fit_fold(i):
+        return pipeline.copy().fit(folded.where(F.col("_fold") != i))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        fitted = list(pool.map(fit_fold, range(k)))
     frames = []
-    for i in range(k):
-        model = pipeline.fit(folded.where(F.col("_fold") != i))
+    for i, model in enumerate(fitted):
         held = model.transform(folded.where(F.col("_fold") == i))
         frames.append(held.select(F.lit(i).alias("fold"), F.col(label), F.col(prediction)))
     out = frames[0]
@@ -41,13 +48,13 @@ def cv_predictions(train: DataFrame, pipeline: Pipeline, label: str, k: int = 3,
 
 
 def cross_validate(train: DataFrame, pipeline: Pipeline, label: str, k: int = 3, seed: int = 0,
-                   key: str = "txn_id", metric_label: float = 0.0) -> DataFrame:
+                   key: str = "txn_id", metric_label: float = 0.0, parallelism: int = 1) -> DataFrame:
     """k-fold CV for all seven multiclass metrics at once (K4, K5).
 
     Output (metric, mean, std, folds): the mean over folds of each held-out metric,
     not the refit model's score on its own training data.
     """
-    preds = cv_predictions(train, pipeline, label, k, seed, key)
+    preds = cv_predictions(train, pipeline, label, k, seed, key, parallelism=parallelism)
     per_fold = multi_metrics(preds, label, "prediction", by=["fold"], metric_label=metric_label)
     return per_fold.groupBy("metric").agg(
         F.round(F.avg("value"), 9).alias("mean"), F.round(F.stddev_samp("value"), 9).alias("std"),
@@ -73,14 +80,16 @@ class EvolutionarySearch:
     ``mutations`` re-draws, each with probability ``mutation_prob``; the population size
     stays ``population``. Stops when the best score reaches ``score_limit``, after
     ``generations`` generations, or when ``time_limit_min`` has passed (checked between
-    generations). Each trial fits a copy of the last stage with its own parameters;
-    repeated parameter sets are scored once. Seeded.
+    generations). Each trial fits a copy of the last stage with its own parameters, so
+    with ``parallelism`` > 1 the new members of a generation are scored concurrently
+    (each as its own Spark jobs); repeated parameter sets are scored once. Seeded: all
+    random draws happen on the driver, in order, outside the scoring.
     """
 
     def __init__(self, pipeline: Pipeline, ranges: dict[str, list], label: str, metric: str = "f1",
                  population: int = 6, generations: int | None = None, score_limit: float = 1.0,
                  time_limit_min: float = 30.0, mutation_prob: float = 0.1, mutations: int = 1,
-                 folds: int = 5, seed: int = 0, key: str = "txn_id"):
+                 folds: int = 5, seed: int = 0, key: str = "txn_id", parallelism: int = 1):
         if population < 1:
             raise ValueError("population must be >= 1")
         if metric not in MULTI_METRICS:
@@ -89,7 +98,7 @@ class EvolutionarySearch:
         self.population, self.generations = population, generations
         self.score_limit, self.time_limit = score_limit, time_limit_min * 60.0
         self.mutation_prob, self.mutations, self.folds = mutation_prob, mutations, folds
-        self.seed, self.key = seed, key
+        self.seed, self.key, self.parallelism = seed, key, max(1, parallelism)
         self.rng = random.Random(seed)
         self.memo: dict[tuple, float] = {}
         self.trials: list[tuple] = []
@@ -137,6 +146,10 @@ class EvolutionarySearch:
         best: tuple[dict, float] | None = None
         gen = 0
         while True:
+            fresh = list({tuple(sorted(c.items())): c for c in pop
+                          if tuple(sorted(c.items())) not in self.memo}.values())
+            with ThreadPoolExecutor(max_workers=self.parallelism) as pool:
+                list(pool.map(lambda c: self.fitness(train, c), fresh))
             scored = [(c, self.fitness(train, c)) for c in pop]
             for t, (c, s) in enumerate(scored):
                 self.trials.append((gen, t, json.dumps(c, sort_keys=True), s))

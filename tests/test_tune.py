@@ -69,3 +69,12 @@ def test_failing_parameters_rank_last(spark, data):
     _, score = s.run(data)
     assert score == float("-inf")
     assert s.trial_log(spark).where(F.col("score").isNull()).count() == 2
+
+
+def test_parallel_search_equals_sequential(spark, data):
+    out = []
+    for par in (1, 3):
+        s = tune.EvolutionarySearch(pipe(), RANGES, "y", population=3, generations=2, folds=2, seed=5,
+                                    parallelism=par)
+        out.append(s.run(data))
+    assert out[0] == out[1]
