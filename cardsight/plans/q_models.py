@@ -114,5 +114,5 @@ def q_stream_score(spark, sf_dir):
     out = scratch_path(spark, "stream-out")
     q = scoring.write_stream(scoring.score_stream(model, stream, threshold=0.6, keep=["txn_id", LABEL]), out,
                              available_now=True)
-    q.awaitTermination()
+    scoring.run_to_completion(q)
     return spark.read.parquet(out)

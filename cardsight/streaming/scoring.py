@@ -53,3 +53,15 @@ def write_stream(scored: DataFrame, path: str, checkpoint: str | None = None, fm
     elif processing_time:
         w = w.trigger(processingTime=processing_time)
     return w.start(os.fspath(path))
+
+
+def run_to_completion(query: StreamingQuery, timeout_sec: float = 1800.0) -> None:
+    """Wait for an available-now query; stop it and raise if it does not finish in time
+    or failed."""
+    done = query.awaitTermination(timeout_sec)
+    if not done:
+        query.stop()
+        raise TimeoutError(f"streaming query {query.name or query.id} did not finish in {timeout_sec}s")
+    err = query.exception()
+    if err is not None:
+        raise RuntimeError(f"streaming query failed: {err}")

@@ -91,7 +91,8 @@ def main(argv):
     from pyspark.sql import SparkSession
     import __spark_entry__ as E
     spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
-             .config("spark.sql.shuffle.partitions", "8").config("spark.ui.showConsoleProgress", "false").getOrCreate())
+             .config("spark.sql.shuffle.partitions", os.environ.get("CHECK_PARTITIONS", "8"))
+             .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     qs, orc = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
