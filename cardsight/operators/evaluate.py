@@ -8,7 +8,7 @@ are evaluated in the same job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import join_null_safe
@@ -54,17 +54,22 @@ def confusion(df: DataFrame, label: str, prediction: str, by: list[str] | None =
 
 
 def per_class(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """From confusion cells: per (group, class) tp, support (actual count), predicted count."""
+    """From confusion cells: per (group, class) tp, support (actual count), predicted count.
+
+    Each cell contributes to its actual class and to its predicted class; one
+    ``explode`` + one aggregation, no join.
+    """
     by = list(by or [])
-    actual = cells.groupBy(*by, F.col("actual").alias("class")).agg(
-        F.sum("count").alias("support"),
-        F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("count")).otherwise(0)).alias("tp"))
-    pred = cells.groupBy(*by, F.col("predicted").alias("class")).agg(F.sum("count").alias("n_predicted"))
-    return (join_null_safe(actual, pred, [*by, "class"], "full_outer")
-            .select(*by, "class",
-                    F.coalesce("tp", F.lit(0)).cast("bigint").alias("tp"),
-                    F.coalesce("support", F.lit(0)).cast("bigint").alias("support"),
-                    F.coalesce("n_predicted", F.lit(0)).cast("bigint").alias("n_predicted")))
+    zero = F.lit(0).cast("bigint")
+    cnt = F.col("count").cast("bigint")
+    as_actual = F.struct(F.col("actual").alias("class"), cnt.alias("support"),
+                         F.when(F.col("actual") == F.col("predicted"), cnt).otherwise(zero).alias("tp"),
+                         zero.alias("n_predicted"))
+    as_predicted = F.struct(F.col("predicted").alias("class"), zero.alias("support"), zero.alias("tp"),
+                            cnt.alias("n_predicted"))
+    parts = cells.select(*by, F.explode(F.array(as_actual, as_predicted)).alias("c")).select(*by, "c.*")
+    return parts.groupBy(*by, "class").agg(*[F.sum(c).cast("bigint").alias(c)
+                                              for c in ("tp", "support", "n_predicted")])
 
 
 def classification_report(df: DataFrame, label: str, prediction: str, by: list[str] | None = None,
@@ -75,37 +80,40 @@ def classification_report(df: DataFrame, label: str, prediction: str, by: list[s
     takes ``zero_division`` (a number, or a Column over the ``by`` columns such as
     :func:`zero_division_by_model`). F1 = 2 tp / (support + predicted).
     Output rows: ``row`` = class value as text, 'accuracy', 'macro avg', 'weighted avg'.
+    One scan: confusion cells -> per-class sums -> group totals by a window over the
+    per-class rows (a handful per group) -> all report rows from one ``explode``.
     """
     by = list(by or [])
     pc = per_class(confusion(df, label, prediction, by), by)
-    pc = pc.select(
+    m = pc.select(
         *by, "class", "support", "tp",
         _safe_div(F.col("tp"), F.col("n_predicted"), zero_division).alias("precision"),
         _safe_div(F.col("tp"), F.col("support"), zero_division).alias("recall"),
         _safe_div(2 * F.col("tp"), F.col("support") + F.col("n_predicted"), zero_division).alias("f1_score"))
-    classes = pc.select(
-        *by, F.col("class").cast("string").alias("row"), "precision", "recall", "f1_score",
-        F.col("support").cast("bigint").alias("support"))
-    totals = pc.groupBy(*by).agg(
-        F.sum("support").alias("n"), F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("k"),
-        F.sum("precision").alias("sp"), F.sum("recall").alias("sr"), F.sum("f1_score").alias("sf"),
-        F.sum(F.col("precision") * F.col("support")).alias("wp"),
-        F.sum(F.col("recall") * F.col("support")).alias("wr"),
-        F.sum(F.col("f1_score") * F.col("support")).alias("wf"))
+    g = Window.partitionBy(*by)
+    m = m.withColumns({
+        "n": F.sum("support").over(g), "tp_all": F.sum("tp").over(g), "k": F.count(F.lit(1)).over(g),
+        "sp": F.sum("precision").over(g), "sr": F.sum("recall").over(g), "sf": F.sum("f1_score").over(g),
+        "wp": F.sum(F.col("precision") * F.col("support")).over(g),
+        "wr": F.sum(F.col("recall") * F.col("support")).over(g),
+        "wf": F.sum(F.col("f1_score") * F.col("support")).over(g),
+        "_first": F.row_number().over(g.orderBy(F.col("class").asc_nulls_first())) == 1})
     n = F.col("n")
-    accuracy = totals.select(*by, F.lit("accuracy").alias("row"), F.lit(None).cast("double").alias("precision"),
-                             F.lit(None).cast("double").alias("recall"),
-                             _safe_div(F.col("tp"), n, zero_division).alias("f1_score"),
-                             n.cast("bigint").alias("support"))
-    macro = totals.select(*by, F.lit("macro avg").alias("row"), (F.col("sp") / F.col("k")).alias("precision"),
-                          (F.col("sr") / F.col("k")).alias("recall"), (F.col("sf") / F.col("k")).alias("f1_score"),
-                          n.cast("bigint").alias("support"))
-    weighted = totals.select(*by, F.lit("weighted avg").alias("row"),
-                             _safe_div(F.col("wp"), n, zero_division).alias("precision"),
-                             _safe_div(F.col("wr"), n, zero_division).alias("recall"),
-                             _safe_div(F.col("wf"), n, zero_division).alias("f1_score"),
-                             n.cast("bigint").alias("support"))
-    out = classes.unionByName(accuracy).unionByName(macro).unionByName(weighted)
+    none = F.lit(None).cast("double")
+
+    def row(name, p, r, f, support):
+        return F.struct(name.alias("row"), p.cast("double").alias("precision"), r.cast("double").alias("recall"),
+                        f.cast("double").alias("f1_score"), support.cast("bigint").alias("support"))
+
+    first = F.col("_first")
+    rows = F.array(
+        row(F.col("class").cast("string"), F.col("precision"), F.col("recall"), F.col("f1_score"), F.col("support")),
+        F.when(first, row(F.lit("accuracy"), none, none, _safe_div(F.col("tp_all"), n, zero_division), n)),
+        F.when(first, row(F.lit("macro avg"), F.col("sp") / F.col("k"), F.col("sr") / F.col("k"),
+                          F.col("sf") / F.col("k"), n)),
+        F.when(first, row(F.lit("weighted avg"), _safe_div(F.col("wp"), n, zero_division),
+                          _safe_div(F.col("wr"), n, zero_division), _safe_div(F.col("wf"), n, zero_division), n)))
+    out = m.select(*by, F.explode(rows).alias("r")).where(F.col("r").isNotNull()).select(*by, "r.*")
     return out.select(*by, "row", *[F.round(c, digits).alias(c) for c in ("precision", "recall", "f1_score")],
                       "support")
 
