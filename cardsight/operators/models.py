@@ -7,7 +7,7 @@ feature-name list of the assembler (model metadata, one entry per vector slot).
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -34,7 +34,14 @@ def logistic(label: str, features: str = FEATURES, **params) -> LogisticRegressi
 
 
 def fit_pipeline(train: DataFrame, stages: list) -> PipelineModel:
-    """Ordered stages, fit then return the fitted pipeline."""
+    """Ordered stages, fit then return the fitted pipeline.
+
+    When the last stage is an estimator (a learner making several passes), the
+    featurised training set is persisted once for it instead of being recomputed from
+    the source on every pass.
+    """
+    if stages and isinstance(stages[-1], Estimator):
+        return fit_models(train, stages[:-1], {"_": stages[-1]})["_"]
     return Pipeline(stages=stages).fit(train)
 
 
