@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 # numbers: stats per group, offsets per range, thresholds).
 DEFAULT_BOUND_ROWS = 1_000_000
 
+# Small tables persisted by join_small; released by release_small_tables().
+_PERSISTED: list[DataFrame] = []
+
+
+def release_small_tables() -> int:
+    """Unpersist the small tables cached by :func:`join_small` so far. Safe at any time:
+    a released table is recomputed from its lineage if still referenced."""
+    n = len(_PERSISTED)
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()
+    return n
+
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL matches NULL (a NULL group is still a group).
@@ -34,6 +46,7 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     shuffle join and AQE picks the strategy from runtime sizes.
     """
     small = small.persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(small)
     n = small.count()
     side = F.broadcast(small) if n <= bound_rows else small
     if null_safe:
