@@ -56,3 +56,16 @@ def test_prepare_model_threshold_stream(spark, tmp_path):
     b = batch.select("txn_id", F.col("p1").alias("p1_batch"))
     diff = scored.join(b, "txn_id").where(F.abs(F.col("p1") - F.col("p1_batch")) > 1e-12).count()
     assert diff == 0
+
+
+def test_preparation_flow_csv_partitioned(spark, tmp_path):
+    raw = workflows.raw_from_events(table(spark, SF_SMALL, "events"))
+    tr, te = str(tmp_path / "tr"), str(tmp_path / "te")
+    files.write_csv(raw.where("portion = 'train'").drop("portion"), tr)
+    files.write_csv(raw.where("portion = 'test'").drop("portion"), te)
+    out = str(tmp_path / "prep_csv")
+    workflows.preparation_flow(spark, tr, te, out, as_of="2024-02-01", fmt="csv")
+    assert {"portion=test", "portion=train"} <= set(os.listdir(out))
+    back = workflows.read_prepared(spark, out, fmt="csv")
+    assert back.count() == raw.count()
+    assert dict(back.dtypes)["age"] == "int" and dict(back.dtypes)["distance_km"] == "double"

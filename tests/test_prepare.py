@@ -130,3 +130,14 @@ def test_profile_schema_roles(spark):
     roles = {r.name: r.role for r in files.profile_schema(df).collect()}
     assert roles == {"cat": "categorical", "num": "numeric", "is_fraud": "label"}
     assert files.feature_roles(df) == (["cat"], ["num"])
+
+
+def test_csv_infer_schema(spark, tmp_path):
+    p = tmp_path / "in.csv"
+    p.write_text("a,b,c,d\n1,2.5,x,2024-01-02 03:04:05\n2,3.5,y,2024-01-03 00:00:00\n")
+    df = files.read_csv(spark, str(p), infer=True)
+    types = dict(df.dtypes)
+    assert types["a"] == "int" and types["b"] == "double" and types["c"] == "string"
+    assert df.count() == 2
+    typed = files.read_csv(spark, str(p), schema=None)          # no schema, no inference: strings
+    assert all(t == "string" for _, t in typed.dtypes)
