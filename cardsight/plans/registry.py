@@ -38,4 +38,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import q_prepare, q_evaluate, q_explore, q_features, q_models  # noqa: F401
+    from . import q_prepare, q_evaluate, q_explore, q_features, q_models, q_tables  # noqa: F401
