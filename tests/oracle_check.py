@@ -92,6 +92,7 @@ def main(argv):
     import __spark_entry__ as E
     spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
              .config("spark.sql.shuffle.partitions", os.environ.get("CHECK_PARTITIONS", "8"))
+             .config("spark.sql.adaptive.enabled", os.environ.get("CHECK_AQE", "true"))
              .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     qs, orc = E.queries(), E.oracle_sql()
