@@ -37,7 +37,7 @@ def confusion(df: DataFrame, label: str, prediction: str, by: list[str] | None =
     """Counts per (actual, predicted).
 
     With ``classes`` the table is dense: every (actual, predicted) pair of the list is
-    present per group, absent cells as 0.
+    present per group, absent cells as 0; observed cells outside the list are kept.
     """
     by = list(by or [])
     counts = (df.groupBy(*by, F.col(label).cast("double").alias("actual"),
@@ -49,7 +49,7 @@ def confusion(df: DataFrame, label: str, prediction: str, by: list[str] | None =
     groups = counts.select(*by).distinct() if by else counts.sparkSession.range(1).select()
     grid = (groups.withColumn("actual", F.explode(lits))
             .withColumn("predicted", F.explode(lits)))
-    return (join_null_safe(grid, counts, [*by, "actual", "predicted"], "left")
+    return (join_null_safe(grid, counts, [*by, "actual", "predicted"], "full_outer")
             .withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("bigint")))
 
 

@@ -140,3 +140,9 @@ def test_null_group_is_kept(spark):
     assert len(sweep) == 36 and max(r.tp for r in sweep) == 1
     cells = evaluate.confusion(df, "y", "p", by=["g"], classes=[0, 1]).where(F.col("g").isNull()).collect()
     assert sum(c["count"] for c in cells) == 2
+
+
+def test_confusion_keeps_cells_outside_class_list(spark):
+    df = spark.createDataFrame([(0, 0.0), (2, 1.0)], "y int, p double")
+    cells = {(r.actual, r.predicted): r["count"] for r in evaluate.confusion(df, "y", "p", classes=[0, 1]).collect()}
+    assert cells[(2.0, 1.0)] == 1 and cells[(0.0, 0.0)] == 1 and len(cells) == 5
