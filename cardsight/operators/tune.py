@@ -61,6 +61,14 @@ def cross_validate(train: DataFrame, pipeline: Pipeline, label: str, k: int = 3,
         F.count(F.lit(1)).alias("folds"))
 
 
+def refit_metrics(train: DataFrame, pipeline: Pipeline, label: str, metric_label: float = 0.0) -> DataFrame:
+    """All seven metrics of the pipeline refitted on ``train`` and scored on ``train``
+    itself (the optimistic figure the refit best model reports): one fit, one aggregate,
+    whatever the number of metrics. Output (metric, value)."""
+    model = pipeline.fit(train)
+    return multi_metrics(model.transform(train), label, "prediction", metric_label=metric_label)
+
+
 def cross_validator_native(pipeline: Pipeline, train: DataFrame, label: str, metric: str = "f1",
                            k: int = 3, seed: int = 0, parallelism: int = 1) -> float:
     """Spark's ``CrossValidator`` with an empty grid (one parameter map): mean held-out

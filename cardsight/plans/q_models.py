@@ -88,6 +88,13 @@ def q_cv_metrics(spark, sf_dir):
     return tune.cross_validate(train, pipe, LABEL, k=3, seed=7)
 
 
+@query("refit_metrics")
+def q_refit_metrics(spark, sf_dir):
+    train, _ = train_test(spark, sf_dir)
+    pipe = Pipeline(stages=stages() + [models.gbt(LABEL, **QUICK_GBT)])
+    return tune.refit_metrics(train, pipe, LABEL)
+
+
 # A small search space with the reference's parameter names.
 SEARCH_RANGES = {"maxDepth": [2, 3], "stepSize": [0.05, 0.1], "subsamplingRate": [0.7, 1.0]}
 

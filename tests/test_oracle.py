@@ -21,7 +21,7 @@ def test_every_query_is_registered_with_sql_or_known_rows_only():
     assert set(ORACLE) <= set(QUERIES)
     assert rows_only == {"strat_sample_native", "fit_score", "feature_importance", "model_compare",
                          "model_roundtrip", "cv_metrics", "evolve_params", "histogram_auto",
-                         "box_stats_approx", "stream_score"}
+                         "box_stats_approx", "stream_score", "refit_metrics"}
 
 
 def test_entry_smoke(spark):

@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 MODEL_QUERIES = {"fit_score", "feature_importance", "model_compare", "model_roundtrip", "cv_metrics",
-                 "evolve_params", "stream_score"}
+                 "evolve_params", "stream_score", "refit_metrics"}
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "FlatMapGroupsInPandas", "MapInPandas"]
 

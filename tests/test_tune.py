@@ -78,3 +78,8 @@ def test_parallel_search_equals_sequential(spark, data):
                                     parallelism=par)
         out.append(s.run(data))
     assert out[0] == out[1]
+
+
+def test_refit_metrics_on_training_data(spark, data):
+    out = {r.metric: r.value for r in tune.refit_metrics(data, pipe(), "y").collect()}
+    assert set(out) == set(tune.MULTI_METRICS) and out["accuracy"] > 0.8
