@@ -138,24 +138,33 @@ def balanced_accuracy(df: DataFrame, label: str, prediction: str, by: list[str]
 
 
 def score_counts(df: DataFrame, label: str, score: str, by: list[str] | None = None,
-                 positive: float = 1.0) -> DataFrame:
-    """Positives and negatives per distinct score (map-side combined)."""
+                 positive: float = 1.0, bins: int | None = None) -> DataFrame:
+    """Positives and negatives per distinct score (map-side combined).
+
+    ``bins`` (for scores in [0, 1]) first snaps each score down to a grid of ``bins``
+    steps, so at most ``bins + 1`` rows per group are shuffled whatever the data size
+    (an approximation like Spark's ``numBins``); ``None`` keeps every distinct score.
+    """
     by = list(by or [])
     y = F.col(label).cast("double") == F.lit(positive)
+    s = F.col(score).cast("double")
+    if bins:
+        s = F.floor(s * F.lit(int(bins))) / F.lit(float(bins))
     return (df.where(F.col(score).isNotNull())
-            .groupBy(*by, F.col(score).cast("double").alias("score"))
+            .groupBy(*by, s.alias("score"))
             .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
 
 
 def roc_curve(df: DataFrame, label: str, score: str, by: list[str] | None = None,
-              positive: float = 1.0, ranges: int | None = None, digits: int = RATIO_DIGITS) -> DataFrame:
+              positive: float = 1.0, ranges: int | None = None, digits: int = RATIO_DIGITS,
+              bins: int | None = None) -> DataFrame:
     """ROC points, one per distinct score, thresholds descending.
 
     tp / fp = positives / negatives with score >= threshold; tpr = tp / P, fpr = fp / N.
     Cumulative counts use :func:`running_totals`, so no task sees more than one range.
     """
     by = list(by or [])
-    counts = score_counts(df, label, score, by, positive)
+    counts = score_counts(df, label, score, by, positive, bins)
     out = (running_totals(counts, "score", ["pos", "neg"], by=by, descending=True, ranges=ranges)
            .withColumnsRenamed({"pos_total": "P", "neg_total": "N"}))
     return out.select(
@@ -166,14 +175,15 @@ def roc_curve(df: DataFrame, label: str, score: str, by: list[str] | None = None
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None,
-            positive: float = 1.0, ranges: int | None = None, digits: int = RATIO_DIGITS) -> DataFrame:
+            positive: float = 1.0, ranges: int | None = None, digits: int = RATIO_DIGITS,
+            bins: int | None = None) -> DataFrame:
     """Area under the ROC curve of a score (I4), ties counted one half.
 
     AUC = sum over distinct scores s of neg(s) * (pos(score > s) + pos(s) / 2) / (P * N),
     the trapezoid area of the full ROC curve. The numerator is kept exact as an integer.
     """
     by = list(by or [])
-    counts = score_counts(df, label, score, by, positive)
+    counts = score_counts(df, label, score, by, positive, bins)
     cum = running_totals(counts, "score", ["pos"], by=by, descending=True, ranges=ranges)
     # 2 * neg * (pos above s) + neg * pos(s) = neg * (2 * pos_cum - pos)
     dec = "decimal(38,0)"

@@ -146,3 +146,14 @@ def test_confusion_keeps_cells_outside_class_list(spark):
     df = spark.createDataFrame([(0, 0.0), (2, 1.0)], "y int, p double")
     cells = {(r.actual, r.predicted): r["count"] for r in evaluate.confusion(df, "y", "p", classes=[0, 1]).collect()}
     assert cells[(2.0, 1.0)] == 1 and cells[(0.0, 0.0)] == 1 and len(cells) == 5
+
+
+def test_binned_auc_close_to_exact(spark):
+    rng = random.Random(11)
+    rows = [(int(rng.random() < 0.2),) for _ in range(3000)]
+    rows = [(y, min(1.0, max(0.0, rng.gauss(0.6 if y else 0.4, 0.2)))) for (y,) in rows]
+    df = spark.createDataFrame(rows, "y int, s double")
+    exact = evaluate.roc_auc(df, "y", "s").first().auc
+    binned = evaluate.roc_auc(df, "y", "s", bins=1000).first().auc
+    assert binned == pytest.approx(exact, abs=1e-3)
+    assert evaluate.roc_curve(df, "y", "s", bins=100).count() <= 101
