@@ -34,7 +34,10 @@ def cutoffs_below(score: Column, start: float, step: float, count: int) -> Colum
     guess = F.least(F.greatest(F.ceil((score - F.lit(start)) / F.lit(step)), F.lit(0)), F.lit(count)).cast("int")
     too_high = (guess > 0) & ~(score > threshold_value(guess - 1, start, step))
     too_low = (guess < count) & (score > threshold_value(guess, start, step))
-    return (F.when(too_high, guess - 1).when(too_low, guess + 1).otherwise(guess)).cast("int")
+    # NaN compares greater than every number in Spark, so it is above every cut-off
+    # (ceil(NaN) as a long would otherwise put it in bucket 0 or 1).
+    return (F.when(F.isnan(score), F.lit(count)).when(too_high, guess - 1).when(too_low, guess + 1)
+            .otherwise(guess)).cast("int")
 
 
 def threshold_sweep(df: DataFrame, label: str, score: str, by: list[str] | None = None,
