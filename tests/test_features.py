@@ -116,3 +116,9 @@ def test_score_models_single_pass_equals_separate(spark):
     assert sorted(together.collect()) == sorted(separate.collect())
     plan = together._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") + plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") <= 1
+
+
+def test_log_transformer_aliases(spark):
+    df = spark.createDataFrame([(math.e,)], "x double")
+    lt = features.LogTransformer(input_cols=["x"], output_cols=["lx"])
+    assert lt.get_output_cols() == ["lx"] and lt.transform(df).first().lx == pytest.approx(1.0)
