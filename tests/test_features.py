@@ -47,6 +47,25 @@ def test_unseen_category_is_all_zeros(spark):
     assert [r.slot for r in out] == [None, None, 1]
 
 
+def test_one_hot_slots_without_metadata_match(spark):
+    # metadata path (index + encoder width) and dense fallback agree, including unseen and NULL
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql import types as T
+    train = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0), ("c", 1.0)], "c string, x double")
+    test = spark.createDataFrame([("z", 1.0), (None, 1.0), ("b", 1.0), ("a", 1.0), ("c", 1.0)],
+                                 "c string, x double").withColumn("k", F.monotonically_increasing_id())
+    m = Pipeline(stages=features.feature_stages(["c"], ["x"], use_pairwise=False)).fit(train)
+    out = m.transform(test).cache()
+    fast = features.ohe_slots(out, {"c": "c_ohe"}, "k").orderBy("k").collect()
+    plain = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", VectorUDT()),
+                          T.StructField("f", VectorUDT())])
+    bare = spark.createDataFrame(out.select("k", "c_ohe", features.FEATURES).rdd, plain)
+    assert "ml_attr" not in bare.schema["v"].metadata
+    slow = features.ohe_slots(bare, {"c": "v"}, "k").orderBy("k").collect()
+    assert [r.slot for r in fast] == [r.slot for r in slow] == [None, None, 1, 0, 2]
+    assert features.vector_width(out).collect() == features.vector_width(bare, "f").collect()
+
+
 def test_invalid_rows_counts(spark):
     df = spark.createDataFrame([(1.0, 1), (float("nan"), 2), (None, None), (0.0, 3)], "a double, b int")
     df = features.LogTransformer(inputCols=["a"]).transform(df)
