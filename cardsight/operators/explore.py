@@ -76,27 +76,32 @@ def crosstab_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
 def _sturges_fd_bins(n: Column, lo: Column, hi: Column, q1: Column, q3: Column) -> Column:
     """Number of bins from the smaller width of the Sturges and Freedman-Diaconis rules."""
     rng = hi - lo
-    sturges = rng / (F.log2(n) + 1)
+    sturges = rng / (F.log(n) / F.log(F.lit(2.0)) + 1)
     fd = F.lit(2.0) * (q3 - q1) * F.pow(n, F.lit(-1.0 / 3.0))
     width = F.when(fd > 0, F.least(fd, sturges)).otherwise(sturges)
     return F.when(rng > 0, F.ceil(rng / width)).otherwise(F.lit(1)).cast("int")
 
 
 def histogram(df: DataFrame, columns: list[str], by: str | None = None, bins: int | str = 10,
-              digits: int = MEASURE_DIGITS) -> DataFrame:
+              digits: int = MEASURE_DIGITS, approx_quartiles: bool = False) -> DataFrame:
     """Equal-width histogram per column, each class binned separately.
 
     Edges span [min, max] of the (column, class) group; the last bin is closed on the
     right; a constant group gets the range [v - 0.5, v + 0.5]. ``bins='auto'`` picks the
-    count per group from Sturges / Freedman-Diaconis (quartiles from ``percentile_approx``).
+    count per group from the smaller width of the Sturges and Freedman-Diaconis rules; its
+    quartiles are exact (linear interpolation, via :func:`quartiles`) or, with
+    ``approx_quartiles``, from ``percentile_approx`` in the same aggregation.
     Empty bins are present with count 0.
     Output: column, class, bin, lo, hi, count.
     """
     long = numeric_long(df, columns, by)
     aggs = [F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx")]
-    if bins == "auto":
+    if bins == "auto" and approx_quartiles:
         aggs.append(F.percentile_approx("x", F.array(F.lit(0.25), F.lit(0.75)), 10000).alias("q"))
     stats = long.groupBy("column", "class").agg(*aggs)
+    if bins == "auto" and not approx_quartiles:
+        qs = quartiles(long, (0.25, 0.75)).select(*GROUP, F.array("q0", "q1").alias("q"))
+        stats = join_null_safe(stats, qs, GROUP, "inner")      # one row per group on both sides
     same = F.col("mn") == F.col("mx")
     lo = F.when(same, F.col("mn") - 0.5).otherwise(F.col("mn"))
     hi = F.when(same, F.col("mx") + 0.5).otherwise(F.col("mx"))

@@ -54,11 +54,18 @@ def q_crosstab_pairs(spark, sf_dir):
 
 
 def _hist_sql(cols, by, bins):
+    if bins == "auto":    # smaller width of Sturges and Freedman-Diaconis, exact quartiles
+        quart = ", quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3"
+        sturges = "(mx - mn) / (ln(CAST(n AS DOUBLE)) / ln(2.0) + 1)"
+        fd = "(2.0 * (q3 - q1) * pow(CAST(n AS DOUBLE), -1.0 / 3.0))"
+        nb = (f"CASE WHEN mx - mn > 0 THEN CAST(ceil((mx - mn) / CASE WHEN {fd} > 0 THEN least({fd}, {sturges}) "
+              f"ELSE {sturges} END) AS INTEGER) ELSE 1 END")
+    else:
+        quart, nb = "", str(bins)
     return f"""{P}, {_long_sql(cols, by)},
-st AS (SELECT "column", class,
-              CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
-              CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi, {bins} AS nbins
-       FROM long GROUP BY ALL),
+a AS (SELECT "column", class, count(*) AS n, min(x) AS mn, max(x) AS mx{quart} FROM long GROUP BY ALL),
+st AS (SELECT "column", class, CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS lo,
+              CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS hi, {nb} AS nbins FROM a),
 cnt AS (SELECT l."column", l.class,
                least(CAST(floor((x - lo) / ((hi - lo) / nbins)) AS INTEGER), nbins - 1) AS bin, count(*) AS c
         FROM long l JOIN st ON l."column" = st."column" AND l.class IS NOT DISTINCT FROM st.class GROUP BY ALL),
@@ -170,6 +177,13 @@ def q_scatter_bins(spark, sf_dir):
 @query("histogram_auto")
 def q_histogram_auto(spark, sf_dir):
     """Bin count per group from the Sturges / Freedman-Diaconis rule (quartiles approximate)."""
+    return explore.histogram(prepared_txn(spark, sf_dir), HIST_COLS, by="is_fraud", bins="auto",
+                             approx_quartiles=True)
+
+
+@query("histogram_auto_exact", _hist_sql(HIST_COLS, "is_fraud", "auto"))
+def q_histogram_auto_exact(spark, sf_dir):
+    """Bin count per group from the Sturges / Freedman-Diaconis rule with exact quartiles."""
     return explore.histogram(prepared_txn(spark, sf_dir), HIST_COLS, by="is_fraud", bins="auto")
 
 

@@ -87,6 +87,21 @@ def test_histogram_counts_sum_and_constant_column(spark):
     assert all(r.lo <= 5.0 <= r.hi for r in k)
 
 
+def test_histogram_auto_bins_match_numpy(spark):
+    import random
+    import numpy as np
+    rng = random.Random(3)
+    vals = {0: [round(rng.lognormvariate(3, 1), 2) for _ in range(700)] + [50.0] * 300,   # hot value
+            1: [float(rng.randint(0, 9)) for _ in range(40)]}
+    df = spark.createDataFrame([(v, k) for k, vs in vals.items() for v in vs], "x double, y int")
+    h = explore.histogram(df, ["x"], by="y", bins="auto").collect()
+    for k, vs in vals.items():
+        rows = sorted((r.bin, r["count"]) for r in h if r["class"] == str(k))
+        counts, edges = np.histogram(vs, bins="auto")
+        assert len(rows) == len(counts)
+        assert sum(c for _, c in rows) == len(vs)
+
+
 def test_kde_integrates_to_one(spark):
     import random
     rng = random.Random(0)
