@@ -45,18 +45,20 @@ def read_prepared(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
 
 def modelling_flow(prepared: DataFrame, label: str = schemas.LABEL, key: str = "txn_id",
                    estimators: dict | None = None, fractions: dict | None = None, seed: int = 123,
-                   use_pairwise: bool = True, model_path: str | None = None) -> dict:
+                   use_pairwise: bool = True, model_path: str | None = None, on_invalid: str = "skip") -> dict:
     """Split -> stratified down-sample -> shared feature stages -> several learners ->
     grouped evaluation on the test portion; optionally save the first model.
 
     Returns {'models': {name: PipelineModel}, 'report': DataFrame, 'auc': DataFrame,
-    'distribution': DataFrame}.
+    'distribution': DataFrame, 'dropped': DataFrame}. ``dropped`` (portion, column,
+    n_invalid) counts the rows the assembler's ``skip`` removes from the training sample
+    and from the evaluated test portion, per input column and in total.
     """
     train, test = prepare.split_portions(prepared)
     sample = sampling.stratified_sample(train, label, fractions or {0: 0.10, 1: 1.0}, seed, key=key)
     model_cols = prepare.model_input(sample, extra_drop=[key])
     cat, num = files.feature_roles(model_cols, label)
-    stages = features.feature_stages(cat, num, use_pairwise=use_pairwise)
+    stages = features.feature_stages(cat, num, use_pairwise=use_pairwise, on_invalid=on_invalid)
     estimators = estimators or {"GBTClassifier": models.gbt(label)}
     fitted = models.fit_models(sample, stages, estimators)
     preds = models.score_models(fitted, test, label).persist(StorageLevel.MEMORY_AND_DISK)
@@ -65,6 +67,9 @@ def modelling_flow(prepared: DataFrame, label: str = schemas.LABEL, key: str = "
         "report": evaluate.classification_report(preds, label, "prediction", by=["model"]),
         "auc": evaluate.roc_auc(preds, label, "p1", by=["model"]),
         "distribution": sample.groupBy(label).count(),
+        "dropped": features.assembler_audit(sample, stages).withColumn("portion", F.lit("train"))
+                   .unionByName(features.assembler_audit(test, stages).withColumn("portion", F.lit("test")))
+                   .select("portion", "column", "n_invalid"),
     }
     if model_path:
         save_model(next(iter(fitted.values())), model_path)

@@ -53,6 +53,11 @@ def test_prepare_model_threshold_stream(spark, tmp_path):
     scored = spark.read.parquet(str(tmp_path / "scored"))
     batch = models.score(model, prepared.where("portion = 'test'"), "is_fraud", keep=["txn_id"])
     assert scored.count() == batch.count()
+    # the audit accounts for exactly the test rows the assembler skipped
+    d = {(r.portion, r.column): r.n_invalid for r in res["dropped"].collect()}
+    assert d[("test", "__rows__")] - d[("test", "__any__")] == batch.count()
+    assert d[("test", "__rows__")] == prepared.where("portion = 'test'").count()
+    assert d[("test", "ln_trans_hour")] > 0          # hour 0 has no log
     b = batch.select("txn_id", F.col("p1").alias("p1_batch"))
     diff = scored.join(b, "txn_id").where(F.abs(F.col("p1") - F.col("p1_batch")) > 1e-12).count()
     assert diff == 0
