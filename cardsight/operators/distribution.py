@@ -6,7 +6,7 @@ cross the shuffle, whatever the input size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,13 +16,15 @@ def group_count(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def class_distribution(df: DataFrame, column: str, digits: int = 9) -> DataFrame:
-    """Count and share of each value of ``column`` in one job.
+    """Count and share of each value of ``column`` in one query.
 
-    The total comes from a window over the already aggregated (one row per class)
-    result, so the data is read once.
+    The total is a scalar subquery over the per-value counts, evaluated once and used as
+    a constant: no join, and no single task ever holds all the per-value rows, even
+    for a high-cardinality column. The subquery reuses the counts exchange, so the data
+    is scanned once.
     """
     counts = group_count(df, column)
-    total = F.sum("count").over(Window.partitionBy())
+    total = counts.select(F.sum("count")).scalar()
     return counts.withColumn("proportion", F.round(F.col("count") / total, digits))
 
 
