@@ -66,6 +66,26 @@ def test_one_hot_slots_without_metadata_match(spark):
     assert features.vector_width(out).collect() == features.vector_width(bare, "f").collect()
 
 
+def test_assembler_audit_counts_what_skip_drops(spark):
+    df = spark.createDataFrame([("a", 1.0, 2), ("b", 0.0, 3), (None, float("nan"), 1), ("a", 2.0, None), ("a", 3.0, 4)],
+                               "c string, x double, n int")
+    stages = features.feature_stages(["c"], ["x", "n"], use_pairwise=True)
+    audit = {r.column: r.n_invalid for r in features.assembler_audit(df, stages).collect()}
+    kept = Pipeline(stages=stages).fit(df).transform(df).count()
+    assert audit["__rows__"] - audit["__any__"] == kept == 2
+    assert audit["x"] == 1 and audit["ln_x"] == 2 and audit["n"] == 1
+    assert not any(c.endswith("_ohe") for c in audit)        # one-hot vectors are never invalid
+
+
+def test_histogram_auto_without_classes(spark):
+    import numpy as np
+    vs = [float(v) for v in range(0, 300, 7)] + [1000.0]
+    df = spark.createDataFrame([(v,) for v in vs], "x double")
+    h = explore.histogram(df, ["x"], bins="auto").collect()
+    assert len(h) == len(np.histogram(vs, bins="auto")[0])
+    assert sum(r["count"] for r in h) == len(vs) and all(r["class"] is None for r in h)
+
+
 def test_invalid_rows_counts(spark):
     df = spark.createDataFrame([(1.0, 1), (float("nan"), 2), (None, None), (0.0, 3)], "a double, b int")
     df = features.LogTransformer(inputCols=["a"]).transform(df)
