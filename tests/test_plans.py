@@ -1,6 +1,9 @@
 """Plan guards for every registered query that needs no model fit: no cartesian or
-nested-loop joins, no Python evaluation in the plan, and scans of ``events`` read only
-the columns the query uses (never the unused ``props`` column)."""
+nested-loop joins, no Python evaluation in the plan, scans of ``events`` read only
+the columns the query uses (never the unused ``props`` column), and nothing but
+bounded tables passes through a single-partition exchange."""
+
+import re
 
 import pytest
 
@@ -34,3 +37,39 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
     df = E.queries()["threshold_sweep"](spark, SF_SMALL)
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,value:double>" in text
+
+
+# What may feed an ``Exchange SinglePartition`` (one task): partial aggregates (one row
+# per map task) anywhere, and these tables whose size parameters bound.
+BOUNDED_SINGLE = [
+    (re.compile(r"HashAggregate\(keys=\[_range\]"), "per-range totals: at most `ranges` rows"),
+    (re.compile(r"Project \[k, coalesce\(pos"), "cut-off grid: 37 rows"),
+    (re.compile(r"Project \[class, support"), "per-class report rows: one per label value"),
+]
+
+
+def unbounded_single_partition_inputs(df) -> list[str]:
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    bad = []
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" not in line:
+            continue
+        child = re.sub(r"#\d+", "", lines[i + 1]) if i + 1 < len(lines) else ""
+        if not ("partial_" in child or any(p.search(child) for p, _ in BOUNDED_SINGLE)):
+            bad.append(child.strip()[:160])
+    return bad
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - MODEL_QUERIES))
+def test_single_partition_exchanges_carry_bounded_tables(spark, name):
+    bad = unbounded_single_partition_inputs(E.queries()[name](spark, SF_SMALL))
+    assert not bad, f"{name}: unbounded input to a single-partition exchange: {bad}"
+
+
+def test_single_partition_guard_catches_a_global_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    rows = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("event_id", "value")
+    funnel = rows.withColumn("cum", F.sum("value").over(Window.orderBy("event_id")))
+    assert unbounded_single_partition_inputs(funnel)
+    assert not unbounded_single_partition_inputs(rows.agg(F.sum("value")))
