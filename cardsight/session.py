@@ -43,8 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read and write.
 
     Uses the cluster's ``spark.checkpoint.dir`` (or a checkpoint dir already set on the
-    context). Only when neither is set - local tests - a private folder is created and
-    registered as the checkpoint dir.
+    context). Only when neither is set on a ``local`` master - tests - a private folder
+    is created and registered as the checkpoint dir; on a cluster that would be a
+    machine-local folder the other executors cannot read, so it is an error instead.
     """
     conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -52,6 +53,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return str(current.get()).rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach "
+                           "(HDFS, S3, ...): exact ranks and quantiles checkpoint there")
     local = tempfile.mkdtemp(prefix="cardsight-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local
