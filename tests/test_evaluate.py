@@ -62,6 +62,21 @@ def test_running_totals_equal_single_window(spark):
     assert all(r.v_total == tot[r.g] for r in ours.select("g", "v_total").distinct().collect())
 
 
+def test_running_totals_descending_with_null_nan_keys_and_null_group(spark):
+    rng = random.Random(7)
+    rows = []
+    for g in ("a", "b", None):
+        keys = [float(k) for k in rng.sample(range(5000), 300)] + [float("nan"), None, float("inf")]
+        rows += [(g, k, rng.randint(0, 9)) for k in keys]
+    df = spark.createDataFrame(rows, "g string, k double, v long")
+    ours = ordered.running_totals(df, "k", ["v"], by=["g"], descending=True, ranges=5)
+    ref = df.withColumn("ref", F.sum("v").over(Window.partitionBy("g").orderBy(F.desc("k"))))
+    j = ours.alias("o").join(ref.alias("r"), F.col("o.g").eqNullSafe(F.col("r.g"))
+                             & F.col("o.k").eqNullSafe(F.col("r.k")))
+    assert j.count() == len(rows)
+    assert j.where(F.col("o.v_cum") != F.col("r.ref")).count() == 0
+
+
 def test_sweep_matches_direct_counts(spark, scored):
     sweep = threshold.threshold_sweep(scored, "y", "s").orderBy("threshold_index").collect()
     assert len(sweep) == 36
