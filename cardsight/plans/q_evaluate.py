@@ -139,6 +139,17 @@ def q_roc_auc(spark, sf_dir):
     return evaluate.roc_auc(load_txn(spark, sf_dir), "is_fraud", "score")
 
 
+ROC_BINS = 100
+
+
+@query("roc_auc_binned", f"""{W}, snapped AS (SELECT is_fraud, floor(score * {ROC_BINS}) / {float(ROC_BINS)} AS score FROM txn),
+{_auc_sql('snapped', [])}""")
+def q_roc_auc_binned(spark, sf_dir):
+    """AUC with scores snapped to a grid of ``ROC_BINS`` steps: at most ``ROC_BINS + 1``
+    rows per group cross the shuffle, whatever the data size."""
+    return evaluate.roc_auc(load_txn(spark, sf_dir), "is_fraud", "score", bins=ROC_BINS)
+
+
 @query("model_roc", f"{_TWO_MODELS_SQL}, {_auc_sql('models', ['model', 'portion'])}")
 def q_model_roc(spark, sf_dir):
     return evaluate.roc_auc(two_models(spark, sf_dir), "is_fraud", "score", by=["model", "portion"])
