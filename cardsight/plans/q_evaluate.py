@@ -167,6 +167,20 @@ def q_roc_curve(spark, sf_dir):
     return evaluate.roc_curve(load_txn(spark, sf_dir), "is_fraud", "score")
 
 
+@query("roc_curve_binned", f"""{W}, snapped AS (SELECT is_fraud, floor(score * {ROC_BINS}) / {float(ROC_BINS)} AS score FROM txn),
+sc AS (
+  SELECT score, count(*) FILTER (WHERE is_fraud = 1) AS pos, count(*) FILTER (WHERE is_fraud <> 1) AS neg
+  FROM snapped WHERE score IS NOT NULL GROUP BY score),
+cum AS (SELECT score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS P, sum(neg) OVER () AS N
+        FROM sc WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
+SELECT score AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+       round(CASE WHEN P > 0 THEN tp / P END, 9) AS tpr, round(CASE WHEN N > 0 THEN fp / N END, 9) AS fpr
+FROM cum""")
+def q_roc_curve_binned(spark, sf_dir):
+    """ROC points on a grid of ``ROC_BINS`` score steps: at most ``ROC_BINS + 1`` points."""
+    return evaluate.roc_curve(load_txn(spark, sf_dir), "is_fraud", "score", bins=ROC_BINS)
+
+
 def _multi_sql(source: str, pred: str, label_value: float = 0.0) -> str:
     return f"""cells AS (SELECT CAST(is_fraud AS DOUBLE) AS actual, {pred} AS predicted, count(*) AS cnt
                 FROM {source} GROUP BY ALL),
