@@ -51,3 +51,24 @@ def test_nan_scores_rank_highest(spark):
     sweep = {r.threshold_index: r for r in threshold.threshold_sweep(df, "y", "s").collect()}
     direct = df.where(F.col("s") > 0.1 + 0.025 * 35).count()
     assert sweep[35].tp + sweep[35].fp == direct
+
+
+def test_shared_dir_needs_a_shared_folder_on_clusters():
+    # stub session: no spark.checkpoint.dir, no checkpoint dir on the context
+    from types import SimpleNamespace
+
+    from cardsight import session
+
+    class Opt:
+        def isDefined(self):
+            return False
+
+    def stub(master):
+        sc = SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k, d=None: d),
+                             _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: Opt())),
+                             setCheckpointDir=lambda d: None)
+        return SimpleNamespace(sparkContext=sc)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(stub("yarn"))
+    assert session.shared_dir(stub("local[2]"))          # tests get a private folder
