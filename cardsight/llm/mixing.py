@@ -7,9 +7,9 @@ doc_id, each expects ``target / source words`` copies, and the running sum of th
 expectations plus one random offset of the source emits a document once for each integer
 that it crosses. Ordering by size lets the words taken follow the target closely.
 
-Running sums are made in two levels: rows are counted by (source, slice of sizes), and the
-rank inside a slice is a window over that slice alone; a slice holds ``slice_rows`` rows or
-one size and is cut again by doc_id ranges if a size is common.
+Running sums are made in levels: sizes within a source, ranges of doc_id within a size, rows
+within such a slice. Only a slice's rows meet in one window, and there are enough ranges for
+a slice to stay near ``slice_rows`` rows even if one size of one source holds a third of them.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, query, table
+from .common import WORD, query, stored, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -73,29 +73,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     own (rows equal in source, size and doc_id are interchangeable, so any order of them
     gives the same rows); an empty table gives no rows. Other columns are ignored.
     """
-    sized = docs.select("doc_id", "source", word_count().alias("size"))
-    # Slices: the rows of one (source, size); a common size is cut into equal ranges of doc_id.
-    by_size = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"),
-                                                  F.max("doc_id").alias("hi"))
-    totals = by_size.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
-    targets = source_targets(totals, weights, max_repeat)
-    cuts = F.greatest(F.ceil(F.col("n") / slice_rows), F.lit(1)).cast("long")
-    span = F.greatest(F.ceil((F.col("hi").cast("decimal(20,0)") - F.col("lo") + 1) / cuts), F.lit(1)).cast("long")
-    by_size = by_size.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "lo", span.alias("span"))
-    cut = ((F.col("doc_id").cast("decimal(20,0)") - F.col("lo")) / F.col("span")).cast("long")
-    d = sized.join(by_size, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))) \
-        .select("doc_id", "source", "size", F.coalesce(cut, F.lit(-1)).alias("cut"))
+    sized = stored(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
+    n, lo, hi = sized.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    ranges = max(1, n // (2 * slice_rows))
+    span = max(1, -(-((hi or 0) - (lo or 0) + 1) // ranges))
+    cut = F.floor((F.col("doc_id").cast("decimal(20,0)") - (lo or 0)) / span).cast("long")
+    d = sized.withColumn("cut", F.coalesce(cut, F.lit(-1)))
     slices = d.groupBy("source", "size", "cut").agg(F.count(F.lit(1)).alias("n"))
-    up_to = Window.partitionBy("source").orderBy("size", "cut").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = slices.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    targets = source_targets(sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")),
+                             weights, max_repeat).withColumn("offset", offset(seed)).withColumnRenamed("source", "_t")
+    before = Window.unboundedPreceding, -1
+    smaller = F.sum("n").over(Window.partitionBy("source").orderBy("size").rowsBetween(*before))
+    sizes = sizes.select(F.col("source").alias("_p"), F.col("size").alias("_q"), F.coalesce(smaller, F.lit(0)).alias("smaller")) \
+        .join(targets, F.col("_p").eqNullSafe(F.col("_t"))).drop("_t")
+    earlier = F.sum("n").over(Window.partitionBy("source", "size").orderBy("cut").rowsBetween(*before))
     slices = slices.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("cut").alias("_c"),
-                           F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("before"))
+                           F.coalesce(earlier, F.lit(0)).alias("earlier")) \
+        .join(sizes, F.col("_s").eqNullSafe(F.col("_p")) & (F.col("_z") == F.col("_q")))
     rank = F.row_number().over(Window.partitionBy("source", "size", "cut").orderBy(F.col("doc_id").asc_nulls_first()))
     r = d.withColumn("rank", rank) \
         .join(slices, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
               & (F.col("cut") == F.col("_c"))) \
-        .select("doc_id", "source", "size", (F.col("rank") + F.col("before")).alias("rank"))
-    targets = targets.withColumn("offset", offset(seed)).withColumnRenamed("source", "_s")
-    r = r.join(targets, F.col("source").eqNullSafe(F.col("_s")))
+        .withColumn("rank", F.col("rank") + F.col("earlier") + F.col("smaller"))
     rate = F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeat)))
     copies = F.floor(F.col("rank") * rate + F.col("offset")) - F.floor((F.col("rank") - 1) * rate + F.col("offset"))
     copies = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(copies).cast("long")
