@@ -63,41 +63,48 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, bits: int = SEGMENT
     asked = stored(asked.select("query_id", segments("_v", dims, bits).alias("qcode")), "queries")
     entries = codes.select(F.posexplode("code").alias("seg", "val"), "code", "ids")
     best_of = Window.partitionBy("qcode").orderBy("distance", "vec_id")
-    open_ = asked.select("qcode").distinct()
+    open_ = asked.select("qcode", F.lit(None).cast("int").alias("kth")).distinct()
     best, done = None, None
     for radius in range(bits + 1):
-        probes = open_.select("qcode", F.posexplode("qcode").alias("seg", "own")) \
-            .withColumn("val", F.explode(F.transform(F.array(*[F.lit(x) for x in masks(bits, radius)]),
-                                                     lambda x: x.bitwiseXOR(F.col("own"))))).drop("own") \
-            if radius <= 2 else _far(open_, entries, radius)
-        met = probes.join(entries, ["seg", "val"]).select("qcode", "code", "ids").distinct() \
-            .select("qcode", F.explode("ids").alias("vec_id"), distance("qcode", "code").alias("distance"), "code")
-        found = met.select("qcode", "vec_id", "distance", "code")
-        if best is not None:  # a code met at this radius in one segment may have been met before in another
-            found = found.join(best.select("qcode", "code").distinct(), ["qcode", "code"], "left_anti").unionByName(best)
+        # With kth known, radius r in segments 0 to kth - m * r covers every distance up to kth.
+        wide = open_.select("qcode", "kth", F.posexplode("qcode").alias("seg", "own")) \
+            .filter(F.col("kth").isNull() | (F.col("seg") <= F.col("kth") - m * radius))
+        near = F.transform(F.array(*[F.lit(x) for x in masks(bits, radius)]), lambda x: x.bitwiseXOR(F.col("own")))
+        probes = wide.withColumn("val", F.explode(near)) if radius <= 2 else _far(wide, entries, radius)
+        probes = probes.select("qcode", "kth", F.col("seg").alias("_s"), F.col("val").alias("_v"))
+        met = probes.join(entries, (F.col("seg") == F.col("_s")) & (F.col("val") == F.col("_v"))
+                          & (F.col("kth").isNull() | (distance("qcode", "code") <= F.col("kth"))))
+        met = met.select("qcode", "code", "ids").distinct()
+        if best is not None:  # met before in another segment
+            known = best.select(F.col("qcode").alias("_q"), F.col("code").alias("_c")).distinct()
+            met = met.join(known, (F.col("qcode") == F.col("_q")) & (F.col("code") == F.col("_c")), "left_anti")
+        found = met.select("qcode", F.explode("ids").alias("vec_id"), distance("qcode", "code").alias("distance"), "code")
+        if best is not None:
+            found = found.unionByName(best)
         found = found.withColumn("rank", F.row_number().over(best_of)).filter(F.col("rank") <= k).drop("rank")
         found = stored(found, f"round{radius}")
-        # k-th distance known and covered, or no further radius exists
-        state = found.groupBy("qcode").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth"))
-        covered = (F.col("n") >= k) & (F.col("kth") <= m * (radius + 1) - 1)
-        finished = state.filter(covered if radius < bits else F.lit(True)).select("qcode")
+        state = found.groupBy("qcode").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
+        state = open_.select("qcode").join(state, "qcode", "left") \
+            .select("qcode", F.when(F.col("n") >= k, F.col("far")).alias("kth"))
+        covered = F.coalesce(F.col("kth") <= m * (radius + 1) - 1, F.lit(False)) if radius < bits else F.lit(True)
+        state = stored(state.withColumn("finished", covered), "state")
+        finished = state.filter("finished").select("qcode")
         full = found.join(finished, "qcode", "left_semi")
         done = full if done is None else done.unionByName(full)
         best = found.join(finished, "qcode", "left_anti")
-        open_ = open_.join(finished, "qcode", "left_anti")
+        open_ = state.filter("not finished").select("qcode", "kth")
         if open_.isEmpty():
             break
     answers = done.withColumn("rank", F.row_number().over(best_of))
     return asked.join(answers, "qcode").select("query_id", F.col("rank").cast("int"), "vec_id", "distance")
 
 
-def _far(open_: DataFrame, entries: DataFrame, radius: int) -> DataFrame:
+def _far(wide: DataFrame, entries: DataFrame, radius: int) -> DataFrame:
     """Probes at a larger radius: the values that exist in a segment (2 ** bits at most) and
     differ from the query's in ``radius`` bits, instead of all masks."""
-    values = entries.groupBy("seg").agg(F.collect_set("val").alias("vals")).withColumnRenamed("seg", "_s")
-    asked = open_.select("qcode", F.posexplode("qcode").alias("seg", "own"))
+    values = entries.groupBy(F.col("seg").alias("_g")).agg(F.collect_set("val").alias("vals"))
     near = F.filter("vals", lambda v: F.bit_count(v.bitwiseXOR(F.col("own"))) == radius)
-    return asked.join(values, F.col("seg") == F.col("_s")).select("qcode", "seg", F.explode(near).alias("val"))
+    return wide.join(values, F.col("seg") == F.col("_g")).select("qcode", "kth", "seg", F.explode(near).alias("val"))
 
 
 _SQL = """
