@@ -25,7 +25,7 @@ from .text import U64, Piece, string_buffer
 BLOCK = 2 << 20
 BUCKET = 3 << 20          # fingerprints that one bucket should get
 NO_ID = np.iinfo(np.int64).max
-SCHEMA = "block long, ids binary, sizes binary, shas binary, body binary"
+SCHEMA = "block long, ids binary, sizes binary, shas binary, extra binary, body binary"
 
 
 def compress(body: bytes) -> bytes:
@@ -38,6 +38,7 @@ class Block(NamedTuple):
     offsets: np.ndarray
     data: np.ndarray
     shas: bytes           # sha256 of each text, 32 bytes each
+    extra: bytes          # the other columns that were asked to be kept, as an Arrow stream
 
     @property
     def piece(self) -> Piece:
@@ -49,7 +50,7 @@ def unpack(row: dict) -> Block:
     offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
     n = int(offsets[-1])
     data = np.frombuffer(pa.decompress(row["body"], n, codec="zstd"), np.uint8) if n else np.zeros(0, np.uint8)
-    return Block(row["block"], np.frombuffer(row["ids"], np.int64), offsets, data, row["shas"])
+    return Block(row["block"], np.frombuffer(row["ids"], np.int64), offsets, data, row["shas"], row["extra"])
 
 
 def rows_of(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
@@ -59,43 +60,55 @@ def rows_of(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
         yield {n: c[i].as_py() for n, c in zip(names, columns)}
 
 
-def write_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Blocks of all documents (doc_id, text). Rows of one doc_id stay in one block."""
+def write_blocks(docs: DataFrame, keep: tuple[str, ...] = (), size: int = BLOCK) -> DataFrame:
+    """Blocks of all documents (doc_id, text, and the columns to keep) in order of doc_id, then text.
+    Rows of one doc_id stay in one block."""
     import hashlib
 
     spark = docs.sparkSession
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = narrow.repartitionByRange(partitions(spark, total, 8 * size), F.col("doc_id").asc_nulls_last()) \
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_last())
+    narrow = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), *keep)
+    total = narrow.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    order = [F.col("_id").asc_nulls_last(), F.col("_text").asc_nulls_first()]
+    ordered = narrow.repartitionByRange(partitions(spark, total, 8 * size), order[0]).sortWithinPartitions(*order)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        ids, sizes, texts, held = [], [], [], 0
+        held: list[tuple] = []
+        weight, last = 0, None
 
         def row():
-            nonlocal number, ids, sizes, texts, held
-            body = b"".join(texts)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
-                 pa.array([np.array(sizes, np.int64).tobytes()], pa.binary()),
+            texts = [t for _, ts, _ in held for t in ts]
+            rest = b""
+            if keep:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, held[0][2].schema) as out:
+                    for _, _, part in held:
+                        out.write_batch(part)
+                rest = compress(sink.getvalue().to_pybytes()) + len(sink.getvalue()).to_bytes(8, "little")
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.array([np.concatenate([i for i, _, _ in held]).tobytes()], pa.binary()),
+                 pa.array([np.array([len(t) for t in texts], np.int64).tobytes()], pa.binary()),
                  pa.array([b"".join(hashlib.sha256(t).digest() for t in texts)], pa.binary()),
-                 pa.array([compress(body)], pa.binary())],
-                names=["block", "ids", "sizes", "shas", "body"])
-            number, ids, sizes, texts, held = number + 1, [], [], [], 0
-            return out
+                 pa.array([rest], pa.binary()), pa.array([compress(b"".join(texts))], pa.binary())],
+                names=["block", "ids", "sizes", "shas", "extra", "body"])
 
         for batch in batches:
             own = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             data, offsets = string_buffer(batch.column(1))
-            for i, doc in enumerate(own.tolist()):
-                if held >= size and doc != ids[-1]:
+            rest = batch.select(list(keep))
+            a = 0
+            while a < len(own):
+                if weight >= size and own[a] != last:
                     yield row()
-                texts.append(data[offsets[i]:offsets[i + 1]].tobytes())
-                ids.append(doc)
-                sizes.append(len(texts[-1]))
-                held += sizes[-1] + 64
-        if ids:
+                    number, held, weight = number + 1, [], 0
+                # as many rows as fill the block, and the rest of the last one's doc_id
+                z = int(np.searchsorted(offsets, offsets[a] + max(size - weight, 1), side="left"))
+                z = min(max(z, a + 1), len(own))
+                z = max(z, int(np.searchsorted(own, own[z - 1], side="right")))
+                held.append((own[a:z], [data[x:y].tobytes() for x, y in zip(offsets[a:z], offsets[a + 1:z + 1])], rest.slice(a, z - a)))
+                weight += int(offsets[z] - offsets[a]) + 64 * (z - a)
+                last, a = own[z - 1], z
+        if held:
             yield row()
 
     path = folder(spark, "blocks")
@@ -104,6 +117,12 @@ def write_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path).withMetadata("block", {"bytes": total})
 
 
+def kept_columns(b: Block) -> pa.Table:
+    """The other columns of a block's documents."""
+    body, n = b.extra[:-8], int.from_bytes(b.extra[-8:], "little")
+    return pa.ipc.open_stream(pa.decompress(body, n, codec="zstd")).read_all()
+
+
 def text_bytes(blocks: DataFrame) -> int:
     return int(blocks.schema["block"].metadata["bytes"])
 
@@ -124,9 +143,11 @@ SENT = "bucket int, block long, fps binary"
 ANSWER = "block long, bucket int, bits binary"
 
 
-def send(block: int, sorted_fps: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+def send(block: int, sorted_fps: np.ndarray, n_buckets: int, turn: int = 0, turns: int = 1) -> pa.RecordBatch:
+    """One row for each bucket; with several turns, only for the buckets of this turn."""
     at = bucket_bounds(sorted_fps, n_buckets)
     full = np.flatnonzero(np.diff(at))
+    full = full[full % turns == turn]
     return pa.RecordBatch.from_arrays(
         [pa.array(full, pa.int32()), pa.array(np.full(len(full), block), pa.int64()),
          pa.array([sorted_fps[at[b]:at[b + 1]].tobytes() for b in full], pa.binary())], names=["bucket", "block", "fps"])

@@ -36,6 +36,7 @@ from .text import _STEP, U64, distinct, mix, powers
 
 WIDTH = 50
 PERIOD = 31
+TURNS = 2    # the buckets of suffixes are sorted in so many turns, which bounds the disk in use
 COVER = (0, 1, 3, 8, 12, 18)  # every residue modulo 31 is a difference of two of these
 
 _VALUE = np.random.default_rng(99).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -161,7 +162,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
     blocks = write_blocks(docs)
     n_text = text_bytes(blocks)
     rank_buckets = buckets_for(n_text * len(COVER) / PERIOD)
-    suffix_buckets = buckets_for(n_text * 0.2)
+    suffix_buckets = max(TURNS, buckets_for(n_text * 0.2))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,13 +175,18 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
     ranks = stored(as_notes(answer(blocks.mapInArrow(sample, SENT), earlier=False), "rank"), "ranks")
     ranks = stored(ranks.unionByName(later_copies(blocks, width)), "notes")
 
-    def suffixes(b: Block, notes: list) -> Iterator[pa.RecordBatch]:
-        prints = Prints(b.data)
-        start, _ = active_suffixes(b, prints, notes, rank_buckets, width)
-        if len(start):
-            yield send(b.block, distinct(prints.at(start, width)), suffix_buckets)
-
-    found = stored(as_notes(answer(with_notes(blocks, ranks, suffixes, SENT), earlier=True), "earlier"), "earlier")
+    def suffixes(turn: int):
+        def of(b: Block, notes: list) -> Iterator[pa.RecordBatch]:
+            prints = Prints(b.data)
+            start, _ = active_suffixes(b, prints, notes, rank_buckets, width)
+            if len(start):
+                yield send(b.block, distinct(prints.at(start, width)), suffix_buckets, turn, TURNS)
+        return of
+
+    found = ranks.limit(0)
+    for turn in range(TURNS):  # each turn's suffixes are gone from disk before the next one's are sent
+        sent = with_notes(blocks, ranks, suffixes(turn), SENT)
+        found = found.unionByName(stored(as_notes(answer(sent, earlier=True), "earlier"), "earlier"))
 
     def cut(b: Block, notes: list) -> Iterator[pa.RecordBatch]:
         prints = Prints(b.data)
