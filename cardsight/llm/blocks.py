@@ -66,9 +66,9 @@ def write_blocks(docs: DataFrame, keep: tuple[str, ...] = (), size: int = BLOCK)
     import hashlib
 
     spark = docs.sparkSession
-    narrow = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), *keep)
-    total = narrow.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    order = [F.col("_id").asc_nulls_last(), F.col("_text").asc_nulls_first()]
+    narrow = docs.select(F.col("doc_id").cast("long").alias("__block_id"), F.col("text").alias("__block_text"), *keep)
+    total = narrow.agg(F.sum(F.octet_length("__block_text"))).first()[0] or 0
+    order = [F.col("__block_id").asc_nulls_last(), F.col("__block_text").asc_nulls_first()]
     ordered = narrow.repartitionByRange(partitions(spark, total, 8 * size), order[0]).sortWithinPartitions(*order)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,6 +123,26 @@ def kept_columns(b: Block) -> pa.Table:
     return pa.ipc.open_stream(pa.decompress(body, n, codec="zstd")).read_all()
 
 
+def rest_of(docs: DataFrame) -> tuple[str, ...]:
+    """All columns besides doc_id and text."""
+    return tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+
+
+def kept_schema(docs: DataFrame, keep: tuple[str, ...]) -> str:
+    """Schema of :func:`documents_of`, without text."""
+    types = dict(docs.dtypes)
+    return "doc_id long" + "".join(f", `{c}` {types[c]}" for c in keep)
+
+
+def documents_of(b: Block, keep: tuple[str, ...]) -> dict[str, pa.Array]:
+    """doc_id and the kept columns of a block's documents."""
+    columns = {"doc_id": pa.array(b.ids, pa.int64(), mask=b.ids == NO_ID)}
+    if keep:
+        table = kept_columns(b)
+        columns |= {c: table.column(c).combine_chunks() for c in keep}
+    return columns
+
+
 def text_bytes(blocks: DataFrame) -> int:
     return int(blocks.schema["block"].metadata["bytes"])
 

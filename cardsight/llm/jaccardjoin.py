@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import (NO_ID, SENT, Block, answer, bucket_bounds, buckets_for, read_answer, send, text_bytes, with_notes,
-                     write_blocks)
+from .blocks import (NO_ID, SENT, Block, answer, bucket_bounds, buckets_for, documents_of, kept_schema, read_answer,
+                     rest_of, send, text_bytes, with_notes, write_blocks)
 from .common import query, stored, table
 from .components import components
 from .suffixdedup import as_notes, later_copies, named
@@ -61,10 +61,9 @@ def node_of(values: np.ndarray) -> int:
     return int.from_bytes(hashlib.sha256(values.tobytes()).digest()[:8], "little", signed=True)
 
 
-def incidence(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row a document: id, n (set size), node (name of the set; null if empty) and, where a link
-    is possible and for one of several equal texts, the sorted shared shingles."""
-    blocks = write_blocks(docs)
+def incidence(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row a document: block and nth place in it, id, n (set size), node (name of the set; null if
+    empty) and, where a link is possible and for one of several equal texts, the sorted shared shingles."""
     n_buckets = buckets_for(text_bytes(blocks) / 6)
     copies = stored(later_copies(blocks, 1), "copies")
 
@@ -97,12 +96,13 @@ def incidence(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     if 100 * int(keep.sum()) >= percent * len(s):
                         blobs[i] = s[keep].tobytes()
         yield pa.RecordBatch.from_arrays(
-            [pa.array([None if i == NO_ID else int(i) for i in b.ids], pa.int64()),
-             pa.array([len(s) for s in sets], pa.int64()),
+            [pa.array(np.full(len(sets), b.block), pa.int64()), pa.array(range(len(sets)), pa.int64()),
+             pa.array(b.ids, pa.int64(), mask=b.ids == NO_ID), pa.array([len(s) for s in sets], pa.int64()),
              pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-             pa.array(blobs, pa.binary())], names=["doc_id", "n", "node", "shared"])
+             pa.array(blobs, pa.binary())], names=["block", "nth", "doc_id", "n", "node", "shared"])
 
-    return stored(with_notes(blocks, copies.unionByName(shared), rows, "doc_id long, n long, node long, shared binary"), "rows")
+    schema = "block long, nth long, doc_id long, n long, node long, shared binary"
+    return stored(with_notes(blocks, copies.unionByName(shared), rows, schema), "rows")
 
 
 def named_in(names: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -163,17 +163,8 @@ def linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
         .mapInArrow(overlap, "a long, b long")
 
 
-def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Components of documents linked by shingle sets with Jaccard of ``percent`` in 100 or more.
-
-    Returns one row a document: doc_id, n_shingles, component_id (the smallest doc_id reachable
-    by links, itself included). A document of one to four words has its word sequence as one
-    shingle; one without words (null, empty, blanks) has none and no link. Repeated rows and
-    copies are linked; rows of one doc_id with different texts are documents of their own; a
-    null doc_id counts as larger than any. An empty table gives no rows; very long texts are
-    used whole; other columns are ignored.
-    """
-    every = incidence(docs, percent)
+def roots(every: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of the rows that have links: root names the component."""
     rows = stored(every.filter("shared is not null").dropDuplicates(["node"]).select("node", "n", "shared"), "matrix")
     n_cells = rows.agg(F.sum(F.octet_length("shared"))).first()[0] or 0
     cells = prefixes(rows, percent, buckets_for(n_cells / 8, 1 << 20))
@@ -209,6 +200,21 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         found = stored(linked(pairs, rows, percent), "found")
         links = found if links is None else links.unionByName(found)
         root = stored(components(links).select(F.col("node").alias("_node"), "root"), "roots")
+    return root
+
+
+def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Components of documents linked by shingle sets with Jaccard of ``percent`` in 100 or more.
+
+    Returns one row a document: doc_id, n_shingles, component_id (the smallest doc_id reachable
+    by links, itself included). A document of one to four words has its word sequence as one
+    shingle; one without words (null, empty, blanks) has none and no link. Repeated rows and
+    copies are linked; rows of one doc_id with different texts are documents of their own; a
+    null doc_id counts as larger than any. An empty table gives no rows; very long texts are
+    used whole; other columns are ignored.
+    """
+    every = incidence(write_blocks(docs), percent)
+    root = roots(every, percent)
     named_rows = every.select("doc_id", "n", "node")
     low = named_rows.filter("node is not null").groupBy(F.col("node").alias("_k")).agg(F.min("doc_id").alias("low"))
     low = low.join(root, F.col("_k") == F.col("_node"), "left").select("_k", "low", F.coalesce("root", "_k").alias("root"))
@@ -219,6 +225,35 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component left, the first by doc_id (null last); rows without
+    words all stay. All columns are returned; see :func:`join` for what links."""
+    keep = rest_of(docs)
+    blocks = write_blocks(docs, keep)
+    every = incidence(blocks, percent)
+    rows = every.filter("node is not null").select("block", "nth", "node")
+    root = roots(every, percent)
+    rows = rows.join(root, F.col("node") == F.col("_node"), "left") \
+        .select("block", "nth", F.coalesce("root", "node").alias("root"))
+    first = rows.groupBy(F.col("root").alias("_r")).agg(F.min(F.struct("block", "nth")).alias("first"))
+    gone = rows.join(first, F.col("root") == F.col("_r")) \
+        .filter((F.col("block") != F.col("first.block")) | (F.col("nth") != F.col("first.nth"))).select("block", "nth")
+
+    def note(group: pa.Table) -> pa.Table:
+        return pa.table({"block": group.column("block")[:1], "kind": pa.array(["copy"]), "bucket": pa.array([0], pa.int32()),
+                         "bits": pa.array([group.column("nth").to_numpy().astype(np.int64).tobytes()], pa.binary())})
+
+    notes = gone.groupBy("block").applyInArrow(note, "block long, kind string, bucket int, bits binary")
+
+    def left(b: Block, noted: list) -> Iterator[pa.RecordBatch]:
+        texts = [b.data[x:y].tobytes() for x, y in zip(b.offsets, b.offsets[1:])]
+        columns = documents_of(b, keep) | {"text": pa.array(texts, pa.binary()).cast(pa.string())}
+        yield pa.RecordBatch.from_pydict(columns).filter(pa.array(~copied(b, noted)))
+
+    out = with_notes(blocks, notes, left, kept_schema(docs, keep) + ", text string")
+    return out.select(*docs.columns)
+
+
 @query("op3_jaccard_join")
 def op3_jaccard_join(spark, sf_dir):
     return join(table(spark, sf_dir, "documents"))

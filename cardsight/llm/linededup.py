@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import (NO_ID, SENT, Block, answer, bucket_bounds, buckets_for, kept_columns, read_answer, rows_of, send,
-                     text_bytes, unpack, with_notes, write_blocks)
+from .blocks import (SENT, Block, answer, bucket_bounds, buckets_for, documents_of, kept_schema, read_answer, rows_of,
+                     send, text_bytes, unpack, with_notes, write_blocks)
 from .common import query, stored, table
 from .suffixdedup import as_notes, named
 from .text import U64, Piece, mix, words
@@ -326,15 +326,12 @@ def dedup(docs: DataFrame, percent: int = PERCENT, keep: tuple[str, ...] = ()) -
             removed.append(int(d.sum()))
             text = b.data[b.offsets[i]:b.offsets[i + 1]].tobytes()
             texts.append(text if not removed[-1] else b"\n".join(x for x, y in zip(text.split(b"\n"), d) if not y))
-        columns = {"doc_id": pa.array([None if i == NO_ID else int(i) for i in b.ids], pa.int64())}
-        if keep:
-            columns |= {c: kept_columns(b).column(c).combine_chunks() for c in keep}
+        columns = documents_of(b, keep)
         columns |= {"n_lines": pa.array(per, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
                     "text": pa.array(texts, pa.binary()).cast(pa.string())}
         yield pa.RecordBatch.from_pydict(columns)
 
-    types = dict(docs.dtypes)
-    schema = "doc_id long, " + "".join(f"`{c}` {types[c]}, " for c in keep) + "n_lines long, n_removed long, text string"
+    schema = kept_schema(docs, keep) + ", n_lines long, n_removed long, text string"
     return with_notes(blocks, notes.unionByName(gone), cut, schema)
 
 

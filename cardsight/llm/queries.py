@@ -1,4 +1,4 @@
 """Registers the queries of this subpackage (``common.QUERIES``, ``common.ORACLE``)."""
 
-from . import (decontaminate, hamming, hmm, jaccardjoin, linededup, mixing, quality, suffixdedup, toxicity)  # noqa: F401
+from . import (decontaminate, hamming, hmm, jaccardjoin, linededup, mixing, quality, secrets, suffixdedup, toxicity)  # noqa: F401
 from .common import ORACLE, QUERIES  # noqa: F401

@@ -12,16 +12,18 @@ over all documents in Arrow batches; the broadcast model has ``2 ** bits`` rows
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
 from .common import query, table
 from .features import bare_words, term_counts
-from .text import Piece
+from .text import Piece, pieces
 
 BITS = 18
 FACTORS = 6
@@ -136,6 +138,22 @@ def score(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
     return labelled.score_documents(docs, of)
 
 
+def reject(docs: DataFrame, model: Model, cut: float = CUT, bits: int = BITS) -> DataFrame:
+    """The rows of ``docs`` with a score below ``cut``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = [np.zeros(0, bool)]
+            for p in pieces(batch.column(at)):
+                bounds, slot, _ = terms(p, bits)
+                fine.append(sigmoid(shared.value.logits(bounds, slot)) < cut)
+            yield batch.filter(pa.array(np.concatenate(fine)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

@@ -1,29 +1,66 @@
 """The corpus pipeline: toxicity, line dedup, near duplicates, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept;
-what it returns is written as Parquet and read again as the next stage's ``docs``.
+what it returns is written as Parquet and read again as the next stage's ``docs``. All
+stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cardsight.llm import mixing
+from cardsight.llm import decontaminate, jaccardjoin, labelled, linededup, mixing, toxicity
+from cardsight.llm.blocks import rest_of
 from cardsight.llm.common import stored, table
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents that the factorization machine rejects go."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~labelled.held_out(4, 2))
+    return toxicity.reject(docs, model)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: later similar lines go; every document stays, with n_chars of what is left.
+    Null texts become empty."""
+    out = linededup.dedup(docs, keep=rest_of(docs)).drop("n_lines", "n_removed")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: one document of each group of near duplicates stays."""
+    return jaccardjoin.representatives(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: documents that contain a test item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing (operator 6): (doc_id, source, size, copies) of what the mix takes."""
-    return mixing.mix(docs).select("doc_id", "source", "size", "copies")
+    """Operator 6: how often the mix takes each document (0 where it is left out)."""
+    out = mixing.mix(docs)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
+                      "source", "copies")
 
 
-STAGES = [("mixing sources to target weights", mix_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources to target weights", mix_stage),
+]
 
 ORACLE_SQL = None  # learned scores and similarity joins: tested against brute force instead
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of documents."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), "stage")
     return STAGES[-1][1](spark, docs, sf_dir)
