@@ -110,8 +110,10 @@ def named_in(names: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, percent: int, n_buckets: int) -> DataFrame:
-    """(column, node, n, width): the columns of each row that can begin a link, rarest first; ``width``
-    is how many the row has. ``rows``: node, n, shared, one for each node."""
+    """(col, node, n, m, width, rest, weight): the columns of each row that can begin a link, rarest
+    first. The row has n columns, m of them shared, ``width`` in the prefix and ``rest`` shared ones
+    from this one on; ``weight`` is the mean count of its columns, highest for the centre of a
+    group of near copies. ``rows``: node, n, shared, one for each node."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -138,13 +140,16 @@ def prefixes(rows: DataFrame, percent: int, n_buckets: int) -> DataFrame:
         v = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in group.column("part")])
         many = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in group.column("many")])
         width = max(0, len(v) - -(-percent * n // 100) + 1)
+        m, weight = len(v), float(many.sum()) / n
         v = v[np.lexsort((v, many))][:width]
-        return pa.table({"col": pa.array(v.view(np.int64), pa.int64()), "node": pa.array(np.full(len(v), node), pa.int64()),
-                         "n": pa.array(np.full(len(v), n), pa.int64()), "width": pa.array(np.full(len(v), width), pa.int64())})
+        same = lambda x: pa.array(np.full(len(v), x))
+        return pa.table({"col": pa.array(v.view(np.int64), pa.int64()), "node": same(node), "n": same(n), "m": same(m),
+                         "width": same(width), "rest": pa.array(m - np.arange(len(v)), pa.int64()), "weight": same(weight)})
 
     parts = rows.select("node", "n", "shared").mapInArrow(cut, "bucket int, node long, n long, part binary")
     counted = parts.groupBy("bucket").applyInArrow(count, "node long, n long, part binary, many binary")
-    return stored(counted.groupBy("node").applyInArrow(order, "col long, node long, n long, width long"), "prefixes")
+    return stored(counted.groupBy("node").applyInArrow(
+        order, "col long, node long, n long, m long, width long, rest long, weight double"), "prefixes")
 
 
 def linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -170,33 +175,34 @@ def roots(every: DataFrame, percent: int) -> DataFrame:
     cells = prefixes(rows, percent, buckets_for(n_cells / 8, 1 << 20))
     root = None
     links = None
-    for pick in (F.min, F.max, None):
-        # one row a column, and only columns where components still differ
-        own = cells if root is None else cells.join(root, cells["node"] == root["_node"], "left").drop("_node") \
-            .withColumn("root", F.coalesce("root", "node"))
-        own = own if root is not None else own.withColumn("root", F.col("node"))
+    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("nb")) / (100 + percent))
+    # a pair has at most the smaller count of shared columns, and of those from the met column on
+    fits = (F.col("root") != F.col("rb")) & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")) \
+        & (F.least("m", "mb") >= need) & (F.least("rest", "restb") >= need)
+    other = [F.col("col").alias("_col"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"),
+             F.col("width").alias("wb"), F.col("rest").alias("restb"), F.col("root").alias("rb")]
+    for hub in (F.max(F.struct("weight", "node")), F.min(F.struct(F.lit(0.0).alias("weight"), "node")), None):
+        own = cells.withColumn("root", F.col("node")) if root is None else \
+            cells.join(root, F.col("node") == F.col("_node"), "left").drop("_node").withColumn("root", F.coalesce("root", "node"))
+        # only columns where components still differ
         split = own.groupBy(F.col("col").alias("_col")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")) \
             .filter("lo < hi").select("_col")
         own = own.join(split, F.col("col") == F.col("_col"), "left_semi")
-        if pick is not None:
-            hub = own.groupBy(F.col("col").alias("_col")).agg(pick(F.struct("node", "n", "root")).alias("hub"))
-            met = own.join(hub, F.col("col") == F.col("_col")) \
-                .select(F.col("node").alias("a"), F.col("n").alias("na"), "root", F.col("hub.node").alias("b"),
-                        F.col("hub.n").alias("nb"), F.col("hub.root").alias("hub_root")) \
-                .filter("root <> hub_root and 100 * least(na, nb) >= " f"{percent} * greatest(na, nb)")
+        right = own.select(*other)
+        if hub is not None:
+            hubs = own.groupBy(F.col("col").alias("_h")).agg(hub.alias("hub")).select("_h", F.col("hub.node").alias("_b"))
+            right = right.join(hubs, (F.col("_col") == F.col("_h")) & (F.col("b") == F.col("_b")), "left_semi")
+            met = own.join(right, (F.col("col") == F.col("_col")) & fits).groupBy(F.col("node").alias("a"), "b").agg(
+                F.count(F.lit(1)).alias("met"))
             best = Window.partitionBy("a").orderBy(F.desc("met"), "b")
-            pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")) \
-                .withColumn("nth", F.row_number().over(best)).filter("nth <= 2")
+            pairs = met.withColumn("nth", F.row_number().over(best)).filter("nth <= 2")
         else:
-            right = own.select(F.col("col").alias("_col"), F.col("node").alias("b"), F.col("n").alias("nb"),
-                               F.col("width").alias("wb"), F.col("root").alias("rb"))
-            met = own.join(right, (F.col("col") == F.col("_col")) & (F.col("node") < F.col("b")) & (F.col("root") != F.col("rb"))
-                           & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")))
-            need = F.ceil(F.lit(percent) * (F.col("n") + F.col("nb")) / (100 + percent))
+            met = own.join(right, (F.col("col") == F.col("_col")) & (F.col("node") < F.col("b")) & fits)
             # The row whose prefix ends first has all its shared prefix columns in the other prefix,
-            # and it can miss n - need columns at most; singleton columns it lacks count as missed.
-            pairs = met.groupBy(F.col("node").alias("a"), "b", "n", "nb", "width", "wb").agg(F.count(F.lit(1)).alias("met")) \
-                .filter(F.col("met") >= F.least(F.col("width") - (F.col("n") - need), F.col("wb") - (F.col("nb") - need)))
+            # and it can miss m - need of its shared columns at most.
+            pairs = met.groupBy(F.col("node").alias("a"), "b", "n", "nb", "m", "mb", "width", "wb") \
+                .agg(F.count(F.lit(1)).alias("met")) \
+                .filter(F.col("met") >= F.least(F.col("width") - (F.col("m") - need), F.col("wb") - (F.col("mb") - need)))
         found = stored(linked(pairs, rows, percent), "found")
         links = found if links is None else links.unionByName(found)
         root = stored(components(links).select(F.col("node").alias("_node"), "root"), "roots")
