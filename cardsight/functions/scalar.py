@@ -17,12 +17,18 @@ EARTH_RADIUS_KM = 6371.0
 DAYS_PER_YEAR = 365
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 DATE_FORMAT = "yyyy-MM-dd"
+NULL_KEY = "<null>"
 
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots, quotes or backticks, as one identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def as_date(c, fmt: str = DATE_FORMAT) -> Column:
     """String -> date with ``fmt`` (malformed -> NULL, even with ANSI on); dates pass through."""
     return F.try_to_date(_c(c).cast("string"), fmt)
@@ -102,14 +108,15 @@ def above(score, threshold: float) -> Column:
 def hash01(key, seed: int) -> Column:
     """Deterministic uniform [0, 1) from ``(seed, key)``: first 32 bits of
     ``md5('<seed>:<key>')``. Independent of partitioning and row order; the same value
-    is computable in any SQL engine with md5."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), _c(key).cast("string")))
+    is computable in any SQL engine with md5. A NULL key hashes as a fixed marker."""
+    text = F.coalesce(_c(key).cast("string"), F.lit(NULL_KEY))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), text))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(float(2 ** 32))
 
 
 def hash01_sql(key_sql: str, seed: int) -> str:
     """DuckDB spelling of :func:`hash01`."""
-    return (f"(CAST(('0x' || substr(md5('{seed}:' || CAST({key_sql} AS VARCHAR)), 1, 8)) AS BIGINT)"
+    return (f"(CAST(('0x' || substr(md5('{seed}:' || COALESCE(CAST({key_sql} AS VARCHAR), '{NULL_KEY}')), 1, 8)) AS BIGINT)"
             f" / {float(2 ** 32)})")
 
 

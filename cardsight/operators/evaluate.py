@@ -149,7 +149,9 @@ def score_counts(df: DataFrame, label: str, score: str, by: list[str] | None = N
     y = F.col(label).cast("double") == F.lit(positive)
     s = F.col(score).cast("double")
     if bins:
-        s = F.floor(s * F.lit(int(bins))) / F.lit(float(bins))
+        # NaN and infinite scores keep a step of their own: floor() would move them to another side
+        s = F.when(F.isnan(s) | (F.abs(s) == F.lit(float("inf"))), s).otherwise(
+            F.floor(s * F.lit(int(bins))) / F.lit(float(bins)))
     return (df.where(F.col(score).isNotNull())
             .groupBy(*by, s.alias("score"))
             .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))

@@ -2,7 +2,7 @@
 
 Pattern used throughout: columns are turned into rows with one ``stack``/``explode``
 (so any number of columns costs one scan), per-group statistics are a small aggregate
-joined back through :func:`join_small`, and all counting is map-side combined.
+joined back NULL-safely, and all counting is map-side combined.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import join_null_safe, join_small, join_static
+from ..functions.scalar import quoted
+from .joins import join_null_safe, join_static
 from .ordered import running_totals
 
 GROUP = ["column", "class"]
@@ -28,15 +29,26 @@ KDE_CUT = 3.0
 
 
 def _class_col(by: str | None) -> Column:
-    return (F.col(by).cast("string") if by else F.lit(None).cast("string")).alias("class")
+    return (F.col(quoted(by)).cast("string") if by else F.lit(None).cast("string")).alias("class")
 
 
-def numeric_long(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
-    """(column, class, x) for every non-NULL, non-NaN value of the listed columns."""
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
-    long = df.select(_class_col(by), *[F.col(c) for c in columns]).selectExpr(
-        "class", f"stack({len(columns)}, {pairs}) AS (`column`, x)")
-    return long.where(F.col("x").isNotNull() & ~F.isnan("x"))
+def numeric_long(df: DataFrame, columns: list[str], by: str | None = None, finite: bool = False) -> DataFrame:
+    """(column, class, x) for every non-NULL, non-NaN value of the listed columns;
+    ``finite`` also leaves out infinite values, which have no bin."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).cast("double").alias("x"))
+                                for c in columns])).alias("_c")
+    long = df.select(_class_col(by), cells).select("class", "_c.column", "_c.x")
+    long = long.where(F.col("x").isNotNull() & ~F.isnan("x"))
+    return long.where(F.abs("x") < F.lit(float("inf"))) if finite else long
+
+
+def nonfinite_counts(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
+    """(column, class, n_null, n_nan, n_infinite): the values that binned summaries leave out."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).cast("double").alias("x"))
+                                for c in columns])).alias("_c")
+    return df.select(_class_col(by), cells).groupBy("_c.column", "class").agg(
+        F.count_if(F.col("_c.x").isNull()).alias("n_null"), F.count_if(F.isnan("_c.x")).alias("n_nan"),
+        F.count_if(F.abs(F.col("_c.x")) == F.lit(float("inf"))).alias("n_infinite"))
 
 
 # ---------------------------------------------------------------- crosstabs
@@ -79,7 +91,11 @@ def _sturges_fd_bins(n: Column, lo: Column, hi: Column, q1: Column, q3: Column)
     sturges = rng / (F.log(n) / F.log(F.lit(2.0)) + 1)
     fd = F.lit(2.0) * (q3 - q1) * F.pow(n, F.lit(-1.0 / 3.0))
     width = F.when(fd > 0, F.least(fd, sturges)).otherwise(sturges)
-    return F.when(rng > 0, F.ceil(rng / width)).otherwise(F.lit(1)).cast("int")
+    return F.when(rng > 0, F.ceil(rng / width)).otherwise(F.lit(1)).cast("bigint")
+
+
+# Bins of a group are made in two steps, so no array holds more than this many of them.
+BIN_BLOCK = 4096
 
 
 def histogram(df: DataFrame, columns: list[str], by: str | None = None, bins: int | str = 10,
@@ -91,10 +107,10 @@ def histogram(df: DataFrame, columns: list[str], by: str | None = None, bins: in
     count per group from the smaller width of the Sturges and Freedman-Diaconis rules; its
     quartiles are exact (linear interpolation, via :func:`quartiles`) or, with
     ``approx_quartiles``, from ``percentile_approx`` in the same aggregation.
-    Empty bins are present with count 0.
-    Output: column, class, bin, lo, hi, count.
+    Empty bins are present with count 0. Infinite values are left out (see
+    :func:`nonfinite_counts`). Output: column, class, bin, lo, hi, count.
     """
-    long = numeric_long(df, columns, by)
+    long = numeric_long(df, columns, by, finite=True)
     aggs = [F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx")]
     if bins == "auto" and approx_quartiles:
         aggs.append(F.percentile_approx("x", F.array(F.lit(0.25), F.lit(0.75)), 10000).alias("q"))
@@ -106,19 +122,22 @@ def histogram(df: DataFrame, columns: list[str], by: str | None = None, bins: in
     lo = F.when(same, F.col("mn") - 0.5).otherwise(F.col("mn"))
     hi = F.when(same, F.col("mx") + 0.5).otherwise(F.col("mx"))
     nb = (_sturges_fd_bins(F.col("n").cast("double"), F.col("mn"), F.col("mx"), F.col("q")[0], F.col("q")[1])
-          if bins == "auto" else F.lit(int(bins)))
+          if bins == "auto" else F.lit(int(bins)).cast("bigint"))
     stats = stats.select("column", "class", lo.alias("lo"), hi.alias("hi"), nb.alias("nbins"))
     width = (F.col("hi") - F.col("lo")) / F.col("nbins")
 
     # One stats row per (column, class): joined back through a size-checked broadcast.
-    binned = join_small(long, stats, GROUP, "inner", null_safe=True)
-    b = F.least(F.floor((F.col("x") - F.col("lo")) / width).cast("int"), F.col("nbins") - 1)
+    binned = join_null_safe(long, stats, GROUP)
+    b = F.least(F.floor((F.col("x") - F.col("lo")) / width).cast("bigint"), F.col("nbins") - 1)
     counts = binned.groupBy("column", "class", b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    grid = stats.select("column", "class", "lo", "hi", "nbins",
-                        F.explode(F.sequence(F.lit(0), F.col("nbins") - 1)).alias("bin"))
+    blocks = F.sequence(F.lit(0), F.floor((F.col("nbins") - 1) / BIN_BLOCK).cast("int"))
+    first = F.col("block").cast("bigint") * BIN_BLOCK
+    grid = stats.select("column", "class", "lo", "hi", "nbins", F.explode(blocks).alias("block")).select(
+        "column", "class", "lo", "hi", "nbins",
+        F.explode(F.sequence(first, F.least(first + (BIN_BLOCK - 1), F.col("nbins") - 1))).alias("bin"))
     out = join_null_safe(grid, counts, [*GROUP, "bin"], "left")
     return out.select(
-        "column", "class", "bin",
+        "column", "class", F.col("bin").cast("int" if bins != "auto" else "bigint").alias("bin"),
         F.round(F.col("lo") + F.col("bin") * width, digits).alias("lo"),
         F.round(F.when(F.col("bin") == F.col("nbins") - 1, F.col("hi"))
                 .otherwise(F.col("lo") + (F.col("bin") + 1) * width), digits).alias("hi"),
@@ -140,7 +159,7 @@ def kde(df: DataFrame, columns: list[str], by: str | None = None, grid_size: int
     shuffled. Groups with fewer than 2 values or zero spread are omitted.
     Output: column, class, grid_index, x, density.
     """
-    long = numeric_long(df, columns, by)
+    long = numeric_long(df, columns, by, finite=True)
     stats = long.groupBy("column", "class").agg(
         F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("mn"),
         F.max("x").alias("mx"))
@@ -151,14 +170,14 @@ def kde(df: DataFrame, columns: list[str], by: str | None = None, grid_size: int
                            "g_hi": F.col("mx") + F.lit(float(cut)) * F.col("bw")}))
     if bins:
         w = (F.col("mx") - F.col("mn")) / F.lit(int(bins))
-        with_stats = join_small(long, stats, GROUP, "inner", null_safe=True)
+        with_stats = join_null_safe(long, stats, GROUP)
         b = F.least(F.floor((F.col("x") - F.col("mn")) / w).cast("int"), F.lit(int(bins) - 1))
         points = (with_stats.groupBy("column", "class", b.alias("b"))
                   .agg(F.count(F.lit(1)).alias("cnt"), F.first("mn").alias("mn"), F.first("mx").alias("mx"))
                   .select("column", "class", (F.col("mn") + (F.col("b") + 0.5) * w).alias("x"), "cnt"))
     else:
         points = long.groupBy("column", "class", "x").agg(F.count(F.lit(1)).alias("cnt"))
-    pts = join_small(points, stats, GROUP, "inner", null_safe=True)
+    pts = join_null_safe(points, stats, GROUP)
     step = (F.col("g_hi") - F.col("g_lo")) / F.lit(grid_size - 1)
     j = F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))).alias("grid_index")
     expanded = pts.select("column", "class", "x", "cnt", "bw", "n", "g_lo", "g_hi", j)
@@ -220,17 +239,17 @@ def box_stats(df: DataFrame, columns: list[str], by: str | None = None, whisker:
     """
     long = numeric_long(df, columns, by)
     if approx:
-        values = long.groupBy("column", "class", "x").agg(F.count(F.lit(1)).alias("cnt"))
+        values = long.withColumn("cnt", F.lit(1))   # whiskers and outliers: partial sums in each task
         q = long.groupBy("column", "class").agg(
             F.count(F.lit(1)).alias("n"),
             F.percentile_approx("x", F.array(F.lit(.25), F.lit(.5), F.lit(.75)), accuracy).alias("q"))
         qs = q.select("column", "class", "n", *[F.col("q")[i].alias(f"q{i}") for i in range(3)])
     else:
-        values = _ranked_values(long)            # checkpointed: reused by both aggregations
+        values = _ranked_values(long)
         qs = _quantiles_from_ranked(values, (0.25, 0.5, 0.75))
     iqr = F.col("q2") - F.col("q0")
     qs = qs.withColumns({"iqr": iqr, "f_lo": F.col("q0") - whisker * iqr, "f_hi": F.col("q2") + whisker * iqr})
-    j = join_small(values.select("column", "class", "x", "cnt"), qs, GROUP, "inner", null_safe=True)
+    j = join_null_safe(values.select("column", "class", "x", "cnt"), qs, GROUP)
     # A value below the lower whisker is exactly a value below the lower fence (the
     # whisker is the smallest value at or above the fence, or q1 when none lies in
     # [fence, q1]); likewise above.
@@ -260,17 +279,17 @@ def scatter_bins(df: DataFrame, columns: list[str], by: str | None = None, bins:
     The density-preserving summary of a scatter plot: each axis is cut into ``bins``
     equal-width bins over the column's overall [min, max] (shared by all classes, so
     class layers align). Rows with NULL/NaN in either column of a pair are left out of
-    that pair. Output: column_x, column_y, class, bin_x, bin_y, count.
+    that pair, and so are infinite ones. Output: column_x, column_y, class, bin_x, bin_y, count.
     """
-    long = numeric_long(df, columns, by)
+    long = numeric_long(df, columns, by, finite=True)
     lim = long.groupBy("column").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     pairs = list(itertools.combinations(columns, 2))
     cells = F.explode(F.array(*[
         F.struct(F.lit(a).alias("column_x"), F.lit(b).alias("column_y"),
-                 F.col(a).cast("double").alias("vx"), F.col(b).cast("double").alias("vy"))
+                 F.col(quoted(a)).cast("double").alias("vx"), F.col(quoted(b)).cast("double").alias("vy"))
         for a, b in pairs]))
     pts = df.select(_class_col(by), cells.alias("c")).select("class", "c.*")
-    pts = pts.where(F.col("vx").isNotNull() & ~F.isnan("vx") & F.col("vy").isNotNull() & ~F.isnan("vy"))
+    pts = pts.where((F.abs("vx") < F.lit(float("inf"))) & (F.abs("vy") < F.lit(float("inf"))))
     # ``lim`` has one row per listed column: its size is fixed by the arguments.
     lx = lim.select(F.col("column").alias("column_x"), F.col("lo").alias("lo_x"), F.col("hi").alias("hi_x"))
     ly = lim.select(F.col("column").alias("column_y"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"))

@@ -1,27 +1,11 @@
-"""Joins against small derived tables, broadcast only behind a measured size."""
+"""Joins against derived tables. The strategy is left to adaptive execution, which
+broadcasts a side only when its measured bytes are below the session's threshold."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest side we ever ship to every executor, in rows (each row here is a handful of
-# numbers: stats per group, offsets per range, thresholds).
-DEFAULT_BOUND_ROWS = 1_000_000
-
-# Small tables persisted by join_small; released by release_small_tables().
-_PERSISTED: list[DataFrame] = []
-
-
-def release_small_tables() -> int:
-    """Unpersist the small tables cached by :func:`join_small` so far. Safe at any time:
-    a released table is recomputed from its lineage if still referenced."""
-    n = len(_PERSISTED)
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
-    return n
-
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL matches NULL (a NULL group is still a group).
@@ -37,23 +21,6 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return out.drop(*[f"_r_{k}" for k in keys])
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               bound_rows: int = DEFAULT_BOUND_ROWS, null_safe: bool = False) -> DataFrame:
-    """Join ``big`` with a derived ``small`` table.
-
-    ``small`` is materialised once (persisted, so the join reuses it) and counted; it is
-    broadcast only when the count is within ``bound_rows``. Beyond that the join stays a
-    shuffle join and AQE picks the strategy from runtime sizes.
-    """
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    _PERSISTED.append(small)
-    n = small.count()
-    side = F.broadcast(small) if n <= bound_rows else small
-    if null_safe:
-        return join_null_safe(big, side, list(on), how)
-    return big.join(side, on, how)
-
-
 def join_static(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
     """Broadcast join for a side whose size is fixed by parameters, not by data
     (a threshold grid, a list of columns). Callers state the bound."""

@@ -6,13 +6,13 @@ feature-name list of the assembler (model metadata, one entry per vector slot).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cached
 from .features import FEATURES
 
 # The reference's tuned boosted-trees settings.
@@ -49,12 +49,10 @@ def fit_models(train: DataFrame, feature_stages: list, estimators: dict) -> dict
     """Several learners on the same features (H3): the feature stages are fitted and
     applied once, the featurised training set is persisted and shared by every learner."""
     feat = Pipeline(stages=feature_stages).fit(train)
-    feats = feat.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    used = {est.getOrDefault(p) for est in estimators.values() for p in (est.labelCol, est.featuresCol)}
+    with cached(feat.transform(train).select(*sorted(used))) as feats:   # not the columns the vector repeats
         return {name: PipelineModel(stages=list(feat.stages) + [est.fit(feats)])
                 for name, est in estimators.items()}
-    finally:
-        feats.unpersist()
 
 
 def positive_probability(col: str = "probability") -> F.Column:
@@ -113,6 +111,16 @@ def score_models(models: dict[str, PipelineModel], df: DataFrame, label: str,
                        F.col("_m.p1").alias("p1"))
 
 
+def score_side_by_side(models: dict[str, PipelineModel], df: DataFrame) -> DataFrame:
+    """Class-1 probability of every model in a column of its name, for the same rows in one scan."""
+    out = df
+    for i, (name, model) in enumerate(models.items()):
+        before = set(out.columns)
+        out = model.transform(out).withColumn(f"_p{i}", positive_probability())
+        out = out.drop(*[c for c in out.columns if c not in before and c != f"_p{i}"])
+    return out.select(*[F.col(f"_p{i}").alias(name) for i, name in enumerate(models)])
+
+
 def slot_names(transformed: DataFrame, features: str = FEATURES) -> list[str]:
     """Assembler slot names from the vector column's ML attribute metadata."""
     attrs = transformed.schema[features].metadata.get("ml_attr", {}).get("attrs", {})

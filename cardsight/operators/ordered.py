@@ -3,31 +3,55 @@
 ``sum(x) over (order by k)`` with no PARTITION BY moves every row to a single task.
 ``running_totals`` computes the same inclusive prefix sums in two levels:
 
-1. range-partition the rows by (group, order key) - Spark samples the key, so ranges
-   are balanced even when the keys are skewed - and record each row's range id;
-   the result is checkpointed (reliable, shared folder) so the ids are fixed data
-   and a recomputed task can never see different ranges;
+1. one job reads the row count and fixed split points (quantiles of the keys, a list as
+   long as the number of ranges); the range of a row is a pure function of its key, so a
+   recomputed task puts it in the same range and nothing has to be checkpointed;
 2. per-range sums (one row per range and group) -> offsets of earlier ranges with a
    window over that small table;
-3. within each range a partitioned window adds the running sum to the range offset.
+3. within each range a partitioned window adds the running sum to the range offset; its
+   exchange is the only one for the rows themselves.
 
-Input keys must be distinct within a group (aggregate first). Work per task is
-bounded by the range size, not by the table or group size.
+Input keys must be distinct within a group (aggregate first). There are enough ranges
+for about ``ROWS_PER_RANGE`` rows each, so work per task does not grow with the table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-from .joins import join_small
+from .joins import join_null_safe
 
 RANGE_ID = "_range"
+ROWS_PER_RANGE = 200_000
+
+
+def split_points(df: DataFrame, order_col: str, ranges: int | None = None) -> list[float]:
+    """Keys that cut ``df`` into ranges of about equal size (NULL and NaN keys left out)."""
+    key = F.col(order_col).cast("double")
+    known = df.where(key.isNotNull() & ~F.isnan(key)).select(key.alias("k"))
+    n = ranges
+    if n is None:
+        n = max(1, math.ceil(known.count() / ROWS_PER_RANGE))
+    if n == 1:
+        return []
+    return sorted(set(known.approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n)))
+
 
+def range_of(key: Column, splits: list[float]) -> Column:
+    """How many split points lie below ``key`` (NaN is above all of them, NULL is -1).
 
-def default_ranges(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    Found in two steps over about sqrt(n) points each instead of comparing with all n."""
+    if not splits:
+        return F.when(key.isNull(), F.lit(-1)).otherwise(F.lit(0))
+    step = max(1, math.isqrt(len(splits)))
+    lit = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    below = lambda xs: F.size(F.filter(xs, lambda s: s < key))
+    block = below(lit(splits[step - 1::step]))
+    return F.when(key.isNull(), F.lit(-1)).otherwise(
+        block * step + below(F.slice(lit(splits), block * step + 1, F.lit(step))))
 
 
 def running_totals(df: DataFrame, order_col: str, value_cols: list[str], by: list[str] | None = None,
@@ -37,26 +61,23 @@ def running_totals(df: DataFrame, order_col: str, value_cols: list[str], by: lis
     before or equal to this row's key (``descending`` flips the order), and
     ``<v>_total`` = the group's sum (attached through the same small join)."""
     by = list(by or [])
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = ranges or default_ranges(df)
     key = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    parted = (df.repartitionByRange(n, *[F.col(c) for c in by], key)
-              .withColumn(RANGE_ID, F.spark_partition_id())
-              .checkpoint(eager=True))
+    splits = split_points(df, order_col, ranges)
+    parted = df.withColumn(RANGE_ID, range_of(F.col(order_col).cast("double"), splits))
 
     totals = parted.groupBy(RANGE_ID, *by).agg(*[F.sum(v).alias(f"_tot_{v}") for v in value_cols])
-    before = Window.partitionBy(*by).orderBy(RANGE_ID).rowsBetween(Window.unboundedPreceding, -1)
+    in_order = F.col(RANGE_ID).desc() if descending else F.col(RANGE_ID).asc()
+    before = Window.partitionBy(*by).orderBy(in_order).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
+    # one row per (range, group)
     offsets = totals.select(RANGE_ID, *by, *[
         F.coalesce(F.sum(f"_tot_{v}").over(before), F.lit(0)).alias(f"_off_{v}") for v in value_cols], *[
         F.sum(f"_tot_{v}").over(whole).alias(f"{v}_total") for v in value_cols])
 
-    # One offsets row per (range, group): at most ranges + groups rows.
-    joined = join_small(parted, offsets, [RANGE_ID, *by], bound_rows=n + 100_000, null_safe=True)
+    joined = join_null_safe(parted, offsets, [RANGE_ID, *by])
     within = (Window.partitionBy(RANGE_ID, *by).orderBy(key)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return joined.select(
-        *[c for c in df.columns],
+        *[F.col(f"`{c}`") for c in df.columns],
         *[(F.col(f"_off_{v}") + F.sum(v).over(within)).alias(f"{v}{suffix}") for v in value_cols],
         *[f"{v}_total" for v in value_cols])

@@ -35,10 +35,11 @@ def stratified_sample(df: DataFrame, column: str, fractions: dict, seed: int, ke
 
     Same strata semantics as D1 (absent strata dropped unless ``default`` is given), but
     reproducible on any layout; a pure filter, so it fuses with the scan and never shuffles.
+    Rows with a NULL key are kept or left out together.
     """
     return df.where(hash01(key, seed) < _fraction_expr(column, fractions, default))
 
 
 def assign_folds(df: DataFrame, k: int, seed: int, key: str, column: str = "fold") -> DataFrame:
-    """Fold number 0..k-1 per row from a hash of (seed, key) (K4)."""
+    """Fold number 0..k-1 per row from a hash of (seed, key) (K4); NULL keys share a fold."""
     return df.withColumn(column, F.floor(hash01(key, seed) * F.lit(k)).cast("int"))

@@ -1,72 +1,111 @@
 """Cross-validation and evolutionary parameter search (K4-K6).
 
-Folds come from a hash of (seed, key), so they are the same on any layout and after
-any retry. Each fold is fitted once; held-out predictions of all folds are evaluated in
-one grouped aggregation, for every metric at once. The search loop is on the driver
-(it holds a few parameter sets and scores); each fitness evaluation is a set of Spark
-jobs.
+Folds come from a hash of (seed, key), so they are the same on any layout and after any
+retry. Feature stages do not depend on a trial's parameters: they are fitted once a fold,
+and the label and feature vector of every fold are kept while trials share them. Held-out
+predictions of all folds are evaluated in one grouped aggregation, for every metric at
+once. The search loop is on the driver (it holds parameter sets and scores); each trial is
+a set of Spark jobs, run in threads that keep the caller's job group and scheduler pool.
 """
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import json
-import math
 import random
 import time
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline
+from pyspark.errors import IllegalArgumentException
+from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
+from ..session import cached
 from .evaluate import MULTI_METRICS, multi_metrics
 from .sampling import assign_folds
 
 
-def cv_predictions(train: DataFrame, pipeline: Pipeline, label: str, k: int = 3, seed: int = 0,
-                   key: str = "txn_id", prediction: str = "prediction", parallelism: int = 1) -> DataFrame:
-    """Held-out predictions of k-fold CV: (fold, label, prediction). One fit per fold;
-    with ``parallelism`` > 1 the fold fits run as concurrent Spark jobs."""
-    folded = assign_folds(train, k, seed, key, column="_fold").persist(StorageLevel.MEMORY_AND_DISK)
-
-    def fit_fold(i):
-        return pipeline.copy().fit(folded.where(F.col("_fold") != i))
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        fitted = list(pool.map(fit_fold, range(k)))
-    frames = []
-    for i, model in enumerate(fitted):
-        held = model.transform(folded.where(F.col("_fold") == i))
-        frames.append(held.select(F.lit(i).alias("fold"), F.col(label), F.col(prediction)))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def run_all(spark, jobs: list[Callable], parallelism: int = 1) -> list:
+    """Results of ``jobs``, at most ``parallelism`` at a time, in threads that inherit the job
+    group, description and pool of the caller."""
+    if parallelism <= 1 or len(jobs) <= 1:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+
+
+class Folds:
+    """Label and features of the k training and held-out portions, shared by all trials."""
+
+    def __init__(self, parts: list[tuple[DataFrame, DataFrame]], label: str):
+        self.parts, self.label = parts, label
+
+    def held_out(self, learner: Estimator, prediction: str = "prediction", parallelism: int = 1) -> DataFrame:
+        """(fold, label, prediction): each fold's rows, predicted by the learner fitted on the others."""
+        spark = self.parts[0][0].sparkSession
+        fitted = run_all(spark, [lambda t=train: learner.fit(t) for train, _ in self.parts], parallelism)
+        frames = [model.transform(held).select(F.lit(i).alias("fold"), F.col(self.label), F.col(prediction))
+                  for i, (model, (_, held)) in enumerate(zip(fitted, self.parts))]
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out
+
+
+@contextlib.contextmanager
+def fold_features(train: DataFrame, pipeline: Pipeline, label: str, k: int = 3, seed: int = 0,
+                  key: str = "txn_id") -> Iterator[Folds]:
+    """Fit and apply all stages but the last once a fold; everything kept is released at the end."""
+    stages = pipeline.getStages()
+    features, learner = Pipeline(stages=stages[:-1]), stages[-1]
+    vector = learner.getOrDefault(learner.featuresCol)
+    with contextlib.ExitStack() as held:
+        folded = held.enter_context(cached(assign_folds(train, k, seed, key, column="_fold")))
+        parts = []
+        for i in range(k):
+            rest, own = folded.where(F.col("_fold") != i), folded.where(F.col("_fold") == i)
+            model = features.fit(rest)
+            parts.append(tuple(held.enter_context(cached(model.transform(x).select(label, vector))) for x in (rest, own)))
+        yield Folds(parts, label)
+
+
+def fold_metrics(preds: DataFrame, label: str, metric_label: float = 0.0) -> DataFrame:
+    """(metric, mean, std, folds) over the folds of held-out predictions."""
+    per_fold = multi_metrics(preds, label, "prediction", by=["fold"], metric_label=metric_label)
+    return per_fold.groupBy("metric").agg(
+        F.round(F.avg("value"), 9).alias("mean"), F.round(F.stddev_samp("value"), 9).alias("std"),
+        F.count(F.lit(1)).alias("folds"))
 
 
 def cross_validate(train: DataFrame, pipeline: Pipeline, label: str, k: int = 3, seed: int = 0,
                    key: str = "txn_id", metric_label: float = 0.0, parallelism: int = 1) -> DataFrame:
     """k-fold CV for all seven multiclass metrics at once (K4, K5).
 
-    Output (metric, mean, std, folds): the mean over folds of each held-out metric,
-    not the refit model's score on its own training data.
+    Output (metric, mean, std, folds): the mean over folds of each held-out metric, not the
+    refit model's score on its own training data. The seven rows are computed here, so that
+    the folds' data can be released.
     """
-    preds = cv_predictions(train, pipeline, label, k, seed, key, parallelism=parallelism)
-    per_fold = multi_metrics(preds, label, "prediction", by=["fold"], metric_label=metric_label)
-    return per_fold.groupBy("metric").agg(
-        F.round(F.avg("value"), 9).alias("mean"), F.round(F.stddev_samp("value"), 9).alias("std"),
-        F.count(F.lit(1)).alias("folds"))
+    with fold_features(train, pipeline, label, k, seed, key) as folds:
+        out = fold_metrics(folds.held_out(pipeline.getStages()[-1], parallelism=parallelism), label, metric_label)
+        return train.sparkSession.createDataFrame(out.collect(), out.schema)   # one row a metric
 
 
 def refit_metrics(train: DataFrame, pipeline: Pipeline, label: str, metric_label: float = 0.0) -> DataFrame:
     """All seven metrics of the pipeline refitted on ``train`` and scored on ``train``
-    itself (the optimistic figure the refit best model reports): one fit, one aggregate,
-    whatever the number of metrics. Output (metric, value)."""
-    model = pipeline.fit(train)
-    return multi_metrics(model.transform(train), label, "prediction", metric_label=metric_label)
+    itself (the optimistic figure the refit best model reports): one feature fit, one
+    learner fit, one aggregate, whatever the number of metrics. Output (metric, value)."""
+    stages = pipeline.getStages()
+    learner = stages[-1]
+    features = Pipeline(stages=stages[:-1]).fit(train)
+    with cached(features.transform(train).select(label, learner.getOrDefault(learner.featuresCol))) as rows:
+        out = multi_metrics(learner.fit(rows).transform(rows), label, "prediction", metric_label=metric_label)
+        return train.sparkSession.createDataFrame(out.collect(), out.schema)   # one row a metric
 
 
 def cross_validator_native(pipeline: Pipeline, train: DataFrame, label: str, metric: str = "f1",
@@ -82,104 +121,96 @@ def cross_validator_native(pipeline: Pipeline, train: DataFrame, label: str, met
 class EvolutionarySearch:
     """Evolutionary search over a discrete parameter grid (K6).
 
-    Population of ``population`` parameter sets drawn from ``ranges``; fitness = CV mean
-    of ``metric`` on held-out folds; the two best are parents and survive (elitism);
-    children come from uniform crossover (each gene swapped with p = 0.5) and up to
-    ``mutations`` re-draws, each with probability ``mutation_prob``; the population size
-    stays ``population``. Stops when the best score reaches ``score_limit``, after
-    ``generations`` generations, or when ``time_limit_min`` has passed (checked between
-    generations). Each trial fits a copy of the last stage with its own parameters, so
-    with ``parallelism`` > 1 the new members of a generation are scored concurrently
-    (each as its own Spark jobs); repeated parameter sets are scored once. Seeded: all
-    random draws happen on the driver, in order, outside the scoring.
+    The grid of ``ranges`` is listed once and a candidate is its position in that list. A
+    generation scores ``population`` candidates that were not scored before, by the mean
+    held-out ``metric`` over the folds. If the budget (population times generations) covers
+    the grid, the generations walk through it in order. Otherwise the first generation is drawn
+    at random; each later candidate mates the two best so far - a random mask says which
+    parent gives each parameter, and with ``mutation_prob`` up to ``mutations`` parameters are
+    drawn anew - and one that is already scored gives way to a random candidate that is not.
+
+    Ends when the grid is used up, when the best score reaches ``score_limit``, after
+    ``generations`` generations, or after ``time_limit_min`` minutes (None: no limit; checked
+    between generations). Parameters the learner refuses are logged with their error and rank
+    last; any other failure is raised, and so is a search without a single score. Seeded: all
+    draws happen on the driver, in order, so results do not depend on ``parallelism``.
     """
 
     def __init__(self, pipeline: Pipeline, ranges: dict[str, list], label: str, metric: str = "f1",
                  population: int = 6, generations: int | None = None, score_limit: float = 1.0,
-                 time_limit_min: float = 30.0, mutation_prob: float = 0.1, mutations: int = 1,
+                 time_limit_min: float | None = None, mutation_prob: float = 0.1, mutations: int = 1,
                  folds: int = 5, seed: int = 0, key: str = "txn_id", parallelism: int = 1):
         if population < 1:
             raise ValueError("population must be >= 1")
         if metric not in MULTI_METRICS:
             raise ValueError(f"metric must be one of {MULTI_METRICS}")
-        self.pipeline, self.ranges, self.label, self.metric = pipeline, ranges, label, metric
+        self.pipeline, self.label, self.metric = pipeline, label, metric
+        self.names, self.values = list(ranges), [list(v) for v in ranges.values()]
+        self.grid = list(itertools.product(*[range(len(v)) for v in self.values]))
+        self.position = {genes: i for i, genes in enumerate(self.grid)}
         self.population, self.generations = population, generations
-        self.score_limit, self.time_limit = score_limit, time_limit_min * 60.0
+        self.score_limit, self.time_limit_min = score_limit, time_limit_min
         self.mutation_prob, self.mutations, self.folds = mutation_prob, mutations, folds
         self.seed, self.key, self.parallelism = seed, key, max(1, parallelism)
-        self.rng = random.Random(seed)
-        self.memo: dict[tuple, float] = {}
+        self.scores: dict[int, float | None] = {}
         self.trials: list[tuple] = []
         self.best_per_generation: list[float] = []
 
-    def _draw(self) -> dict:
-        return {name: self.rng.choice(values) for name, values in self.ranges.items()}
-
-    def _pipeline_for(self, chrom: dict) -> Pipeline:
-        stages = self.pipeline.getStages()
-        est = stages[-1]
-        tuned = est.copy({est.getParam(k): v for k, v in chrom.items()})
-        return Pipeline(stages=list(stages[:-1]) + [tuned])
-
-    def fitness(self, train: DataFrame, chrom: dict) -> float:
-        k = tuple(sorted(chrom.items()))
-        if k not in self.memo:
-            try:
-                cv = cross_validate(train, self._pipeline_for(chrom), self.label, self.folds, self.seed, self.key)
-                row = cv.where(F.col("metric") == self.metric).select("mean").first()
-                self.memo[k] = float(row[0]) if row and row[0] is not None else float("-inf")
-            except Exception:  # a failing parameter set ranks last
-                self.memo[k] = float("-inf")
-        return self.memo[k]
-
-    def _crossover(self, a: dict, b: dict) -> tuple[dict, dict]:
-        c1, c2 = dict(a), dict(b)
-        for name in self.ranges:
-            if self.rng.random() < 0.5:
-                c1[name], c2[name] = c2[name], c1[name]
-        return c1, c2
-
-    def _mutate(self, c: dict) -> dict:
-        m = dict(c)
-        for _ in range(self.mutations):
-            if self.rng.random() < self.mutation_prob:
-                name = self.rng.choice(list(self.ranges))
-                m[name] = self.rng.choice(self.ranges[name])
-        return m
+    def params(self, candidate: int) -> dict:
+        return {n: v[g] for n, v, g in zip(self.names, self.values, self.grid[candidate])}
+
+    def _score(self, folds: Folds, candidate: int) -> tuple[float | None, str | None]:
+        learner = self.pipeline.getStages()[-1]
+        try:
+            tuned = learner.copy({learner.getParam(k): v for k, v in self.params(candidate).items()})
+            rows = fold_metrics(folds.held_out(tuned), self.label).where(F.col("metric") == self.metric).collect()
+        except (IllegalArgumentException, TypeError, ValueError) as e:
+            return None, f"{type(e).__name__}: {str(e)[:200]}"
+        return (float(rows[0]["mean"]), None) if rows and rows[0]["mean"] is not None else (None, "no held-out rows")
+
+    def _next_generation(self, rng: random.Random, walk: bool) -> list[int]:
+        left = [i for i in range(len(self.grid)) if i not in self.scores]
+        if walk or len(left) <= self.population:
+            return left[:self.population]
+        ranked = sorted((c for c, s in self.scores.items() if s is not None), key=lambda c: (-self.scores[c], c))
+        if not ranked:
+            return rng.sample(left, self.population)
+        mates = self.grid[ranked[0]], self.grid[ranked[min(1, len(ranked) - 1)]]
+        chosen: list[int] = []
+        while len(chosen) < self.population:
+            mask = rng.getrandbits(len(self.names))
+            genes = [mates[mask >> i & 1][i] for i in range(len(self.names))]
+            for _ in range(self.mutations):
+                if rng.random() < self.mutation_prob:
+                    at = rng.randrange(len(genes))
+                    genes[at] = rng.randrange(len(self.values[at]))
+            child = self.position[tuple(genes)]
+            if child in self.scores or child in chosen:
+                child = rng.choice([i for i in left if i not in chosen])
+            chosen.append(child)
+        return chosen
 
     def run(self, train: DataFrame) -> tuple[dict, float]:
-        train = train.persist(StorageLevel.MEMORY_AND_DISK)
-        start = time.time()
-        pop = [self._draw() for _ in range(self.population)]
-        best: tuple[dict, float] | None = None
-        gen = 0
-        while True:
-            fresh = list({tuple(sorted(c.items())): c for c in pop
-                          if tuple(sorted(c.items())) not in self.memo}.values())
-            with ThreadPoolExecutor(max_workers=self.parallelism) as pool:
-                list(pool.map(lambda c: self.fitness(train, c), fresh))
-            scored = [(c, self.fitness(train, c)) for c in pop]
-            for t, (c, s) in enumerate(scored):
-                self.trials.append((gen, t, json.dumps(c, sort_keys=True), s))
-            ranked = sorted(scored, key=lambda cs: cs[1], reverse=True)   # stable: earlier wins ties
-            self.best_per_generation.append(ranked[0][1])
-            if best is None or ranked[0][1] > best[1]:
-                best = ranked[0]
-            gen += 1
-            if (ranked[0][1] >= self.score_limit or (self.generations is not None and gen >= self.generations)
-                    or time.time() - start >= self.time_limit):
-                break
-            parents = [ranked[0][0], ranked[min(1, len(ranked) - 1)][0]]
-            nxt = [dict(p) for p in parents][: self.population]
-            while len(nxt) < self.population:
-                a, b = self._crossover(parents[0], parents[1])
-                nxt.append(self._mutate(a))
-                if len(nxt) < self.population:
-                    nxt.append(self._mutate(b))
-            pop = nxt
-        return best[0], best[1]
+        rng, start = random.Random(self.seed), time.monotonic()
+        walk = self.generations is not None and self.population * self.generations >= len(self.grid)
+        with fold_features(train, self.pipeline, self.label, self.folds, self.seed, self.key) as folds:
+            for generation in itertools.count():
+                trial = self._next_generation(rng, walk)
+                results = run_all(train.sparkSession, [lambda c=c: self._score(folds, c) for c in trial], self.parallelism)
+                for nth, (c, (score, error)) in enumerate(zip(trial, results)):
+                    self.scores[c] = score
+                    self.trials.append((generation, nth, json.dumps(self.params(c), sort_keys=True), score, error))
+                known = [s for s in self.scores.values() if s is not None]
+                self.best_per_generation.append(max(known, default=float("-inf")))
+                late = self.time_limit_min is not None and time.monotonic() - start >= 60 * self.time_limit_min
+                if (len(self.scores) == len(self.grid) or late or self.best_per_generation[-1] >= self.score_limit
+                        or (self.generations is not None and generation + 1 >= self.generations)):
+                    break
+        if not known:
+            raise RuntimeError(f"no parameter set could be scored; the first failure was {self.trials[0][4]}")
+        best = min((c for c, s in self.scores.items() if s is not None), key=lambda c: (-self.scores[c], c))
+        return self.params(best), self.scores[best]
 
     def trial_log(self, spark) -> DataFrame:
-        """(generation, trial, params, score) for every evaluated member."""
-        rows = [(g, t, p, None if (s is None or math.isinf(s)) else float(s)) for g, t, p, s in self.trials]
-        return spark.createDataFrame(rows, "generation int, trial int, params string, score double")
+        """(generation, trial, params, score, error) of every candidate scored."""
+        return spark.createDataFrame(self.trials, "generation int, trial int, params string, score double, error string")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from ..operators import features, prepare
+from ..sources import files
 from ..sources.tables import AS_OF, TXN_SQL
 from .q_prepare import prepared_txn
 from .registry import query
@@ -34,7 +37,6 @@ def model_frame(spark, sf_dir):
 def _pairs_sql():
     cols = []
     names = features.pairwise_names(NUMERIC)
-    import itertools
     pairs = list(itertools.combinations(NUMERIC, 2))
     exprs = ([f"CAST({a} AS DOUBLE) * CAST({b} AS DOUBLE)" for a, b in pairs]
              + [f"CAST({a} AS DOUBLE) + CAST({b} AS DOUBLE)" for a, b in pairs]
@@ -111,22 +113,51 @@ def q_string_index(spark, sf_dir):
 
 
 @query("one_hot", f"""{M}, ranks AS ({_RANK_SQL}),
-long AS ({' UNION ALL '.join(f"SELECT txn_id, '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM m" for c in CATEGORICAL)})
-SELECT l.txn_id, l."column", r.idx AS slot FROM long l LEFT JOIN ranks r ON l."column" = r."column" AND l.value = r.value""")
+long AS ({' UNION ALL '.join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM m" for c in CATEGORICAL)})
+SELECT r."column", r.idx AS slot, (SELECT count(*) FROM m) AS rows, count(*) AS nonzeros
+FROM long l JOIN ranks r ON l."column" = r."column" AND l.value = r.value GROUP BY r."column", r.idx""")
 def q_one_hot(spark, sf_dir):
+    """Rows of each slot, counted from the encoded vectors."""
     out = _indexed(spark, sf_dir)
-    return features.ohe_slots(out, {c: f"{c}_ohe" for c in CATEGORICAL}, "txn_id")
+    parts = [features.vector_slots(out, f"{c}_ohe").select(F.lit(c).alias("column"), "slot", "rows", "nonzeros")
+             for c in CATEGORICAL]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query("assembled", f"""{M}
-SELECT CAST(100 + (SELECT count(DISTINCT merchant) + count(DISTINCT category) + count(DISTINCT gender)
-                          + count(DISTINCT job) FROM m) AS INTEGER) AS width,
-       count(*) AS rows
-FROM m WHERE {' AND '.join(f'{c} > 0' for c in NUMERIC)}""")
+def _slot_sql():
+    pairs = list(itertools.combinations(NUMERIC, 2))
+    exprs = [(c, c) for c in NUMERIC] + [(f"ln_{c}", f"ln({c})") for c in NUMERIC]
+    for op in "*+-":
+        exprs += [(f"{a}{op}{b}", f"CAST({a} AS DOUBLE) {op} CAST({b} AS DOUBLE)") for a, b in pairs]
+    numbers = " UNION ALL ".join(
+        f"SELECT '{n}' AS name, count(*) AS rows, count(*) FILTER (WHERE ({e}) <> 0) AS nonzeros, "
+        f"round(avg({e}), 4) AS mean FROM f" for n, e in exprs)
+    codes = " UNION ALL ".join(
+        f"""SELECT '{c}_ohe_' || v.value, (SELECT count(*) FROM f), count(f.{c}),
+            round(count(f.{c}) / (SELECT count(*) FROM f), 4)
+            FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS value FROM m) v LEFT JOIN f ON CAST(f.{c} AS VARCHAR) = v.value
+            GROUP BY v.value""" for c in CATEGORICAL)
+    return f"{M}, f AS (SELECT * FROM m WHERE {' AND '.join(f'{c} > 0' for c in NUMERIC)}) {numbers} UNION ALL {codes}"
+
+
+@query("assembled", _slot_sql())
 def q_assembled(spark, sf_dir):
+    """Rows, non-zeros and mean of every slot, from the assembled vectors."""
     df = model_frame(spark, sf_dir)
     model = Pipeline(stages=features.feature_stages(CATEGORICAL, NUMERIC)).fit(df)
-    return features.vector_width(model.transform(df))
+    return features.named_slots(model.transform(df)).select("name", "rows", "nonzeros", F.round("mean", 4).alias("mean"))
+
+
+@query("feature_roles", "SELECT * FROM (VALUES " + ", ".join(
+    [f"('{c}', 'categorical')" for c in CATEGORICAL] + [f"('{c}', 'numeric')" for c in NUMERIC]) + ") AS t(name, role)")
+def q_feature_roles(spark, sf_dir):
+    """Roles of the model input's columns by type, checked against the columns' values."""
+    df = model_frame(spark, sf_dir)
+    cat, num = files.feature_roles(df, exclude=["txn_id", "portion"])
+    counts = df.agg(*[F.count(c).alias(c) for c in cat + num])
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(r).alias("role"), F.col(c).alias("n"))
+                      for r, cs in (("categorical", cat), ("numeric", num)) for c in cs])
+    return counts.select(F.inline(cells)).where("n > 0").select("name", "role")
 
 
 def split_model_frame(spark, sf_dir):

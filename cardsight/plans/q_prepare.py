@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import distribution, prepare, sampling
 from ..session import scratch_path
-from ..sources import files
-from ..sources.tables import AS_OF, TXN_SQL, load_txn, table
+from ..sources import files, schemas
+from ..sources.tables import AS_OF, TXN_SQL, load_txn, table, txn_view
 from .registry import query
 
 W = f"WITH txn AS ({TXN_SQL})"
@@ -85,7 +85,8 @@ def q_tag_union(spark, sf_dir):
 
 @query("split_counts", f"{W} SELECT portion, count(*) AS count FROM txn GROUP BY portion")
 def q_split_counts(spark, sf_dir):
-    return distribution.group_count(load_txn(spark, sf_dir), "portion")
+    train, test = prepare.split_portions(load_txn(spark, sf_dir))
+    return distribution.group_count(train.unionAll(test), "portion")
 
 
 @query("class_distribution", f"""{W}
@@ -144,7 +145,57 @@ def q_csv_roundtrip(spark, sf_dir):
     src = load_txn(spark, sf_dir).select(*_CSV_COLS)
     path = scratch_path(spark, "csv_roundtrip")
     files.write_csv(src, path)
-    return files.read_csv(spark, path, schema=src.schema)
+    return files.read_csv(spark, path, schema=src.schema, timestamp_format=files.CSV_TIMESTAMP_FORMAT)
+
+
+def raw_from_events(events):
+    """Raw-transaction-shaped rows (dates as text, identifying columns) from ``events``, as the
+    CSV files of the raw table hold them."""
+    t = txn_view(events)
+    return t.select(
+        F.col("txn_id").cast("int").alias("_c0"),
+        F.date_format("trans_ts", "yyyy-MM-dd HH:mm:ss").alias("trans_date_trans_time"),
+        (F.col("txn_id") + 4000000000000000).alias("cc_num"), "merchant", "category", "amt",
+        F.lit("first").alias("first"), F.lit("last").alias("last"), "gender", F.lit("street").alias("street"),
+        F.concat(F.lit("city_"), (F.col("txn_id") % 7).cast("string")).alias("city"),
+        F.lit("NC").alias("state"), F.lit(28654).alias("zip"), "lat", "long",
+        F.col("city_pop").cast("int").alias("city_pop"), "job",
+        F.date_format("dob", "yyyy-MM-dd").alias("dob"), F.col("txn_id").cast("string").alias("trans_num"),
+        F.unix_timestamp(F.col("trans_ts").cast("timestamp")).alias("unix_time"), "merch_lat", "merch_long",
+        "is_fraud", "portion")
+
+
+_INGEST_COLS = ["portion", "merchant", "category", "amt", "gender", "city", "state", "city_pop", "job", "is_fraud",
+                "age", "trans_month", "trans_hour", "trans_day_of_week", "trans_day_of_month", "trans_day_of_year"]
+
+
+@query("csv_ingest", f"""{W} SELECT CAST(txn_id AS VARCHAR) AS trans_num, portion, merchant, category, amt, gender,
+       concat('city_', CAST(txn_id % 7 AS VARCHAR)) AS city, 'NC' AS state, city_pop, job, is_fraud,
+       {_AGE_SQL} AS age, {_PARTS_SQL}, {_DIST_SQL} AS distance_km FROM txn""")
+def q_csv_ingest(spark, sf_dir):
+    """The raw path: CSV files with ordinary timestamps, tagged and united by position, split,
+    without the identifying columns, dates parsed."""
+    raw = raw_from_events(table(spark, sf_dir, "events"))
+    parts = {}
+    for name in ("train", "test"):
+        path = scratch_path(spark, f"raw_{name}")
+        raw.where(F.col("portion") == name).drop("portion").write.option("header", True).csv(path)
+        parts[name] = files.read_raw_transactions(spark, path)
+    drop = [c for c in schemas.IDENTIFYING_COLUMNS if c != "trans_num"]
+    united = prepare.tag_union(parts, by_position=True)
+    prepared = prepare.prepare(united, as_of=AS_OF, drop=drop)
+    train, test = prepare.split_portions(prepared)
+    return train.union(test).select("trans_num", *_INGEST_COLS, F.round("distance_km", 6).alias("distance_km"))
+
+
+@query("csv_unparsed", f"""{W} SELECT "column", CAST(0 AS BIGINT) AS count
+FROM (VALUES ('txn_id'), ('trans_ts'), ('amt'), ('dob'), ('is_fraud')) AS t("column")""")
+def q_csv_unparsed(spark, sf_dir):
+    """Values of a typed CSV read that are text but do not parse: none, in the ordinary form."""
+    src = load_txn(spark, sf_dir).select("txn_id", "trans_ts", "amt", "dob", "is_fraud")
+    path = scratch_path(spark, "csv_unparsed")
+    src.withColumn("trans_ts", F.date_format("trans_ts", "yyyy-MM-dd HH:mm:ss")).write.option("header", True).csv(path)
+    return files.unparsed(spark, path, src.schema)
 
 
 _DTYPE_SQL = """CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
@@ -156,7 +207,8 @@ _DTYPE_SQL = """CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN
 SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS name, {_DTYPE_SQL} AS dtype,
        CASE WHEN column_name = 'is_fraud' THEN 'label'
             WHEN column_type = 'VARCHAR' THEN 'categorical'
-            WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric' ELSE 'other' END AS role
+            WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric' ELSE 'other' END AS role,
+       (SELECT count(*) FROM events) AS non_null
 FROM (DESCRIBE {W} SELECT * FROM txn)""")
 def q_schema_profile(spark, sf_dir):
     return files.profile_schema(load_txn(spark, sf_dir)).drop("nullable")

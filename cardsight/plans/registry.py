@@ -7,29 +7,18 @@ in both the Spark query and its oracle (6 places for measurements, 9 for ratios)
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.joins import release_small_tables
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name`` with optional oracle SQL.
-
-    The registered callable first releases small tables cached by earlier queries, so a
-    session running many queries does not accumulate cached blocks.
-    """
+    """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name`` with optional oracle SQL."""
     def deco(fn):
-        @functools.wraps(fn)
-        def run(spark, sf_dir):
-            release_small_tables()
-            return fn(spark, sf_dir)
-        QUERIES[name] = run
+        QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = sql
         return fn

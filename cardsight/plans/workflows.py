@@ -7,7 +7,6 @@ the modelling and tuning flows read only the portion they need.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +38,7 @@ def preparation_flow(spark: SparkSession, train_csv: str, test_csv: str, out_pat
 
 def read_prepared(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     if fmt == "csv":
-        return files.read_csv(spark, path, infer=True)
+        return files.read_csv(spark, path, infer=True, timestamp_format=files.CSV_TIMESTAMP_FORMAT)
     return spark.read.parquet(path)
 
 
@@ -61,7 +60,7 @@ def modelling_flow(prepared: DataFrame, label: str = schemas.LABEL, key: str = "
     stages = features.feature_stages(cat, num, use_pairwise=use_pairwise, on_invalid=on_invalid)
     estimators = estimators or {"GBTClassifier": models.gbt(label)}
     fitted = models.fit_models(sample, stages, estimators)
-    preds = models.score_models(fitted, test, label).persist(StorageLevel.MEMORY_AND_DISK)
+    preds = models.score_models(fitted, test, label)
     out = {
         "models": fitted,
         "report": evaluate.classification_report(preds, label, "prediction", by=["model"]),
@@ -95,28 +94,10 @@ def threshold_flow(prepared: DataFrame, model_path: str, label: str = schemas.LA
     model = load_model(model_path)
     train, test = prepare.split_portions(prepared)
     sample = sampling.stratified_sample(train, label, {0: 0.10, 1: 1.0}, 123, key=key)
-    scored = models.score(model, sample, label).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = models.score(model, sample, label)
     sweep = threshold.threshold_sweep(scored, label, "p1")
     best = threshold.best_threshold(sweep, objective)
     t = test_threshold if test_threshold is not None else best.first()["threshold"]
     test_scored = models.score(model, test, label)
     return {"sweep": sweep, "best": best,
             "test_report": threshold.score_at_threshold(test_scored, label, "p1", t)}
-
-
-def raw_from_events(events: DataFrame) -> DataFrame:
-    """Raw-transaction-shaped rows (string dates, identifying columns) from ``events``;
-    the input of :func:`preparation_flow` in tests and demos."""
-    from ..sources.tables import txn_view
-    t = txn_view(events)
-    return t.select(
-        F.col("txn_id").cast("int").alias("_c0"),
-        F.date_format("trans_ts", "yyyy-MM-dd HH:mm:ss").alias("trans_date_trans_time"),
-        (F.col("txn_id") + 4000000000000000).alias("cc_num"), "merchant", "category", "amt",
-        F.lit("first").alias("first"), F.lit("last").alias("last"), "gender", F.lit("street").alias("street"),
-        F.concat(F.lit("city_"), (F.col("txn_id") % 7).cast("string")).alias("city"),
-        F.lit("NC").alias("state"), F.lit(28654).alias("zip"), "lat", "long",
-        F.col("city_pop").cast("int").alias("city_pop"), "job",
-        F.date_format("dob", "yyyy-MM-dd").alias("dob"), F.col("txn_id").cast("string").alias("trans_num"),
-        F.unix_timestamp(F.col("trans_ts").cast("timestamp")).alias("unix_time"), "merch_lat", "merch_long",
-        "is_fraud", "portion")

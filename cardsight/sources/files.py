@@ -8,20 +8,23 @@ from pyspark.sql import types as T
 
 from . import schemas
 
-# Full microsecond precision so timestamps survive a CSV round trip.
+# For files of our own writer: full microsecond precision survives a CSV round trip.
 CSV_TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             infer: bool = False, header: bool = True) -> DataFrame:
+             infer: bool = False, header: bool = True, timestamp_format: str | None = None) -> DataFrame:
     """CSV file or directory with a header (A1).
 
     An explicit ``schema`` is the default path; ``infer=True`` reproduces type inference,
-    which reads the input one extra time.
+    which reads the input one extra time. Timestamps are read as Spark reads them
+    (``yyyy-MM-dd HH:mm:ss`` and ISO forms) unless ``timestamp_format`` names a pattern,
+    such as :data:`CSV_TIMESTAMP_FORMAT`; :func:`unparsed` counts values that a typed
+    read turned into NULL.
     """
-    reader = (spark.read.option("header", header)
-              .option("timestampFormat", CSV_TIMESTAMP_FORMAT)
-              .option("timestampNTZFormat", CSV_TIMESTAMP_FORMAT))
+    reader = spark.read.option("header", header)
+    if timestamp_format:
+        reader = reader.option("timestampFormat", timestamp_format).option("timestampNTZFormat", timestamp_format)
     if schema is not None:
         reader = reader.schema(schema)
     elif infer:
@@ -29,6 +32,23 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     return reader.csv(path)
 
 
+def unparsed(spark: SparkSession, path: str, schema: T.StructType, header: bool = True,
+             timestamp_format: str | None = None) -> DataFrame:
+    """(column, count) of values that are present in the text but NULL once typed.
+
+    One scan: the file is read as strings and every column is parsed beside its text."""
+    text = read_csv(spark, path, T.StructType([T.StructField(f.name, T.StringType()) for f in schema]), header=header)
+
+    def parsed(f: T.StructField):
+        if timestamp_format and isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            return F.try_to_timestamp(F.col(f"`{f.name}`"), F.lit(timestamp_format))
+        return F.col(f"`{f.name}`").try_cast(f.dataType)
+
+    lost = [F.count_if(F.col(f"`{f.name}`").isNotNull() & parsed(f).isNull()).alias(f"c{i}") for i, f in enumerate(schema)]
+    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"c{i}").alias("count")) for i, f in enumerate(schema)])
+    return text.agg(*lost).select(F.inline(cells))
+
+
 def read_raw_transactions(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schema=schemas.RAW_TRANSACTIONS)
 
@@ -65,14 +85,15 @@ def feature_role(name: str, dtype: T.DataType, label: str | None) -> str:
 
 
 def profile_schema(df: DataFrame, label: str | None = schemas.LABEL) -> DataFrame:
-    """One row per column: position, name, dtype, nullable, role.
-
-    Built from the plan's schema only - no job runs over the data.
-    """
-    rows = [(i, f.name, f.dataType.simpleString(), f.nullable, feature_role(f.name, f.dataType, label))
-            for i, f in enumerate(df.schema.fields)]
-    schema = "position int, name string, dtype string, nullable boolean, role string"
-    return df.sparkSession.createDataFrame(rows, schema)
+    """One row per column: position, name, dtype, nullable, role, non_null.
+
+    ``non_null`` counts the column's values, all columns in one aggregate over the data."""
+    fields = df.schema.fields
+    cells = F.array(*[F.struct(
+        F.lit(i).alias("position"), F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("dtype"),
+        F.lit(f.nullable).alias("nullable"), F.lit(feature_role(f.name, f.dataType, label)).alias("role"),
+        F.col(f"c{i}").alias("non_null")) for i, f in enumerate(fields)])
+    return df.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(fields)]).select(F.inline(cells))
 
 
 def feature_roles(df: DataFrame, label: str = schemas.LABEL,

@@ -29,13 +29,10 @@ RAW_TRANSACTIONS = T.StructType([
     T.StructField("is_fraud", T.IntegerType()),
 ])
 
-# Identifying columns the preparation step removes.
+# Identifying columns the preparation step removes.
 IDENTIFYING_COLUMNS = ["_c0", "cc_num", "first", "last", "street", "zip", "unix_time", "trans_num"]
 
-# Columns removed before modelling (coordinates, location names, split tag).
+# Columns removed before modelling (coordinates, location names, split tag).
 NON_MODEL_COLUMNS = ["portion", "lat", "long", "merch_lat", "merch_long", "distance_km", "state", "city"]
 
-CALENDAR_COLUMNS = ["trans_month", "trans_hour", "trans_day_of_week", "trans_day_of_month",
-                    "trans_day_of_year"]
-
 LABEL = "is_fraud"

@@ -55,11 +55,12 @@ def write_stream(scored: DataFrame, path: str, checkpoint: str | None = None, fm
     return w.start(os.fspath(path))
 
 
-def run_to_completion(query: StreamingQuery, timeout_sec: float = 1800.0) -> None:
-    """Wait for an available-now query; stop it and raise if it does not finish in time
-    or failed."""
-    done = query.awaitTermination(timeout_sec)
-    if not done:
+def run_to_completion(query: StreamingQuery, timeout_sec: float | None = None) -> None:
+    """Wait for an available-now query and raise if it failed. With ``timeout_sec`` a query that
+    is not done in time is stopped; there is no limit by default."""
+    if timeout_sec is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_sec):
         query.stop()
         raise TimeoutError(f"streaming query {query.name or query.id} did not finish in {timeout_sec}s")
     err = query.exception()

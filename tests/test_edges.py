@@ -72,3 +72,43 @@ def test_shared_dir_needs_a_shared_folder_on_clusters():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(stub("yarn"))
     assert session.shared_dir(stub("local[2]"))          # tests get a private folder
+
+
+def test_null_keys_stay_in_samples_and_folds(spark):
+    from cardsight.operators import sampling
+    df = spark.createDataFrame([(1, 0), (None, 0), (None, 1)], "k long, y int")
+    assert sampling.stratified_sample(df, "y", {0: 1.0, 1: 1.0}, 5, key="k").count() == 3
+    assert sampling.assign_folds(df, 3, 5, "k").where("fold is null").count() == 0
+
+
+def test_ordinary_csv_timestamps_are_read(spark, tmp_path):
+    from cardsight.sources import files
+    p = tmp_path / "in.csv"
+    p.write_text("t,n\n2019-01-01 00:00:18,1\nnot a time,x\n")
+    typed = files.read_csv(spark, str(p), schema=spark.createDataFrame([], "t timestamp, n int").schema)
+    assert typed.where("t is not null").count() == 1
+    lost = {r.column: r["count"] for r in files.unparsed(spark, str(p), typed.schema).collect()}
+    assert lost == {"t": 1, "n": 1}
+    clean = tmp_path / "clean.csv"
+    clean.write_text("t\n2019-01-01 00:00:18\n")
+    assert dict(files.read_csv(spark, str(clean), infer=True).dtypes) == {"t": "timestamp"}
+
+
+def test_nan_scores_rank_highest_on_a_grid_too(spark):
+    from cardsight.operators import evaluate
+    rows = [(1, float("nan")), (1, 0.8), (0, 0.3), (0, 0.2), (0, 0.1)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    assert evaluate.roc_auc(df, "y", "s").first().auc == evaluate.roc_auc(df, "y", "s", bins=10).first().auc == 1.0
+
+
+def test_heavy_tail_and_infinite_values(spark):
+    from cardsight.operators import explore
+    df = spark.range(20000).selectExpr("cast(id % 100 as double) as x").unionAll(spark.createDataFrame([(1e7,)], "x double"))
+    auto = explore.histogram(df, ["x"], bins="auto")
+    got = auto.selectExpr("count(*) as bins", "sum(count) as n", "max(bin) as last").first()
+    assert got.n == 20001 and got.last == got.bins - 1 > 50_000
+    odd = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (3.0, float("inf")), (float("inf"), 4.0)], "x double, y double")
+    h = explore.histogram(odd, ["x"], bins=2).orderBy("bin").collect()
+    assert [(r.lo, r.hi, r["count"]) for r in h] == [(1.0, 2.0, 1), (2.0, 3.0, 2)]
+    assert sorted((r.bin_x, r.bin_y) for r in explore.scatter_bins(odd, ["x", "y"], bins=2).collect()) == [(0, 0), (1, 0)]
+    assert {r.column: r.n_infinite for r in explore.nonfinite_counts(odd, ["x", "y"]).collect()} == {"x": 1, "y": 1}

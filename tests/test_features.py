@@ -172,7 +172,15 @@ def test_score_models_single_pass_equals_separate(spark):
     assert plan.count("FileScan") + plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") <= 1
 
 
-def test_log_transformer_aliases(spark):
-    df = spark.createDataFrame([(math.e,)], "x double")
-    lt = features.LogTransformer(input_cols=["x"], output_cols=["lx"])
-    assert lt.get_output_cols() == ["lx"] and lt.transform(df).first().lx == pytest.approx(1.0)
+def test_log_transformer_output_names_and_odd_columns(spark):
+    df = spark.createDataFrame([(math.e, 1.0)], "`a.b` double, `it's` double")
+    out = features.LogTransformer(inputCols=["a.b", "it's"], outputCols=["x", "y"]).transform(df).first()
+    assert (out.x, out.y) == (pytest.approx(1.0), 0.0)
+    with pytest.raises(ValueError, match="2 inputs but 1"):
+        features.LogTransformer(inputCols=["a.b", "it's"], outputCols=["x"]).transform(df)
+
+
+def test_vector_slots_read_the_vectors(spark):
+    from pyspark.ml.linalg import Vectors
+    df = spark.createDataFrame([(Vectors.dense([1.0, 0.0]),), (Vectors.sparse(2, [1], [3.0]),)], ["v"])
+    assert [tuple(r) for r in features.vector_slots(df, "v").orderBy("slot").collect()] == [(0, 2, 1, 0.5), (1, 2, 1, 1.5)]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cardsight.operators import models
 from cardsight.plans import workflows
+from cardsight.plans.q_prepare import raw_from_events
 from cardsight.sources import files
 from cardsight.sources.tables import table
 from cardsight.streaming import scoring
@@ -14,7 +15,7 @@ from conftest import SF_SMALL
 
 
 def test_prepare_model_threshold_stream(spark, tmp_path):
-    raw = workflows.raw_from_events(table(spark, SF_SMALL, "events"))
+    raw = raw_from_events(table(spark, SF_SMALL, "events"))
     train_csv, test_csv = str(tmp_path / "train"), str(tmp_path / "test")
     files.write_csv(raw.where("portion = 'train'").drop("portion"), train_csv)
     files.write_csv(raw.where("portion = 'test'").drop("portion"), test_csv)
@@ -64,7 +65,7 @@ def test_prepare_model_threshold_stream(spark, tmp_path):
 
 
 def test_preparation_flow_csv_partitioned(spark, tmp_path):
-    raw = workflows.raw_from_events(table(spark, SF_SMALL, "events"))
+    raw = raw_from_events(table(spark, SF_SMALL, "events"))
     tr, te = str(tmp_path / "tr"), str(tmp_path / "te")
     files.write_csv(raw.where("portion = 'train'").drop("portion"), tr)
     files.write_csv(raw.where("portion = 'test'").drop("portion"), te)

@@ -42,18 +42,28 @@ def test_native_cross_validator(spark, data):
     assert tune.cross_validator_native(pipe(), data, "y", metric="accuracy", k=3, seed=1) > 0.8
 
 
-def test_search_is_seeded_and_keeps_population(spark, data):
+def test_search_is_seeded_and_scores_a_candidate_once(spark, data):
+    wide = {"regParam": [0.0, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.25, 0.5, 1.0]}
     runs = []
     for _ in range(2):
-        s = tune.EvolutionarySearch(pipe(), RANGES, "y", metric="f1", population=4, generations=3, folds=2, seed=3)
+        s = tune.EvolutionarySearch(pipe(), wide, "y", metric="f1", population=4, generations=3, folds=2, seed=3)
         best, score = s.run(data)
         log = s.trial_log(spark).orderBy("generation", "trial").collect()
         runs.append((best, score, [(r.generation, r.trial, r.params, r.score) for r in log]))
-        assert all(n == 4 for n in [sum(1 for r in log if r.generation == g) for g in range(3)])
+        assert [sum(1 for r in log if r.generation == g) for g in range(3)] == [4, 4, 4]
+        assert len({r.params for r in log}) == 12
     assert runs[0] == runs[1]
     assert runs[0][1] == max(r[3] for r in runs[0][2])
 
 
+def test_small_grid_is_walked_in_order(spark, data):
+    s = tune.EvolutionarySearch(pipe(), RANGES, "y", population=4, generations=2, folds=2, seed=9)
+    s.run(data)
+    log = s.trial_log(spark).collect()
+    assert [(r.generation, r.trial) for r in log] == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1)]
+    assert len({r.params for r in log}) == 6
+
+
 def test_search_population_one_and_zero_time(spark, data):
     s = tune.EvolutionarySearch(pipe(), RANGES, "y", population=1, generations=2, folds=2, seed=0)
     best, score = s.run(data)
@@ -63,12 +73,32 @@ def test_search_population_one_and_zero_time(spark, data):
     assert s0.trial_log(spark).count() == 2 and best0
 
 
-def test_failing_parameters_rank_last(spark, data):
-    bad = {"regParam": [-1.0]}                # invalid for LogisticRegression
-    s = tune.EvolutionarySearch(pipe(), bad, "y", population=2, generations=1, folds=2, seed=0)
-    _, score = s.run(data)
-    assert score == float("-inf")
-    assert s.trial_log(spark).where(F.col("score").isNull()).count() == 2
+def test_refused_parameters_are_logged_and_a_search_without_scores_fails(spark, data):
+    s = tune.EvolutionarySearch(pipe(), {"regParam": [-1.0, 0.1]}, "y", population=2, generations=1, folds=2, seed=0)
+    best, _ = s.run(data)
+    assert best == {"regParam": 0.1}
+    bad = s.trial_log(spark).where(F.col("score").isNull()).collect()
+    assert len(bad) == 1 and "regParam" in bad[0].error
+    with pytest.raises(RuntimeError):
+        tune.EvolutionarySearch(pipe(), {"regParam": [-1.0]}, "y", population=2, folds=2).run(data)
+
+
+def test_other_failures_are_raised(spark, data):
+    with pytest.raises(Exception):
+        tune.EvolutionarySearch(pipe(), RANGES, "no_such_label", population=2, generations=1, folds=2).run(data)
+
+
+def test_nothing_stays_persisted_and_jobs_keep_their_group(spark, data):
+    sc = spark.sparkContext
+    before = sc._jsc.getPersistentRDDs().size()
+    sc.setJobGroup("tuning", "tuning")
+    try:
+        tune.cross_validate(data, pipe(), "y", k=3, seed=1, parallelism=3)
+        tune.EvolutionarySearch(pipe(), RANGES, "y", population=3, generations=2, folds=2, parallelism=3).run(data)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sc._jsc.getPersistentRDDs().size() == before
+    assert len(sc.statusTracker().getJobIdsForGroup("tuning")) > 10
 
 
 def test_parallel_search_equals_sequential(spark, data):
