@@ -159,28 +159,50 @@ def bucket_bounds(sorted_fps: np.ndarray, n_buckets: int) -> np.ndarray:
     return np.concatenate((np.searchsorted(sorted_fps, np.arange(n_buckets, dtype=np.uint64) << step), [len(sorted_fps)]))
 
 
+def shortened(values: np.ndarray, bucket_bits: int, n_bytes: int) -> bytes:
+    """The first ``n_bytes`` of each value after the bits that name its bucket, in the same order."""
+    if n_bytes == 8:
+        return values.tobytes()
+    rest = values << U64(bucket_bits) if bucket_bits else values
+    return rest.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :n_bytes].tobytes()
+
+
+def lengthened(sent: bytes, n_bytes: int) -> np.ndarray:
+    if n_bytes == 8:
+        return np.frombuffer(sent, np.uint64)
+    short = np.frombuffer(sent, np.uint8).reshape(-1, n_bytes)
+    full = np.zeros((len(short), 8), np.uint8)
+    full[:, :n_bytes] = short
+    return full.view(">u8").ravel().astype(np.uint64)
+
+
+# Enough bytes where a wrong "another block has it" only costs work: with ``BUCKET`` values in
+# a bucket, at any corpus size, three in a million are taken for shared.
+HINT_BYTES = 5
 SENT = "bucket int, block long, fps binary"
 ANSWER = "block long, bucket int, bits binary"
 
 
-def send(block: int, sorted_fps: np.ndarray, n_buckets: int, turn: int = 0, turns: int = 1) -> pa.RecordBatch:
+def send(block: int, sorted_fps: np.ndarray, n_buckets: int, turn: int = 0, turns: int = 1, n_bytes: int = 8) -> pa.RecordBatch:
     """One row for each bucket; with several turns, only for the buckets of this turn."""
+    bits = int(np.log2(n_buckets))
     at = bucket_bounds(sorted_fps, n_buckets)
     full = np.flatnonzero(np.diff(at))
     full = full[full % turns == turn]
     return pa.RecordBatch.from_arrays(
         [pa.array(full, pa.int32()), pa.array(np.full(len(full), block), pa.int64()),
-         pa.array([sorted_fps[at[b]:at[b + 1]].tobytes() for b in full], pa.binary())], names=["bucket", "block", "fps"])
+         pa.array([shortened(sorted_fps[at[b]:at[b + 1]], bits, n_bytes) for b in full], pa.binary())],
+        names=["bucket", "block", "fps"])
 
 
-def answer(sent: DataFrame, earlier: bool) -> DataFrame:
+def answer(sent: DataFrame, earlier: bool, n_bytes: int = 8) -> DataFrame:
     """For each fingerprint that a block sent: does another block have it (``earlier``: a block
     before this one)? One sorted bucket at a time; a fingerprint that every block has counts
     one entry a block."""
     def sort_bucket(group: pa.Table) -> pa.Table:
         block = group.column("block").to_numpy()
         rows = np.argsort(block, kind="stable")
-        fps = [np.frombuffer(group.column("fps")[int(r)].as_py(), np.uint64) for r in rows]
+        fps = [lengthened(group.column("fps")[int(r)].as_py(), n_bytes) for r in rows]
         sizes = np.array([len(f) for f in fps])
         values = np.concatenate(fps)
         order = np.argsort(values, kind="stable")      # ties stay in order of blocks

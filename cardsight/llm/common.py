@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +19,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_scopes: list[list[str]] = []
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share."""
-    return f"{shared_dir(spark)}/cardsight-llm/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/cardsight-llm/{name}-{uuid.uuid4().hex[:12]}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def collected(paths: list[str]) -> Iterator[None]:
+    """Every path that :func:`folder` makes inside is added to ``paths``."""
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables that no plan reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    paths.clear()
+
+
+def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The stored result of ``make``, without the tables it needed on the way."""
+    used: list[str] = []
+    with collected(used):
+        out = make()
+    out = stored(out, name)
+    delete(spark, used)
+    return out
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import NO_ID, Block, bucket_bounds, buckets_for, rows_of, text_bytes, unpack, with_notes, write_blocks
-from .common import query, stored, table
+from .common import finished, query, stored, table
 from .linededup import send_counts
 from .suffixdedup import as_notes, named
 from .text import U64, mix, words
@@ -176,7 +176,7 @@ def sequences(blocks: DataFrame, notes: DataFrame, counts: Counts, n_buckets: in
             (total(base) + np.log10((k.ends + 0.5) / scale)).tobytes(), total(within).tobytes(), out.tobytes())],
             names=[x.split()[0] for x in SEQUENCES.split(", ")])
 
-    return stored(with_notes(blocks, notes, translate, SEQUENCES), "sequences")
+    return with_notes(blocks, notes, translate, SEQUENCES)
 
 
 class Model(NamedTuple):
@@ -336,9 +336,15 @@ def score(docs: DataFrame, mod: int = 5, rest: int = 1, states: int = STATES, ro
     their own; an empty table gives no rows; other columns are ignored. Without training
     tokens the base is that of one unknown kind and the states are even.
     """
-    blocks = write_blocks(docs)
-    notes, counts, n_buckets = counted(blocks, mod, rest)
-    seqs = sequences(blocks, notes, counts, n_buckets, mod, rest)
+    found: list[Counts] = []
+
+    def symbols_of() -> DataFrame:
+        blocks = write_blocks(docs)
+        notes, counts, n_buckets = counted(blocks, mod, rest)
+        found.append(counts)
+        return sequences(blocks, notes, counts, n_buckets, mod, rest)
+
+    seqs, counts = finished(docs.sparkSession, symbols_of, "sequences"), found[0]
     model = docs.sparkSession.sparkContext.broadcast(train(seqs, counts, states, rounds))
     total = counts.total
 

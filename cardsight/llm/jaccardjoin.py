@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import (NO_ID, SENT, Block, answer, bucket_bounds, buckets_for, documents_of, kept_schema, read_answer,
-                     rest_of, send, text_bytes, with_notes, write_blocks)
-from .common import query, stored, table
+from .blocks import (HINT_BYTES, NO_ID, SENT, Block, answer, bucket_bounds, buckets_for, documents_of, kept_schema,
+                     read_answer, rest_of, send, text_bytes, with_notes, write_blocks)
+from .common import finished, query, stored, table
 from .components import components
 from .suffixdedup import as_notes, later_copies, named
 from .text import by_document, distinct, shingles, words
@@ -71,9 +71,9 @@ def incidence(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
         skip = copied(b, notes)
         own = [s for s, c in zip(sets_of(b), skip) if not c and len(s)]
         if own:
-            yield send(b.block, distinct(np.concatenate(own)), n_buckets)
+            yield send(b.block, distinct(np.concatenate(own)), n_buckets, n_bytes=HINT_BYTES)
 
-    shared = stored(as_notes(answer(with_notes(blocks, copies, columns, SENT), earlier=False), "shared"), "shared")
+    shared = stored(as_notes(answer(with_notes(blocks, copies, columns, SENT), False, HINT_BYTES), "shared"), "shared")
 
     def rows(b: Block, notes: list) -> Iterator[pa.RecordBatch]:
         skip = copied(b, notes)
@@ -102,7 +102,7 @@ def incidence(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
              pa.array(blobs, pa.binary())], names=["block", "nth", "doc_id", "n", "node", "shared"])
 
     schema = "block long, nth long, doc_id long, n long, node long, shared binary"
-    return stored(with_notes(blocks, copies.unionByName(shared), rows, schema), "rows")
+    return with_notes(blocks, copies.unionByName(shared), rows, schema)
 
 
 def named_in(names: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -219,8 +219,9 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     null doc_id counts as larger than any. An empty table gives no rows; very long texts are
     used whole; other columns are ignored.
     """
-    every = incidence(write_blocks(docs), percent)
-    root = roots(every, percent)
+    spark = docs.sparkSession
+    every = finished(spark, lambda: incidence(write_blocks(docs), percent), "incidence")
+    root = finished(spark, lambda: roots(every, percent), "components")
     named_rows = every.select("doc_id", "n", "node")
     low = named_rows.filter("node is not null").groupBy(F.col("node").alias("_k")).agg(F.min("doc_id").alias("low"))
     low = low.join(root, F.col("_k") == F.col("_node"), "left").select("_k", "low", F.coalesce("root", "_k").alias("root"))
@@ -236,9 +237,9 @@ def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     words all stay. All columns are returned; see :func:`join` for what links."""
     keep = rest_of(docs)
     blocks = write_blocks(docs, keep)
-    every = incidence(blocks, percent)
+    every = finished(docs.sparkSession, lambda: incidence(blocks, percent), "incidence")
     rows = every.filter("node is not null").select("block", "nth", "node")
-    root = roots(every, percent)
+    root = finished(docs.sparkSession, lambda: roots(every, percent), "components")
     rows = rows.join(root, F.col("node") == F.col("_node"), "left") \
         .select("block", "nth", F.coalesce("root", "node").alias("root"))
     first = rows.groupBy(F.col("root").alias("_r")).agg(F.min(F.struct("block", "nth")).alias("first"))

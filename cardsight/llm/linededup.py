@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .blocks import (SENT, Block, answer, bucket_bounds, buckets_for, documents_of, kept_schema, read_answer, rows_of,
                      send, text_bytes, unpack, with_notes, write_blocks)
-from .common import query, stored, table
+from .common import finished, query, stored, table
 from .suffixdedup import as_notes, named
 from .text import U64, Piece, mix, words
 
@@ -304,7 +304,7 @@ def dedup(docs: DataFrame, percent: int = PERCENT, keep: tuple[str, ...] = ()) -
                     yield send(b.block, names, sig_buckets)
 
     notes = stored(as_notes(answer(blocks.mapInArrow(sets, SENT), earlier=True), "line"), "lines")
-    hits = similar_lines(blocks, notes, sig_buckets, percent)
+    hits = finished(docs.sparkSession, lambda: similar_lines(blocks, notes, sig_buckets, percent), "similar")
 
     def note(group: pa.Table) -> pa.Table:
         return pa.table({"block": group.column("block")[:1], "kind": pa.array(["similar"]), "bucket": pa.array([0], pa.int32()),

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import (NO_ID, SENT, Block, answer, buckets_for, read_answer, rows_of, send, text_bytes, unpack,
+from .blocks import (HINT_BYTES, NO_ID, SENT, Block, answer, buckets_for, read_answer, rows_of, send, text_bytes, unpack,
                      with_notes, write_blocks)
 from .common import query, stored, table
 from .text import _STEP, U64, distinct, mix, powers
@@ -170,9 +170,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
                 b = unpack(r)
                 at = cover_samples(b, width)
                 if len(at):
-                    yield send(b.block, distinct(Prints(b.data).at(at, width - PERIOD + 1)), rank_buckets)
+                    yield send(b.block, distinct(Prints(b.data).at(at, width - PERIOD + 1)), rank_buckets, n_bytes=HINT_BYTES)
 
-    ranks = stored(as_notes(answer(blocks.mapInArrow(sample, SENT), earlier=False), "rank"), "ranks")
+    ranks = stored(as_notes(answer(blocks.mapInArrow(sample, SENT), False, HINT_BYTES), "rank"), "ranks")
     ranks = stored(ranks.unionByName(later_copies(blocks, width)), "notes")
 
     def suffixes(turn: int):

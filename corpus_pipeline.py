@@ -7,20 +7,36 @@ stages but the last return the columns of documents.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardsight.llm import decontaminate, jaccardjoin, labelled, linededup, mixing, toxicity
 from cardsight.llm.blocks import rest_of
-from cardsight.llm.common import stored, table
+from cardsight.llm.common import collected, delete, stored, table
+
+_left: list[str] = []   # tables of the stage before, whose result has been written by now
+
+
+def stage(fn):
+    """A stage first removes what the stage before left in the shared folder."""
+    @functools.wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete(spark, _left)
+        with collected(_left):
+            return fn(spark, docs, sf_dir)
+    return run_stage
 
 
+@stage
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents that the factorization machine rejects go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~labelled.held_out(4, 2))
     return toxicity.reject(docs, model)
 
 
+@stage
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: later similar lines go; every document stays, with n_chars of what is left.
     Null texts become empty."""
@@ -30,16 +46,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+@stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: one document of each group of near duplicates stays."""
     return jaccardjoin.representatives(docs)
 
 
+@stage
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents that contain a test item go."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: how often the mix takes each document (0 where it is left out)."""
     out = mixing.mix(docs)
