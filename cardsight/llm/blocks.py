@@ -1,8 +1,8 @@
 """Corpus blocks and fingerprint exchange: how operators compare all texts without moving them twice.
 
 A block is a run of documents in order of doc_id with about ``BLOCK`` bytes of text, packed and
-compressed as one row of a table in the shared folder; block numbers rise with doc_id, so
-"in an earlier block" means "in a document with a smaller id". Blocks send sorted distinct
+compressed as one row of a bucketed table in the shared folder; block numbers rise with doc_id,
+so "in an earlier block" means "in a document with a smaller id". Blocks send sorted distinct
 64-bit fingerprints to buckets (ranges of fingerprints); a bucket sorts what all blocks
 sent it, one bucket at a time, and answers with one bit for each fingerprint. Blocks make
 their fingerprints again from the text to read the answer, so neither ids nor positions travel.
@@ -111,10 +111,15 @@ def write_blocks(docs: DataFrame, keep: tuple[str, ...] = (), size: int = BLOCK)
         if held:
             yield row()
 
+    # Bucketed by block, so that notes come to the blocks and the texts are not shuffled again.
     path = folder(spark, "blocks")
-    ordered.mapInArrow(pack, SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    name = "cardsight_" + path.rsplit("/", 1)[1].replace("-", "_")
+    ordered.mapInArrow(pack, SCHEMA).write.option("compression", "uncompressed").option("path", path) \
+        .bucketBy(partitions(spark, total, 8 * size), "block").sortBy("block").saveAsTable(name)
     release(spark)
-    return spark.read.schema(SCHEMA).parquet(path).withMetadata("block", {"bytes": total})
+    blocks = spark.table(name)
+    blocks.text_bytes = total
+    return blocks
 
 
 def kept_columns(b: Block) -> pa.Table:
@@ -144,7 +149,7 @@ def documents_of(b: Block, keep: tuple[str, ...]) -> dict[str, pa.Array]:
 
 
 def text_bytes(blocks: DataFrame) -> int:
-    return int(blocks.schema["block"].metadata["bytes"])
+    return int(blocks.text_bytes)
 
 
 def buckets_for(n_fingerprints: float, each: int = BUCKET) -> int:

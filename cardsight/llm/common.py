@@ -70,8 +70,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more
+    (listeners hold a finished plan until they have read its last event)."""
     gc.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -65,7 +65,10 @@ def line_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     n = len(at) - 1
     w = words(Piece(0, data, at))
     line = w.doc
-    order = np.lexsort((w.hash, line)) if len(line) else np.zeros(0, np.int64)
+    if n < 1 << 20:   # one key for line and hash: equal words of a line become neighbours
+        order = np.argsort((line.astype(np.uint64) << U64(44)) | (w.hash >> U64(20)))
+    else:
+        order = np.lexsort((w.hash, line))
     line, h = line[order], w.hash[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -83,14 +86,12 @@ def signatures(bounds: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-class Lines:
-    """Lines of a block, with the ones that are the first of their set."""
+class Names:
+    """Names of a block's lines (0: no words), and the first line of each."""
 
-    def __init__(self, b: Block):
-        self.at = line_bounds(b)
-        self.bounds, self.words = line_sets(b.data, self.at)
-        self.sig = signatures(self.bounds, self.words)
-        self.filled = np.flatnonzero(np.diff(self.bounds))
+    def __init__(self, sig: np.ndarray):
+        self.sig = sig
+        self.filled = np.flatnonzero(sig)
         self.names, self.index = named(self.sig[self.filled])
         first = np.full(len(self.names), len(self.sig))
         np.minimum.at(first, self.index, self.filled)
@@ -104,6 +105,15 @@ class Lines:
         return out
 
 
+class Lines(Names):
+    """Lines of a block with their word sets."""
+
+    def __init__(self, b: Block):
+        self.at = line_bounds(b)
+        self.bounds, self.words = line_sets(b.data, self.at)
+        super().__init__(signatures(self.bounds, self.words))
+
+
 def send_counts(block: int, values: np.ndarray, counts: np.ndarray, n_buckets: int) -> pa.RecordBatch:
     at = bucket_bounds(values, n_buckets)
     full = np.flatnonzero(np.diff(at))
@@ -299,11 +309,15 @@ def dedup(docs: DataFrame, percent: int = PERCENT, keep: tuple[str, ...] = ()) -
         for batch in batches:
             for r in rows_of(batch):
                 b = unpack(r)
-                names = Lines(b).names
-                if len(names):
-                    yield send(b.block, names, sig_buckets)
-
-    notes = stored(as_notes(answer(blocks.mapInArrow(sets, SENT), earlier=True), "line"), "lines")
+                lines = Lines(b)
+                if len(lines.names):
+                    yield send(b.block, lines.names, sig_buckets)
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b.block], pa.int64()),
+                                                  pa.array([lines.sig.tobytes()], pa.binary())], names=["bucket", "block", "fps"])
+
+    sent = stored(blocks.mapInArrow(sets, SENT), "names")
+    names = sent.filter("bucket < 0").select("block", F.lit("names").alias("kind"), "bucket", F.col("fps").alias("bits"))
+    notes = stored(as_notes(answer(sent.filter("bucket >= 0"), earlier=True), "line"), "lines")
     hits = finished(docs.sparkSession, lambda: similar_lines(blocks, notes, sig_buckets, percent), "similar")
 
     def note(group: pa.Table) -> pa.Table:
@@ -313,7 +327,7 @@ def dedup(docs: DataFrame, percent: int = PERCENT, keep: tuple[str, ...] = ()) -
     gone = hits.withColumn("block", block_of()).groupBy("block").applyInArrow(note, "block long, kind string, bucket int, bits binary")
 
     def cut(b: Block, noted: list) -> Iterator[pa.RecordBatch]:
-        lines = Lines(b)
+        lines = Names(next(np.frombuffer(x, np.uint64) for kind, _, x in noted if kind == "names"))
         drop = lines.repeated([(k, x) for kind, k, x in noted if kind == "line"], sig_buckets)
         for kind, _, bits in noted:
             if kind == "similar":
@@ -332,7 +346,7 @@ def dedup(docs: DataFrame, percent: int = PERCENT, keep: tuple[str, ...] = ()) -
         yield pa.RecordBatch.from_pydict(columns)
 
     schema = kept_schema(docs, keep) + ", n_lines long, n_removed long, text string"
-    return with_notes(blocks, notes.unionByName(gone), cut, schema)
+    return with_notes(blocks, notes.unionByName(names).unionByName(gone), cut, schema)
 
 
 @query("op5_line_dedup")

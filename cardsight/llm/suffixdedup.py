@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .blocks import (HINT_BYTES, NO_ID, SENT, Block, answer, buckets_for, read_answer, rows_of, send, text_bytes, unpack,
                      with_notes, write_blocks)
 from .common import query, stored, table
-from .text import _STEP, U64, distinct, mix, powers
+from .text import U64, Prints, distinct
 
 WIDTH = 50
 PERIOD = 31
@@ -40,32 +40,10 @@ TURNS = 2    # the buckets of suffixes are sorted in so many turns, which bounds
 COVER = (0, 1, 3, 8, 12, 18)  # every residue modulo 31 is a difference of two of these
 
 _VALUE = np.random.default_rng(99).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_INVERSE = U64(pow(int(_STEP), -1, 2**64))
-_inverse = np.array([1], dtype=np.uint64)
 
 
-def _inverse_powers(n: int) -> np.ndarray:
-    global _inverse
-    if len(_inverse) < n:
-        out = np.full(1 << (n - 1).bit_length(), _INVERSE, dtype=np.uint64)
-        out[0] = 1
-        _inverse = np.multiply.accumulate(out)
-    return _inverse
-
-
-class Prints:
-    """Fingerprints of the strings of any width at any position of a block."""
-
-    def __init__(self, data: np.ndarray):
-        value = _VALUE[data]
-        value *= powers(len(data))[:len(data)]
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(value, out=self.sums[1:])
-
-    def at(self, start: np.ndarray, width: int) -> np.ndarray:
-        h = self.sums[start + width] - self.sums[start]
-        h *= _inverse_powers(len(self.sums))[start]
-        return mix(h)
+def prints_of(b: Block) -> Prints:
+    return Prints(b.data, _VALUE)
 
 
 def cover_samples(b: Block, width: int) -> np.ndarray:
@@ -102,7 +80,7 @@ def active_suffixes(b: Block, prints: Prints, notes: list, n_buckets: int, width
     at = cover_samples(b, width)
     if not len(at):
         return at, copies
-    names, index = named(prints.at(at, width - PERIOD + 1))
+    names, index = named(prints.at(at, at + width - PERIOD + 1))
     shared = read_answer([(k, x) for kind, k, x in notes if kind == "rank"], names, n_buckets)[index]
     ids = b.ids[doc_of(b, at)]
     low, high = np.full(len(names), NO_ID), np.full(len(names), np.iinfo(np.int64).min)
@@ -170,17 +148,17 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
                 b = unpack(r)
                 at = cover_samples(b, width)
                 if len(at):
-                    yield send(b.block, distinct(Prints(b.data).at(at, width - PERIOD + 1)), rank_buckets, n_bytes=HINT_BYTES)
+                    yield send(b.block, distinct(prints_of(b).at(at, at + width - PERIOD + 1)), rank_buckets, n_bytes=HINT_BYTES)
 
     ranks = stored(as_notes(answer(blocks.mapInArrow(sample, SENT), False, HINT_BYTES), "rank"), "ranks")
     ranks = stored(ranks.unionByName(later_copies(blocks, width)), "notes")
 
     def suffixes(turn: int):
         def of(b: Block, notes: list) -> Iterator[pa.RecordBatch]:
-            prints = Prints(b.data)
+            prints = prints_of(b)
             start, _ = active_suffixes(b, prints, notes, rank_buckets, width)
             if len(start):
-                yield send(b.block, distinct(prints.at(start, width)), suffix_buckets, turn, TURNS)
+                yield send(b.block, distinct(prints.at(start, start + width)), suffix_buckets, turn, TURNS)
         return of
 
     found = ranks.limit(0)
@@ -189,11 +167,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
         found = found.unionByName(stored(as_notes(answer(sent, earlier=True), "earlier"), "earlier"))
 
     def cut(b: Block, notes: list) -> Iterator[pa.RecordBatch]:
-        prints = Prints(b.data)
+        prints = prints_of(b)
         start, copies = active_suffixes(b, prints, notes, rank_buckets, width)
         gone = np.zeros(len(b.data) + 1, np.int32)
         if len(start):
-            names, index = named(prints.at(start, width))
+            names, index = named(prints.at(start, start + width))
             before = read_answer([(k, x) for kind, k, x in notes if kind == "earlier"], names, suffix_buckets)[index]
             ids = b.ids[doc_of(b, start)]
             low = np.full(len(names), NO_ID)

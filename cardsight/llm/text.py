@@ -26,18 +26,42 @@ _BYTE[65:91] = _BYTE[97:123]          # A-Z hash as a-z
 _BYTE_WORD = _BYTE.copy()
 _BYTE_WORD[_SPACE] = 0                # spaces add nothing to a word's hash
 _STEP = U64(0x9E3779B97F4A7C15)
-_powers = np.array([1], dtype=np.uint64)
+_INVERSE = U64(pow(int(_STEP), -1, 2**64))
+_tables: dict[int, np.ndarray] = {}
+
+
+def _table(step: np.uint64, n: int) -> np.ndarray:
+    """``step ** 0 .. n-1`` (at least) modulo 2**64; grows with the longest piece seen."""
+    have = _tables.get(int(step))
+    if have is None or len(have) < n:
+        have = np.full(max(4096, 1 << (n - 1).bit_length()), step, dtype=np.uint64)
+        have[0] = 1
+        _tables[int(step)] = have = np.multiply.accumulate(have)
+    return have
 
 
 def powers(n: int) -> np.ndarray:
-    """``_STEP ** 0 .. n-1`` modulo 2**64; the table grows with the longest word seen."""
-    global _powers
-    if len(_powers) < n:
-        size = max(4096, 1 << (n - 1).bit_length())
-        out = np.full(size, _STEP, dtype=np.uint64)
-        out[0] = 1
-        _powers = np.multiply.accumulate(out)
-    return _powers
+    return _table(_STEP, n)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    return _table(_INVERSE, n)
+
+
+class Prints:
+    """Fingerprints of any strings of a piece: prefix sums of byte value times a power of the place,
+    moved back to place 0 by the inverse power."""
+
+    def __init__(self, data: np.ndarray, values: np.ndarray):
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.multiply(values[data], powers(len(data))[:len(data)], out=self.sums[1:])
+        np.cumsum(self.sums, out=self.sums)
+
+    def at(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = self.sums[end]
+        h -= self.sums[start]
+        h *= inverse_powers(len(self.sums))[start]
+        return mix(h)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,12 +125,9 @@ class Words(NamedTuple):
 
 def words(piece: Piece, spaces: np.ndarray = _SPACE, values: np.ndarray = _BYTE_WORD) -> Words:
     data, offsets = piece.data, piece.offsets
+    n = len(data)
     solid = ~spaces[data]
-    n = len(solid)
-    if not n:
-        z = np.zeros(0, np.int64)
-        return Words(z, z, z, np.zeros(0, np.uint64))
-    first = solid.copy()
+    first = solid.copy()            # a word starts: no space, and a space or another document before
     first[1:] &= ~solid[:-1]
     inner = offsets[1:-1]
     inner = inner[inner < n]
@@ -115,21 +136,15 @@ def words(piece: Piece, spaces: np.ndarray = _SPACE, values: np.ndarray = _BYTE_
     if not len(start):
         z = np.zeros(0, np.int64)
         return Words(z, z, z, np.zeros(0, np.uint64))
-    last = solid.copy()
+    last = solid.copy()             # a word ends: a space or another document follows
     last[:-1] &= ~solid[1:]
     inner = offsets[1:-1] - 1
     inner = inner[inner >= 0]
     last[inner] = solid[inner]
     end = np.flatnonzero(last) + 1
-    doc = np.searchsorted(offsets, start, side="right") - 1
-    longest = int((end - start).max())
-    which = np.cumsum(first, dtype=np.int32) - 1
-    which[:start[0]] = 0
-    pos = np.arange(n, dtype=np.int64) - start[which]
-    np.clip(pos, 0, longest, out=pos)
-    value = values[data]
-    value *= powers(longest + 1)[pos]
-    return Words(start, end, doc, mix(np.add.reduceat(value, start)))
+    counts = np.searchsorted(start, offsets)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(counts))
+    return Words(start, end, doc, Prints(data, values).at(start, end))
 
 
 _COMBINE = powers(64)[1:64] * U64(0xD1342543DE82EF95)
