@@ -18,7 +18,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import query, stored, table
@@ -90,8 +90,9 @@ def by_place(found: DataFrame) -> DataFrame:
 def train(labelled: DataFrame, per_class: int = PER_CLASS, trees: int = 24, depth: int = 8, seed: int = 11) -> PipelineModel | None:
     """A forest on at most ``per_class`` findings of each label, picked by a hash of their place;
     None if only one label exists."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", "place", "part"), "doc_id", "place", "part")
-    picked = labelled.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= per_class)
+    order = [F.xxhash64("doc_id", "place", "part"), "doc_id", "place", "part"]
+    first = [labelled.filter(F.col("label") == y).orderBy(*order).limit(per_class) for y in (0.0, 1.0)]
+    picked = first[0].unionAll(first[1])
     picked = stored(picked.select("label", *NUMERIC, *NEIGHBOURS), "findings")
     if picked.select("label").distinct().count() < 2:
         return None
