@@ -8,9 +8,10 @@ this is judged on the input, so a removed line still counts as an earlier one.
 2. Words are counted over all lines. A line's words are ordered by rarity, and two similar
    lines share a word of both prefixes (the rarest n - ceil(percent * n / 100) + 1 words).
    Prefix words that no other line has are not sent.
-3. Lines that share a prefix word are candidates if their lengths allow it and enough words
-   are left behind the shared word's places (length and positional filter). In a large
-   group, a line meets the first ``FIRST`` lines of the group, then the next ones in growing
+3. Lines that share a prefix word are candidates if their lengths allow it, enough words are
+   left behind the shared word's places (length and positional filter), and 64-bit maps of
+   their words do not differ in more bits than words may differ. In a group of more than
+   ``FULL`` lines, a line meets the first ``FIRST`` lines, then the next ones in growing
    steps; a line with a match leaves, so groups of near copies are not expanded into all pairs.
 4. Candidates are verified on the full word sets.
 """
@@ -31,7 +32,7 @@ from .suffixdedup import as_notes, named
 from .text import U64, Piece, mix, words
 
 PERCENT = 80
-FIRST, GROW = 4, 8
+FULL, FIRST, GROW = 64, 4, 8
 LINE_BITS = 28   # lines of a block; the rest of a line's key is its block
 
 
@@ -143,40 +144,46 @@ def rarity(answers: list[tuple[int, bytes]], values: np.ndarray, n_buckets: int)
     return out
 
 
-def pair_filter(na, ia, nb, ib, percent: int):
-    """Length and positional filter for rows that share the words at places ia and ib."""
+def pair_filter(na, ia, xa, nb, ib, xb, percent: int):
+    """Length and positional filter for lines that share the words at places ia and ib, and a bound on
+    how many words they do not share: bits that differ in maps of 64 hashed words."""
     need = -(-percent * (na + nb) // (100 + percent))
-    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (1 + np.minimum(na - ia, nb - ib) - 1 >= need)
+    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (np.minimum(na - ia, nb - ib) >= need) \
+        & (np.bitwise_count(xa ^ xb) <= na + nb - 2 * need)
 
 
 def candidates(sent: DataFrame, percent: int) -> DataFrame:
-    """(kind 0) pairs of a line with the first ``FIRST`` lines of a group, once a bucket, and
-    (kind 1) the members of groups larger than that, with their place in the group."""
+    """(kind 0) pairs a before b that pass the filters: all pairs of a group of up to ``FULL`` lines, else
+    those with its first ``FIRST`` lines; (kind 1) the members of larger groups, with the place of
+    the word in the line and of the line in the group."""
     def bucket(group: pa.Table) -> pa.Table:
         get = lambda name, t: np.concatenate([np.frombuffer(x.as_py(), t) for x in group.column(name)])
         word, line, n, place = get("fps", np.uint64), get("line", np.int64), get("n", np.int32), get("place", np.int32)
+        chart = get("chart", np.uint64)
         order = np.lexsort((line, word))
         word, line, n, place = word[order], line[order], n[order].astype(np.int64), place[order].astype(np.int64)
+        chart = chart[order]
         start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
         size = np.diff(np.concatenate((start, [len(word)])))
         rank = np.arange(len(word)) - np.repeat(start, size)
-        a, b = [], []
-        for back in range(FIRST):
-            late = np.flatnonzero(rank > back)
-            early = late - rank[late] + back
-            ok = pair_filter(n[early], place[early], n[late], place[late], percent)
-            a.append(line[early[ok]])
-            b.append(line[late[ok]])
-        pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1) if len(word) else np.zeros((2, 0), np.int64)
-        big = np.repeat(size > FIRST + 1, size)
-        zeros = np.zeros(pairs.shape[1], np.int64)
-        return pa.table({
-            "kind": pa.array(np.concatenate((zeros, np.ones(int(big.sum()), np.int64))), pa.int64()),
-            "a": pa.array(np.concatenate((pairs[0], word[big].view(np.int64))), pa.int64()),
-            "b": pa.array(np.concatenate((pairs[1], line[big])), pa.int64()),
-            "n": pa.array(np.concatenate((zeros, n[big])), pa.int64()),
-            "place": pa.array(np.concatenate((zeros, place[big])), pa.int64()),
-            "nth": pa.array(np.concatenate((zeros, rank[big])), pa.int64())})
+        big = np.repeat(size > FULL, size)
+        late_all = np.flatnonzero(rank > 0)
+        found = [np.zeros((2, 0), np.int64)]
+        for back in range(FULL):
+            late_all = late_all[(rank[late_all] > back) & (~big[late_all] | (back < FIRST))]
+            if not len(late_all):
+                break
+            early = late_all - rank[late_all] + back
+            ok = pair_filter(n[early], place[early], chart[early], n[late_all], place[late_all], chart[late_all], percent)
+            found.append(np.stack((early[ok], late_all[ok])))
+        early, late = np.concatenate(found, axis=1)
+        order = np.lexsort((line[late], line[early]))
+        a, b = line[early[order]], line[late[order]]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+        a, b, none, m = a[new], b[new], np.zeros(int(new.sum()), np.int64), int(big.sum())
+        both = lambda x, y: pa.array(np.concatenate((x, y)).astype(np.int64), pa.int64())
+        return pa.table({"kind": both(none, np.ones(m)), "a": both(a, word[big].view(np.int64)), "b": both(b, line[big]),
+                         "n": both(none, n[big]), "place": both(none, place[big]), "nth": both(none, rank[big])})
 
     return sent.groupBy("bucket").applyInArrow(bucket, "kind long, a long, b long, n long, place long, nth long")
 
@@ -261,21 +268,24 @@ def similar_lines(blocks: DataFrame, notes: DataFrame, sig_buckets: int, percent
         start = np.searchsorted(line, line)
         n = np.diff(lines.bounds)[line]
         place = np.arange(len(line)) - start
+        heads = np.flatnonzero(place == 0)
+        chart = np.bitwise_or.reduceat(U64(1) << (h >> U64(58)), heads)[np.cumsum(place == 0) - 1]
         keep = (place < n - -(-percent * n // 100) + 1) & (level > 0)
         line, h, n, place = key_of(b.block, line[keep]), h[keep], n[keep].astype(np.int32), place[keep].astype(np.int32)
         order = np.argsort(h, kind="stable")
-        line, h, n, place = line[order], h[order], n[order], place[order]
+        line, h, n, place, chart = line[order], h[order], n[order], place[order], chart[keep][order]
         at = bucket_bounds(h, word_buckets)
         full = np.flatnonzero(np.diff(at))
         cut = lambda x: pa.array([x[at[k]:at[k + 1]].tobytes() for k in full], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), cut(h), cut(line), cut(n), cut(place)],
-                                         names=["bucket", "fps", "line", "n", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), cut(h), cut(line), cut(n), cut(place), cut(chart)],
+                                         names=["bucket", "fps", "line", "n", "place", "chart"])
 
-    sent = with_notes(blocks, notes, prefixes, "bucket int, fps binary, line binary, n binary, place binary")
+    sent = with_notes(blocks, notes, prefixes, "bucket int, fps binary, line binary, n binary, place binary, chart binary")
     found = stored(candidates(sent, percent), "candidates")
-    hits = verified(blocks, stored(found.filter("kind = 0").select("a", "b").distinct(), "pairs"), percent)
     groups = found.filter("kind = 1").select(F.col("a").alias("word"), F.col("b").alias("line"), "n", "place", "nth")
     largest = groups.agg(F.max("nth")).first()[0] or 0
+    pairs = stored(found.filter("kind = 0").select("a", "b").distinct(), "pairs")
+    hits = verified(blocks, pairs, percent)
     at = FIRST
     while at <= largest:
         # later lines without a match yet meet the next lines of their groups

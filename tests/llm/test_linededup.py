@@ -57,3 +57,16 @@ def test_group_of_near_copies(spark, percent):
 def test_empty(spark):
     assert dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_small_group_limits_give_the_same(spark, monkeypatch):
+    from cardsight.llm import linededup
+    base = [prose(170 + i, 25) for i in range(3)]
+    rows = [(i, "\n".join(changed(x, 9 + (i * 7 + j) % 11, f"v{i % 9}") for j, x in enumerate(base))) for i in range(60)]
+    want = brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(dedup(df)) == want
+    monkeypatch.setattr(linededup, "FULL", 3)
+    monkeypatch.setattr(linededup, "FIRST", 1)
+    monkeypatch.setattr(linededup, "GROW", 2)
+    assert got(dedup(df)) == want
