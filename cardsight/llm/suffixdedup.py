@@ -36,7 +36,7 @@ from .text import U64, Prints, distinct
 
 WIDTH = 50
 PERIOD = 31
-TURNS = 2    # the buckets of suffixes are sorted in so many turns, which bounds the disk in use
+TURNS = 3    # the buckets of suffixes are sorted in so many turns, which bounds the disk in use
 COVER = (0, 1, 3, 8, 12, 18)  # every residue modulo 31 is a difference of two of these
 
 _VALUE = np.random.default_rng(99).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -140,7 +140,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
     blocks = write_blocks(docs)
     n_text = text_bytes(blocks)
     rank_buckets = buckets_for(n_text * len(COVER) / PERIOD)
-    suffix_buckets = max(TURNS, buckets_for(n_text * 0.2))
+    suffix_buckets = max(4, buckets_for(n_text * 0.2))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
