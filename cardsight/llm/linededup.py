@@ -32,7 +32,7 @@ from .suffixdedup import as_notes, named
 from .text import U64, Piece, mix, words
 
 PERCENT = 80
-FULL, FIRST, GROW = 64, 4, 8
+FULL, TRIED, FIRST, GROW = 64, 4096, 4, 8
 LINE_BITS = 28   # lines of a block; the rest of a line's key is its block
 
 
@@ -154,8 +154,9 @@ def pair_filter(na, ia, xa, nb, ib, xb, percent: int):
 
 def candidates(sent: DataFrame, percent: int) -> DataFrame:
     """(kind 0) pairs a before b that pass the filters: all pairs of a group of up to ``FULL`` lines, else
-    those with its first ``FIRST`` lines; (kind 1) the members of larger groups, with the place of
-    the word in the line and of the line in the group."""
+    those with its first ``FIRST`` lines; (kind 1) the members of larger groups that pass the filters
+    with any other line (all members beyond ``TRIED`` lines), with the place of the word in the line and
+    of the line in the group."""
     def bucket(group: pa.Table) -> pa.Table:
         get = lambda name, t: np.concatenate([np.frombuffer(x.as_py(), t) for x in group.column(name)])
         word, line, n, place = get("fps", np.uint64), get("line", np.int64), get("n", np.int32), get("place", np.int32)
@@ -166,16 +167,20 @@ def candidates(sent: DataFrame, percent: int) -> DataFrame:
         start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
         size = np.diff(np.concatenate((start, [len(word)])))
         rank = np.arange(len(word)) - np.repeat(start, size)
-        big = np.repeat(size > FULL, size)
-        late_all = np.flatnonzero(rank > 0)
+        big, huge = np.repeat(size > FULL, size), np.repeat(size > TRIED, size)
+        late = np.flatnonzero(rank > 0)
         found = [np.zeros((2, 0), np.int64)]
-        for back in range(FULL):
-            late_all = late_all[(rank[late_all] > back) & (~big[late_all] | (back < FIRST))]
-            if not len(late_all):
-                break
-            early = late_all - rank[late_all] + back
-            ok = pair_filter(n[early], place[early], chart[early], n[late_all], place[late_all], chart[late_all], percent)
-            found.append(np.stack((early[ok], late_all[ok])))
+        fits = huge.copy()      # members of large groups that pass the filters with another one
+        for back in range(min(int(size.max()), TRIED) if len(size) else 0):
+            late = late[(rank[late] > back) & (~huge[late] | (back < FIRST))]
+            early = late - rank[late] + back
+            ok = pair_filter(n[early], place[early], chart[early], n[late], place[late], chart[late], percent)
+            e, z = early[ok], late[ok]
+            if back >= FIRST:
+                fits[e] = fits[z] = True
+                e, z = e[~big[e]], z[~big[z]]
+            found.append(np.stack((e, z)))
+        big &= fits
         early, late = np.concatenate(found, axis=1)
         order = np.lexsort((line[late], line[early]))
         a, b = line[early[order]], line[late[order]]

@@ -70,3 +70,5 @@ def test_small_group_limits_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(linededup, "FIRST", 1)
     monkeypatch.setattr(linededup, "GROW", 2)
     assert got(dedup(df)) == want
+    monkeypatch.setattr(linededup, "TRIED", 5)
+    assert got(dedup(df)) == want
