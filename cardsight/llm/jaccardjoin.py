@@ -176,9 +176,10 @@ def roots(every: DataFrame, percent: int) -> DataFrame:
     root = None
     links = None
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("nb")) / (100 + percent))
-    # a pair has at most the smaller count of shared columns, and of those from the met column on
+    # a pair has at most the smaller count of shared columns, and of those from the first common one on
     fits = (F.col("root") != F.col("rb")) & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")) \
-        & (F.least("m", "mb") >= need) & (F.least("rest", "restb") >= need)
+        & (F.least("m", "mb") >= need)
+    early = F.least("rest", "restb") >= need
     other = [F.col("col").alias("_col"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"),
              F.col("width").alias("wb"), F.col("rest").alias("restb"), F.col("root").alias("rb")]
     for hub in (F.max(F.struct("weight", "node")), F.min(F.struct(F.lit(0.0).alias("weight"), "node")), None):
@@ -192,17 +193,19 @@ def roots(every: DataFrame, percent: int) -> DataFrame:
         if hub is not None:
             hubs = own.groupBy(F.col("col").alias("_h")).agg(hub.alias("hub")).select("_h", F.col("hub.node").alias("_b"))
             right = right.join(hubs, (F.col("_col") == F.col("_h")) & (F.col("b") == F.col("_b")), "left_semi")
-            met = own.join(right, (F.col("col") == F.col("_col")) & fits).groupBy(F.col("node").alias("a"), "b").agg(
+            met = own.join(right, (F.col("col") == F.col("_col")) & fits & early).groupBy(F.col("node").alias("a"), "b").agg(
                 F.count(F.lit(1)).alias("met"))
             best = Window.partitionBy("a").orderBy(F.desc("met"), "b")
             pairs = met.withColumn("nth", F.row_number().over(best)).filter("nth <= 2")
         else:
             met = own.join(right, (F.col("col") == F.col("_col")) & (F.col("node") < F.col("b")) & fits)
             # The row whose prefix ends first has all its shared prefix columns in the other prefix,
-            # and it can miss m - need of its shared columns at most.
-            pairs = met.groupBy(F.col("node").alias("a"), "b", "n", "nb", "m", "mb", "width", "wb") \
-                .agg(F.count(F.lit(1)).alias("met")) \
-                .filter(F.col("met") >= F.least(F.col("width") - (F.col("m") - need), F.col("wb") - (F.col("mb") - need)))
+            # and it can miss m - need of its shared columns at most. All common prefix columns count
+            # here, late ones too; that the first of them is early enough is asked of the pair.
+            least = F.least(F.col("width") - (F.col("m") - need), F.col("wb") - (F.col("mb") - need))
+            pairs = met.select(F.col("node").alias("a"), "b", least.alias("least"), early.alias("early")) \
+                .groupBy("a", "b", "least").agg(F.count(F.lit(1)).alias("met"), F.bool_or("early").alias("early")) \
+                .filter(F.col("early") & (F.col("met") >= F.col("least")))
         found = stored(linked(pairs, rows, percent), "found")
         links = found if links is None else links.unionByName(found)
         root = stored(components(links).select(F.col("node").alias("_node"), "root"), "roots")

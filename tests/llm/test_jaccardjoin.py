@@ -71,3 +71,21 @@ def test_components_of_a_path(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200)], "a long, b long")
     assert sorted((r.node, r.root) for r in components(path).collect()) == \
         [(i, 0) for i in range(61)] + [(100, 100), (200, 100)]
+
+
+def test_pairs_whose_common_columns_are_late_in_the_prefix(spark):
+    """Two revisions share 90 of 100 shingles each; the other 10 are rarest (one short text more has them), and other
+    texts, not linked to them, are the star centres of the common ones."""
+    texts = []
+    for g in range(6):
+        common, longer = prose(600 + 10 * g, 94), prose(601 + 10 * g, 200)
+        for side in (602, 603):
+            tail = prose(side + 10 * g, 10)
+            texts += [f"{common} {tail}", " ".join(f"{common} {tail}".split(" ")[-14:])]
+        for j in range(4):
+            texts += [f"{common} {longer} d{g}x{j}", f"{longer} e{g}x{j}"]
+    rows = list(enumerate(texts))
+    out = brute(rows)
+    first = {d: c for d, _, c in out}
+    assert all(first[12 * g + 2] == first[12 * g] for g in range(6))
+    assert got(join(spark.createDataFrame(rows, "doc_id long, text string"))) == out
