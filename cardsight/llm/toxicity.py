@@ -58,10 +58,11 @@ def terms(piece: Piece, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fit_sparse(data: dict[str, np.ndarray], bits: int = BITS, factors: int = FACTORS, epochs: int = 80,
                rate: float = 0.05, decay: float = 1e-4, seed: int = 5,
-               min_docs: int = 5, min_z: float = 4.0) -> Model:
-    """Fit on sparse rows, on the terms whose share of label 1 is ``min_z`` standard errors from
-    the sample's: rarer or unrelated terms can only be learnt by heart. Without both labels the
-    model is the constant share of 1."""
+               min_docs: int = 5, min_z: float = 4.0, held_back: tuple[float, float] = (0.1, 0.01)) -> Model:
+    """Fit on sparse rows, on the terms of ``min_docs`` documents or more: rarer ones can only be
+    learnt by heart. A term whose share of label 1 is less than ``min_z`` standard errors from the
+    sample's stays, since it may count in a pair, but its weight and vector decay by ``held_back``.
+    Without both labels the model is the constant share of 1."""
     y, weight = data["y"].astype(np.float64), data["weight"].astype(np.float64)
     share = (np.sum(weight * y) + 0.5) / (np.sum(weight) + 1.0)
     model = Model(float(np.log(share / (1 - share))), np.zeros(1 << bits, np.float32),
@@ -71,7 +72,8 @@ def fit_sparse(data: dict[str, np.ndarray], bits: int = BITS, factors: int = FAC
         label_1 = np.bincount(np.searchsorted(used, data["slot"]), np.repeat(y, np.diff(data["bounds"])), len(used))
         rate_1 = y.mean()
         z = (label_1 - seen * rate_1) / np.sqrt(seen * max(rate_1 * (1 - rate_1), 1e-9))
-        used = used[(seen >= min_docs) & (np.abs(z) >= min_z)]
+        used, z = used[seen >= min_docs], z[seen >= min_docs]
+        w_decay, v_decay = (np.where(np.abs(z) >= min_z, decay, x) for x in held_back)
     if len(y) == 0 or y.min() == y.max() or not len(used):
         return model
     where = np.searchsorted(used, data["slot"])
@@ -107,10 +109,10 @@ def fit_sparse(data: dict[str, np.ndarray], bits: int = BITS, factors: int = FAC
         grad = np.empty_like(theta)
         grad[0] = err.sum()
         total = np.add.reduceat(e, col_at)
-        grad[1:len(used) + 1] = total + decay * w
+        grad[1:len(used) + 1] = total + w_decay * w
         g = grad[len(used) + 1:].reshape(factors, -1)
         for f in range(factors):
-            g[f] = np.add.reduceat(e * sums[f][row_of], col_at) - v[f] * total + decay * v[f]
+            g[f] = np.add.reduceat(e * sums[f][row_of], col_at) - v[f] * total + v_decay * v[f]
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.99 * m2 + 0.01 * grad * grad
         theta = theta - rate * (m1 / (1 - 0.9 ** step)) / (np.sqrt(m2 / (1 - 0.99 ** step)) + 1e-8)

@@ -43,6 +43,30 @@ def test_interactions_beyond_additive_weights():
     assert hit(toxicity.fit_sparse(dict(data), bits=8, epochs=300, min_z=-1)) > 0.9
 
 
+def test_pairs_of_words_as_common_in_both_labels(spark):
+    """Insult and group mention are each as common in both labels, only together (or both missing) they are label 1;
+    learnt with the defaults of the query's fit, judged on other documents."""
+    import numpy as np
+    r = np.random.default_rng(1)
+
+    def rows(first, n):
+        out = []
+        for i in range(first, first + n):
+            insult = bool(r.random() < 0.5)
+            words = [f"w{x}" for x in r.integers(0, 300, 20)]
+            words += [f"insult{x}" for x in r.integers(0, 60, 2)] if insult else []
+            words += [f"group{x}" for x in r.integers(0, 10, 2)] if insult == bool(i % 2) else []
+            out.append((i, " ".join(words), i % 2))
+        return out
+
+    learn, held = rows(0, 8000), rows(8000, 2000)
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string, toxic int")
+    model = toxicity.fit(frame(learn).drop("toxic"), frame(learn).drop("text"), F.lit(True))
+    y = {d: t for d, _, t in held}
+    scored = toxicity.score(frame(held).drop("toxic"), model).collect()
+    assert sum((s.score >= 0.5) == bool(y[s.doc_id]) for s in scored) > 0.85 * len(held)
+
+
 def test_edges(spark):
     docs = edge_documents(spark)
     labels = spark.createDataFrame([(0, 1, 1), (7, 0, 0), (8, None, 0), (None, 1, 1), (9, 1, None), (0, 1, 0), (11, 0, 1)],
