@@ -152,7 +152,7 @@ select part, filter_order, step, substr(filter_order, step, 1) as filter,
   coalesce(sum(n) filter (where bits = bit), 0)::bigint as unique_fails,
   coalesce(sum(good) filter (where bits & bit <> 0 and bits & before = 0), 0)::bigint as good_lost,
   coalesce(sum(toxic) filter (where bits & bit <> 0 and bits & before = 0), 0)::bigint as toxic_lost,
-  coalesce(sum(n * 120 // bit_count(bits)) filter (where bits & bit <> 0), 0)::bigint as shapley
+  coalesce(sum(n * 120 // greatest(bit_count(bits), 1)) filter (where bits & bit <> 0), 0)::bigint as shapley
 from c, s group by part, filter_order, step
 """
 
