@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hash01
+from .ordered import running_totals
 
 
 def sample_by_native(df: DataFrame, column: str, fractions: dict, seed: int) -> DataFrame:
@@ -43,3 +44,15 @@ def stratified_sample(df: DataFrame, column: str, fractions: dict, seed: int, ke
 def assign_folds(df: DataFrame, k: int, seed: int, key: str, column: str = "fold") -> DataFrame:
     """Fold number 0..k-1 per row from a hash of (seed, key) (K4); NULL keys share a fold."""
     return df.withColumn(column, F.floor(hash01(key, seed) * F.lit(k)).cast("int"))
+
+
+def balanced_folds(df: DataFrame, k: int, seed: int, key: str, label: str, column: str = "fold") -> DataFrame:
+    """Fold number 0..k-1 per row, dealt round robin in the order of the key's hash within each class (K4).
+
+    Every fold has each class's rows to within one, so a class of ``k`` rows or more is in every fold, which
+    hashed folds (:func:`assign_folds`) cannot promise. The same on any layout for distinct keys; rows that
+    share a key are neighbours in the order. The ranks come from one range exchange (see ``ordered``)."""
+    order = F.struct(hash01(key, seed).alias("h"), F.col(f"`{key}`").alias("k"))
+    ranked = running_totals(df.withColumns({"_order": order, "_one": F.lit(1).cast("long")}), "_order", ["_one"], by=[label])
+    fold = F.pmod(F.col("_one_cum") - 1, F.lit(k)).cast("int")
+    return ranked.select(*[F.col(f"`{c}`") for c in df.columns if c != column], fold.alias(column))

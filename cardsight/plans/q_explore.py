@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import itertools
 
+from pyspark.sql import functions as F
+
 from ..operators import explore
+from ..operators.joins import join_null_safe
 from ..sources.tables import AS_OF, TXN_SQL
 from .q_prepare import prepared_txn
 from .registry import query
@@ -189,5 +192,26 @@ def q_histogram_auto_exact(spark, sf_dir):
 
 @query("box_stats_approx")
 def q_box_stats_approx(spark, sf_dir):
-    """Box statistics from ``percentile_approx`` sketches (bounded memory per group)."""
+    """Box statistics from KLL sketches (bounded memory per group)."""
     return explore.box_stats(prepared_txn(spark, sf_dir), BOX_COLS, by="is_fraud", approx=True)
+
+
+@query("sketch_quartiles", f"""{P}, {_long_sql(BOX_COLS, 'is_fraud')}
+SELECT "column", class, count(*) AS n, round(min(x), 6) AS min, round(max(x), 6) AS max, TRUE AS within FROM long GROUP BY ALL""")
+def q_sketch_quartiles(spark, sf_dir):
+    """Quartiles from the merged KLL sketches of the two portions: counts and extremes are exact, and the
+    share of values up to each quartile, counted afterwards, is within the sketch's rank error."""
+    probs = (0.25, 0.5, 0.75)
+    p = prepared_txn(spark, sf_dir)
+    portions = [explore.value_sketches(explore.numeric_long(p.where(F.col("portion") == x), BOX_COLS, "is_fraud"))
+                for x in ("train", "test")]
+    q = explore.sketch_quantiles(explore.merge_sketches(portions[0].unionByName(portions[1])), probs)
+    rows = join_null_safe(explore.numeric_long(p, BOX_COLS, "is_fraud"), q, explore.GROUP)
+    counts = rows.groupBy(*explore.GROUP).agg(
+        *[F.first(c).alias(c) for c in ("n", "mn", "mx")],
+        *[F.count_if(F.col("x") < F.col(f"q{i}")).alias(f"b{i}") for i in range(len(probs))],
+        *[F.count_if(F.col("x") <= F.col(f"q{i}")).alias(f"a{i}") for i in range(len(probs))])
+    off = explore.rank_error()
+    near = [(F.col(f"b{i}") / F.col("n") <= x + off) & (F.col(f"a{i}") / F.col("n") >= x - off) for i, x in enumerate(probs)]
+    return counts.select(*explore.GROUP, "n", F.round("mn", 6).alias("min"), F.round("mx", 6).alias("max"),
+                         (near[0] & near[1] & near[2]).alias("within"))

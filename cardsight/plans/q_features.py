@@ -8,7 +8,9 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from ..operators import features, prepare
+from ..session import scratch_path
 from ..sources import files
+from ..sources.models import load_model, save_model
 from ..sources.tables import AS_OF, TXN_SQL
 from .q_prepare import prepared_txn
 from .registry import query
@@ -112,6 +114,27 @@ def q_string_index(spark, sf_dir):
     return out.select(items.alias("s")).select("s.*").distinct()
 
 
+# Rows of one merchant are kept from the fit, another merchant is NULL: both get the number after the last label.
+_KEPT = "CASE WHEN merchant = 'm2' THEN NULL ELSE merchant END"
+
+
+@query("string_index_table", f"""{M.replace('is_fraud, merchant,', f'is_fraud, {_KEPT} AS merchant,')},
+seen AS (SELECT * FROM m WHERE merchant IS DISTINCT FROM 'm1'), ranks AS ({_RANK_SQL.replace('FROM m WHERE', 'FROM seen WHERE')}),
+long AS ({' UNION '.join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM m" for c in CATEGORICAL)}),
+n AS (SELECT "column", count(*) AS labels FROM ranks GROUP BY ALL)
+SELECT l."column", l.value, CAST(coalesce(r.idx, n.labels) AS INTEGER) AS "index" FROM long l JOIN n ON l."column" = n."column"
+LEFT JOIN ranks r ON l."column" = r."column" AND l.value = r.value""")
+def q_string_index_table(spark, sf_dir):
+    """The index as a table, in a pipeline that was saved and loaded, on values the fit did not see and NULLs."""
+    df = model_frame(spark, sf_dir).withColumn("merchant", F.when(F.col("merchant") != "m2", F.col("merchant")))
+    indexer = features.feature_stages(CATEGORICAL, NUMERIC, indexer="table")[0]
+    fitted = Pipeline(stages=[indexer]).fit(df.where(~F.col("merchant").eqNullSafe("m1")))
+    model = load_model(save_model(fitted, scratch_path(spark, "indexer")))
+    items = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"),
+                                         F.col(f"{c}_index").cast("int").alias("index")) for c in CATEGORICAL]))
+    return model.transform(df).select(items.alias("s")).select("s.*").distinct()
+
+
 @query("one_hot", f"""{M}, ranks AS ({_RANK_SQL}),
 long AS ({' UNION ALL '.join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM m" for c in CATEGORICAL)})
 SELECT r."column", r.idx AS slot, (SELECT count(*) FROM m) AS rows, count(*) AS nonzeros

@@ -8,13 +8,15 @@ One fitted pipeline a session and folder serves all queries that only read it.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, features, models, sampling, threshold, tune
 from ..session import scratch_path
 from ..sources import files
-from ..sources.models import load_model, save_model
+from ..sources.models import OWN_STAGES, load_foreign, load_model, save_model, stage_metadata
 from ..streaming import scoring
 from .q_features import CATEGORICAL, M, NUMERIC, split_model_frame
 from .q_prepare import SAMPLE_FRACTIONS, SAMPLE_SEED
@@ -158,6 +160,26 @@ def q_model_roundtrip(spark, sf_dir):
                     F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("differing"))
 
 
+@query("model_foreign", f"{_SCORED_ROWS} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differing FROM s")
+def q_model_foreign(spark, sf_dir):
+    """A pipeline whose custom stages are stored under another module path, with other parameter names and
+    output names spelt out, loads and scores like ours."""
+    model = tuned_model(spark, sf_dir)
+    path = save_model(model, scratch_path(spark, "foreign"))
+    for i, stage in enumerate(model.stages):
+        if type(stage).__name__ in OWN_STAGES:
+            at = f"{path}/stages/{i}_{stage.uid}"
+            stored = stage_metadata(spark, at)
+            names = {"inputCols": "input_cols", "outputCols": "output_cols"} if isinstance(stage, features.LogTransformer) else {}
+            given = {"inputCols": stage.getInputCols(), "outputCols": stage.getOutputCols()}
+            stored |= {"class": f"elsewhere.stages.{type(stage).__name__}", "defaultParamMap": {names.get(k, k): None for k in given},
+                       "paramMap": {names.get(k, k): v for k, v in given.items()}}
+            spark.createDataFrame([(json.dumps(stored),)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/metadata")
+    both = models.score_side_by_side({"before": model, "after": load_foreign(spark, path)}, train_test(spark, sf_dir)[1])
+    return both.agg(F.count(F.lit(1)).alias("rows"),
+                    F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("differing"))
+
+
 _METRICS = ", ".join(f"('{m}')" for m in evaluate.MULTI_METRICS)
 
 
@@ -202,6 +224,40 @@ def q_evolve_params(spark, sf_dir):
         p["subsamplingRate"].alias("subsampling"), in_range("score").alias("scored"))
 
 
+# A space of 1152 points for a budget of 12 trials, with a learner small enough to be fitted often.
+WIDE_RANGES = {"maxDepth": [2, 3, 4, 5], "maxIter": [2, 3, 4], "stepSize": [0.05, 0.1, 0.2, 0.4],
+               "subsamplingRate": [0.5, 0.7, 0.85, 1.0], "minInstancesPerNode": [1, 5, 20], "minInfoGain": [0.0, 0.01]}
+WIDE_POPULATION, WIDE_GENERATIONS = 4, 3
+
+
+@query("evolve_wide", " UNION ALL ".join(
+    f"SELECT {n} AS id, {n // WIDE_POPULATION} AS generation, {n % WIDE_POPULATION} AS trial, {str(n >= WIDE_POPULATION).upper()} AS child, "
+    "TRUE AS is_new, TRUE AS parents_best, TRUE AS genes_explained, TRUE AS scored, TRUE AS resumed_equal"
+    for n in range(WIDE_POPULATION * WIDE_GENERATIONS)))
+def q_evolve_wide(spark, sf_dir):
+    """Evolution over a space larger than the budget, once in one go and once stopped after two generations
+    and taken up by a new search from its state: every child descends from the two best trials before
+    it, every gene is a parent's or marked as drawn anew, and both logs are the same."""
+    train, _ = train_test(spark, sf_dir)
+    state = scratch_path(spark, "search")
+
+    def search(generations, path):
+        s = tune.EvolutionarySearch(Pipeline(stages=stages(False) + [models.gbt(LABEL)]), WIDE_RANGES, LABEL, metric="f1",
+                                    population=WIDE_POPULATION, generations=generations, folds=2, seed=5, parallelism=8, state=path)
+        s.run(train)
+        return s.trial_log(spark)
+
+    straight = search(WIDE_GENERATIONS, None)
+    search(WIDE_GENERATIONS - 1, state)
+    resumed = search(WIDE_GENERATIONS, state)
+    same = ["id", "generation", "trial", "params", "parent_1", "parent_2", "mutated", "score"]
+    other = resumed.select(F.col("id").alias("_id"), F.struct(*[F.col(c) for c in same]).alias("_other"))
+    both = straight.join(other, F.col("id") == F.col("_id"), "left").select(
+        F.col("id").alias("_id"), F.col("parent_1").isNotNull().alias("child"), in_range("score").alias("scored"),
+        F.coalesce(F.struct(*[F.col(c) for c in same]).eqNullSafe(F.col("_other")), F.lit(False)).alias("resumed_equal"))
+    return tune.lineage(straight).join(both, F.col("id") == F.col("_id")).drop("_id")
+
+
 @query("stream_score", f"""{_SCORED_ROWS}
 SELECT txn_id, is_fraud, TRUE AS p1_in_range, TRUE AS flagged_agrees FROM s""")
 def q_stream_score(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import distribution, prepare, sampling
+from ..operators import distribution, explore, prepare, sampling
 from ..session import scratch_path
 from ..sources import files, schemas
 from ..sources.tables import AS_OF, TXN_SQL, load_txn, table, txn_view
@@ -136,6 +136,30 @@ def q_fold_assign(spark, sf_dir):
                                       F.sum("is_fraud").cast("bigint").alias("positives"))
 
 
+@query("fold_balanced", f"""{W}, c AS (SELECT is_fraud, count(*) AS n FROM txn WHERE portion = 'train' GROUP BY is_fraud)
+SELECT CAST(fold AS INTEGER) AS fold, is_fraud, CAST((n + {FOLDS} - 1 - fold) // {FOLDS} AS BIGINT) AS count
+FROM c, range({FOLDS}) AS f(fold)""")
+def q_fold_balanced(spark, sf_dir):
+    """Folds dealt round robin within the class: every fold has each class's rows to within one."""
+    train = load_txn(spark, sf_dir).where(F.col("portion") == "train").select("txn_id", "is_fraud")
+    folded = sampling.balanced_folds(train, FOLDS, FOLD_SEED, key="txn_id", label="is_fraud")
+    return folded.groupBy("fold", "is_fraud").agg(F.count(F.lit(1)).alias("count"))
+
+
+_TOP_SQL = {"merchant": "merchant", "txn_id": "txn_id", "euros": "CAST(floor(amt) AS BIGINT)", "cents": "CAST(floor(amt * 100) AS BIGINT)"}
+TOP_N = 10
+
+
+@query("top_values", f"""{W} SELECT "column", value, count FROM (
+SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS r FROM (
+  {' UNION ALL '.join(f"SELECT '{c}' AS \"column\", CAST({e} AS VARCHAR) AS value, count(*) AS count FROM txn GROUP BY ALL" for c, e in _TOP_SQL.items())}
+) WHERE value IS NOT NULL) WHERE r <= {TOP_N}""")
+def q_top_values(spark, sf_dir):
+    """Most frequent values of a category, an identifier and two numbers, from bounded summaries."""
+    txn = load_txn(spark, sf_dir).select("merchant", "txn_id", F.floor("amt").alias("euros"), F.floor(F.col("amt") * 100).alias("cents"))
+    return distribution.top_values(txn, list(_TOP_SQL), TOP_N)
+
+
 _CSV_COLS = ["txn_id", "trans_ts", "amt", "merchant", "category", "gender", "job", "city_pop", "dob",
              "lat", "long", "merch_lat", "merch_long", "portion", "is_fraud"]
 
@@ -198,6 +222,81 @@ def q_csv_unparsed(spark, sf_dir):
     return files.unparsed(spark, path, src.schema)
 
 
+# What is done to a line of the file, by txn_id % 50.
+_SPOILT = {1: "fields", 2: "fields", 3: "amt", 4: "trans_ts", 5: "trans_ts,amt"}
+_CHECKED = ["txn_id", "trans_ts", "amt", "merchant", "is_fraud"]
+
+
+def _spoilt_csv(spark, sf_dir) -> tuple[str, object]:
+    """The transactions as a CSV file with short, long and mistyped lines, and its schema."""
+    src = load_txn(spark, sf_dir).select(*_CHECKED)
+    kind = F.col("txn_id") % 50
+    ts = F.when(kind.isin(4, 5), F.lit("yesterday")).otherwise(F.date_format("trans_ts", "yyyy-MM-dd HH:mm:ss"))
+    amt = F.when(kind.isin(3, 5), F.lit("12,50 EUR")).otherwise(F.col("amt").cast("string"))
+    quoted = F.concat(F.lit('"'), amt, F.lit('"'))
+    line = F.concat_ws(",", F.col("txn_id").cast("string"), ts, quoted, "merchant", F.when(kind != 1, F.col("is_fraud").cast("string")),
+                       F.when(kind == 2, F.lit("more")))
+    path = scratch_path(spark, "spoilt_csv")
+    src.select(line.alias("value")).write.text(path)
+    return path, src.schema
+
+
+@query("csv_rejected", f"""{W} SELECT txn_id, CASE WHEN txn_id % 50 IN ({', '.join(map(str, _SPOILT))}) THEN 'rejected' ELSE 'typed' END AS output,
+  CASE txn_id % 50 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in _SPOILT.items())} END AS reason FROM txn""")
+def q_csv_rejected(spark, sf_dir):
+    """A file with short, long and mistyped lines: every line is a typed row or a rejected one, with the reason."""
+    path, schema = _spoilt_csv(spark, sf_dir)
+    typed, rejected = files.ingest_csv(spark, path, scratch_path(spark, "checked"), schema, header=False)
+    return typed.select("txn_id", F.lit("typed").alias("output"), F.lit(None).cast("string").alias("reason")) \
+        .unionByName(rejected.select(F.split("line", ",")[0].cast("long").alias("txn_id"), F.lit("rejected").alias("output"), "reason"))
+
+
+@query("csv_unparsed_values", f"""{W} SELECT * FROM (VALUES ('txn_id', 0), ('merchant', 0), ('is_fraud', 0),
+  ('trans_ts', (SELECT count(*) FROM txn WHERE txn_id % 50 IN (4, 5))), ('amt', (SELECT count(*) FROM txn WHERE txn_id % 50 IN (3, 5))))
+AS t("column", count)""")
+def q_csv_unparsed_values(spark, sf_dir):
+    """Values that are text but do not parse, in a file that has some."""
+    path, schema = _spoilt_csv(spark, sf_dir)
+    return files.unparsed(spark, path, schema, header=False)
+
+
+_PROFILED = {"txn_id": "bigint", "amt": "double", "merchant": "string", "job": "string", "is_fraud": "int", "dob": "date"}
+
+
+@query("column_profile", f"""{W} SELECT * FROM ({' UNION ALL '.join(
+    f"SELECT {i} AS position, '{c}' AS name, '{t}' AS dtype, count(*) AS rows, count(*) - count({c}) AS nulls, CAST(0 AS BIGINT) AS nan, "
+    + ("CAST(NULL AS DOUBLE)" if t in ("string", "date") else f"round(avg(CAST({c} AS DOUBLE)), 6)") + " AS mean, "
+    + ("CAST(min(amt) AS DOUBLE)" if c == "amt" else "CAST(NULL AS DOUBLE)") + " AS amt_min, "
+    + ("NULL" if c == "amt" else f"CAST(min({c}) AS VARCHAR)") + " AS min, "
+    + ("NULL" if c == "amt" else f"CAST(max({c}) AS VARCHAR)") + " AS max, TRUE AS distinct_within, TRUE AS quartiles_within FROM txn"
+    for i, (c, t) in enumerate(_PROFILED.items()))})""")
+def q_column_profile(spark, sf_dir):
+    """All columns in one aggregate. Counts, extremes and means are exact; the sketched distinct counts
+    are within five standard errors of the counted ones and the quartiles within the sketch's rank error."""
+    txn = load_txn(spark, sf_dir).select(*_PROFILED)
+    profile = files.profile_columns(txn)
+    counted = txn.agg(*[F.count_distinct(c).alias(c) for c in _PROFILED])
+    exact = counted.select(F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).alias("_d")) for c in _PROFILED])))
+    values = explore.numeric_long(txn, ["txn_id", "amt", "is_fraud"]).drop("class") \
+        .join(F.broadcast(profile.select("name", "q1", "median", "q3")), F.col("column") == F.col("name"))   # one row a column
+    probs, off = {"q1": 0.25, "median": 0.5, "q3": 0.75}, explore.rank_error()
+    ranks = values.groupBy("name").agg(*[((F.count_if(F.col("x") < F.col(q)) / F.count("x") <= p + off)
+                                          & (F.count_if(F.col("x") <= F.col(q)) / F.count("x") >= p - off)).alias(f"_{q}")
+                                         for q, p in probs.items()]).select(F.col("name").alias("_n"), (F.col("_q1") & F.col("_median") & F.col("_q3")).alias("_ok"))
+    number = F.col("name") == "amt"
+    return profile.join(exact, F.col("name") == F.col("_c")).join(ranks, F.col("name") == F.col("_n"), "left").select(
+        "position", "name", "dtype", "rows", "nulls", "nan", F.round("mean", 6).alias("mean"),
+        F.when(number, F.col("min").cast("double")).alias("amt_min"), F.when(~number, F.col("min")).alias("min"), F.when(~number, F.col("max")).alias("max"),
+        (F.abs(F.col("n_distinct") - F.col("_d")) <= F.greatest(F.lit(1.0), 5 * files.distinct_error() * F.col("_d"))).alias("distinct_within"),
+        F.coalesce("_ok", F.lit(True)).alias("quartiles_within"))
+
+
+@query("preview", f"{W} SELECT txn_id, merchant, amt, is_fraud FROM txn ORDER BY amt, txn_id LIMIT 20")
+def q_preview(spark, sf_dir):
+    """The first rows in order of amount and id: the same on any layout."""
+    return files.preview(load_txn(spark, sf_dir).select("txn_id", "merchant", "amt", "is_fraud"), ["amt", "txn_id"])
+
+
 _DTYPE_SQL = """CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
   WHEN 'VARCHAR' THEN 'string' WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
   ELSE lower(column_type) END"""

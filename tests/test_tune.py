@@ -64,6 +64,79 @@ def test_small_grid_is_walked_in_order(spark, data):
     assert len({r.params for r in log}) == 6
 
 
+WIDE = {"regParam": [0.0, 0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.25, 0.5, 1.0], "maxIter": [2, 5, 10],
+        "threshold": [0.3, 0.4, 0.5, 0.6], "fitIntercept": [True, False]}
+
+
+def wide(state=None, generations=4, **kw):
+    return tune.EvolutionarySearch(pipe(), WIDE, "y", population=5, generations=generations, folds=2,
+                                   **{"seed": 2, "mutation_prob": 0.5, "mutations": 2, **kw}, state=state)
+
+
+def test_every_child_descends_from_the_two_best_before_it(spark, data):
+    s = wide()
+    s.run(data)
+    trials = {t.id: t for t in s.trials}
+    assert len(trials) == 20 and len({t.genes for t in s.trials}) == 20
+    for t in s.trials:
+        earlier = sorted((e for e in s.trials if e.generation < t.generation), key=lambda e: (-e.score, e.id))
+        assert t.parents == (tuple(e.id for e in earlier[:2]) if t.generation else None)
+        if t.parents:
+            for name, gene, a, b in zip(s.names, t.genes, *(trials[p].genes for p in t.parents)):
+                assert gene in (a, b) or name in t.mutated
+    assert any(t.mutated for t in s.trials) and any(t.parents and not t.mutated for t in s.trials)
+    shown = tune.lineage(s.trial_log(spark)).collect()
+    assert len(shown) == 20 and all(r.is_new and r.parents_best and r.genes_explained for r in shown)
+
+
+def test_lineage_sees_what_is_not_so(spark):
+    ok = dict(params="", mutated=[], score=0.5, error=None)
+    rows = [dict(ok, id=0, generation=0, trial=0, genes={"a": 0, "b": 0}, parent_1=None, parent_2=None),
+            dict(ok, id=1, generation=0, trial=1, genes={"a": 1, "b": 1}, parent_1=None, parent_2=None, score=0.7),
+            dict(ok, id=2, generation=1, trial=0, genes={"a": 0, "b": 1}, parent_1=1, parent_2=0),
+            dict(ok, id=3, generation=1, trial=1, genes={"a": 2, "b": 1}, parent_1=1, parent_2=0),
+            dict(ok, id=4, generation=1, trial=2, genes={"a": 2, "b": 0}, parent_1=0, parent_2=1, mutated=["a"]),
+            dict(ok, id=5, generation=1, trial=3, genes={"a": 1, "b": 1}, parent_1=1, parent_2=0)]
+    schema = ", ".join(c for c in tune.STATE.split(", ") if c.split()[0] not in ("size", "settings"))
+    log = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
+    got = {r.id: (r.is_new, r.parents_best, r.genes_explained) for r in tune.lineage(log).collect()}
+    assert got == {0: (True, True, True), 1: (True, True, True), 2: (True, True, True), 3: (True, True, False),
+                   4: (True, False, True), 5: (False, True, True)}
+
+
+def test_search_stops_and_resumes_from_its_state(spark, data, tmp_path):
+    straight = wide()
+    best = straight.run(data)
+    state = str(tmp_path / "search")
+    wide(state, generations=2).run(data)
+    # a driver lost while it wrote the third generation leaves part of it
+    half = spark.createDataFrame(straight._rows(straight.trials[10:15])[:3], tune.STATE)
+    half.write.parquet(f"{state}/trials/generation-000002")
+    again = wide(state)
+    scored = []
+    again._score, score = (lambda folds, genes: scored.append(genes) or score(folds, genes)), again._score
+    assert again.run(data) == best and again.trials == straight.trials
+    assert len(scored) == 10 and again.best_per_generation == straight.best_per_generation
+    third = wide(state)                       # finished: nothing is fitted again
+    third._score = None
+    assert third.run(data) == best and third.trials == straight.trials
+    with pytest.raises(ValueError, match="other settings"):
+        wide(state, seed=3).run(data)
+
+
+def test_space_too_large_to_list(spark, data):
+    huge = {"regParam": [i / 1e6 for i in range(10**6)], "elasticNetParam": [i / 1e6 for i in range(10**6)], "maxIter": list(range(1, 50))}
+    s = tune.EvolutionarySearch(pipe(), huge, "y", population=3, generations=2, folds=2, seed=1)
+    s.run(data)
+    assert s.size == 49 * 10**12 and len(s.trials) == 6 and s.trials[-1].parents
+
+
+def test_search_uses_a_space_up(spark, data):
+    s = tune.EvolutionarySearch(pipe(), RANGES, "y", population=4, folds=2, seed=1)   # no number of generations
+    s.run(data)
+    assert len({t.genes for t in s.trials}) == 6 and [t.generation for t in s.trials] == [0] * 4 + [1] * 2
+
+
 def test_search_population_one_and_zero_time(spark, data):
     s = tune.EvolutionarySearch(pipe(), RANGES, "y", population=1, generations=2, folds=2, seed=0)
     best, score = s.run(data)
