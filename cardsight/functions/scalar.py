@@ -29,6 +29,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def literal(text: str) -> str:
+    """A text as a SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def as_date(c, fmt: str = DATE_FORMAT) -> Column:
     """String -> date with ``fmt`` (malformed -> NULL, even with ANSI on); dates pass through."""
     return F.try_to_date(_c(c).cast("string"), fmt)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import quoted
 from .joins import join_null_safe
 from .ordered import running_totals
 
@@ -146,15 +147,14 @@ def score_counts(df: DataFrame, label: str, score: str, by: list[str] | None = N
     (an approximation like Spark's ``numBins``); ``None`` keeps every distinct score.
     """
     by = list(by or [])
-    y = F.col(label).cast("double") == F.lit(positive)
-    s = F.col(score).cast("double")
+    y = f"CAST({quoted(label)} AS double) = {float(positive)}D"
+    s = f"CAST({quoted(score)} AS double)"
     if bins:
         # NaN and infinite scores keep a step of their own: floor() would move them to another side
-        s = F.when(F.isnan(s) | (F.abs(s) == F.lit(float("inf"))), s).otherwise(
-            F.floor(s * F.lit(int(bins))) / F.lit(float(bins)))
-    return (df.where(F.col(score).isNotNull())
-            .groupBy(*by, s.alias("score"))
-            .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
+        s = f"CASE WHEN isnan({s}) OR abs({s}) = double('inf') THEN {s} ELSE floor({s} * {int(bins)}) / {float(bins)}D END"
+    return (df.where(f"{quoted(score)} IS NOT NULL")
+            .groupBy(*by, F.expr(f"{s} AS score"))
+            .agg(F.expr(f"count_if({y}) AS pos"), F.expr(f"count_if(NOT ({y})) AS neg")))
 
 
 def roc_curve(df: DataFrame, label: str, score: str, by: list[str] | None = None,
@@ -167,13 +167,11 @@ def roc_curve(df: DataFrame, label: str, score: str, by: list[str] | None = None
     """
     by = list(by or [])
     counts = score_counts(df, label, score, by, positive, bins)
-    out = (running_totals(counts, "score", ["pos", "neg"], by=by, descending=True, ranges=ranges)
-           .withColumnsRenamed({"pos_total": "P", "neg_total": "N"}))
-    return out.select(
-        *by, F.col("score").alias("threshold"),
-        F.col("pos_cum").cast("bigint").alias("tp"), F.col("neg_cum").cast("bigint").alias("fp"),
-        F.round(F.when(F.col("P") > 0, F.col("pos_cum") / F.col("P")), digits).alias("tpr"),
-        F.round(F.when(F.col("N") > 0, F.col("neg_cum") / F.col("N")), digits).alias("fpr"))
+    out = running_totals(counts, "score", ["pos", "neg"], by=by, descending=True, ranges=ranges)
+    return out.selectExpr(
+        *[quoted(c) for c in by], "score AS threshold", "pos_cum AS tp", "neg_cum AS fp",
+        f"round(CASE WHEN pos_total > 0 THEN pos_cum / pos_total END, {digits}) AS tpr",
+        f"round(CASE WHEN neg_total > 0 THEN neg_cum / neg_total END, {digits}) AS fpr")
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None,
@@ -186,15 +184,16 @@ def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None,
     """
     by = list(by or [])
     counts = score_counts(df, label, score, by, positive, bins)
-    cum = running_totals(counts, "score", ["pos"], by=by, descending=True, ranges=ranges)
+    # both counts, so that the totals read the same exchange as the rows
+    cum = running_totals(counts, "score", ["pos", "neg"], by=by, descending=True, ranges=ranges)
     # 2 * neg * (pos above s) + neg * pos(s) = neg * (2 * pos_cum - pos)
     dec = "decimal(38,0)"
-    twice = F.col("neg").cast(dec) * (F.col("pos_cum").cast(dec) * 2 - F.col("pos").cast(dec))
-    agg = cum.groupBy(*by).agg(F.sum(twice).alias("num2"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    den = F.col("P").cast("double") * F.col("N").cast("double") * 2
-    value = F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("num2").cast("double") / den)
-    return agg.select(*by, F.round(value, digits).alias("auc"),
-                      F.col("P").cast("bigint").alias("positives"), F.col("N").cast("bigint").alias("negatives"))
+    agg = cum.groupBy(*by).agg(
+        F.expr(f"sum(CAST(neg AS {dec}) * (CAST(pos_cum AS {dec}) * 2 - CAST(pos AS {dec}))) AS num2"),
+        F.expr("sum(pos) AS positives"), F.expr("sum(neg) AS negatives"))
+    value = "CAST(num2 AS double) / (CAST(positives AS double) * CAST(negatives AS double) * 2)"
+    return agg.selectExpr(*[quoted(c) for c in by], f"round(CASE WHEN positives > 0 AND negatives > 0 THEN {value} END, {digits}) AS auc",
+                          "positives", "negatives")
 
 
 MULTI_METRICS = ["f1", "weightedRecall", "weightedPrecision", "accuracy", "precisionByLabel",

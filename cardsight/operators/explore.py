@@ -13,9 +13,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import quoted
+from ..functions.scalar import literal, quoted
+from ..session import scratch_table
 from .joins import join_null_safe, join_static
-from .ordered import running_totals
+from .ordered import all_columns_used, running_totals
 
 GROUP = ["column", "class"]
 MEASURE_DIGITS = 6
@@ -35,11 +36,10 @@ def _class_col(by: str | None) -> Column:
 def numeric_long(df: DataFrame, columns: list[str], by: str | None = None, finite: bool = False) -> DataFrame:
     """(column, class, x) for every non-NULL, non-NaN value of the listed columns;
     ``finite`` also leaves out infinite values, which have no bin."""
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).cast("double").alias("x"))
-                                for c in columns])).alias("_c")
-    long = df.select(_class_col(by), cells).select("class", "_c.column", "_c.x")
-    long = long.where(F.col("x").isNotNull() & ~F.isnan("x"))
-    return long.where(F.abs("x") < F.lit(float("inf"))) if finite else long
+    by_class = f"CAST({quoted(by)} AS string)" if by else "CAST(NULL AS string)"
+    cells = ", ".join(f"struct({literal(c)} AS column, CAST({quoted(c)} AS double) AS x)" for c in columns)
+    long = df.selectExpr(f"{by_class} AS class", f"explode(array({cells})) AS _c").selectExpr("class", "_c.column", "_c.x")
+    return long.where("NOT isnan(x) AND abs(x) < double('inf')" if finite else "x IS NOT NULL AND NOT isnan(x)")
 
 
 def nonfinite_counts(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
@@ -205,43 +205,33 @@ def kde(df: DataFrame, columns: list[str], by: str | None = None, grid_size: int
         w = (F.col("mx") - F.col("mn")) / F.lit(int(bins))
         b = F.least(F.floor((x - F.col("mn")) / w).cast("int"), F.lit(int(bins) - 1))
         x = F.col("mn") + (b + 0.5) * w
-    width = F.col("unit") * (2 * KDE_RADIUS)
-    points = points.withColumn("_x", x).withColumn("cell", F.floor((F.col("_x") - F.col("mn")) / width))
-    d = (F.col("_x") - F.col("mn") - (F.col("cell") + 0.5) * width) / F.col("unit")
-    powers, group = points.withColumn("_d", d), [F.first(c).alias(c) for c in ("n", "mn", "bw", "unit", "g_lo", "g_hi")]
-    moments, power = [], F.lit(1.0)
-    for m in range(order):
-        moments.append(F.sum(power).alias(f"m{m}"))
-        power = power * F.col("_d")
-    cells = powers.groupBy("column", "class", "cell").agg(*moments, *group)
+    width, half = f"(unit * {2 * KDE_RADIUS!r}D)", f"{KDE_RADIUS!r}D"
+    distance = points.withColumn("_x", x).selectExpr("*", f"floor((_x - mn) / {width}) AS cell") \
+        .selectExpr("*", f"(_x - mn) / unit - (cell + 0.5D) * 2 * {half} AS _d")
+    moments = ["CAST(count(1) AS double) AS m0", "sum(_d) AS m1", *[f"sum({' * '.join(['_d'] * m)}) AS m{m}" for m in range(2, order)]]
+    cells = distance.groupBy("column", "class", "cell").agg(
+        *[F.expr(m) for m in moments[:order]], *[F.expr(f"first({c}) AS {c}") for c in ("n", "mn", "bw", "unit", "g_lo", "g_hi")])
 
     # a cell's series as a polynomial in the distance of the grid point, times exp(-u^2)
     table = _hermite_polynomial(order)
-    series = [sum((F.col(f"m{m}") * table[m][k] for m in range(k, order) if len(table[m]) > k and table[m][k]), F.lit(0.0))
-              for k in range(order)]
-    step = (F.col("g_hi") - F.col("g_lo")) / F.lit(grid_size - 1)
-    centre = F.col("mn") + (F.col("cell") + 0.5) * width
-    reach = F.col("unit") * KDE_REACH
-    first = F.greatest(F.ceil((centre - reach - F.col("g_lo")) / step), F.lit(0)).cast("int")
-    last = F.least(F.floor((centre + reach - F.col("g_lo")) / step), F.lit(grid_size - 1)).cast("int")
-    near = F.when(first <= last, F.sequence(first, last))
-    cells = cells.select("column", "class", "n", "bw", "unit", "g_lo", "g_hi", centre.alias("_c"), F.explode(near).alias("grid_index"),
-                         *[c.alias(f"p{k}") for k, c in enumerate(series)])
-    u = (F.col("g_lo") + F.col("grid_index") * step - F.col("_c")) / F.col("unit")
-    at = cells.withColumn("_u", u)
-    value = F.col(f"p{order - 1}")
+    series = [" + ".join(f"m{m} * {table[m][k]!r}D" for m in range(k, order) if table[m][k]) for k in range(order)]
+    step, centre, reach = f"((g_hi - g_lo) / {grid_size - 1})", f"(mn + (cell + 0.5D) * {width})", f"(unit * {KDE_REACH!r}D)"
+    first = f"CAST(greatest(ceil(({centre} - {reach} - g_lo) / {step}), 0) AS int)"
+    last = f"CAST(least(floor(({centre} + {reach} - g_lo) / {step}), {grid_size - 1}) AS int)"
+    at = cells.selectExpr("*", f"{first} AS _first", f"{last} AS _last").where("_first <= _last") \
+        .selectExpr("column", "class", "unit", "g_lo", "g_hi", f"{centre} AS _c", *[f"{p} AS p{k}" for k, p in enumerate(series)],
+                    "explode(sequence(_first, _last)) AS grid_index") \
+        .selectExpr("*", f"(g_lo + grid_index * {step} - _c) / unit AS _u")
+    horner = f"p{order - 1}"
     for k in range(order - 2, -1, -1):
-        value = value * F.col("_u") + F.col(f"p{k}")
-    sums = at.groupBy("column", "class", "grid_index").agg(F.sum(F.exp(-F.col("_u") * F.col("_u")) * value).alias("s"))
+        horner = f"({horner}) * _u + p{k}"
+    sums = at.groupBy("column", "class", "grid_index").agg(F.expr(f"sum(exp(-_u * _u) * ({horner})) AS s"))
 
     # every group has the whole grid, also where no cell reaches
-    grid = stats.select("column", "class", "n", "bw", "g_lo", "g_hi", F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))).alias("grid_index"))
-    out = join_null_safe(grid, sums, [*GROUP, "grid_index"], "left")
-    norm = F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi))
-    density = F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(0.0)) / norm
-    return out.select("column", "class", "grid_index",
-                      F.round(F.col("g_lo") + F.col("grid_index") * step, MEASURE_DIGITS).alias("x"),
-                      F.round(density, digits).alias("density"))
+    grid = stats.selectExpr("column", "class", "n", "bw", "g_lo", "g_hi", f"explode(sequence(0, {grid_size - 1})) AS grid_index")
+    return join_null_safe(grid, sums, [*GROUP, "grid_index"], "left").selectExpr(
+        "column", "class", "grid_index", f"round(g_lo + grid_index * {step}, {MEASURE_DIGITS}) AS x",
+        f"round(greatest(coalesce(s, 0D), 0D) / (n * bw * {math.sqrt(2 * math.pi)!r}D), {digits}) AS density")
 
 
 # ---------------------------------------------------------------- quantiles and box statistics
@@ -257,9 +247,8 @@ def rank_error(k: int = SKETCH_K) -> float:
 
 def value_sketches(long: DataFrame, keys: list[str] | None = None, k: int = SKETCH_K) -> DataFrame:
     """(keys..., n, mn, mx, sketch): count, extremes and a KLL sketch of ``x`` in one aggregate."""
-    return long.groupBy(*(keys or GROUP)).agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"),
-        F.kll_sketch_agg_double("x", F.lit(k)).alias("sketch"))
+    return long.groupBy(*(keys or GROUP)).agg(*[F.expr(e) for e in (
+        "count(1) AS n", "min(x) AS mn", "max(x) AS mx", f"kll_sketch_agg_double(x, {k}) AS sketch")])
 
 
 def merge_sketches(parts: DataFrame, keys: list[str] | None = None, k: int = SKETCH_K) -> DataFrame:
@@ -280,42 +269,48 @@ def _brackets(sketches: DataFrame, probs, k: int) -> DataFrame:
     """(column, class, n, mn, mx, lo, hi): for every probability two values between which the quantile lies.
 
     Three times the stated rank error is 7.7 standard errors; two ranks more cover the interpolation between
-    neighbouring ranks. Up to ``k`` values the whole group is its own bracket."""
+    neighbouring ranks. Up to ``k`` values the whole group is its own bracket. Sketches merge at random, so
+    the brackets - one row a group - are written once and every later use reads the same ones."""
     slack = 3 * rank_error(k) + 2 / k
-    at = lambda sign: F.kll_sketch_get_quantile_double(
-        "sketch", F.array(*[F.lit(min(1.0, max(0.0, p + sign * slack))) for p in probs]))
-    small = F.col("n") <= k
-    whole = lambda c: F.array_repeat(F.col(c), len(probs))
-    return sketches.select(*GROUP, "n", "mn", "mx", F.when(small, whole("mn")).otherwise(at(-1)).alias("lo"),
-                           F.when(small, whole("mx")).otherwise(at(1)).alias("hi"))
+
+    def at(sign: int) -> str:
+        return "kll_sketch_get_quantile_double(sketch, array(" + ", ".join(f"{min(1.0, max(0.0, p + sign * slack))!r}D" for p in probs) + "))"
+
+    return scratch_table(sketches.selectExpr(
+        *GROUP, "n", "mn", "mx", f"CASE WHEN n <= {k} THEN array_repeat(mn, {len(probs)}) ELSE {at(-1)} END AS lo",
+        f"CASE WHEN n <= {k} THEN array_repeat(mx, {len(probs)}) ELSE {at(1)} END AS hi"), "brackets")
 
 
 def _bracketed(long: DataFrame, brackets: DataFrame, n_brackets: int) -> DataFrame:
-    """(column, class, i, zone, v, cnt, least, most): the values inside bracket i (zone 1) with their counts,
-    and one row each for all values below (zone 0) and above it (zone 2)."""
-    lo, hi = F.col("lo")[F.col("i")], F.col("hi")[F.col("i")]
-    cells = join_null_safe(long, brackets.select(*GROUP, "lo", "hi"), GROUP) \
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_brackets - 1))))
-    zone = F.when(F.col("x") < lo, 0).when(F.col("x") <= hi, 1).otherwise(2)
-    cells = cells.select(*GROUP, "i", zone.alias("zone"), "x").withColumn("v", F.when(F.col("zone") == 1, F.col("x")))
-    return cells.groupBy(*GROUP, "i", "zone", "v").agg(
-        F.count(F.lit(1)).alias("cnt"), F.min("x").alias("least"), F.max("x").alias("most"))
-
-
-def _selected(cells: DataFrame, brackets: DataFrame, probs, ranges: int | None) -> DataFrame:
+    """(column, class, i, zone, v, cnt, least, most, n, mn, mx): the values inside bracket i (zone 1) with their
+    counts, and one row each for all values below (zone 0) and above it (zone 2)."""
+    return join_null_safe(long, brackets, GROUP) \
+        .selectExpr(*GROUP, "x", "lo", "hi", "n", "mn", "mx", f"explode(sequence(0, {n_brackets - 1})) AS i") \
+        .selectExpr(*GROUP, "x", "n", "mn", "mx", "i", "CASE WHEN x < lo[i] THEN 0 WHEN x <= hi[i] THEN 1 ELSE 2 END AS zone") \
+        .groupBy(*GROUP, "i", "zone", F.expr("CASE WHEN zone = 1 THEN x END AS v")) \
+        .agg(*[F.expr(e) for e in ("count(1) AS cnt", "min(x) AS least", "max(x) AS most", "max(n) AS n", "max(mn) AS mn", "max(mx) AS mx")]) \
+        .where(all_columns_used([*GROUP, "i", "zone", "v", "cnt", "least", "most", "n", "mn", "mx"]))
+
+
+# Conditions on bracketed cells look at ``cnt`` too, so that they stay above the aggregate and all of a query's
+# uses of the cells read one exchange.
+_I = "(CASE WHEN cnt > 0 THEN i END)"
+
+
+def _selected(cells: DataFrame, probs, ranges: int | None) -> DataFrame:
     """Exact quantiles from bracketed values: only the values inside the brackets are ranked."""
     # the count below a bracket has a null value: first in order, so the running count starts with it
-    ranked = running_totals(cells.where("zone < 2").where(F.col("i") < len(probs)).select(*GROUP, "i", "v", "cnt"),
+    ranked = running_totals(cells.where(f"{_I} < {len(probs)} AND (CASE WHEN cnt > 0 THEN zone END) < 2"),
                             "v", ["cnt"], by=[*GROUP, "i"], ranges=ranges)
-    ranked = join_null_safe(ranked, brackets.select(*GROUP, "n"), GROUP)
-    first, last = F.col("cnt_cum") - F.col("cnt"), F.col("cnt_cum") - 1     # 0-based ranks of a value's copies
-    h = (F.col("n") - 1).cast("double") * F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1)
-    lo_i, hi_i = F.floor(h), F.ceil(h)
-    here = lambda r: F.max(F.when((first <= r) & (r <= last), F.col("v")))
-    each = ranked.groupBy(*GROUP, "i").agg(here(lo_i).alias("a"), here(hi_i).alias("b"), F.max(h - lo_i).alias("f"))
-    missed = F.raise_error(F.lit("a quantile lies outside its sketch's bracket: use a larger sketch (k)")).cast("double")
-    value = F.when(F.col("a").isNull() | F.col("b").isNull(), missed).otherwise(F.col("a") + F.col("f") * (F.col("b") - F.col("a")))
-    return each.groupBy(*GROUP).agg(*[F.max(F.when(F.col("i") == i, value)).alias(f"q{i}") for i in range(len(probs))])
+    ps = "array(" + ", ".join(f"{float(p)!r}D" for p in probs) + ")"
+    # first and last: 0-based ranks of a value's copies
+    ranked = ranked.selectExpr(*GROUP, "i", "v", "n", "cnt_cum - cnt AS first", "cnt_cum - 1 AS last", f"CAST(n - 1 AS double) * {ps}[i] AS h")
+    each = ranked.groupBy(*GROUP, "i").agg(
+        F.expr("first(n) AS n"), F.expr("max(CASE WHEN first <= floor(h) AND floor(h) <= last THEN v END) AS a"),
+        F.expr("max(CASE WHEN first <= ceil(h) AND ceil(h) <= last THEN v END) AS b"), F.expr("max(h - floor(h)) AS f"))
+    missed = "CAST(raise_error('a quantile lies outside its bracket: use a larger sketch (k)') AS double)"
+    value = f"CASE WHEN a IS NULL OR b IS NULL THEN {missed} ELSE a + f * (b - a) END"
+    return each.groupBy(*GROUP).agg(F.expr("first(n) AS n"), *[F.expr(f"max(CASE WHEN i = {i} THEN {value} END) AS q{i}") for i in range(len(probs))])
 
 
 def quartiles(long: DataFrame, probs=(0.25, 0.5, 0.75), ranges: int | None = None, k: int = SKETCH_K) -> DataFrame:
@@ -326,8 +321,7 @@ def quartiles(long: DataFrame, probs=(0.25, 0.5, 0.75), ranges: int | None = Non
     :func:`running_totals`. A rank outside its bracket - 7.7 standard errors off - fails instead of giving a
     wrong value."""
     brackets = _brackets(value_sketches(long, k=k), probs, k)
-    q = _selected(_bracketed(long, brackets, len(probs)), brackets, probs, ranges)
-    return join_null_safe(brackets.select(*GROUP, "n"), q, GROUP)
+    return _selected(_bracketed(long, brackets, len(probs)), probs, ranges)
 
 
 def box_stats(df: DataFrame, columns: list[str], by: str | None = None, whisker: float = WHISKER,
@@ -342,46 +336,40 @@ def box_stats(df: DataFrame, columns: list[str], by: str | None = None, whisker:
     Output: column, class, n, q1, median, q3, iqr, whisker_lo, whisker_hi, n_outliers, min, max.
     """
     long = numeric_long(df, columns, by)
-    probs = (0.25, 0.5, 0.75)
+    probs, w = (0.25, 0.5, 0.75), f"{float(whisker)!r}D"
     sketches = value_sketches(long, k=k)
     if approx:
-        q = sketch_quantiles(sketches, probs)
-        b = q.select(*GROUP, "n", "mn", "mx", F.array("q0", "q1", "q2").alias("lo"), F.array("q0", "q1", "q2").alias("hi"))
+        q = scratch_table(sketch_quantiles(sketches, probs), "quartiles")
+        b = q.selectExpr(*GROUP, "n", "mn", "mx", "array(q0, q1, q2) AS lo", "array(q0, q1, q2) AS hi")
     else:
         b = _brackets(sketches, probs, k)
     # the fences at the ends of the quartiles' brackets, by the formula that gives the fences themselves
-    w, inf = F.lit(float(whisker)), float("inf")
-    lo, hi = F.col("lo"), F.col("hi")
-    fences = [(F.nanvl(lo[0] - w * (hi[2] - lo[0]), F.lit(-inf)), F.nanvl(hi[0] - w * (lo[2] - hi[0]), F.lit(inf))),
-              (F.nanvl(lo[2] + w * (lo[2] - hi[0]), F.lit(-inf)), F.nanvl(hi[2] + w * (hi[2] - lo[0]), F.lit(inf)))]
-    b = b.select(*GROUP, "n", "mn", "mx", F.concat("lo", F.array(*[f[0] for f in fences])).alias("lo"),
-                 F.concat("hi", F.array(*[f[1] for f in fences])).alias("hi"))
+    inf = "double('inf')"
+    b = b.selectExpr(
+        *GROUP, "n", "mn", "mx",
+        f"concat(lo, array(nanvl(lo[0] - {w} * (hi[2] - lo[0]), -{inf}), nanvl(lo[2] + {w} * (lo[2] - hi[0]), -{inf}))) AS lo",
+        f"concat(hi, array(nanvl(hi[0] - {w} * (lo[2] - hi[0]), {inf}), nanvl(hi[2] + {w} * (hi[2] - lo[0]), {inf}))) AS hi")
     cells = _bracketed(long, b, len(probs) + 2)
     if not approx:
-        q = join_null_safe(b.select(*GROUP, "n", "mn", "mx"), _selected(cells, b, probs, None), GROUP)
-    iqr = F.col("q2") - F.col("q0")
-    q = q.withColumns({"iqr": iqr, "f_lo": F.col("q0") - whisker * iqr, "f_hi": F.col("q2") + whisker * iqr})
+        q = _selected(cells, probs, None)
+    q = q.selectExpr(*GROUP, "q0", "q1", "q2", "q2 - q0 AS iqr",
+                     f"q0 - {w} * (q2 - q0) AS f_lo", f"q2 + {w} * (q2 - q0) AS f_hi")
 
     # A value below the lower whisker is exactly a value below the lower fence (the
     # whisker is the smallest value at or above the fence, or q1 when none lies in
     # [fence, q1]); likewise above.
-    j = join_null_safe(cells.where(F.col("i") >= len(probs)), q, GROUP)
-    lower, upper = F.col("i") == len(probs), F.col("i") == len(probs) + 1
-    out_lo = lower & ((F.col("zone") == 0) | (F.col("v") < F.col("f_lo")))
-    out_hi = upper & ((F.col("zone") == 2) | (F.col("v") > F.col("f_hi")))
+    lower, upper = f"i = {len(probs)}", f"i = {len(probs) + 1}"
+    j = join_null_safe(cells.where(f"{_I} >= {len(probs)}"), q, GROUP).selectExpr(
+        "*", f"coalesce(({lower} AND (zone = 0 OR v < f_lo)) OR ({upper} AND (zone = 2 OR v > f_hi)), false) AS outside")
     res = j.groupBy("column", "class").agg(
-        *[F.first(c).alias(c) for c in ("n", "q0", "q1", "q2", "iqr", "mn", "mx")],
-        F.min(F.when(lower & ~F.coalesce(out_lo, F.lit(False)), F.col("least"))).alias("in_lo"),
-        F.max(F.when(upper & ~F.coalesce(out_hi, F.lit(False)), F.col("most"))).alias("in_hi"),
-        F.sum(F.when(out_lo | out_hi, F.col("cnt")).otherwise(0)).alias("n_outliers"))
-    wlo = F.least(F.coalesce("in_lo", "q0"), F.col("q0"))
-    whi = F.greatest(F.coalesce("in_hi", "q2"), F.col("q2"))
-    r = lambda c: F.round(c if not isinstance(c, str) else F.col(c), digits)
-    return res.select("column", "class", F.col("n").cast("bigint").alias("n"),
-                      r("q0").alias("q1"), r("q1").alias("median"), r("q2").alias("q3"), r("iqr").alias("iqr"),
-                      r(wlo).alias("whisker_lo"), r(whi).alias("whisker_hi"),
-                      F.col("n_outliers").cast("bigint").alias("n_outliers"), r("mn").alias("min"),
-                      r("mx").alias("max"))
+        *[F.expr(f"first({c}) AS {c}") for c in ("n", "q0", "q1", "q2", "iqr", "mn", "mx")],
+        F.expr(f"min(CASE WHEN {lower} AND NOT outside THEN least END) AS in_lo"),
+        F.expr(f"max(CASE WHEN {upper} AND NOT outside THEN most END) AS in_hi"),
+        F.expr("sum(CASE WHEN outside THEN cnt ELSE 0 END) AS n_outliers"))
+    measures = {"q1": "q0", "median": "q1", "q3": "q2", "iqr": "iqr", "whisker_lo": "least(coalesce(in_lo, q0), q0)",
+                "whisker_hi": "greatest(coalesce(in_hi, q2), q2)"}
+    return res.selectExpr("column", "class", "n", *[f"round({e}, {digits}) AS {m}" for m, e in measures.items()], "n_outliers",
+                          f"round(mn, {digits}) AS min", f"round(mx, {digits}) AS max")
 
 
 # ---------------------------------------------------------------- scatter

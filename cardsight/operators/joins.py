@@ -6,18 +6,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import quoted
+
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL matches NULL (a NULL group is still a group).
     Key columns appear once in the output, as with ``join(on=[...])``."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(renamed[f"_r_{k}"])
-        cond = c if cond is None else cond & c
-    out = left.join(renamed, cond, how)
+    cond = " AND ".join(f"{quoted(k)} <=> {quoted(f'_r_{k}')}" for k in keys)
+    out = left.join(renamed, F.expr(cond), how)
     if how in ("full", "full_outer", "outer", "right", "right_outer"):
-        out = out.withColumns({k: F.coalesce(left[k], renamed[f"_r_{k}"]) for k in keys})
+        out = out.withColumns({k: F.expr(f"coalesce({quoted(k)}, {quoted(f'_r_{k}')})") for k in keys})
     return out.drop(*[f"_r_{k}" for k in keys])
 
 

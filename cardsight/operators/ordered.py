@@ -2,131 +2,87 @@
 
 ``sum(x) over (order by k)`` with no PARTITION BY moves every row to a single task, and one with a
 PARTITION BY moves a whole group there. ``running_totals`` computes the same inclusive prefix sums by
-a distributed sample sort:
+a distributed sample sort, all inside one query:
 
-1. Spark's range exchange deals the rows into a fixed number of partitions in the order of (group, key)
-   - it samples the keys when the query runs - and each task sorts its partition. A group may lie over
-   any number of partitions. Before a group's rows comes one header row with its totals;
-2. every task adds up its partition in order, Arrow batch by batch, and ends with one row that says what
-   the partition leaves open: the sum since the last header, and the totals in that header;
-3. these rows - one a partition, so as many as the number of partitions, whatever the data - give each
-   partition what it takes over from the ones before it, and are broadcast.
+1. a scalar subquery cuts the keys into a fixed number of ranges. Its sample are the rows with the
+   least hashes, so it is the same however often it is computed and in whatever order rows arrive;
+   the range of a row follows from its key alone, and a recomputed task puts it in the same range;
+2. per-range sums (one row per range and group) -> offsets of earlier ranges with a window over that small
+   table;
+3. within each range a partitioned window adds the running sum to the range offset; its exchange is the
+   only one for the rows themselves.
 
-The exchange is the only one that the rows go through, nothing runs while the plan is built, and the
-driver holds nothing that grows. Steps 2 and 3 read the same exchange (Spark reuses it). Should it be made
-twice with other bounds - exchange reuse switched off - the partitions would not begin with the same rows,
-and the query fails instead of adding offsets to the wrong rows.
+Nothing runs while the plan is built, and the sample is as large as the number of ranges asks for, whatever
+the data. (Spark's own range exchange samples anew in every plan that holds it, so offsets and rows
+would rest on two sets of bounds wherever the exchange is not reused.)
 
 Input keys must be distinct within a group (aggregate first).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, FractionalType, IntegerType, LongType, StringType, StructField, StructType
-
-HEAD, PART, FIRST, OPEN, MARK = "_head", "_part", "_first", "_open", "_mark"
-
-
-def _prefix(columns: list[str], order: list[str], values: list[str], n_in: int):
-    """The function that adds up one partition; see :func:`running_totals`."""
-    at = {c: i for i, c in enumerate(columns)}
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = part = schema = None
-        sums = [0] * len(values)            # since the last header, or since the partition began
-        totals: list = [None] * len(values)
-        started = False
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            if first is None:
-                first = repr([batch.column(at[c])[0].as_py() for c in order])
-                part = batch.column(at[PART])[0].as_py()
-            head = batch.column(at[HEAD]).to_numpy() == 0
-            group = np.cumsum(head)         # 0: goes on from the batch before
-            begins = np.flatnonzero(head)
-            out = []
-            for i, v in enumerate(values):
-                x = batch.column(at[v]).fill_null(0).to_numpy()
-                total = batch.column(at[f"{v}_total"]).fill_null(0).to_numpy()
-                own = np.where(head, 0, x)
-                cum = np.cumsum(own)
-                before = np.concatenate(([sums[i]], -(cum[begins] - own[begins])))   # what to add in each group
-                cum = cum + before[group]
-                known = np.concatenate(([0 if totals[i] is None else totals[i]], total[begins]))
-                unknown = (group == 0) & (totals[i] is None)
-                out += [pa.array(cum), pa.array(known[group], mask=unknown)]
-                sums[i] = cum[-1].item()
-                if len(begins) or totals[i] is not None:
-                    totals[i] = known[group[-1]].item()
-            open_ = (group == 0) & (not started)
-            started = started or bool(len(begins))
-            keep = pa.array(~head)
-            arrays = [*[batch.column(i) for i in range(n_in)], *out, pa.array([part] * n, pa.int32()), pa.array([first] * n),
-                      pa.array(open_), pa.array(np.zeros(n, bool))]
-            names = [*columns[:n_in], *[f"{v}{s}" for v in values for s in ("_sum", "_all")], PART, FIRST, OPEN, MARK]
-            done = pa.RecordBatch.from_arrays(arrays, names=names)
-            schema = done.schema
-            yield done.filter(keep)
-        if first is not None:               # what the partition leaves open
-            given = dict(zip([f"{v}{s}" for v in values for s in ("_sum", "_all")],
-                             [x for pair in zip(sums, totals) for x in pair]))
-            given |= {PART: part, FIRST: first, OPEN: not started, MARK: True}
-            yield pa.RecordBatch.from_arrays([pa.array([given.get(f.name)], f.type) for f in schema], schema=schema)
-
-    return add_up
+
+from ..functions.scalar import quoted
+from .joins import join_null_safe
+
+RANGE_ID = "_range"
+SAMPLES_PER_RANGE = 8
+
+
+def all_columns_used(columns: list[str]) -> str:
+    """A condition that holds for every row and looks at every column: several uses of an aggregate then
+    need the same columns of it, and read one exchange instead of one each."""
+    return f"length(CAST(xxhash64({', '.join(quoted(c) for c in columns)}) AS string)) > 0"
+
+
+def cut_points(df: DataFrame, order_col: str, ranges: int) -> DataFrame:
+    """One row with the sorted keys (``cuts``) between ``ranges`` ranges of about equal size (NULL keys left out).
+
+    Taken evenly from a sample of ``SAMPLES_PER_RANGE`` keys a range, those of the rows with the least hashes."""
+    sample = df.selectExpr(f"{quoted(order_col)} AS k", f"xxhash64({', '.join(quoted(c) for c in df.columns)}) AS h") \
+        .orderBy("h", "k").limit(ranges * SAMPLES_PER_RANGE)      # the list below leaves NULLs out
+    keys = sample.agg(F.expr("sort_array(collect_list(k)) AS ks"))
+    every = f"transform(sequence(1, {ranges - 1}), i -> get(ks, CAST(floor(i * size(ks) / {ranges}) AS int)))"
+    return keys.selectExpr(f"CASE WHEN size(ks) > 0 THEN array_distinct({every}) ELSE ks END AS cuts" if ranges > 1 else "slice(ks, 1, 0) AS cuts")
+
+
+def range_of(key: str, ranges: int) -> str:
+    """How many of ``_cuts`` lie below ``key`` (NaN is above all of them, NULL is -1), by halving steps."""
+    steps = ", ".join(str(1 << b) for b in range(max(ranges - 1, 1).bit_length() - 1, -1, -1))
+    place = f"aggregate(array({steps}), 0, (p, w) -> IF(p + w <= size(_cuts) AND get(_cuts, p + w - 1) < {key}, p + w, p))"
+    return f"CASE WHEN {key} IS NULL THEN -1 ELSE {place} END"
 
 
 def running_totals(df: DataFrame, order_col: str, value_cols: list[str], by: list[str] | None = None,
-                   descending: bool = False, ranges: int | None = None, suffix: str = "_cum") -> DataFrame:
+                   descending: bool = False, ranges: int | None = None,
+                   suffix: str = "_cum") -> DataFrame:
     """Add ``<v><suffix>`` = sum of ``v`` over rows of the same ``by`` group whose key is
     before or equal to this row's key (``descending`` flips the order), and
-    ``<v>_total`` = the group's sum.
-
-    NULL and NaN keys and NULL groups are ordered as Spark orders them; NULL values add nothing. ``ranges``
-    is the number of partitions (default: the session's number of shuffle partitions).
-    """
-    by, spark = list(by or []), df.sparkSession
-    n = int(ranges or spark.conf.get("spark.sql.shuffle.partitions"))
-    kinds = {v: DoubleType() if isinstance(df.schema[v].dataType, FractionalType) else LongType() for v in value_cols}
-    key = f"`{order_col}`"
-    own = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in value_cols],
-                    *[F.col(f"`{v}`").cast(kinds[v]).alias(v) for v in value_cols])
-    nothing = {f"{v}_total": F.lit(None).cast(kinds[v]) for v in value_cols}
-    heads = own.groupBy(*by).agg(*[F.sum(v).cast(kinds[v]).alias(f"{v}_total") for v in value_cols])
-    rows = own.withColumns({**nothing, HEAD: F.lit(1)}).unionByName(heads.withColumn(HEAD, F.lit(0)), allowMissingColumns=True)
-    order = [*[F.col(f"`{c}`").asc() for c in by], F.col(HEAD).asc(), F.col(key).desc() if descending else F.col(key).asc()]
-    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(PART, F.spark_partition_id())
-
-    sums = [StructField(f"{v}{s}", kinds[v]) for v in value_cols for s in ("_sum", "_all")]
-    schema = StructType([*[StructField(f.name, f.dataType) for f in own.schema], *sums, StructField(PART, IntegerType()),
-                         StructField(FIRST, StringType()), StructField(OPEN, BooleanType()), StructField(MARK, BooleanType())])
-    # which rows a partition begins with is known by group, header and key
-    added = dealt.mapInArrow(_prefix(dealt.columns, [*by, HEAD, order_col], value_cols, len(own.columns)), schema)
-
-    # One row a partition: ``ranges`` rows at most, in one task and broadcast.
-    marks = added.where(MARK).select(PART, FIRST, OPEN, *[s.name for s in sums])
-    in_order = Window.orderBy(PART)
-    marks = marks.withColumn("_run", F.sum(F.when(F.col(OPEN), 0).otherwise(1)).over(in_order))
-    so_far = Window.partitionBy("_run").orderBy(PART)
-    marks = marks.select(PART, FIRST, *[
-        F.sum(f"{v}_sum").over(so_far).alias(f"_s_{v}") for v in value_cols], *[
-        F.first(f"{v}_all").over(so_far).alias(f"_t_{v}") for v in value_cols])
-    taken = marks.select(F.col(PART).alias("_p"), F.col(FIRST).alias("_f"), *[
-        F.lag(f"{p}_{v}").over(Window.orderBy(PART)).alias(f"{p}_{v}") for v in value_cols for p in ("_s", "_t")])
-    joined = added.where(~F.col(MARK)).join(F.broadcast(taken), F.col(PART) == F.col("_p"), "left")
-    same = F.col("_f").eqNullSafe(F.col(FIRST))
-    carry = lambda v: F.when(~same, F.raise_error(F.lit("the range exchange was made twice with other bounds: "
-                                                       "set spark.sql.exchange.reuse to true")).cast(kinds[v])) \
-        .when(F.col(OPEN), F.coalesce(F.col(f"_s_{v}"), F.lit(0).cast(kinds[v]))).otherwise(F.lit(0).cast(kinds[v]))
-    return joined.select(
-        *[F.col(f"`{c}`").cast(df.schema[c].dataType).alias(c) for c in df.columns],
-        *[(F.col(f"{v}_sum") + carry(v)).alias(f"{v}{suffix}") for v in value_cols],
-        *[F.coalesce(f"{v}_all", f"_t_{v}").alias(f"{v}_total") for v in value_cols])
+    ``<v>_total`` = the group's sum (attached through the same small join).
+
+    NULL and NaN keys and NULL groups are ordered as Spark orders them. ``ranges`` is the number of ranges
+    (default: four times the session's shuffle partitions)."""
+    by, key, columns = list(by or []), quoted(order_col), df.columns
+    n = int(ranges or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = cut_points(df, order_col, n).scalar()
+    parted = df.where(all_columns_used(columns)).withColumn("_cuts", cuts) \
+        .selectExpr(*[quoted(c) for c in columns], f"{range_of(key, n)} AS {RANGE_ID}")
+
+    groups = ", ".join(quoted(c) for c in by)
+    per_range = parted.groupBy(RANGE_ID, *[quoted(c) for c in by]).agg(*[F.expr(f"sum({quoted(v)}) AS {quoted(f'_tot_{v}')}") for v in value_cols])
+    whole = f"OVER ({f'PARTITION BY {groups}' if by else ''})"
+    before = (f"OVER ({f'PARTITION BY {groups}' if by else ''} ORDER BY {RANGE_ID} {'DESC' if descending else 'ASC'} "
+              "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    # one row per (range, group)
+    offsets = per_range.selectExpr(
+        RANGE_ID, *[quoted(c) for c in by], *[f"coalesce(sum({quoted(f'_tot_{v}')}) {before}, 0) AS {quoted(f'_off_{v}')}" for v in value_cols],
+        *[f"sum({quoted(f'_tot_{v}')}) {whole} AS {quoted(f'{v}_total')}" for v in value_cols])
+
+    within = (f"OVER (PARTITION BY {', '.join([RANGE_ID, *[quoted(c) for c in by]])} ORDER BY {key} {'DESC' if descending else 'ASC'} "
+              "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    return join_null_safe(parted, offsets, [RANGE_ID, *by]).selectExpr(
+        *[quoted(c) for c in columns],
+        *[f"{quoted(f'_off_{v}')} + coalesce(sum({quoted(v)}) {within}, 0) AS {quoted(f'{v}{suffix}')}" for v in value_cols],
+        *[quoted(f"{v}_total") for v in value_cols])

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, features, models, sampling, threshold, tune
-from ..session import scratch_path
+from ..session import cached, scratch_path
 from ..sources import files
 from ..sources.models import OWN_STAGES, load_foreign, load_model, save_model, stage_metadata
 from ..streaming import scoring
@@ -45,7 +47,7 @@ def tuned_model(spark, sf_dir):
     """The tuned pipeline, fitted once a session and folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FITTED:
-        _FITTED.clear()
+        _FITTED.clear()     # one folder's models at a time
         _FITTED[key] = models.fit_pipeline(train_test(spark, sf_dir)[0], stages() + [models.gbt(LABEL, **models.TUNED_GBT)])
     return _FITTED[key]
 
@@ -125,15 +127,32 @@ def q_model_report(spark, sf_dir):
                                           (F.col("auc") > 0.5).cast("bigint").alias("value")))
 
 
-@query("model_roc_curve", f"""{_SCORED_ROWS}
-SELECT CAST(count(*) FILTER (WHERE is_fraud = 1) AS BIGINT) AS positives,
-       CAST(count(*) FILTER (WHERE is_fraud <> 1) AS BIGINT) AS negatives, TRUE AS rises FROM s""")
+def two_models(spark, sf_dir):
+    """The tuned pipeline and a logistic regression on the same fitted feature stages."""
+    key = (spark.sparkContext.applicationId, sf_dir, "logistic")
+    tuned = tuned_model(spark, sf_dir)
+    if key not in _FITTED:
+        feats = PipelineModel(tuned.stages[:-1])
+        with cached(feats.transform(train_test(spark, sf_dir)[0]).select(LABEL, features.FEATURES)) as rows:
+            _FITTED[key] = PipelineModel(tuned.stages[:-1] + [models.logistic(LABEL).fit(rows)])
+    return {"GBTClassifier": tuned, "LogisticRegression": _FITTED[key]}
+
+
+@query("model_roc_curve", f"""{_SCORED_ROWS}, names(model) AS (VALUES ('GBTClassifier'), ('LogisticRegression'))
+SELECT model, CAST(count(*) FILTER (WHERE is_fraud = 1) AS BIGINT) AS positives,
+       CAST(count(*) FILTER (WHERE is_fraud <> 1) AS BIGINT) AS negatives, TRUE AS rises FROM s, names GROUP BY model""")
 def q_model_roc_curve(spark, sf_dir):
-    """ROC curve of a fitted model: it ends at all positives and negatives, and never falls."""
-    rows = models.score(tuned_model(spark, sf_dir), train_test(spark, sf_dir)[1], LABEL)
-    curve = evaluate.roc_curve(rows.withColumn("model", F.lit("GBTClassifier")), LABEL, "p1", by=["model"])
-    return curve.agg(F.max("tp").alias("positives"), F.max("fp").alias("negatives"),
-                     F.bool_and(F.col("tpr").between(0, 1) & F.col("fpr").between(0, 1)).alias("rises"))
+    """ROC curves of two fitted models: they end at all positives and negatives, and never fall - neither
+    from point to point inside a hundredth of the scores nor from one hundredth to the next."""
+    rows = models.score_models(two_models(spark, sf_dir), train_test(spark, sf_dir)[1], LABEL)
+    curve = evaluate.roc_curve(rows, LABEL, "p1", by=["model"]).withColumn("part", F.floor(F.col("threshold") * 100))
+    inside, along = Window.partitionBy("model", "part").orderBy(F.desc("threshold")), Window.partitionBy("model").orderBy(F.desc("part"))
+    rises = lambda w, least, most: F.coalesce(F.col(least) >= F.lag(most).over(w), F.lit(True))
+    points = curve.withColumn("ok", rises(inside, "tp", "tp") & rises(inside, "fp", "fp") & F.col("tpr").between(0, 1) & F.col("fpr").between(0, 1))
+    parts = points.groupBy("model", "part").agg(F.bool_and("ok").alias("ok"), *[
+        f(c).alias(f"{n}_{c}") for c in ("tp", "fp") for n, f in (("lo", F.min), ("hi", F.max))])
+    parts = parts.withColumn("ok", F.col("ok") & rises(along, "lo_tp", "hi_tp") & rises(along, "lo_fp", "hi_fp"))
+    return parts.groupBy("model").agg(F.max("hi_tp").alias("positives"), F.max("hi_fp").alias("negatives"), F.bool_and("ok").alias("rises"))
 
 
 @query("model_threshold", f"""{M}, s AS (SELECT * FROM m WHERE portion = 'test' AND {_SCORED})
@@ -198,6 +217,57 @@ def q_refit_metrics(spark, sf_dir):
     return tune.refit_metrics(train, pipe, LABEL).select("metric", in_range("value").alias("in_range"))
 
 
+def _spark_metrics(preds, weights_label: float = 0.0) -> dict[str, float]:
+    """The seven metrics by Spark's own evaluator, one job each."""
+    ev = MulticlassClassificationEvaluator(labelCol="_y", predictionCol="prediction", metricLabel=weights_label)
+    rows = preds.withColumn("_y", F.col(LABEL).cast("double"))
+    return {m: ev.setMetricName(m).evaluate(rows) for m in evaluate.MULTI_METRICS}
+
+
+def _differing(spark, ours: dict[str, float], theirs: dict[str, float]):
+    rows = [(m, int(abs(ours[m] - theirs[m]) > 1e-9)) for m in evaluate.MULTI_METRICS]
+    return spark.createDataFrame(rows, "metric string, differing int")
+
+
+@query("cv_values", f"SELECT metric, 0 AS differing FROM (VALUES {_METRICS}) AS t(metric)")
+def q_cv_values(spark, sf_dir):
+    """Cross-validated metrics against Spark's evaluator on the same held-out predictions, fold by fold."""
+    train, _ = train_test(spark, sf_dir)
+    pipe = Pipeline(stages=stages(False) + [models.logistic(LABEL, maxIter=20)])
+    with tune.fold_features(train, pipe, LABEL, k=3, seed=7) as folds, cached(folds.held_out(pipe.getStages()[-1], parallelism=3)) as held:
+        each = tune.run_all(spark, [lambda i=i: _spark_metrics(held.where(F.col("fold") == i)) for i in range(3)], 3)
+        ours = {r.metric: r["mean"] for r in tune.fold_metrics(held, LABEL).collect()}
+    return _differing(spark, ours, {m: sum(e[m] for e in each) / 3 for m in evaluate.MULTI_METRICS})
+
+
+@query("refit_values", f"SELECT metric, 0 AS differing FROM (VALUES {_METRICS}) AS t(metric)")
+def q_refit_values(spark, sf_dir):
+    """Metrics of a refit on its own training data against Spark's evaluator."""
+    train, _ = train_test(spark, sf_dir)
+    pipe = Pipeline(stages=stages(False) + [models.logistic(LABEL, maxIter=20)])
+    ours = {r.metric: r.value for r in tune.refit_metrics(train, pipe, LABEL).collect()}
+    with cached(pipe.fit(train).transform(train).select(LABEL, "prediction")) as rows:
+        return _differing(spark, ours, _spark_metrics(rows))
+
+
+@query("importance_values", "SELECT feature, FALSE AS differs FROM (VALUES " + ", ".join(f"('{n}')" for n in _IMPORTANCE_NAMES) + ") AS t(feature)")
+def q_importance_values(spark, sf_dir):
+    """Feature importances against the ones that follow from the saved trees: every split adds its gain times
+    the weight of its rows to its feature, and the sums are scaled to one."""
+    train, model = train_test(spark, sf_dir)[0], tuned_model(spark, sf_dir)
+    path = save_model(model, scratch_path(spark, "trees"))
+    last = len(model.stages) - 1
+    nodes = spark.read.parquet(f"{path}/stages/{last}_{model.stages[-1].uid}/data").select("nodeData.*")
+    gains = nodes.where("leftChild >= 0").groupBy(F.col("split.featureIndex").alias("_slot")).agg(F.sum(F.col("gain") * F.col("impurityStats")[0]).alias("_g"))
+    named = [(i, n.split("_ohe_")[0]) for i, n in enumerate(models.slot_names(model.transform(train.limit(0))))]
+    slots = spark.createDataFrame(named, "slot int, _f string")
+    names = gains.join(slots, F.col("_slot") == F.col("slot")).groupBy("_f").agg(F.sum("_g").alias("_g"))
+    total = names.select(F.sum("_g")).scalar()
+    imp = models.feature_importance(model, train, fold_one_hot=True)
+    return imp.join(names, F.col("feature") == F.col("_f"), "left").select(
+        "feature", (F.abs(F.col("importance") - F.coalesce(F.col("_g") / total, F.lit(0.0))) > 1e-9).alias("differs"))
+
+
 # The published search space, population and folds.
 SEARCH_RANGES = {"maxDepth": [5, 10], "maxBins": [32], "stepSize": [0.05, 0.1], "maxIter": [50],
                  "subsamplingRate": [0.7, 1.0], "minInstancesPerNode": [5], "minInfoGain": [0.01]}

@@ -125,6 +125,18 @@ def q_strat_sample_native(spark, sf_dir):
     return sampling.sample_by_native(txn, "is_fraud", SAMPLE_FRACTIONS, SAMPLE_SEED).select("txn_id", "is_fraud")
 
 
+@query("strat_sample_native_share", f"""{W} SELECT is_fraud, count(*) AS rows, TRUE AS within FROM txn GROUP BY is_fraud""")
+def q_strat_sample_native_share(spark, sf_dir):
+    """What Spark's own sampler keeps depends on the layout, but not its share: a class of fraction 1 stays
+    whole, another one is within five standard errors of its fraction."""
+    txn = load_txn(spark, sf_dir)
+    kept = sampling.sample_by_native(txn, "is_fraud", SAMPLE_FRACTIONS, SAMPLE_SEED).groupBy("is_fraud").agg(F.count(F.lit(1)).alias("kept"))
+    both = distribution.group_count(txn, "is_fraud").join(kept, "is_fraud", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    share = F.when(F.col("is_fraud") == 1, F.lit(SAMPLE_FRACTIONS[1])).otherwise(F.lit(SAMPLE_FRACTIONS[0]))
+    off = F.abs(F.col("kept") - share * F.col("count"))
+    return both.select("is_fraud", F.col("count").alias("rows"), (off <= 5 * F.sqrt(F.col("count") * share * (1 - share))).alias("within"))
+
+
 @query("fold_assign", f"""{W}
 SELECT CAST(floor({scalar.hash01_sql('txn_id', FOLD_SEED)} * {FOLDS}) AS INTEGER) AS fold,
        count(*) AS count, CAST(sum(is_fraud) AS BIGINT) AS positives

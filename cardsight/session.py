@@ -66,12 +66,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "cardsight", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make ``DataFrame.checkpoint()`` usable (reliable checkpoint, never local)."""
-    d = shared_dir(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below :func:`shared_dir` and read again: later uses see the same rows even if ``df`` is not
+    deterministic, joins see its size, and lost executors cost a re-read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager

@@ -1,5 +1,6 @@
 """Evaluation and threshold operators: Spark ML cross-checks, edge frames, properties."""
 
+import math
 import random
 
 import pytest
@@ -77,6 +78,51 @@ def test_running_totals_descending_with_null_nan_keys_and_null_group(spark):
     assert j.where(F.col("o.v_cum") != F.col("r.ref")).count() == 0
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 16, 40])
+def test_running_totals_on_any_number_of_ranges(spark, ranges):
+    rng = random.Random(ranges)
+    rows = [(rng.choice(["hot"] * 20 + ["b", "c", None]), float(k), rng.randint(0, 9) or None, rng.random()) for k in range(900)]
+    df = spark.createDataFrame(rows, "g string, k double, v long, w double").repartition(5)
+    got = {r.k: r for r in ordered.running_totals(df, "k", ["v", "w"], by=["g"], ranges=ranges).collect()}
+    assert len(got) == len(rows)
+    for g in {r[0] for r in rows}:
+        mine, v, w = [r for r in rows if r[0] == g], 0, 0.0
+        for r in mine:
+            v, w = v + (r[2] or 0), w + r[3]
+            assert got[r[1]].v_cum == v and got[r[1]].w_cum == pytest.approx(w) and got[r[1]].v == r[2]
+        assert {got[r[1]].v_total for r in mine} == {v}
+    assert ordered.running_totals(df.limit(0), "k", ["v"], by=["g"], ranges=ranges).count() == 0
+
+
+def test_running_totals_read_in_fewer_tasks_and_with_a_struct_key(spark):
+    df = spark.range(3000).select(F.struct((F.col("id") % 7).alias("a"), F.col("id").alias("b")).alias("k"), F.lit(1).cast("long").alias("v"))
+    out = ordered.running_totals(df, "k", ["v"], ranges=9).coalesce(2).collect()
+    assert [r.v_cum for r in sorted(out, key=lambda r: (r.k.a, r.k.b))] == list(range(1, 3001))
+
+
+@pytest.mark.parametrize("setting", ["spark.sql.exchange.reuse", "spark.sql.adaptive.enabled", "spark.sql.execution.reuseSubquery"])
+def test_running_totals_do_not_rest_on_reuse(spark, setting):
+    """Ranges are the same in every copy of the plan, also where nothing is reused."""
+    df = spark.range(20000).select((F.col("id") * 7919 % 20011).cast("double").alias("k"), F.lit(1).cast("long").alias("v"))
+    spark.conf.set(setting, "false")
+    try:
+        out = ordered.running_totals(df.repartition(6), "k", ["v"], ranges=6).collect()
+        assert [r.v_cum for r in sorted(out, key=lambda r: r.k)] == list(range(1, 20001))
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_ranges_are_about_equal_and_follow_from_the_key(spark):
+    df = spark.range(50000).select(F.exp(F.col("id") / 5000).alias("k"), F.lit(1).cast("long").alias("v"))
+    cuts = [ordered.cut_points(df.repartition(p), "k", 20).first().cuts for p in (1, 9)]
+    assert cuts[0] == cuts[1] == sorted(set(cuts[0])) and len(cuts[0]) == 19
+    sizes = df.withColumn("_cuts", F.array(*map(F.lit, cuts[0]))).selectExpr(f"{ordered.range_of('k', 20)} AS r").groupBy("r").count().collect()
+    assert len(sizes) == 20 and max(r["count"] for r in sizes) < 3 * 2500
+    want = {r: sum(c < math.exp(r / 5000) for c in cuts[0]) for r in (0, 777, 25000, 49999)}
+    assert {r: df.where(F.col("k") == F.exp(F.lit(r / 5000))).withColumn("_cuts", F.array(*map(F.lit, cuts[0])))
+            .selectExpr(f"{ordered.range_of('k', 20)} AS r").first().r for r in want} == want
+
+
 def test_sweep_matches_direct_counts(spark, scored):
     sweep = threshold.threshold_sweep(scored, "y", "s").orderBy("threshold_index").collect()
     assert len(sweep) == 36
