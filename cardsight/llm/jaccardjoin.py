@@ -198,14 +198,10 @@ def roots(every: DataFrame, percent: int) -> DataFrame:
             best = Window.partitionBy("a").orderBy(F.desc("met"), "b")
             pairs = met.withColumn("nth", F.row_number().over(best)).filter("nth <= 2")
         else:
-            met = own.join(right, (F.col("col") == F.col("_col")) & (F.col("node") < F.col("b")) & fits)
-            # The row whose prefix ends first has all its shared prefix columns in the other prefix,
-            # and it can miss m - need of its shared columns at most. All common prefix columns count
-            # here, late ones too; that the first of them is early enough is asked of the pair.
-            least = F.least(F.col("width") - (F.col("m") - need), F.col("wb") - (F.col("mb") - need))
-            pairs = met.select(F.col("node").alias("a"), "b", least.alias("least"), early.alias("early")) \
-                .groupBy("a", "b", "least").agg(F.count(F.lit(1)).alias("met"), F.bool_or("early").alias("early")) \
-                .filter(F.col("early") & (F.col("met") >= F.col("least")))
+            # The first common column of two rows that link has all their common columns from it on, in
+            # both rows, so it is early and in both prefixes: every pair that has such a column is verified.
+            pairs = own.join(right, (F.col("col") == F.col("_col")) & (F.col("node") < F.col("b")) & fits & early) \
+                .select(F.col("node").alias("a"), "b").distinct()
         found = stored(linked(pairs, rows, percent), "found")
         links = found if links is None else links.unionByName(found)
         root = stored(components(links).select(F.col("node").alias("_node"), "root"), "roots")
