@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import (SENT, Block, answer, bucket_bounds, buckets_for, documents_of, kept_schema, read_answer, rows_of,
-                     send, text_bytes, unpack, with_notes, write_blocks)
+from .blocks import (HINT_BYTES, SENT, Block, answer, bucket_bounds, buckets_for, documents_of, kept_schema, lengthened,
+                     read_answer, rows_of, send, shortened, text_bytes, unpack, with_notes, write_blocks)
 from .common import finished, query, stored, table
 from .suffixdedup import as_notes, named
 from .text import U64, Piece, mix, words
@@ -152,18 +152,39 @@ def pair_filter(na, ia, xa, nb, ib, xb, percent: int):
         & (np.bitwise_count(xa ^ xb) <= na + nb - 2 * need)
 
 
-def candidates(sent: DataFrame, percent: int) -> DataFrame:
+ENTRIES = "bucket int, block long, fps binary, line binary, n binary, place binary, chart binary"
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Counts in two bytes each where all fit, else in four."""
+    return x.astype(np.uint16 if int(x.max(initial=0)) < 1 << 16 else np.int32).tobytes()
+
+
+def unpacked(sent: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(sent, np.uint16 if len(sent) == 2 * count else np.int32).astype(np.int64)
+
+
+def candidates(sent: DataFrame, percent: int, n_buckets: int) -> DataFrame:
     """(kind 0) pairs a before b that pass the filters: all pairs of a group of up to ``FULL`` lines, else
     those with its first ``FIRST`` lines; (kind 1) the members of larger groups that pass the filters
     with any other line (all members beyond ``TRIED`` lines), with the place of the word in the line and
-    of the line in the group."""
+    of the line in the group, and the map of the line's words. An entry travels in 21 bytes: five of the word's hash
+    (two words that share them only make more candidates), the line inside its block, two counts and the map."""
+    bits = int(np.log2(n_buckets))
+
     def bucket(group: pa.Table) -> pa.Table:
-        get = lambda name, t: np.concatenate([np.frombuffer(x.as_py(), t) for x in group.column(name)])
-        word, line, n, place = get("fps", np.uint64), get("line", np.int64), get("n", np.int32), get("place", np.int32)
-        chart = get("chart", np.uint64)
+        word, line, n, place, chart = [], [], [], [], []
+        for r in rows_of(group):
+            own = np.frombuffer(r["line"], np.int32)
+            head = np.uint64(r["bucket"] << (64 - bits) if bits else 0)
+            word.append((lengthened(r["fps"], HINT_BYTES) >> U64(bits)) | head)
+            line.append(key_of(r["block"], own))
+            n.append(unpacked(r["n"], len(own)))
+            place.append(unpacked(r["place"], len(own)))
+            chart.append(np.frombuffer(r["chart"], np.uint64))
+        word, line, n, place, chart = (np.concatenate(x) for x in (word, line, n, place, chart))
         order = np.lexsort((line, word))
-        word, line, n, place = word[order], line[order], n[order].astype(np.int64), place[order].astype(np.int64)
-        chart = chart[order]
+        word, line, n, place, chart = word[order], line[order], n[order], place[order], chart[order]
         start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
         size = np.diff(np.concatenate((start, [len(word)])))
         rank = np.arange(len(word)) - np.repeat(start, size)
@@ -188,9 +209,10 @@ def candidates(sent: DataFrame, percent: int) -> DataFrame:
         a, b, none, m = a[new], b[new], np.zeros(int(new.sum()), np.int64), int(big.sum())
         both = lambda x, y: pa.array(np.concatenate((x, y)).astype(np.int64), pa.int64())
         return pa.table({"kind": both(none, np.ones(m)), "a": both(a, word[big].view(np.int64)), "b": both(b, line[big]),
-                         "n": both(none, n[big]), "place": both(none, place[big]), "nth": both(none, rank[big])})
+                         "n": both(none, n[big]), "place": both(none, place[big]), "nth": both(none, rank[big]),
+                         "chart": both(none, chart[big].view(np.int64))})
 
-    return sent.groupBy("bucket").applyInArrow(bucket, "kind long, a long, b long, n long, place long, nth long")
+    return sent.groupBy("bucket").applyInArrow(bucket, "kind long, a long, b long, n long, place long, nth long, chart long")
 
 
 def verified(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -276,18 +298,21 @@ def similar_lines(blocks: DataFrame, notes: DataFrame, sig_buckets: int, percent
         heads = np.flatnonzero(place == 0)
         chart = np.bitwise_or.reduceat(U64(1) << (h >> U64(58)), heads)[np.cumsum(place == 0) - 1]
         keep = (place < n - -(-percent * n // 100) + 1) & (level > 0)
-        line, h, n, place = key_of(b.block, line[keep]), h[keep], n[keep].astype(np.int32), place[keep].astype(np.int32)
+        line, h, n, place = line[keep].astype(np.int32), h[keep], n[keep], place[keep]
         order = np.argsort(h, kind="stable")
         line, h, n, place, chart = line[order], h[order], n[order], place[order], chart[keep][order]
         at = bucket_bounds(h, word_buckets)
         full = np.flatnonzero(np.diff(at))
-        cut = lambda x: pa.array([x[at[k]:at[k + 1]].tobytes() for k in full], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), cut(h), cut(line), cut(n), cut(place), cut(chart)],
-                                         names=["bucket", "fps", "line", "n", "place", "chart"])
-
-    sent = with_notes(blocks, notes, prefixes, "bucket int, fps binary, line binary, n binary, place binary, chart binary")
-    found = stored(candidates(sent, percent), "candidates")
-    groups = found.filter("kind = 1").select(F.col("a").alias("word"), F.col("b").alias("line"), "n", "place", "nth")
+        bits = int(np.log2(word_buckets))
+        cut = lambda x, how=np.ndarray.tobytes: pa.array([how(x[at[k]:at[k + 1]]) for k in full], pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(full, pa.int32()), pa.array(np.full(len(full), b.block), pa.int64()),
+             cut(h, lambda x: shortened(x, bits, HINT_BYTES)), cut(line), cut(n, packed), cut(place, packed), cut(chart)],
+            names=["bucket", "block", "fps", "line", "n", "place", "chart"])
+
+    sent = with_notes(blocks, notes, prefixes, ENTRIES)
+    found = stored(candidates(sent, percent, word_buckets), "candidates")
+    groups = found.filter("kind = 1").select(F.col("a").alias("word"), F.col("b").alias("line"), "n", "place", "nth", "chart")
     largest = groups.agg(F.max("nth")).first()[0] or 0
     pairs = stored(found.filter("kind = 0").select("a", "b").distinct(), "pairs")
     hits = verified(blocks, pairs, percent)
@@ -296,12 +321,13 @@ def similar_lines(blocks: DataFrame, notes: DataFrame, sig_buckets: int, percent
         # later lines without a match yet meet the next lines of their groups
         late = groups.filter(F.col("nth") > at).join(hits, "line", "left_anti") \
             .select(F.col("word").alias("_w"), F.col("line").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"),
-                    F.col("nth").alias("rb"))
+                    F.col("nth").alias("rb"), F.col("chart").alias("xb"))
         early = groups.filter((F.col("nth") >= at) & (F.col("nth") < at * GROW))
         need = F.ceil(F.lit(percent) * (F.col("n") + F.col("nb")) / (100 + percent))
         fits = (F.col("word") == F.col("_w")) & (F.col("nth") < F.col("rb")) \
             & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")) \
-            & (F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb")) >= need)
+            & (F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb")) >= need) \
+            & (F.bit_count(F.col("chart").bitwiseXOR(F.col("xb"))) <= F.col("n") + F.col("nb") - 2 * need)
         pairs = stored(early.join(late, fits).select(F.col("line").alias("a"), "b").distinct(), "pairs")
         if not pairs.isEmpty():
             hits = stored(hits.unionByName(verified(blocks, pairs, percent)).distinct(), "hits")
