@@ -20,7 +20,7 @@ def test_stages_run_and_keep_columns(spark, tmp_path):
         assert out.columns == COLUMNS and dict(out.dtypes) == dict(docs.dtypes), name
         counts.append(out.count())
         docs = out
-    assert counts[0] > counts[1] == counts[2] >= counts[3] > counts[4] > 0.5 * counts[0]
+    assert counts[0] > counts[1] > counts[2] >= counts[3] > counts[4] > 0.5 * counts[0]
     # the decisions hold on what is left
     bench = spark.read.parquet(f"{MID}/benchmark.parquet")
     assert decontaminate.search(docs, bench).count() == 0
@@ -41,6 +41,18 @@ def test_stages_stand_edges(spark):
         cp.STAGES[-1][1](spark, df, MID).count()
 
 
+def test_line_stage_drops_only_what_it_empties(spark):
+    first = [(100 * g, [prose(1000 + 10 * g + j, 14) for j in range(10)]) for g in range(20)]
+    near = [(i + k, [changed(line, 14, f"z{k}") if (j + k) % 2 else line for j, line in enumerate(lines)]) for i, lines in first for k in (1, 2, 3)]
+    mixed = [(5000, first[0][1][:3] + [prose(7, 20)]), (5001, first[1][1][:1])]
+    rows = [(i, "\n".join(x), "s", len("\n".join(x))) for i, x in first + near + mixed] + [(9000, None, "s", 0), (9001, " \n", None, 2), (9002, "", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    out = {r.doc_id: r for r in cp.line_stage(spark, docs, MID).collect()}
+    assert set(out) == {i for i, _ in first} | {5000, 9000, 9001, 9002}
+    assert out[5000].text == mixed[0][1][3] and out[5000].n_chars == len(mixed[0][1][3])
+    assert all(out[i].text == "\n".join(x) for i, x in first)
+
+
 def test_representatives_keep_the_first_of_a_group(spark):
     a = prose(1, 200)
     rows = [(5, a, "x"), (3, changed(a, 120), "y"), (9, prose(2, 90), None), (None, a, "z"), (4, None, "w"), (6, "", "v")]
