@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cardsight.llm import decontaminate, jaccardjoin, labelled, linededup, mixing, toxicity
 from cardsight.llm.blocks import rest_of
-from cardsight.llm.common import collected, delete, stored, table
+from cardsight.llm.common import WORD, collected, delete, stored, table
 
 _left: list[str] = []   # tables of the stage before, whose result has been written by now
 
@@ -38,9 +38,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @stage
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: later similar lines go; every document stays, with n_chars of what is left.
-    Null texts become empty."""
-    out = linededup.dedup(docs, keep=rest_of(docs)).drop("n_lines", "n_removed")
+    """Operator 5: later similar lines go, and so do documents that lose all their words that way: nothing in
+    them is new. The others stay, with n_chars of what is left, also those that had no words before. Null texts
+    become empty; repeated rows and rows that share a doc_id or have none are documents of their own."""
+    out = linededup.dedup(docs, keep=rest_of(docs))
+    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(WORD)
+    out = out.where(~emptied).drop("n_lines", "n_removed")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
