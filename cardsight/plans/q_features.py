@@ -140,11 +140,9 @@ long AS ({' UNION ALL '.join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR)
 SELECT r."column", r.idx AS slot, (SELECT count(*) FROM m) AS rows, count(*) AS nonzeros
 FROM long l JOIN ranks r ON l."column" = r."column" AND l.value = r.value GROUP BY r."column", r.idx""")
 def q_one_hot(spark, sf_dir):
-    """Rows of each slot, counted from the encoded vectors."""
-    out = _indexed(spark, sf_dir)
-    parts = [features.vector_slots(out, f"{c}_ohe").select(F.lit(c).alias("column"), "slot", "rows", "nonzeros")
-             for c in CATEGORICAL]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    """Rows of each slot, counted from the encoded vectors, all columns in one pass."""
+    out = features.vector_slots_of(_indexed(spark, sf_dir), [f"{c}_ohe" for c in CATEGORICAL])
+    return out.select(F.regexp_replace("column", "_ohe$", "").alias("column"), "slot", "rows", "nonzeros")
 
 
 def _slot_sql():
