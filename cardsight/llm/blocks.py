@@ -24,6 +24,7 @@ from .text import U64, Piece, string_buffer
 
 BLOCK = 2 << 20
 BUCKET = 3 << 20          # fingerprints that one bucket should get
+MOST_BUCKETS = 1 << 16
 NO_ID = np.iinfo(np.int64).max
 SCHEMA = "block long, ids binary, sizes binary, shas binary, extra binary, body binary"
 
@@ -112,10 +113,11 @@ def write_blocks(docs: DataFrame, keep: tuple[str, ...] = (), size: int = BLOCK)
             yield row()
 
     # Bucketed by block, so that notes come to the blocks and the texts are not shuffled again.
+    # Spark refuses more than 100,000 buckets; beyond a terabyte a bucket holds more blocks instead.
     path = folder(spark, "blocks")
     name = "cardsight_" + path.rsplit("/", 1)[1].replace("-", "_")
     ordered.mapInArrow(pack, SCHEMA).write.option("compression", "uncompressed").option("path", path) \
-        .bucketBy(partitions(spark, total, 8 * size), "block").sortBy("block").saveAsTable(name)
+        .bucketBy(min(partitions(spark, total, 8 * size), MOST_BUCKETS), "block").sortBy("block").saveAsTable(name)
     release(spark)
     blocks = spark.table(name)
     blocks.text_bytes = total
@@ -237,14 +239,14 @@ def read_answer(answers: list[tuple[int, bytes]], sorted_fps: np.ndarray, n_buck
     return out
 
 
-def with_notes(blocks: DataFrame, notes: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``fn(Block, notes of this block)`` for each block; ``notes`` has (block, kind, bucket, bits).
-    Yields record batches that are put together into the result."""
+def with_notes(blocks: DataFrame, notes: DataFrame, fn: Callable, schema: str, noted_only: bool = False) -> DataFrame:
+    """``fn(Block, notes of this block)`` for each block (``noted_only``: each that has notes); ``notes`` has
+    (block, kind, bucket, bits). Yields record batches that are put together into the result."""
     target = None
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for row in rows_of(left):
+        for row in rows_of(left) if right.num_rows or not noted_only else ():
             noted = [(r["kind"], r["bucket"], r["bits"]) for r in rows_of(right)]
             out.extend(fn(unpack(row), noted))
         return pa.Table.from_batches(out) if out else target_table()

@@ -13,13 +13,11 @@ from __future__ import annotations
 
 import numpy as np
 
-from .text import U64, _BYTE, _SPACE, Piece, mix, powers, words
+from .text import U64, _SPACE, Piece, mix, words
 
 # bytes that do not count as a part of a bare word: ASCII punctuation and spaces
 _MARK = _SPACE.copy()
 _MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
-_BARE = _BYTE.copy()
-_BARE[_MARK] = 0
 _UPPER = np.zeros(256, np.int32)
 _UPPER[65:91] = 1
 _LOWER = np.zeros(256, np.int32)
@@ -30,7 +28,7 @@ _DIGIT[48:58] = 1
 
 def bare_words(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document) of the words between spaces and ASCII marks."""
-    w = words(piece, _MARK, _BARE)
+    w = words(piece, _MARK)
     return w.hash, w.doc
 
 
@@ -67,4 +65,4 @@ def term_counts(h: np.ndarray, doc: np.ndarray, n_docs: int, bits: int) -> tuple
     return bounds, key & ((1 << bits) - 1), n
 
 
-__all__ = ["bare_words", "shapes", "term_counts", "powers"]
+__all__ = ["bare_words", "shapes", "term_counts"]

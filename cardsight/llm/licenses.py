@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import query, table
-from .text import _BYTE, Prints, pieces, words
+from .text import pieces, word_hashes, words
 
 LONG = 4          # words of an anchor
 GAP = 12          # words between two anchors of a chain, beyond those that the template has there
@@ -61,8 +61,6 @@ TEMPLATES = [
 
 _GAP_BYTE = np.ones(256, bool)      # between words: all of ASCII but digits and letters
 _GAP_BYTE[48:58] = _GAP_BYTE[65:91] = _GAP_BYTE[97:123] = _GAP_BYTE[128:] = False
-_VALUES = _BYTE.copy()
-_VALUES[_GAP_BYTE] = 0
 
 
 def word_list(text: str) -> list[bytes]:
@@ -241,7 +239,7 @@ class Scanner:
         known = list(a.vocabulary)
         data = np.frombuffer(b" ".join(known), np.uint8)
         end = np.cumsum([len(w) + 1 for w in known]) - 1 if known else np.zeros(0, np.int64)
-        prints = Prints(data, _VALUES).at(end - np.array([len(w) for w in known], np.int64), end)
+        prints = word_hashes(data, end - np.array([len(w) for w in known], np.int64), end)
         self.order = np.argsort(prints)
         self.prints = prints[self.order]
         self.n = len(known)
@@ -271,7 +269,7 @@ class Scanner:
         """(row, words, spans) of every text, in order."""
         a = self.a
         for piece in pieces(column):
-            w = words(piece, _GAP_BYTE, _VALUES)
+            w = words(piece, _GAP_BYTE)
             counts = w.counts(piece.n_docs) if len(w.hash) else np.zeros(piece.n_docs, np.int64)
             begins = np.concatenate(([0], np.cumsum(counts)))
             found: dict[int, dict[int, list[Anchor]]] = {}

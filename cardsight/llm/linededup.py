@@ -13,7 +13,8 @@ this is judged on the input, so a removed line still counts as an earlier one.
    their words do not differ in more bits than words may differ. In a group of more than
    ``FULL`` lines, a line meets the first ``FIRST`` lines, then the next ones in growing
    steps; a line with a match leaves, so groups of near copies are not expanded into all pairs.
-4. Candidates are verified on the full word sets.
+4. Candidates whose 256-bit word maps allow it are verified on the full word sets, the nearest
+   candidate of each line first, the others only for lines that it does not match.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ from .text import U64, Piece, mix, words
 
 PERCENT = 80
 FULL, TRIED, FIRST, GROW = 64, 4096, 4, 8
-LINE_BITS = 28   # lines of a block; the rest of a line's key is its block
+# A line's key in one long: partition of its block (2^24, 268 TB of text), block of the partition, line of the block.
+PART_BITS, LINE_BITS = 11, 28
 
 
 def line_bounds(b: Block) -> np.ndarray:
@@ -51,14 +53,16 @@ def lines_per_document(b: Block) -> np.ndarray:
 
 def key_of(block: int, line: np.ndarray) -> np.ndarray:
     """One long for a line, in order of documents and places."""
-    return ((block >> 32) << 46 | (block & 0x3FFFF) << LINE_BITS) + line.astype(np.int64)
+    part, nth = block >> 32, block & 0xFFFFFFFF
+    if part >> (63 - PART_BITS - LINE_BITS) or nth >> PART_BITS or (len(line) and int(line.max()) >> LINE_BITS):
+        raise OverflowError(f"block {nth} of partition {part} has no room in a line's key")
+    return ((part << PART_BITS | nth) << LINE_BITS) + line.astype(np.int64)
 
 
 def block_of(key: str = "line"):
     k = F.col(key)
-    high = F.shiftright(k, 46)
-    low = F.shiftright(k, LINE_BITS).bitwiseAND(F.lit(0x3FFFF))
-    return F.shiftleft(high, 32) + low
+    nth = F.shiftright(k, LINE_BITS).bitwiseAND(F.lit((1 << PART_BITS) - 1))
+    return F.shiftleft(F.shiftright(k, PART_BITS + LINE_BITS), 32) + nth
 
 
 def line_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,30 +219,67 @@ def candidates(sent: DataFrame, percent: int, n_buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(bucket, "kind long, a long, b long, n long, place long, nth long, chart long")
 
 
-def verified(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The later lines (line) of the pairs (a, b) that are similar on their full word sets."""
-    asked = pairs.select(F.col("a").alias("line")).unionAll(pairs.select(F.col("b").alias("line"))).distinct()
+NOTE = "block long, kind string, bucket int, bits binary"
+MAP = 4   # longs of a line's wide map
 
+
+def line_notes(lines: DataFrame) -> DataFrame:
+    """The lines of each block that are asked for, as its note."""
     def note(group: pa.Table) -> pa.Table:
-        lines = np.sort(group.column("line").to_numpy())
+        keys = np.sort(group.column("line").to_numpy())
         return pa.table({"block": group.column("block")[:1], "kind": pa.array(["line"]), "bucket": pa.array([0], pa.int32()),
-                         "bits": pa.array([lines.tobytes()], pa.binary())})
+                         "bits": pa.array([keys.tobytes()], pa.binary())})
+
+    return lines.withColumn("block", block_of()).groupBy("block").applyInArrow(note, NOTE)
+
+
+def noted_sets(b: Block, bits: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, bounds, words) of the lines asked for."""
+    keys = np.frombuffer(bits, np.int64)
+    at, nth = line_bounds(b), keys & ((1 << LINE_BITS) - 1)
+    part = np.concatenate([b.data[at[i]:at[i + 1]] for i in nth])
+    return keys, *line_sets(part, np.concatenate(([0], np.cumsum(at[nth + 1] - at[nth]))))
+
 
-    notes = asked.withColumn("block", block_of()).groupBy("block") \
-        .applyInArrow(note, "block long, kind string, bucket int, bits binary")
+def asked(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("line")).unionAll(pairs.select(F.col("b").alias("line"))).distinct()
 
+
+def nearer(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose wide maps, ``MAP`` longs of hashed words, do not differ in more bits than the
+    lines' words may differ, with that number of bits (apart)."""
+    def maps(b: Block, noted: list) -> Iterator[pa.RecordBatch]:
+        for _, _, bits in noted:
+            keys, bounds, h = noted_sets(b, bits)
+            spot = (h >> U64(40)) % U64(64 * MAP)
+            longs = [np.bitwise_or.reduceat(np.where(spot >> U64(6) == U64(i), U64(1) << (spot & U64(63)), U64(0)), bounds[:-1])
+                     for i in range(MAP)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array(np.diff(bounds), pa.int64()), *[pa.array(x.view(np.int64)) for x in longs]],
+                names=["line", "n", *[f"m{i}" for i in range(MAP)]])
+
+    longs = [f"m{i}" for i in range(MAP)]
+    seen = stored(with_notes(blocks, line_notes(asked(pairs)), maps, "line long, n long, " + ", ".join(f"{m} long" for m in longs),
+                             noted_only=True), "maps")
+    left = seen.withColumnRenamed("line", "a")
+    right = seen.select(F.col("line").alias("b"), F.col("n").alias("nb"), *[F.col(m).alias(f"_{m}") for m in longs])
+    apart = sum(F.bit_count(F.col(m).bitwiseXOR(F.col(f"_{m}"))) for m in longs)
+    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("nb")) / (100 + percent))
+    return pairs.join(left, "a").join(right, "b") \
+        .select("a", "b", apart.alias("apart"), (F.col("n") + F.col("nb") - 2 * need).alias("most")) \
+        .filter("apart <= most").drop("most")
+
+
+def similar(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The later lines (line) of the pairs (a, b) that are similar on their full word sets."""
     def fetch(b: Block, noted: list) -> Iterator[pa.RecordBatch]:
         for _, _, bits in noted:
-            keys = np.frombuffer(bits, np.int64)
-            at, nth = line_bounds(b), keys & ((1 << LINE_BITS) - 1)
-            part = np.concatenate([b.data[at[i]:at[i + 1]] for i in nth])
-            cut = np.concatenate(([0], np.cumsum(at[nth + 1] - at[nth])))
-            bounds, h = line_sets(part, cut)
+            keys, bounds, h = noted_sets(b, bits)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array([h[x:y].tobytes() for x, y in zip(bounds, bounds[1:])], pa.binary())],
                 names=["line", "words"])
 
-    sets = stored(with_notes(blocks, notes, fetch, "line long, words binary"), "sets")
+    sets = stored(with_notes(blocks, line_notes(asked(pairs)), fetch, "line long, words binary", noted_only=True), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,6 +296,17 @@ def verified(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return stored(pairs.join(left, "a").join(right, "b").select("b", "wa", "wb").mapInArrow(check, "line long").distinct(), "hits")
 
 
+def verified(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The later lines (line) of all similar pairs: a line meets its nearest candidate first, and the
+    others only if that one is not similar."""
+    near = stored(nearer(blocks, pairs, percent), "near")
+    first = near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
+    hits = similar(blocks, first, percent)
+    rest = stored(near.join(hits.withColumnRenamed("line", "b"), "b", "left_anti")
+                  .join(first.withColumnRenamed("a", "_a"), "b").filter("a != _a").select("a", "b"), "rest")
+    return hits if rest.isEmpty() else hits.unionByName(similar(blocks, rest, percent))
+
+
 def similar_lines(blocks: DataFrame, notes: DataFrame, sig_buckets: int, percent: int) -> DataFrame:
     """(line): first lines of their set that have a similar, different set before them."""
     spark = blocks.sparkSession
@@ -290,7 +342,7 @@ def similar_lines(blocks: DataFrame, notes: DataFrame, sig_buckets: int, percent
         line, h = cells(lines, first)
         names, index = named(h)
         level = rarity(of(noted, "rarity"), names, word_buckets)[index].astype(np.uint64)
-        order = np.lexsort((h, (line.astype(np.uint64) << U64(8)) | level))
+        order = np.argsort((line.astype(np.uint64) << U64(8)) | level, kind="stable")   # in order of hash before
         line, h, level = line[order], h[order], level[order]
         start = np.searchsorted(line, line)
         n = np.diff(lines.bounds)[line]
@@ -365,7 +417,7 @@ def dedup(docs: DataFrame, percent: int = PERCENT, keep: tuple[str, ...] = ()) -
         return pa.table({"block": group.column("block")[:1], "kind": pa.array(["similar"]), "bucket": pa.array([0], pa.int32()),
                          "bits": pa.array([np.sort(group.column("line").to_numpy()).tobytes()], pa.binary())})
 
-    gone = hits.withColumn("block", block_of()).groupBy("block").applyInArrow(note, "block long, kind string, bucket int, bits binary")
+    gone = hits.withColumn("block", block_of()).groupBy("block").applyInArrow(note, NOTE)
 
     def cut(b: Block, noted: list) -> Iterator[pa.RecordBatch]:
         lines = Names(next(np.frombuffer(x, np.uint64) for kind, _, x in noted if kind == "names"))

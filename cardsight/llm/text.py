@@ -20,11 +20,9 @@ SHINGLE = 5
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BYTE[65:91] = _BYTE[97:123]          # A-Z hash as a-z
-_BYTE_WORD = _BYTE.copy()
-_BYTE_WORD[_SPACE] = 0                # spaces add nothing to a word's hash
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] = _FOLD[97:123]          # A-Z hash as a-z
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)   # masks of the first 0 to 8 bytes
 _STEP = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(int(_STEP), -1, 2**64))
 _tables: dict[int, np.ndarray] = {}
@@ -49,8 +47,9 @@ def inverse_powers(n: int) -> np.ndarray:
 
 
 class Prints:
-    """Fingerprints of any strings of a piece: prefix sums of byte value times a power of the place,
-    moved back to place 0 by the inverse power."""
+    """Fingerprints of short strings of a piece (tens of bytes): prefix sums of byte value times a power of
+    the place, moved back to place 0 by the inverse power. Strings of 1,024 bytes and more can be made to
+    collide; words have :func:`word_hashes`."""
 
     def __init__(self, data: np.ndarray, values: np.ndarray):
         self.sums = np.zeros(len(data) + 1, np.uint64)
@@ -73,6 +72,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, A-Z as a-z. Eight bytes at a time are mixed with their place (the first
+    eight with the length) and added up, so no rearrangement of letters cancels out as it can in a polynomial;
+    words of up to eight bytes and equal length never collide."""
+    n, size = len(data), end - start
+    folded = np.zeros(n + 8, np.uint8)
+    folded[:n] = _FOLD[data]
+    eights = np.ndarray(n + 1, "<u8", folded, strides=(1,))      # the eight bytes from each position on
+    h = mix((eights[start] & _FIRST[np.minimum(size, 8)]) ^ mix(size.astype(np.uint64) * _STEP))
+    longer = np.flatnonzero(size > 8)
+    if len(longer):
+        more = (size[longer] - 1) // 8
+        first = np.cumsum(more) - more
+        nth = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        at = np.repeat(start[longer], more) + 8 * nth
+        left = np.minimum(np.repeat(end[longer], more) - at, 8)
+        rest = mix((eights[at] & _FIRST[left]) ^ mix(nth.astype(np.uint64) * _INVERSE))
+        h[longer] = mix(h[longer] + np.add.reduceat(rest, first))
+    return h
+
+
 def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; nulls become empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -123,7 +143,7 @@ class Words(NamedTuple):
         return np.bincount(self.doc, minlength=n_docs)
 
 
-def words(piece: Piece, spaces: np.ndarray = _SPACE, values: np.ndarray = _BYTE_WORD) -> Words:
+def words(piece: Piece, spaces: np.ndarray = _SPACE) -> Words:
     data, offsets = piece.data, piece.offsets
     n = len(data)
     solid = ~spaces[data]
@@ -144,7 +164,7 @@ def words(piece: Piece, spaces: np.ndarray = _SPACE, values: np.ndarray = _BYTE_
     end = np.flatnonzero(last) + 1
     counts = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(counts))
-    return Words(start, end, doc, Prints(data, values).at(start, end))
+    return Words(start, end, doc, word_hashes(data, start, end))
 
 
 _COMBINE = powers(64)[1:64] * U64(0xD1342543DE82EF95)
