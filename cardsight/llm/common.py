@@ -70,10 +70,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more
-    (listeners hold a finished plan until they have read its last event)."""
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more. A hint: what
+    is still referred to goes at a later one, and nothing waits for it."""
     gc.collect()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -82,10 +81,6 @@ def partitions(spark: SparkSession, n_bytes: int, each: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-int(n_bytes) // each), 1)
 
 
-def null_last(column: str) -> list:
-    return [F.col(column).asc_nulls_last()]
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 

@@ -9,12 +9,12 @@ this is judged on the input, so a removed line still counts as an earlier one.
    lines share a word of both prefixes (the rarest n - ceil(percent * n / 100) + 1 words).
    Prefix words that no other line has are not sent.
 3. Lines that share a prefix word are candidates if their lengths allow it, enough words are
-   left behind the shared word's places (length and positional filter), and 64-bit maps of
+   left behind the shared word's places (length and positional filter), and 128-bit maps of
    their words do not differ in more bits than words may differ. In a group of more than
    ``FULL`` lines, a line meets the first ``FIRST`` lines, then the next ones in growing
    steps; a line with a match leaves, so groups of near copies are not expanded into all pairs.
-4. Candidates whose 256-bit word maps allow it are verified on the full word sets, the nearest
-   candidate of each line first, the others only for lines that it does not match.
+4. Candidates are verified on the full word sets, the nearest candidate of each line first (by
+   its map), the others only for lines that it does not match.
 """
 
 from __future__ import annotations
@@ -148,12 +148,26 @@ def rarity(answers: list[tuple[int, bytes]], values: np.ndarray, n_buckets: int)
     return out
 
 
-def pair_filter(na, ia, xa, nb, ib, xb, percent: int):
-    """Length and positional filter for lines that share the words at places ia and ib, and a bound on
-    how many words they do not share: bits that differ in maps of 64 hashed words."""
+CHART = 2   # longs of the map of hashed words that travels with an entry
+
+
+def pair_filter(early, late, n, place, chart, percent: int) -> np.ndarray:
+    """Which entries of the same word pass the length and positional filter, and a bound on
+    how many words they do not share: bits that differ in the maps of their words."""
+    na, nb = n[early], n[late]
     need = -(-percent * (na + nb) // (100 + percent))
-    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (np.minimum(na - ia, nb - ib) >= need) \
-        & (np.bitwise_count(xa ^ xb) <= na + nb - 2 * need)
+    ok = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (np.minimum(na - place[early], nb - place[late]) >= need)
+    at = np.flatnonzero(ok)
+    apart = sum(np.bitwise_count(x[early[at]] ^ x[late[at]]).astype(np.int64) for x in chart)
+    ok[at] = apart <= (na + nb - 2 * need)[at]
+    return ok
+
+
+def word_maps(bounds: np.ndarray, h: np.ndarray, longs: int) -> list[np.ndarray]:
+    """Maps of 64 * ``longs`` bits of the hashed words between bounds (none empty), one array a long."""
+    spot = (h >> U64(40)) % U64(64 * longs)
+    bit = U64(1) << (spot & U64(63))
+    return [np.bitwise_or.reduceat(np.where(spot >> U64(6) == U64(i), bit, U64(0)), bounds[:-1]) for i in range(longs)]
 
 
 ENTRIES = "bucket int, block long, fps binary, line binary, n binary, place binary, chart binary"
@@ -172,8 +186,8 @@ def candidates(sent: DataFrame, percent: int, n_buckets: int) -> DataFrame:
     """(kind 0) pairs a before b that pass the filters: all pairs of a group of up to ``FULL`` lines, else
     those with its first ``FIRST`` lines; (kind 1) the members of larger groups that pass the filters
     with any other line (all members beyond ``TRIED`` lines), with the place of the word in the line and
-    of the line in the group, and the map of the line's words. An entry travels in 21 bytes: five of the word's hash
-    (two words that share them only make more candidates), the line inside its block, two counts and the map."""
+    of the line in the group, and the map of the line's words. An entry travels in 29 bytes: five of the word's hash
+    (two words that share them only make more candidates), the line inside its block, two counts and the map of 128 bits."""
     bits = int(np.log2(n_buckets))
 
     def bucket(group: pa.Table) -> pa.Table:
@@ -185,10 +199,10 @@ def candidates(sent: DataFrame, percent: int, n_buckets: int) -> DataFrame:
             line.append(key_of(r["block"], own))
             n.append(unpacked(r["n"], len(own)))
             place.append(unpacked(r["place"], len(own)))
-            chart.append(np.frombuffer(r["chart"], np.uint64))
-        word, line, n, place, chart = (np.concatenate(x) for x in (word, line, n, place, chart))
+            chart.append(np.frombuffer(r["chart"], np.uint64).reshape(CHART, -1))
+        word, line, n, place = (np.concatenate(x) for x in (word, line, n, place))
         order = np.lexsort((line, word))
-        word, line, n, place, chart = word[order], line[order], n[order], place[order], chart[order]
+        word, line, n, place, chart = word[order], line[order], n[order], place[order], np.concatenate(chart, axis=1)[:, order]
         start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
         size = np.diff(np.concatenate((start, [len(word)])))
         rank = np.arange(len(word)) - np.repeat(start, size)
@@ -199,7 +213,7 @@ def candidates(sent: DataFrame, percent: int, n_buckets: int) -> DataFrame:
         for back in range(min(int(size.max()), TRIED) if len(size) else 0):
             late = late[(rank[late] > back) & (~huge[late] | (back < FIRST))]
             early = late - rank[late] + back
-            ok = pair_filter(n[early], place[early], chart[early], n[late], place[late], chart[late], percent)
+            ok = pair_filter(early, late, n, place, chart, percent)
             e, z = early[ok], late[ok]
             if back >= FIRST:
                 fits[e] = fits[z] = True
@@ -211,16 +225,18 @@ def candidates(sent: DataFrame, percent: int, n_buckets: int) -> DataFrame:
         a, b = line[early[order]], line[late[order]]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
         a, b, none, m = a[new], b[new], np.zeros(int(new.sum()), np.int64), int(big.sum())
+        early, late = early[order][new], late[order][new]
+        apart = sum((np.bitwise_count(x[early] ^ x[late]).astype(np.int64) for x in chart), none)
         both = lambda x, y: pa.array(np.concatenate((x, y)).astype(np.int64), pa.int64())
         return pa.table({"kind": both(none, np.ones(m)), "a": both(a, word[big].view(np.int64)), "b": both(b, line[big]),
-                         "n": both(none, n[big]), "place": both(none, place[big]), "nth": both(none, rank[big]),
-                         "chart": both(none, chart[big].view(np.int64))})
+                         "n": both(none, n[big]), "place": both(none, place[big]), "nth": both(none, rank[big]), "apart": both(apart, np.zeros(m)),
+                         **{f"chart{i}": both(none, x[big].view(np.int64)) for i, x in enumerate(chart)}})
 
-    return sent.groupBy("bucket").applyInArrow(bucket, "kind long, a long, b long, n long, place long, nth long, chart long")
+    return sent.groupBy("bucket").applyInArrow(bucket, "kind long, a long, b long, n long, place long, nth long, apart long"
+                                               + "".join(f", chart{i} long" for i in range(CHART)))
 
 
 NOTE = "block long, kind string, bucket int, bits binary"
-MAP = 4   # longs of a line's wide map
 
 
 def line_notes(lines: DataFrame) -> DataFrame:
@@ -245,31 +261,6 @@ def asked(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("line")).unionAll(pairs.select(F.col("b").alias("line"))).distinct()
 
 
-def nearer(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose wide maps, ``MAP`` longs of hashed words, do not differ in more bits than the
-    lines' words may differ, with that number of bits (apart)."""
-    def maps(b: Block, noted: list) -> Iterator[pa.RecordBatch]:
-        for _, _, bits in noted:
-            keys, bounds, h = noted_sets(b, bits)
-            spot = (h >> U64(40)) % U64(64 * MAP)
-            longs = [np.bitwise_or.reduceat(np.where(spot >> U64(6) == U64(i), U64(1) << (spot & U64(63)), U64(0)), bounds[:-1])
-                     for i in range(MAP)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(np.diff(bounds), pa.int64()), *[pa.array(x.view(np.int64)) for x in longs]],
-                names=["line", "n", *[f"m{i}" for i in range(MAP)]])
-
-    longs = [f"m{i}" for i in range(MAP)]
-    seen = stored(with_notes(blocks, line_notes(asked(pairs)), maps, "line long, n long, " + ", ".join(f"{m} long" for m in longs),
-                             noted_only=True), "maps")
-    left = seen.withColumnRenamed("line", "a")
-    right = seen.select(F.col("line").alias("b"), F.col("n").alias("nb"), *[F.col(m).alias(f"_{m}") for m in longs])
-    apart = sum(F.bit_count(F.col(m).bitwiseXOR(F.col(f"_{m}"))) for m in longs)
-    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("nb")) / (100 + percent))
-    return pairs.join(left, "a").join(right, "b") \
-        .select("a", "b", apart.alias("apart"), (F.col("n") + F.col("nb") - 2 * need).alias("most")) \
-        .filter("apart <= most").drop("most")
-
-
 def similar(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The later lines (line) of the pairs (a, b) that are similar on their full word sets."""
     def fetch(b: Block, noted: list) -> Iterator[pa.RecordBatch]:
@@ -297,13 +288,12 @@ def similar(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The later lines (line) of all similar pairs: a line meets its nearest candidate first, and the
-    others only if that one is not similar."""
-    near = stored(nearer(blocks, pairs, percent), "near")
-    first = near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
+    """The later lines (line) of all similar pairs (a, b, apart: bits that differ in their maps): a line meets its
+    nearest candidate first, and the others only if that one is not similar."""
+    first = stored(pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"), "first")
     hits = similar(blocks, first, percent)
-    rest = stored(near.join(hits.withColumnRenamed("line", "b"), "b", "left_anti")
-                  .join(first.withColumnRenamed("a", "_a"), "b").filter("a != _a").select("a", "b"), "rest")
+    rest = stored(pairs.select("a", "b").join(hits.withColumnRenamed("line", "b"), "b", "left_anti")
+                  .join(first, ["a", "b"], "left_anti"), "rest")
     return hits if rest.isEmpty() else hits.unionByName(similar(blocks, rest, percent))
 
 
@@ -348,39 +338,43 @@ def similar_lines(blocks: DataFrame, notes: DataFrame, sig_buckets: int, percent
         n = np.diff(lines.bounds)[line]
         place = np.arange(len(line)) - start
         heads = np.flatnonzero(place == 0)
-        chart = np.bitwise_or.reduceat(U64(1) << (h >> U64(58)), heads)[np.cumsum(place == 0) - 1]
+        own = np.cumsum(place == 0) - 1      # the entry's line, as a number among those sent
+        maps = word_maps(np.concatenate((heads, [len(h)])), h, CHART)
         keep = (place < n - -(-percent * n // 100) + 1) & (level > 0)
-        line, h, n, place = line[keep].astype(np.int32), h[keep], n[keep], place[keep]
+        line, h, n, place, own = line[keep].astype(np.int32), h[keep], n[keep], place[keep], own[keep]
         order = np.argsort(h, kind="stable")
-        line, h, n, place, chart = line[order], h[order], n[order], place[order], chart[keep][order]
+        line, h, n, place, own = line[order], h[order], n[order], place[order], own[order]
+        chart = lambda x: b"".join(m[x].tobytes() for m in maps)
         at = bucket_bounds(h, word_buckets)
         full = np.flatnonzero(np.diff(at))
         bits = int(np.log2(word_buckets))
         cut = lambda x, how=np.ndarray.tobytes: pa.array([how(x[at[k]:at[k + 1]]) for k in full], pa.binary())
         yield pa.RecordBatch.from_arrays(
             [pa.array(full, pa.int32()), pa.array(np.full(len(full), b.block), pa.int64()),
-             cut(h, lambda x: shortened(x, bits, HINT_BYTES)), cut(line), cut(n, packed), cut(place, packed), cut(chart)],
+             cut(h, lambda x: shortened(x, bits, HINT_BYTES)), cut(line), cut(n, packed), cut(place, packed), cut(own, chart)],
             names=["bucket", "block", "fps", "line", "n", "place", "chart"])
 
     sent = with_notes(blocks, notes, prefixes, ENTRIES)
     found = stored(candidates(sent, percent, word_buckets), "candidates")
-    groups = found.filter("kind = 1").select(F.col("a").alias("word"), F.col("b").alias("line"), "n", "place", "nth", "chart")
+    charts = [f"chart{i}" for i in range(CHART)]
+    groups = found.filter("kind = 1").select(F.col("a").alias("word"), F.col("b").alias("line"), "n", "place", "nth", *charts)
     largest = groups.agg(F.max("nth")).first()[0] or 0
-    pairs = stored(found.filter("kind = 0").select("a", "b").distinct(), "pairs")
+    pairs = stored(found.filter("kind = 0").select("a", "b", "apart").distinct(), "pairs")
     hits = verified(blocks, pairs, percent)
     at = FIRST
     while at <= largest:
         # later lines without a match yet meet the next lines of their groups
         late = groups.filter(F.col("nth") > at).join(hits, "line", "left_anti") \
             .select(F.col("word").alias("_w"), F.col("line").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"),
-                    F.col("nth").alias("rb"), F.col("chart").alias("xb"))
+                    F.col("nth").alias("rb"), *[F.col(c).alias(f"_{c}") for c in charts])
         early = groups.filter((F.col("nth") >= at) & (F.col("nth") < at * GROW))
         need = F.ceil(F.lit(percent) * (F.col("n") + F.col("nb")) / (100 + percent))
+        apart = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in charts)
         fits = (F.col("word") == F.col("_w")) & (F.col("nth") < F.col("rb")) \
             & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")) \
             & (F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb")) >= need) \
-            & (F.bit_count(F.col("chart").bitwiseXOR(F.col("xb"))) <= F.col("n") + F.col("nb") - 2 * need)
-        pairs = stored(early.join(late, fits).select(F.col("line").alias("a"), "b").distinct(), "pairs")
+            & (apart <= F.col("n") + F.col("nb") - 2 * need)
+        pairs = stored(early.join(late, fits).select(F.col("line").alias("a"), "b", apart.alias("apart")).distinct(), "pairs")
         if not pairs.isEmpty():
             hits = stored(hits.unionByName(verified(blocks, pairs, percent)).distinct(), "hits")
         at *= GROW
