@@ -31,6 +31,7 @@ from pyspark.util import inheritable_thread_target
 
 from ..session import cached
 from .evaluate import MULTI_METRICS, multi_metrics
+from .models import training_rows
 from .sampling import assign_folds
 
 
@@ -70,11 +71,13 @@ def fold_features(train: DataFrame, pipeline: Pipeline, label: str, k: int = 3,
     vector = learner.getOrDefault(learner.featuresCol)
     with contextlib.ExitStack() as held:
         folded = held.enter_context(cached(assign_folds(train, k, seed, key, column="_fold")))
+        rows = {r["_fold"]: r["count"] for r in folded.groupBy("_fold").count().collect()}     # k rows at most
         parts = []
         for i in range(k):
-            rest, own = folded.where(F.col("_fold") != i), folded.where(F.col("_fold") == i)
-            model = features.fit(rest)
-            parts.append(tuple(held.enter_context(cached(model.transform(x).select(label, vector))) for x in (rest, own)))
+            own = rows.get(i, 0)
+            model = features.fit(folded.where(F.col("_fold") != i))
+            parts.append(tuple(held.enter_context(cached(training_rows(model, folded.where(which).drop("_fold"), [label, vector], vector, n)))
+                               for which, n in ((F.col("_fold") != i, sum(rows.values()) - own), (F.col("_fold") == i, own))))
         yield Folds(parts, label)
 
 
@@ -106,7 +109,8 @@ def refit_metrics(train: DataFrame, pipeline: Pipeline, label: str, metric_label
     stages = pipeline.getStages()
     learner = stages[-1]
     features = Pipeline(stages=stages[:-1]).fit(train)
-    with cached(features.transform(train).select(label, learner.getOrDefault(learner.featuresCol))) as rows:
+    vector = learner.getOrDefault(learner.featuresCol)
+    with cached(training_rows(features, train, [label, vector], vector)) as rows:
         out = multi_metrics(learner.fit(rows).transform(rows), label, "prediction", metric_label=metric_label)
         return train.sparkSession.createDataFrame(out.collect(), out.schema)   # one row a metric
 

@@ -133,7 +133,7 @@ def two_models(spark, sf_dir):
     tuned = tuned_model(spark, sf_dir)
     if key not in _FITTED:
         feats = PipelineModel(tuned.stages[:-1])
-        with cached(feats.transform(train_test(spark, sf_dir)[0]).select(LABEL, features.FEATURES)) as rows:
+        with cached(models.training_rows(feats, train_test(spark, sf_dir)[0], [LABEL, features.FEATURES], features.FEATURES)) as rows:
             _FITTED[key] = PipelineModel(tuned.stages[:-1] + [models.logistic(LABEL).fit(rows)])
     return {"GBTClassifier": tuned, "LogisticRegression": _FITTED[key]}
 

@@ -3,12 +3,13 @@
 import random
 
 import pytest
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from cardsight.operators import tune
+from cardsight.operators import features, models, tune
 
 
 @pytest.fixture(scope="module")
@@ -186,3 +187,25 @@ def test_parallel_search_equals_sequential(spark, data):
 def test_refit_metrics_on_training_data(spark, data):
     out = {r.metric: r.value for r in tune.refit_metrics(data, pipe(), "y").collect()}
     assert set(out) == set(tune.MULTI_METRICS) and out["accuracy"] > 0.8
+
+
+def test_learners_read_even_partitions_that_follow_the_rows(spark, data, monkeypatch):
+    monkeypatch.setattr(models, "PART_BYTES", 100 * 2 * models.SLOT_BYTES)      # 100 rows of two slots
+    uneven = data.coalesce(1)
+    feat = pipe().getStages()[0]
+    rows = models.training_rows(PipelineModel([feat]), uneven, ["y", "final_features"], "final_features")
+    assert rows.groupBy(F.spark_partition_id()).count().select("count").collect() == [(100,)] * 6
+    again = models.training_rows(PipelineModel([feat]), uneven, ["y", "final_features"], "final_features")
+    assert rows.rdd.glom().collect() == again.rdd.glom().collect()      # the same places every time
+    with tune.fold_features(uneven, pipe(), "y", k=3, seed=1) as folds:
+        for i, (rest, own) in enumerate(folds.parts):
+            assert rest.count() + own.count() == 600
+            for part in (rest, own):
+                assert max(len(p) for p in part.rdd.glom().collect()) <= 100, i
+
+
+def test_rows_without_vector_metadata_and_empty_tables_are_dealt_out(spark, data):
+    plain = data.withColumn("v", array_to_vector(F.array("a", "b")))
+    assert features.vector_size(plain, "v") == 2
+    assert features.vector_size(plain.limit(0), "v") == 1
+    assert models.training_rows(PipelineModel([]), plain.limit(0), ["y", "v"], "v").count() == 0
