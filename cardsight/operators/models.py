@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import quoted
-from ..session import cached
+from ..session import cached, scratch_table
 from .features import FEATURES, vector_size
 
 # The reference's tuned boosted-trees settings.
@@ -139,6 +139,13 @@ def score_models(models: dict[str, PipelineModel], df: DataFrame, label: str,
                        F.col("_m.p1").alias("p1"))
 
 
+def scored_once(models: dict[str, PipelineModel], df: DataFrame, label: str) -> DataFrame:
+    """:func:`score_models` for several evaluations: rows dealt out evenly, each scored once, predictions stored."""
+    first = next(iter(models.values()))
+    width = vector_size(PipelineModel(first.stages[:-1]).transform(df), first.stages[-1].getFeaturesCol())
+    return scratch_table(score_models(models, in_even_parts(df, df.count(), width), label), "scored")
+
+
 def score_side_by_side(models: dict[str, PipelineModel], df: DataFrame) -> DataFrame:
     """Class-1 probability of every model in a column of its name, for the same rows in one scan."""
     out = df

@@ -99,7 +99,7 @@ def q_model_compare(spark, sf_dir):
         "RandomForest": models.random_forest(LABEL),
         "LogisticRegression": models.logistic(LABEL),
     })
-    preds = models.score_models(fitted, test, LABEL)
+    preds = models.scored_once(fitted, test, LABEL)
     report = evaluate.classification_report(preds, LABEL, "prediction", by=["model"],
                                             zero_division=evaluate.zero_division_by_model())
     auc = evaluate.roc_auc(preds, LABEL, "p1", by=["model"])

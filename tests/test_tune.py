@@ -209,3 +209,12 @@ def test_rows_without_vector_metadata_and_empty_tables_are_dealt_out(spark, data
     assert features.vector_size(plain, "v") == 2
     assert features.vector_size(plain.limit(0), "v") == 1
     assert models.training_rows(PipelineModel([]), plain.limit(0), ["y", "v"], "v").count() == 0
+
+
+def test_predictions_for_several_evaluations_are_stored(spark, data):
+    fitted = models.fit_models(data, pipe().getStages()[:1], {n: LogisticRegression(
+        featuresCol="final_features", labelCol="y", maxIter=m) for n, m in (("a", 1), ("b", 5))})
+    once = models.scored_once(fitted, data, "y")
+    assert once.inputFiles() and set(once.inputFiles()).isdisjoint(data.inputFiles())
+    cells = lambda df: sorted((r.model, r.y, r.prediction, round(r.p1, 9)) for r in df.collect())
+    assert cells(once) == cells(models.score_models(fitted, data, "y"))
