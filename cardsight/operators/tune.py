@@ -15,6 +15,7 @@ import itertools
 import json
 import math
 import random
+import threading
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -31,7 +32,8 @@ from pyspark.util import inheritable_thread_target
 
 from ..session import cached
 from .evaluate import MULTI_METRICS, multi_metrics
-from .models import training_rows
+from .features import vector_size
+from .models import parts_for, training_rows
 from .sampling import assign_folds
 
 
@@ -45,15 +47,26 @@ def run_all(spark, jobs: list[Callable], parallelism: int = 1) -> list:
 
 
 class Folds:
-    """Label and features of the k training and held-out portions, shared by all trials."""
+    """Label and features of the k training and held-out portions, shared by all trials; ``tasks`` of a fit's pass."""
 
-    def __init__(self, parts: list[tuple[DataFrame, DataFrame]], label: str):
-        self.parts, self.label = parts, label
+    def __init__(self, parts: list[tuple[DataFrame, DataFrame]], label: str, tasks: int = 1):
+        self.parts, self.label, self.tasks = parts, label, tasks
+        self.gate = contextlib.nullcontext()
+
+    def share(self, parallelism: int) -> None:
+        """From now on the fits of all callers together run at most ``parallelism`` at a time, and no more than keep
+        the cores busy: each holds its own copy of its rows, so fits with tasks for all cores run three at a time."""
+        cores = self.parts[0][0].sparkSession.sparkContext.defaultParallelism
+        self.gate = threading.BoundedSemaphore(min(parallelism, max(3, -(-3 * cores // self.tasks))))
 
     def held_out(self, learner: Estimator, prediction: str = "prediction", parallelism: int = 1) -> DataFrame:
         """(fold, label, prediction): each fold's rows, predicted by the learner fitted on the others."""
+        def fit(train: DataFrame):
+            with self.gate:
+                return learner.fit(train)
+
         spark = self.parts[0][0].sparkSession
-        fitted = run_all(spark, [lambda t=train: learner.fit(t) for train, _ in self.parts], parallelism)
+        fitted = run_all(spark, [lambda t=train: fit(t) for train, _ in self.parts], parallelism)
         frames = [model.transform(held).select(F.lit(i).alias("fold"), F.col(self.label), F.col(prediction))
                   for i, (model, (_, held)) in enumerate(zip(fitted, self.parts))]
         out = frames[0]
@@ -78,7 +91,7 @@ def fold_features(train: DataFrame, pipeline: Pipeline, label: str, k: int = 3,
             model = features.fit(folded.where(F.col("_fold") != i))
             parts.append(tuple(held.enter_context(cached(training_rows(model, folded.where(which).drop("_fold"), [label, vector], vector, n)))
                                for which, n in ((F.col("_fold") != i, sum(rows.values()) - own), (F.col("_fold") == i, own))))
-        yield Folds(parts, label)
+        yield Folds(parts, label, max(parts_for(sum(rows.values()) - rows.get(i, 0), vector_size(parts[i][0], vector)) for i in range(k)))
 
 
 def fold_metrics(preds: DataFrame, label: str, metric_label: float = 0.0) -> DataFrame:
@@ -255,7 +268,7 @@ class EvolutionarySearch:
         learner = self.pipeline.getStages()[-1]
         try:
             tuned = learner.copy({learner.getParam(k): v for k, v in self.params(genes).items()})
-            rows = fold_metrics(folds.held_out(tuned), self.label).where(F.col("metric") == self.metric).collect()
+            rows = fold_metrics(folds.held_out(tuned, parallelism=self.parallelism), self.label).where(F.col("metric") == self.metric).collect()
         except (IllegalArgumentException, TypeError, ValueError) as e:
             return None, f"{type(e).__name__}: {str(e)[:200]}"
         return (float(rows[0]["mean"]), None) if rows and rows[0]["mean"] is not None else (None, "no held-out rows")
@@ -311,6 +324,7 @@ class EvolutionarySearch:
             self._load(spark)
         if not self._over(start):
             with fold_features(train, self.pipeline, self.label, self.folds, self.seed, self.key) as folds:
+                folds.share(self.parallelism)
                 while not self._over(start):
                     generation, first = len(self.best_per_generation), len(self.trials)
                     chosen = self.next_generation(generation)

@@ -1,6 +1,8 @@
 """Cross-validation and evolutionary search: seeded repeatability and edge settings."""
 
 import random
+import threading
+import time
 
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
@@ -218,3 +220,25 @@ def test_predictions_for_several_evaluations_are_stored(spark, data):
     assert once.inputFiles() and set(once.inputFiles()).isdisjoint(data.inputFiles())
     cells = lambda df: sorted((r.model, r.y, r.prediction, round(r.p1, 9)) for r in df.collect())
     assert cells(once) == cells(models.score_models(fitted, data, "y"))
+
+
+def test_fits_of_all_folds_share_the_threads(spark, data):
+    """Folds of one candidate used to be fitted one after the other."""
+    running, most, lock = set(), [0], threading.Lock()
+
+    class Seen(LogisticRegression):
+        def _fit(self, df):
+            with lock:
+                running.add(me := object())
+                most[0] = max(most[0], len(running))
+            time.sleep(0.5)
+            try:
+                return super()._fit(df)
+            finally:
+                with lock:
+                    running.discard(me)
+
+    one = Pipeline(stages=[pipe().getStages()[0], Seen(featuresCol="final_features", labelCol="y", maxIter=2)])
+    s = tune.EvolutionarySearch(one, {"regParam": [0.1]}, "y", population=1, generations=1, folds=3, seed=1, parallelism=8)
+    s.run(data)
+    assert most[0] == 3
