@@ -202,31 +202,33 @@ def send(block: int, sorted_fps: np.ndarray, n_buckets: int, turn: int = 0, turn
         names=["bucket", "block", "fps"])
 
 
+def answered(group: pa.Table, earlier: bool, n_bytes: int = 8) -> pa.Table:
+    """The answers to one bucket: see :func:`answer`."""
+    block = group.column("block").to_numpy()
+    rows = np.argsort(block, kind="stable")
+    fps = [lengthened(group.column("fps")[int(r)].as_py(), n_bytes) for r in rows]
+    sizes = np.array([len(f) for f in fps])
+    values = np.concatenate(fps)
+    order = np.argsort(values, kind="stable")      # ties stay in order of blocks
+    values = values[order]
+    new = np.concatenate(([True], values[1:] != values[:-1]))
+    if earlier:
+        hit = ~new
+    else:
+        hit = ~new | ~np.concatenate((new[1:], [True]))
+    bits = np.empty(len(order), bool)
+    bits[order] = hit
+    cut = np.concatenate(([0], np.cumsum(sizes)))
+    return pa.table({"block": pa.array(block[rows], pa.int64()),
+                     "bucket": pa.array(np.full(len(rows), group.column("bucket")[0].as_py()), pa.int32()),
+                     "bits": pa.array([np.packbits(bits[a:b]).tobytes() for a, b in zip(cut, cut[1:])], pa.binary())})
+
+
 def answer(sent: DataFrame, earlier: bool, n_bytes: int = 8) -> DataFrame:
     """For each fingerprint that a block sent: does another block have it (``earlier``: a block
     before this one)? One sorted bucket at a time; a fingerprint that every block has counts
     one entry a block."""
-    def sort_bucket(group: pa.Table) -> pa.Table:
-        block = group.column("block").to_numpy()
-        rows = np.argsort(block, kind="stable")
-        fps = [lengthened(group.column("fps")[int(r)].as_py(), n_bytes) for r in rows]
-        sizes = np.array([len(f) for f in fps])
-        values = np.concatenate(fps)
-        order = np.argsort(values, kind="stable")      # ties stay in order of blocks
-        values = values[order]
-        new = np.concatenate(([True], values[1:] != values[:-1]))
-        if earlier:
-            hit = ~new
-        else:
-            hit = ~new | ~np.concatenate((new[1:], [True]))
-        bits = np.empty(len(order), bool)
-        bits[order] = hit
-        cut = np.concatenate(([0], np.cumsum(sizes)))
-        return pa.table({"block": pa.array(block[rows], pa.int64()),
-                         "bucket": pa.array(np.full(len(rows), group.column("bucket")[0].as_py()), pa.int32()),
-                         "bits": pa.array([np.packbits(bits[a:b]).tobytes() for a, b in zip(cut, cut[1:])], pa.binary())})
-
-    return sent.groupBy("bucket").applyInArrow(sort_bucket, ANSWER)
+    return sent.groupBy("bucket").applyInArrow(lambda group: answered(group, earlier, n_bytes), ANSWER)
 
 
 def read_answer(answers: list[tuple[int, bytes]], sorted_fps: np.ndarray, n_buckets: int) -> np.ndarray:

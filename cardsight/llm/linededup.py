@@ -4,8 +4,9 @@ A line (text between line feeds) is the set of its words. It is removed if an ea
 by doc_id and place, in any document has Jaccard similarity ``percent`` / 100 or more with it;
 this is judged on the input, so a removed line still counts as an earlier one.
 
-1. Equal sets: blocks exchange one fingerprint a line; the first line of each set goes on.
-2. Words are counted over all lines. A line's words are ordered by rarity, and two similar
+1. Equal sets: blocks exchange one fingerprint a line; the first line of each set goes on. The same
+   exchange counts words, over the lines that differ inside a block.
+2. A line's words are ordered by rarity, and two similar
    lines share a word of both prefixes (the rarest n - ceil(percent * n / 100) + 1 words).
    Prefix words that no other line has are not sent.
 3. Lines that share a prefix word are candidates if their lengths allow it, enough words are
@@ -14,7 +15,8 @@ this is judged on the input, so a removed line still counts as an earlier one.
    ``FULL`` lines, a line meets the first ``FIRST`` lines, then the next ones in growing
    steps; a line with a match leaves, so groups of near copies are not expanded into all pairs.
 4. Candidates are verified on the full word sets, the nearest candidate of each line first (by
-   its map), the others only for lines that it does not match.
+   its map), the others only for lines that it does not match. The word sets are taken from the
+   blocks once for all rounds, unless that is more than the first round needs twice over.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import (HINT_BYTES, SENT, Block, answer, bucket_bounds, buckets_for, documents_of, kept_schema, lengthened,
+from .blocks import (HINT_BYTES, Block, answered, bucket_bounds, buckets_for, documents_of, kept_schema, lengthened,
                      read_answer, rows_of, send, shortened, text_bytes, unpack, with_notes, write_blocks)
 from .common import finished, query, stored, table
-from .suffixdedup import as_notes, named
+from .suffixdedup import named
 from .text import U64, Piece, mix, words
 
 PERCENT = 80
@@ -47,8 +49,7 @@ def line_bounds(b: Block) -> np.ndarray:
 
 
 def lines_per_document(b: Block) -> np.ndarray:
-    feeds = np.concatenate(([0], np.cumsum(b.data == 10)))
-    return feeds[b.offsets[1:]] - feeds[b.offsets[:-1]] + 1
+    return np.diff(np.searchsorted(np.flatnonzero(b.data == 10), b.offsets)) + 1
 
 
 def key_of(block: int, line: np.ndarray) -> np.ndarray:
@@ -118,6 +119,12 @@ class Lines(Names):
         self.bounds, self.words = line_sets(b.data, self.at)
         super().__init__(signatures(self.bounds, self.words))
 
+    def cells(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(line, place in ``words``) of every word of some lines."""
+        size = np.diff(self.bounds)[lines]
+        start = np.repeat(self.bounds[lines] - (np.cumsum(size) - size), size)
+        return np.repeat(lines, size), np.arange(len(start)) + start
+
 
 def send_counts(block: int, values: np.ndarray, counts: np.ndarray, n_buckets: int) -> pa.RecordBatch:
     at = bucket_bounds(values, n_buckets)
@@ -128,6 +135,39 @@ def send_counts(block: int, values: np.ndarray, counts: np.ndarray, n_buckets: i
          cut(counts.astype(np.int32), pa.binary())], names=["bucket", "block", "fps", "counts"])
 
 
+ASKED = "kind string, bucket int, block long, fps binary, counts binary"
+
+
+def ask(b: Block, sig_buckets: int, word_buckets: int) -> Iterator[pa.RecordBatch]:
+    """What a block wants to know: which of its sets an earlier block has (kind line), and in how many lines its
+    words are (kind rarity; lines that differ inside a block count). The names of its lines go along (kind names)."""
+    lines = Lines(b)
+
+    def of_kind(kind: str, sent: pa.RecordBatch) -> pa.RecordBatch:
+        n, names = sent.num_rows, sent.schema.names
+        columns = {c: sent.column(c) if c in names else pa.nulls(n, pa.binary()) for c in ("bucket", "block", "fps", "counts")}
+        return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * n, pa.string()), **columns})
+
+    # the names take as many groups as the sets have buckets, so they are no larger
+    yield of_kind("names", pa.RecordBatch.from_pydict(
+        {"bucket": pa.array([(b.block >> 32) % sig_buckets], pa.int32()), "block": pa.array([b.block], pa.int64()),
+         "fps": pa.array([lines.sig.tobytes()], pa.binary())}))
+    if len(lines.names):
+        yield of_kind("line", send(b.block, lines.names, sig_buckets))
+        _, cell = lines.cells(lines.first)
+        yield of_kind("rarity", send_counts(b.block, *np.unique(lines.words[cell], return_counts=True), word_buckets))
+
+
+def reply(group: pa.Table) -> pa.Table:
+    """Answers to one bucket of :func:`ask`, as notes."""
+    kind = group.column("kind")[0].as_py()
+    if kind == "names":
+        out = pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "bits": group.column("fps")})
+    else:
+        out = answered(group, earlier=True) if kind == "line" else count_bucket(group)
+    return out.add_column(1, "kind", pa.array([kind] * out.num_rows, pa.string()))
+
+
 def count_bucket(group: pa.Table) -> pa.Table:
     """Counts summed over blocks, answered as one byte a word: eight steps a power of two, 0 for
     a count of one."""
@@ -148,6 +188,13 @@ def rarity(answers: list[tuple[int, bytes]], values: np.ndarray, n_buckets: int)
     return out
 
 
+def stable_order(keys: np.ndarray, free: int) -> np.ndarray:
+    """Stable order of keys whose lowest ``free`` bits are zero: the place goes there if it fits, as plain numbers sort faster."""
+    if len(keys) > 1 << free:
+        return np.argsort(keys, kind="stable")
+    return (np.sort(keys | np.arange(len(keys), dtype=np.uint64)) & U64((1 << free) - 1)).astype(np.int64)
+
+
 CHART = 2   # longs of the map of hashed words that travels with an entry
 
 
@@ -192,16 +239,16 @@ def candidates(sent: DataFrame, percent: int, n_buckets: int) -> DataFrame:
 
     def bucket(group: pa.Table) -> pa.Table:
         word, line, n, place, chart = [], [], [], [], []
-        for r in rows_of(group):
+        for r in sorted(rows_of(group), key=lambda r: r["block"]):
             own = np.frombuffer(r["line"], np.int32)
-            head = np.uint64(r["bucket"] << (64 - bits) if bits else 0)
-            word.append((lengthened(r["fps"], HINT_BYTES) >> U64(bits)) | head)
+            word.append(lengthened(r["fps"], HINT_BYTES))
             line.append(key_of(r["block"], own))
             n.append(unpacked(r["n"], len(own)))
             place.append(unpacked(r["place"], len(own)))
             chart.append(np.frombuffer(r["chart"], np.uint64).reshape(CHART, -1))
         word, line, n, place = (np.concatenate(x) for x in (word, line, n, place))
-        order = np.lexsort((line, word))
+        order = stable_order(word, 64 - 8 * HINT_BYTES)     # a block's entries come in order of word, then line
+        word = (word >> U64(bits)) | U64(group.column("bucket")[0].as_py() << (64 - bits) if bits else 0)
         word, line, n, place, chart = word[order], line[order], n[order], place[order], np.concatenate(chart, axis=1)[:, order]
         start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
         size = np.diff(np.concatenate((start, [len(word)])))
@@ -224,6 +271,7 @@ def candidates(sent: DataFrame, percent: int, n_buckets: int) -> DataFrame:
         order = np.lexsort((line[late], line[early]))
         a, b = line[early[order]], line[late[order]]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+        new &= a != b       # two words of a line may share a hint
         a, b, none, m = a[new], b[new], np.zeros(int(new.sum()), np.int64), int(big.sum())
         early, late = early[order][new], late[order][new]
         apart = sum((np.bitwise_count(x[early] ^ x[late]).astype(np.int64) for x in chart), none)
@@ -261,8 +309,8 @@ def asked(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("line")).unionAll(pairs.select(F.col("b").alias("line"))).distinct()
 
 
-def similar(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The later lines (line) of the pairs (a, b) that are similar on their full word sets."""
+def word_sets(blocks: DataFrame, lines: DataFrame) -> DataFrame:
+    """(line, words): the word sets of some lines."""
     def fetch(b: Block, noted: list) -> Iterator[pa.RecordBatch]:
         for _, _, bits in noted:
             keys, bounds, h = noted_sets(b, bits)
@@ -270,8 +318,11 @@ def similar(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 [pa.array(keys, pa.int64()), pa.array([h[x:y].tobytes() for x, y in zip(bounds, bounds[1:])], pa.binary())],
                 names=["line", "words"])
 
-    sets = stored(with_notes(blocks, line_notes(asked(pairs)), fetch, "line long, words binary", noted_only=True), "sets")
+    return stored(with_notes(blocks, line_notes(lines), fetch, "line long, words binary", noted_only=True), "sets")
+
 
+def similar(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The later lines (line) of the pairs (a, b) that are similar on their full word sets."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = []
@@ -287,80 +338,62 @@ def similar(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return stored(pairs.join(left, "a").join(right, "b").select("b", "wa", "wb").mapInArrow(check, "line long").distinct(), "hits")
 
 
-def verified(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The later lines (line) of all similar pairs (a, b, apart: bits that differ in their maps): a line meets its
     nearest candidate first, and the others only if that one is not similar."""
     first = stored(pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"), "first")
-    hits = similar(blocks, first, percent)
+    hits = similar(sets, first, percent)
     rest = stored(pairs.select("a", "b").join(hits.withColumnRenamed("line", "b"), "b", "left_anti")
                   .join(first, ["a", "b"], "left_anti"), "rest")
-    return hits if rest.isEmpty() else hits.unionByName(similar(blocks, rest, percent))
+    return hits if rest.isEmpty() else hits.unionByName(similar(sets, rest, percent))
 
 
-def similar_lines(blocks: DataFrame, notes: DataFrame, sig_buckets: int, percent: int) -> DataFrame:
+def similar_lines(blocks: DataFrame, notes: DataFrame, sig_buckets: int, word_buckets: int, percent: int) -> DataFrame:
     """(line): first lines of their set that have a similar, different set before them."""
-    spark = blocks.sparkSession
-    n_words = text_bytes(blocks) / 6
-    word_buckets = buckets_for(n_words / 5)
     of = lambda noted, what: [(k, x) for kind, k, x in noted if kind == what]
 
-    def firsts(b: Block, noted: list) -> tuple[Lines, np.ndarray]:
+    def prefixes(b: Block, noted: list) -> Iterator[pa.RecordBatch]:
         lines = Lines(b)
         first = np.setdiff1d(lines.filled, np.flatnonzero(lines.repeated(of(noted, "line"), sig_buckets)))
-        return lines, first
-
-    def cells(lines: Lines, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = np.diff(lines.bounds)[first]
-        line = np.repeat(first, size)
-        start = np.repeat(lines.bounds[first] - np.concatenate(([0], np.cumsum(size)))[:-1], size)
-        return line, lines.words[np.arange(len(line)) + start]
-
-    def counts(b: Block, noted: list) -> Iterator[pa.RecordBatch]:
-        lines, first = firsts(b, noted)
-        if len(first):
-            _, h = cells(lines, first)
-            yield send_counts(b.block, *np.unique(h, return_counts=True), word_buckets)
-
-    levels = with_notes(blocks, notes, counts, SENT + ", counts binary").groupBy("bucket") \
-        .applyInArrow(count_bucket, "block long, bucket int, bits binary")
-    notes = notes.unionByName(stored(as_notes(levels, "rarity"), "rarity"))
-
-    def prefixes(b: Block, noted: list) -> Iterator[pa.RecordBatch]:
-        lines, first = firsts(b, noted)
         if not len(first):
             return
-        line, h = cells(lines, first)
-        names, index = named(h)
-        level = rarity(of(noted, "rarity"), names, word_buckets)[index].astype(np.uint64)
-        order = np.argsort((line.astype(np.uint64) << U64(8)) | level, kind="stable")   # in order of hash before
+        names, index = named(lines.words)
+        line, cell = lines.cells(first)
+        h, level = lines.words[cell], rarity(of(noted, "rarity"), names, word_buckets)[index[cell]].astype(np.uint64)
+        # in order of hash before
+        order = stable_order(((line.astype(np.uint64) << U64(8)) | level) << U64(64 - LINE_BITS - 8), 64 - LINE_BITS - 8)
         line, h, level = line[order], h[order], level[order]
-        start = np.searchsorted(line, line)
-        n = np.diff(lines.bounds)[line]
-        place = np.arange(len(line)) - start
+        n = np.repeat(size := np.diff(lines.bounds)[first], size)
+        place = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
         heads = np.flatnonzero(place == 0)
         own = np.cumsum(place == 0) - 1      # the entry's line, as a number among those sent
         maps = word_maps(np.concatenate((heads, [len(h)])), h, CHART)
         keep = (place < n - -(-percent * n // 100) + 1) & (level > 0)
         line, h, n, place, own = line[keep].astype(np.int32), h[keep], n[keep], place[keep], own[keep]
-        order = np.argsort(h, kind="stable")
+        bits = int(np.log2(word_buckets))
+        free = max(64 - 8 * HINT_BYTES - bits, 0)
+        order = stable_order(h >> U64(free) << U64(free), free)      # words that travel as the same hint stay in order of line
         line, h, n, place, own = line[order], h[order], n[order], place[order], own[order]
         chart = lambda x: b"".join(m[x].tobytes() for m in maps)
         at = bucket_bounds(h, word_buckets)
         full = np.flatnonzero(np.diff(at))
-        bits = int(np.log2(word_buckets))
         cut = lambda x, how=np.ndarray.tobytes: pa.array([how(x[at[k]:at[k + 1]]) for k in full], pa.binary())
         yield pa.RecordBatch.from_arrays(
             [pa.array(full, pa.int32()), pa.array(np.full(len(full), b.block), pa.int64()),
              cut(h, lambda x: shortened(x, bits, HINT_BYTES)), cut(line), cut(n, packed), cut(place, packed), cut(own, chart)],
             names=["bucket", "block", "fps", "line", "n", "place", "chart"])
 
-    sent = with_notes(blocks, notes, prefixes, ENTRIES)
+    sent = with_notes(blocks, notes.filter("kind <> 'names'"), prefixes, ENTRIES)
     found = stored(candidates(sent, percent, word_buckets), "candidates")
     charts = [f"chart{i}" for i in range(CHART)]
     groups = found.filter("kind = 1").select(F.col("a").alias("word"), F.col("b").alias("line"), "n", "place", "nth", *charts)
     largest = groups.agg(F.max("nth")).first()[0] or 0
     pairs = stored(found.filter("kind = 0").select("a", "b", "apart").distinct(), "pairs")
-    hits = verified(blocks, pairs, percent)
+    # members of large groups meet in later rounds: their sets come along if they are no more lines than these
+    lines, members = asked(pairs), groups.filter(F.col("nth") >= FIRST).select("line").distinct()
+    together = members.count() <= lines.count()
+    sets = word_sets(blocks, lines.union(members).distinct() if together else lines)
+    hits = verified(sets, pairs, percent)
     at = FIRST
     while at <= largest:
         # later lines without a match yet meet the next lines of their groups
@@ -370,13 +403,15 @@ def similar_lines(blocks: DataFrame, notes: DataFrame, sig_buckets: int, percent
         early = groups.filter((F.col("nth") >= at) & (F.col("nth") < at * GROW))
         need = F.ceil(F.lit(percent) * (F.col("n") + F.col("nb")) / (100 + percent))
         apart = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in charts)
-        fits = (F.col("word") == F.col("_w")) & (F.col("nth") < F.col("rb")) \
+        fits = (F.col("word") == F.col("_w")) & (F.col("nth") < F.col("rb")) & (F.col("line") != F.col("b")) \
             & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")) \
             & (F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb")) >= need) \
             & (apart <= F.col("n") + F.col("nb") - 2 * need)
         pairs = stored(early.join(late, fits).select(F.col("line").alias("a"), "b", apart.alias("apart")).distinct(), "pairs")
         if not pairs.isEmpty():
-            hits = stored(hits.unionByName(verified(blocks, pairs, percent)).distinct(), "hits")
+            if not together:
+                sets = word_sets(blocks, asked(pairs))
+            hits = stored(hits.unionByName(verified(sets, pairs, percent)).distinct(), "hits")
         at *= GROW
     return hits
 
@@ -391,21 +426,15 @@ def dedup(docs: DataFrame, percent: int = PERCENT, keep: tuple[str, ...] = ()) -
     """
     blocks = write_blocks(docs, keep)
     sig_buckets = buckets_for(text_bytes(blocks) / 100)
+    word_buckets = buckets_for(text_bytes(blocks) / 6 / 5)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in rows_of(batch):
-                b = unpack(r)
-                lines = Lines(b)
-                if len(lines.names):
-                    yield send(b.block, lines.names, sig_buckets)
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b.block], pa.int64()),
-                                                  pa.array([lines.sig.tobytes()], pa.binary())], names=["bucket", "block", "fps"])
-
-    sent = stored(blocks.mapInArrow(sets, SENT), "names")
-    names = sent.filter("bucket < 0").select("block", F.lit("names").alias("kind"), "bucket", F.col("fps").alias("bits"))
-    notes = stored(as_notes(answer(sent.filter("bucket >= 0"), earlier=True), "line"), "lines")
-    hits = finished(docs.sparkSession, lambda: similar_lines(blocks, notes, sig_buckets, percent), "similar")
+                yield from ask(unpack(r), sig_buckets, word_buckets)
+
+    notes = stored(blocks.mapInArrow(asking, ASKED).groupBy("kind", "bucket").applyInArrow(reply, NOTE), "notes")
+    hits = finished(docs.sparkSession, lambda: similar_lines(blocks, notes, sig_buckets, word_buckets, percent), "similar")
 
     def note(group: pa.Table) -> pa.Table:
         return pa.table({"block": group.column("block")[:1], "kind": pa.array(["similar"]), "bucket": pa.array([0], pa.int32()),
@@ -433,7 +462,7 @@ def dedup(docs: DataFrame, percent: int = PERCENT, keep: tuple[str, ...] = ()) -
         yield pa.RecordBatch.from_pydict(columns)
 
     schema = kept_schema(docs, keep) + ", n_lines long, n_removed long, text string"
-    return with_notes(blocks, notes.unionByName(names).unionByName(gone), cut, schema)
+    return with_notes(blocks, notes.filter("kind <> 'rarity'").unionByName(gone), cut, schema)
 
 
 @query("op5_line_dedup")

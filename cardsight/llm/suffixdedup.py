@@ -63,7 +63,7 @@ def doc_of(b: Block, position: np.ndarray) -> np.ndarray:
 
 def named(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct fingerprints, index of each into them)."""
-    order = np.argsort(fps, kind="stable")
+    order = np.argsort(fps)     # the order of equal ones does not show
     values = fps[order]
     new = np.concatenate(([True], values[1:] != values[:-1])) if len(values) else np.zeros(0, bool)
     index = np.empty(len(fps), np.int64)

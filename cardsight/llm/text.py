@@ -63,6 +63,11 @@ class Prints:
         return mix(h)
 
 
+def looked_up(table: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """``table[data]`` for bytes and a table of 256 bytes or truths, without an index of eight bytes a byte."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), so that any bits can pick a bucket."""
     x = x ^ (x >> U64(30))
@@ -78,7 +83,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     words of up to eight bytes and equal length never collide."""
     n, size = len(data), end - start
     folded = np.zeros(n + 8, np.uint8)
-    folded[:n] = _FOLD[data]
+    folded[:n] = looked_up(_FOLD, data)
     eights = np.ndarray(n + 1, "<u8", folded, strides=(1,))      # the eight bytes from each position on
     h = mix((eights[start] & _FIRST[np.minimum(size, 8)]) ^ mix(size.astype(np.uint64) * _STEP))
     longer = np.flatnonzero(size > 8)
@@ -146,7 +151,7 @@ class Words(NamedTuple):
 def words(piece: Piece, spaces: np.ndarray = _SPACE) -> Words:
     data, offsets = piece.data, piece.offsets
     n = len(data)
-    solid = ~spaces[data]
+    solid = looked_up(~spaces, data)
     first = solid.copy()            # a word starts: no space, and a space or another document before
     first[1:] &= ~solid[:-1]
     inner = offsets[1:-1]

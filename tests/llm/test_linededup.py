@@ -72,3 +72,47 @@ def test_small_group_limits_give_the_same(spark, monkeypatch):
     assert got(dedup(df)) == want
     monkeypatch.setattr(linededup, "TRIED", 5)
     assert got(dedup(df)) == want
+
+
+def counted_passes(monkeypatch):
+    """The passes over all blocks, as they are planned."""
+    from cardsight.llm import linededup
+    real, passes = linededup.with_notes, []
+    monkeypatch.setattr(linededup, "with_notes", lambda blocks, notes, fn, *a, **b: passes.append(fn.__name__) or real(blocks, notes, fn, *a, **b))
+    monkeypatch.setattr(linededup, "FULL", 3)
+    monkeypatch.setattr(linededup, "FIRST", 1)
+    monkeypatch.setattr(linededup, "GROW", 2)
+    return passes
+
+
+@pytest.mark.parametrize("couples, fetches", [(0, 2), (20, 1)])
+def test_sets_are_fetched_once_unless_later_rounds_need_more_lines(spark, monkeypatch, couples, fetches):
+    # the first line of the large groups is too long for the others, which meet in a later round only
+    shared = " ".join(f"c{k}" for k in range(9))
+    texts = [f"{shared} e0 e1 e2 e3"] + [f"u{i} {shared}" for i in range(11)]
+    texts += [" ".join(["e0 e1 e2 e3"] + [f"f{i}x{k}" for k in range(16)]) for i in range(20)]
+    texts += [" ".join([f"p{i}x{k}" for k in range(14)] + [f"q{i}x{j}"]) for i in range(couples) for j in range(2)]
+    rows = list(enumerate(texts))
+    passes = counted_passes(monkeypatch)
+    out = got(dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert out == brute(rows) and sum(r[2] for r in out) == 10 + couples
+    assert passes == ["prefixes"] + fetches * ["fetch"] + ["cut"]
+
+
+def test_words_that_share_a_hint(spark, monkeypatch):
+    from cardsight.llm import linededup
+    rows = [(i, changed(prose(300 + i % 7, 20), 8 + i % 5, f"v{i % 4}") + "\n" + prose(400 + i, 15)) for i in range(30)]
+    monkeypatch.setattr(linededup, "HINT_BYTES", 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(dedup(df)) == brute(rows)
+    monkeypatch.setattr(linededup, "FULL", 3)
+    monkeypatch.setattr(linededup, "FIRST", 1)
+    assert got(dedup(df)) == brute(rows)
+
+
+def test_stable_order():
+    import numpy as np
+    from cardsight.llm.linededup import stable_order
+    keys = np.random.default_rng(1).integers(0, 50, 3000).astype(np.uint64)
+    for free in (4, 12, 56):        # places that do not fit, just fit, fit
+        assert (stable_order(keys << np.uint64(free), free) == np.argsort(keys, kind="stable")).all()

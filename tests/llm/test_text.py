@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from cardsight.llm.linededup import LINE_BITS, PART_BITS, key_of
-from cardsight.llm.text import pieces, words
+from cardsight.llm.text import _FOLD, _SPACE, looked_up, pieces, words
 
 
 def hashes(text):
@@ -57,3 +57,11 @@ def test_block_of_undoes_key_of(spark):
     rows = [(b, int(key_of(b, np.array([n]))[0])) for b in blocks for n in (0, 12345)]
     df = spark.createDataFrame(rows, "block long, line long").withColumn("found", block_of())
     assert df.filter("block = found").count() == len(rows)
+
+
+def test_looked_up_equals_indexing():
+    data = np.random.default_rng(1).integers(0, 256, 5000).astype(np.uint8)
+    for table in (_FOLD, ~_SPACE):
+        out = looked_up(table, data)
+        assert out.dtype == table.dtype and (out == table[data]).all()
+    assert len(looked_up(_FOLD, data[:0])) == 0
